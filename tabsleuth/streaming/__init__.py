@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The reference has no stream, watermark, window-over-time or state API - it
+profiles one table at a time - so no Structured Streaming operator is built.
+Every operator in this package is a batch DataFrame -> DataFrame function and
+can be applied per micro-batch from ``foreachBatch`` by the caller.
+"""
