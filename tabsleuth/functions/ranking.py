@@ -21,6 +21,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+SAMPLE_PER_RANGE = 20
+
+
+def _sampled_splits(keyed: DataFrame, group_cols: list[str], ord_col: str, k: int) -> DataFrame:
+    """Split points for non-numeric values: a key-hash sample of about
+    SAMPLE_PER_RANGE*k distinct values per group, sorted per group by
+    ``array_sort`` and thinned to k-1 points (bounded per group)."""
+    target = SAMPLE_PER_RANGE * k
+    sizes = keyed.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_d"))
+    sample = keyed.join(F.broadcast(sizes), group_cols).where(
+        F.pmod(F.xxhash64(F.col(ord_col), F.lit(7)), F.lit(1_000_000)).cast("double")
+        < F.lit(1_000_000.0) * F.least(F.lit(1.0), F.lit(float(target)) / F.col("_d"))
+    )
+    arr = sample.groupBy(*group_cols).agg(F.array_sort(F.collect_list(ord_col)).alias("_all"))
+    return arr.select(
+        *group_cols,
+        F.expr(
+            f"filter(transform(sequence(1, {k - 1}), i -> try_element_at(_all, "
+            f"CAST(greatest(1, floor(i * size(_all) / {k})) AS INT))), x -> x IS NOT NULL)"
+        ).alias("_splits"),
+    )
 
 
 def default_ranges(spark) -> int:
@@ -42,7 +65,7 @@ def range_index(splits_col: str, value_col: str, k: int):
     arr = "array(" + ", ".join(str(x) for x in steps) + ")"
     return F.expr(
         f"aggregate({arr}, 0, (acc, st) -> IF(acc + st <= size({splits_col}) "
-        f"AND element_at({splits_col}, acc + st) < {value_col}, acc + st, acc))"
+        f"AND try_element_at({splits_col}, acc + st) < {value_col}, acc + st, acc))"
     )
 
 
@@ -61,13 +84,22 @@ def cumulative_by_value(
     ``freq`` must hold one row per (group, value): aggregate first.
     """
     k = ranges or default_ranges(freq.sparkSession)
-    order_val = F.col(value_col) if not descending else -F.col(value_col)
-    keyed = freq.withColumn("_ord", order_val.cast("double"))
+    numeric = isinstance(freq.schema[value_col].dataType, T.NumericType)
+    if numeric:
+        order_val = F.col(value_col) if not descending else -F.col(value_col)
+        keyed = freq.withColumn("_ord", order_val.cast("double"))
+    else:
+        if descending:
+            raise ValueError("descending order is only supported for numeric values")
+        keyed = freq.withColumn("_ord", F.col(value_col))
     if k > 1:
-        fracs = [i / k for i in range(1, k)]
-        splits = keyed.groupBy(*group_cols).agg(
-            F.percentile_approx("_ord", fracs, max(10000, 20 * k)).alias("_splits")
-        )
+        if numeric:
+            fracs = [i / k for i in range(1, k)]
+            splits = keyed.groupBy(*group_cols).agg(
+                F.percentile_approx("_ord", fracs, max(10000, 20 * k)).alias("_splits")
+            )
+        else:
+            splits = _sampled_splits(keyed, group_cols, "_ord", k)
         keyed = keyed.join(F.broadcast(splits), group_cols, "left").withColumn(
             "_bucket", range_index("_splits", "_ord", k)
         ).drop("_splits")

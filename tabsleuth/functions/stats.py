@@ -12,6 +12,7 @@ from statistics import NormalDist
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def sample_skewness(c: Column) -> Column:
@@ -80,7 +81,7 @@ def f_survival(f: float, d1: float, d2: float) -> float:
     return betainc_reg(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * f))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def f_pvalue_udf(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     """Vectorised over the (few) ANOVA result rows: p-value of F."""
     return pd.Series([f_survival(a, b, c) if pd.notna(a) else float("nan") for a, b, c in zip(f, d1, d2)], dtype="float64")

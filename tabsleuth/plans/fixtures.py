@@ -46,7 +46,11 @@ def doc_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cust_const(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
-    return c.withColumn("c_const", F.lit("X")).withColumn("c_acctbal_copy", F.col("c_acctbal"))
+    return (
+        c.withColumn("c_const", F.lit("X"))
+        .withColumn("c_acctbal_copy", F.col("c_acctbal"))
+        .withColumn("c_zero", F.lit(0.0))
+    )
 
 
 def cust_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,7 +152,7 @@ SQL = {
     ) + " FROM lineitem",
     "doc_labels": "SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, l.quality, l.toxic "
                   "FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
-    "cust_const": "SELECT *, 'X' AS c_const, c_acctbal AS c_acctbal_copy FROM customer",
+    "cust_const": "SELECT *, 'X' AS c_const, c_acctbal AS c_acctbal_copy, 0.0::DOUBLE AS c_zero FROM customer",
     "cust_dup": "SELECT * FROM customer UNION ALL SELECT * FROM customer WHERE c_custkey < 100",
     "li_2x2": "SELECT * FROM lineitem WHERE l_returnflag <> 'N'",
     "dates_as_text": "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, "

@@ -33,7 +33,7 @@ SCHEMAS: dict[str, list[tuple[str, str]]] = {
 SCHEMAS["li_nulls"] = SCHEMAS["lineitem"]
 SCHEMAS["li_2x2"] = SCHEMAS["lineitem"]
 SCHEMAS["doc_labels"] = SCHEMAS["documents"] + [("quality", "int"), ("toxic", "int")]
-SCHEMAS["cust_const"] = SCHEMAS["customer"] + [("c_const", "string"), ("c_acctbal_copy", "double")]
+SCHEMAS["cust_const"] = SCHEMAS["customer"] + [("c_const", "string"), ("c_acctbal_copy", "double"), ("c_zero", "double")]
 SCHEMAS["cust_dup"] = SCHEMAS["customer"]
 SCHEMAS["dates_as_text"] = [(c, "string" if c == "o_orderdate" else t) for c, t in SCHEMAS["orders"]]
 
