@@ -87,5 +87,49 @@ def f_pvalue_udf(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return pd.Series([f_survival(a, b, c) if pd.notna(a) else float("nan") for a, b, c in zip(f, d1, d2)], dtype="float64")
 
 
+def chi2_survival(x: float, k: float) -> float:
+    """Upper tail of the chi-square distribution (regularised gamma Q)."""
+    if x is None or k is None or k <= 0 or math.isnan(x):
+        return float("nan")
+    if x <= 0:
+        return 1.0
+    a, z = k / 2.0, x / 2.0
+    gl = math.lgamma(a)
+    if z < a + 1:
+        term = total = 1.0 / a
+        ap = a
+        for _ in range(1000):
+            ap += 1
+            term *= z / ap
+            total += term
+            if abs(term) < abs(total) * 1e-15:
+                break
+        return max(0.0, 1.0 - total * math.exp(-z + a * math.log(z) - gl))
+    tiny = 1e-300
+    b = z + 1 - a
+    c = 1 / tiny
+    d = 1 / b
+    h = d
+    for i in range(1, 1000):
+        an = -i * (i - a)
+        b += 2
+        d = an * d + b
+        d = tiny if abs(d) < tiny else d
+        c = b + an / c
+        c = tiny if abs(c) < tiny else c
+        d = 1 / d
+        delta = d * c
+        h *= delta
+        if abs(delta - 1) < 1e-15:
+            break
+    return math.exp(-z + a * math.log(z) - gl) * h
+
+
+@F.pandas_udf(DoubleType())
+def chi2_pvalue_udf(x: pd.Series, k: pd.Series) -> pd.Series:
+    """Vectorised over the per-pair rows: p-value of chi2 with k dof."""
+    return pd.Series([chi2_survival(float(a), float(b)) if pd.notna(a) else float("nan") for a, b in zip(x, k)], dtype="float64")
+
+
 def normal_quantile(p: float) -> float:
     return NormalDist().inv_cdf(p)
