@@ -30,13 +30,16 @@ def register(key: str, sql: str | None = None):
     return deco
 
 
-def finish(df: DataFrame, digits: int = DIGITS) -> DataFrame:
+def finish(df: DataFrame, digits: int = DIGITS, keep: tuple[str, ...] = (), per_column: dict[str, int] | None = None) -> DataFrame:
     """Round every double/float output column to ``digits`` places (the oracle
-    rounds the same way), leaving other columns as they are."""
+    rounds the same way), leaving other columns as they are. Columns in
+    ``keep`` (input values passed through) stay exact; ``per_column`` sets
+    fewer places for large-magnitude sums."""
+    per_column = per_column or {}
     out = []
     for f in df.schema.fields:
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            out.append(F.round(F.col(f"`{f.name}`").cast("double"), digits).alias(f.name))
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)) and f.name not in keep:
+            out.append(F.round(F.col(f"`{f.name}`").cast("double"), per_column.get(f.name, digits)).alias(f.name))
         else:
             out.append(F.col(f"`{f.name}`"))
     return df.select(*out)
