@@ -413,20 +413,43 @@ def point_biserial(df: DataFrame, numeric: list[str] | None = None, categorical:
 
 # ---------------------------------------------------------------- E11-E13 mutual information
 
-def discretise(df: DataFrame, columns: list[str] | None = None, bins: int = MI_BINS, fill: bool = True, raw: list[str] = ()) -> DataFrame:
-    """Columns as discrete levels (text): numerics in ``bins`` equal-frequency
-    bins (bin = number of decile cut points strictly below the value), text
-    as is; with ``fill`` NULLs are median/mode filled first."""
+def as_numeric_view(df: DataFrame) -> DataFrame:
+    """Datetime columns as epoch seconds (double), others unchanged - the
+    form in which dates take part in mutual information."""
+    out = []
+    for f in df.schema.fields:
+        if ty.family(f.dataType) == ty.DATETIME:
+            out.append((F.unix_micros(F.col(f.name).cast("timestamp")) / 1e6).alias(f.name))
+        else:
+            out.append(F.col(f.name))
+    return df.select(*out)
+
+
+def discretise(
+    df: DataFrame,
+    columns: list[str] | None = None,
+    bins: int = MI_BINS,
+    fill: bool = True,
+    raw: list[str] = (),
+    raw_copies: list[str] = (),
+) -> DataFrame:
+    """Columns as discrete levels (text): numerics (dates as epoch seconds)
+    in ``bins`` equal-frequency bins (bin = number of decile cut points
+    strictly below the value), text as is; with ``fill`` NULLs are
+    median/mode filled first. Columns in ``raw`` keep their (filled) values
+    instead of bins; ``raw_copies`` adds ``<c>__raw`` with the values next
+    to the binned column. Cut points are one exact-quantile job (columns x
+    (bins-1) rows reach the driver)."""
     from .clean import fill_median_mode
 
-    cols = columns or [c for c in ty.profilable_columns(df) if ty.family(df.schema[c].dataType) in (ty.NUMERIC, ty.STRING)]
-    base = fill_median_mode(df.select(*cols)) if fill else df.select(*cols)
-    num = [c for c in cols if ty.family(df.schema[c].dataType) == ty.NUMERIC and c not in raw]
-    cuts = {}
+    src = as_numeric_view(df)
+    cols = columns or [c for c in ty.profilable_columns(src) if ty.family(src.schema[c].dataType) in (ty.NUMERIC, ty.STRING)]
+    base = fill_median_mode(src.select(*cols)) if fill else src.select(*cols)
+    num = [c for c in cols if ty.family(src.schema[c].dataType) == ty.NUMERIC and c not in raw]
+    cuts: dict[str, list] = {}
     if num:
         probs = [i / bins for i in range(1, bins)]
-        q = exact_quantiles(base, num, probs).collect()  # columns x (bins-1) rows
-        for row in q:
+        for row in exact_quantiles(base, num, probs).collect():
             cuts.setdefault(row["column"], []).append((row["prob"], row["value"]))
     sel = []
     for c in cols:
@@ -437,6 +460,8 @@ def discretise(df: DataFrame, columns: list[str] | None = None, bins: int = MI_B
             sel.append(F.when(v.isNull(), F.lit(None)).otherwise(b.cast("string")).alias(c))
         else:
             sel.append(ty.clean_col(base, c).cast("string").alias(c))
+    for c in raw_copies:
+        sel.append(ty.clean_col(base, c).cast("string").alias(f"{c}__raw"))
     return base.select(*sel)
 
 
