@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import types as ty
 from ..functions.ranking import average_ranks, exact_quantiles, long_numeric
 from ..functions.stats import chi2_pvalue_udf, f_pvalue_udf
+from ..functions.stats import pearson as pearson_expr
 
 # Thresholds used to label relationships.
 STRONG_CORR = 0.7
@@ -46,7 +47,8 @@ def pearson(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     pairs = _pairs(cols)
     if not pairs:
         return df.sparkSession.createDataFrame([], _pair_schema())
-    aggs = [F.corr(ty.numeric_value(df, a), ty.numeric_value(df, b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]
+    # a constant column gives NULL (never NaN, which Spark orders above every number)
+    aggs = [pearson_expr(ty.numeric_value(df, a), ty.numeric_value(df, b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]
     wide = df.agg(*aggs)
     return wide.select(
         F.explode(F.array(*[F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), F.col(f"c{i}").alias("value")) for i, (a, b) in enumerate(pairs)])).alias("_s")
@@ -107,7 +109,7 @@ def spearman(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def pearson_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    aggs = [F.corr(F.col(a), F.col(b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]
+    aggs = [pearson_expr(F.col(a), F.col(b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]
     return df.agg(*aggs).select(
         F.explode(F.array(*[F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), F.col(f"c{i}").alias("value")) for i, (a, b) in enumerate(pairs)])).alias("_s")
     ).select("_s.*")
@@ -403,7 +405,7 @@ def point_biserial(df: DataFrame, numeric: list[str] | None = None, categorical:
     for c, top in binary:
         ind = F.when(ty.clean_col(df, c).isNull(), F.lit(None)).otherwise((ty.clean_col(df, c) == F.lit(top)).cast("double"))
         for nm in num:
-            aggs.append(F.corr(ind, ty.numeric_value(df, nm)).alias(f"r{len(meta)}"))
+            aggs.append(pearson_expr(ind, ty.numeric_value(df, nm)).alias(f"r{len(meta)}"))
             meta.append((nm, c))
     wide = df.agg(*aggs)
     return wide.select(

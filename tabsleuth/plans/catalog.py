@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import clean_queries, distribution_queries, metric_queries, profile_queries, relation_queries, target_queries  # noqa: F401  (register on import)
+from . import clean_queries, distribution_queries, metric_queries, model_queries, profile_queries, relation_queries, target_queries  # noqa: F401  (register on import)
 from .registry import ORACLES, QUERIES
 
 

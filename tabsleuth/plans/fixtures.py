@@ -138,6 +138,22 @@ def importances(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("run", "_s.*")
 
 
+CONTRIBUTION_WEIGHTS = [("l_quantity", 1000.0), ("l_discount", -5000.0), ("l_tax", 2000.0)]
+
+
+def contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long (l_orderkey, l_linenumber, feature, value) contributions of a
+    fixed linear rule: value = w * (x - mean(x))."""
+    li = table(spark, sf_dir, "lineitem")
+    means = li.agg(*[F.avg(c).alias(f"m_{c}") for c, _ in CONTRIBUTION_WEIGHTS])  # one row
+    j = li.crossJoin(F.broadcast(means))
+    return j.select(
+        "l_orderkey",
+        "l_linenumber",
+        F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), (F.lit(w) * (F.col(c) - F.col(f"m_{c}"))).alias("value")) for c, w in CONTRIBUTION_WEIGHTS])).alias("_s"),
+    ).select("l_orderkey", "l_linenumber", "_s.*")
+
+
 # ---------------------------------------------------------------- SQL side
 
 LINEITEM_COLS = [
@@ -178,6 +194,12 @@ SQL = {
 }
 
 
+SQL["contributions"] = " UNION ALL ".join(
+    f"SELECT l_orderkey, l_linenumber, '{c}' AS feature, {w!r} * ({c} - (SELECT avg({c}) FROM lineitem)) AS value FROM lineitem"
+    for c, w in CONTRIBUTION_WEIGHTS
+)
+
+
 def with_fixtures(sql: str, *names: str) -> str:
     """Prefix ``sql`` with the named fixture CTEs."""
     if not names:
@@ -198,6 +220,7 @@ SPARK = {
     "pred_reg": pred_reg,
     "cv_scores": cv_scores,
     "importances": importances,
+    "contributions": contributions,
 }
 
 

@@ -94,10 +94,10 @@ def summary_table(df: DataFrame) -> DataFrame:
         F.explode(
             F.array(
                 F.struct(F.lit("Total Rows").alias("metric"), F.col("total_rows").cast("string").alias("value")),
-                F.struct(F.lit("Total Columns"), F.col("total_cols").cast("string")),
-                F.struct(F.lit("Missing Values (%)"), F.format_number(F.col("missing_percentage"), 2)),
-                F.struct(F.lit("Numeric Columns"), F.col("numeric_cols").cast("string")),
-                F.struct(F.lit("Categorical Columns"), F.col("categorical_cols").cast("string")),
+                F.struct(F.lit("Total Columns").alias("metric"), F.col("total_cols").cast("string").alias("value")),
+                F.struct(F.lit("Missing Values (%)").alias("metric"), F.format_number(F.col("missing_percentage"), 2).alias("value")),
+                F.struct(F.lit("Numeric Columns").alias("metric"), F.col("numeric_cols").cast("string").alias("value")),
+                F.struct(F.lit("Categorical Columns").alias("metric"), F.col("categorical_cols").cast("string").alias("value")),
             )
         ).alias("_m")
     ).select(F.col("_m.metric").alias("metric"), F.col("_m.value").alias("value"))
