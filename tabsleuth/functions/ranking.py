@@ -5,8 +5,8 @@ equal-frequency bins all need "how many rows have a value <= v" for every
 distinct v. A plain ``Window.orderBy`` without a partition key would put the
 whole table into one task, so the prefix sums are built in two levels:
 
-1. per group, ``percentile_approx`` over the distinct values gives k-1 split
-   points (a bounded sketch; groups x k doubles, broadcast back). The range
+1. per group, a key-hash sample of about 20k distinct values, sorted per
+   group, gives k-1 split points (groups x k values, broadcast back). The range
    number of a value is found by binary search over its group's splits
    (``aggregate`` over log2(k) power-of-two steps), so it is a deterministic
    function of the value: every branch of the plan, and every recomputation
@@ -76,13 +76,20 @@ def cumulative_by_value(
     weight_cols: list[str],
     ranges: int | None = None,
     descending: bool = False,
+    small_group_limit: int | None = None,
 ) -> DataFrame:
     """Add ``cum_<w>`` = sum of ``w`` over rows of the same group whose value
     is <= this value (>= when ``descending``), this row included, and
     ``total_<w>`` = the group's sum of ``w``.
 
     ``freq`` must hold one row per (group, value): aggregate first.
+
+    When the largest group has at most ``small_group_limit`` rows (checked
+    with one aggregation) a single window per group is used: each task then
+    holds a group of proven bounded size. Otherwise the two-level ranges.
     """
+    if small_group_limit and _largest_group(freq, group_cols) <= small_group_limit:
+        return _cumulative_small(freq, group_cols, value_col, weight_cols, descending)
     k = ranges or default_ranges(freq.sparkSession)
     numeric = isinstance(freq.schema[value_col].dataType, T.NumericType)
     if numeric:
@@ -93,13 +100,9 @@ def cumulative_by_value(
             raise ValueError("descending order is only supported for numeric values")
         keyed = freq.withColumn("_ord", F.col(value_col))
     if k > 1:
-        if numeric:
-            fracs = [i / k for i in range(1, k)]
-            splits = keyed.groupBy(*group_cols).agg(
-                F.percentile_approx("_ord", fracs, max(10000, 20 * k)).alias("_splits")
-            )
-        else:
-            splits = _sampled_splits(keyed, group_cols, "_ord", k)
+        # split points only balance the ranges (any points give exact sums):
+        # a bounded key-hash sample per group is enough
+        splits = _sampled_splits(keyed, group_cols, "_ord", k)
         keyed = keyed.join(F.broadcast(splits), group_cols, "left").withColumn(
             "_bucket", range_index("_splits", "_ord", k)
         ).drop("_splits")
@@ -124,6 +127,24 @@ def cumulative_by_value(
     return out.drop("_ord", "_bucket", *[f"_off_{w}" for w in weight_cols])
 
 
+SMALL_GROUP_ROWS = 2_000_000
+
+
+def _largest_group(freq: DataFrame, group_cols: list[str]) -> int:
+    row = freq.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c")).first()
+    return int(row[0] or 0)
+
+
+def _cumulative_small(freq: DataFrame, group_cols: list[str], value_col: str, weight_cols: list[str], descending: bool) -> DataFrame:
+    order = F.col(value_col).desc() if descending else F.col(value_col).asc()
+    w = Window.partitionBy(*group_cols).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    wg = Window.partitionBy(*group_cols)
+    out = freq
+    for c in weight_cols:
+        out = out.withColumn(f"cum_{c}", F.sum(c).over(w)).withColumn(f"total_{c}", F.sum(c).over(wg))
+    return out
+
+
 def long_numeric(df: DataFrame, columns: list[str], value_name: str = "v") -> DataFrame:
     """(column, v) rows for the non-null values of ``columns`` (NaN dropped)."""
     from .types import numeric_value
@@ -139,7 +160,7 @@ def value_frequencies(df: DataFrame, columns: list[str]) -> DataFrame:
     return long_numeric(df, columns).groupBy("column", "v").agg(F.count(F.lit(1)).alias("count"))
 
 
-def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], ranges: int | None = None) -> DataFrame:
+def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], ranges: int | None = None, small_group_limit: int = None) -> DataFrame:
     """Exact linear-interpolation quantiles (pandas ``quantile`` / SQL
     ``percentile_cont``) for every column and probability.
 
@@ -148,8 +169,21 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], range
     sorted positions [cum-count, cum-1]; rows covering floor/ceil of
     (n-1)*p are kept and interpolated.
     """
+    from ..session import materialize
+
     spark = df.sparkSession
-    cum = cumulative_by_value(value_frequencies(df, columns), ["column"], "v", ["count"], ranges=ranges)
+    freq = materialize(value_frequencies(df, columns))
+    limit = SMALL_GROUP_ROWS if small_group_limit is None else small_group_limit
+    if _largest_group(freq, ["column"]) <= limit:
+        # exact weighted percentile; its per-column buffer holds the distinct
+        # values, proven <= SMALL_GROUP_ROWS by the check above
+        pct = freq.groupBy("column").agg(F.percentile("v", [float(p) for p in probs], F.col("count")).alias("_q"))
+        got = pct.select("column", F.posexplode("_q").alias("_i", "value")).select(
+            "column", F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("_i") + 1).alias("prob"), "value"
+        )
+        grid = spark.createDataFrame([(c, float(p)) for c in columns for p in probs], "column string, prob double")
+        return grid.join(F.broadcast(got), ["column", "prob"], "left")
+    cum = cumulative_by_value(freq, ["column"], "v", ["count"], ranges=ranges)
     start, end = F.col("cum_count") - F.col("count"), F.col("cum_count") - 1
     picks = []
     for p in probs:
@@ -182,7 +216,7 @@ def quantile_wide(df: DataFrame, columns: list[str], probs: list[float], names:
     return q.groupBy("column").agg(*aggs)
 
 
-def average_ranks(freq: DataFrame, group_cols: list[str], value_col: str, count_col: str = "count") -> DataFrame:
+def average_ranks(freq: DataFrame, group_cols: list[str], value_col: str, count_col: str = "count", small_group_limit: int | None = SMALL_GROUP_ROWS) -> DataFrame:
     """Average (tie-aware, 1-based) rank of each distinct value in its group."""
-    cum = cumulative_by_value(freq, group_cols, value_col, [count_col])
+    cum = cumulative_by_value(freq, group_cols, value_col, [count_col], small_group_limit=small_group_limit)
     return cum.withColumn("rank", F.col(f"cum_{count_col}") - (F.col(count_col) - 1) / 2.0)

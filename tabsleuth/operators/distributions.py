@@ -28,23 +28,16 @@ def _stack(df: DataFrame, names: list[str], fields: dict[str, str]) -> DataFrame
 
 def moments(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """count, mean, std (n-1), min, max, skew (G1), kurtosis (G2) per numeric
-    column - one aggregation pass, no shuffle of rows."""
+    column - shifted power sums in codegen-sized passes, finished per column."""
+    from ..functions.moments import column_moments
+
     cols = columns or ty.numeric_columns(df)
-    aggs = []
-    for i, c in enumerate(cols):
-        v = ty.numeric_value(df, c)
-        aggs += [
-            F.count(v).alias(f"n{i}"),
-            F.avg(v).alias(f"mean{i}"),
-            F.stddev_samp(v).alias(f"std{i}"),
-            F.min(v).alias(f"min{i}"),
-            F.max(v).alias(f"max{i}"),
-            sample_skewness(v).alias(f"skew{i}"),
-            sample_kurtosis(v).alias(f"kurt{i}"),
-        ]
-    wide = df.agg(*aggs)
-    return _stack(wide, cols, {"n": "count", "mean": "mean", "std": "std", "min": "min", "max": "max",
-                               "skew": "skewness", "kurt": "kurtosis"})
+    m = column_moments(df, cols)
+    rows = [(c, m[c]["count"], m[c]["mean"], m[c]["std"], None if m[c]["min"] is None else float(m[c]["min"]),
+             None if m[c]["max"] is None else float(m[c]["max"]), m[c]["skewness"], m[c]["kurtosis"]) for c in cols]
+    return df.sparkSession.createDataFrame(
+        rows, "column string, count long, mean double, std double, min double, max double, skewness double, kurtosis double"
+    )
 
 
 def describe_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -203,7 +203,9 @@ def train_baselines(
     else:
         data = random_split(data, keys).withColumn("label", F.col(target).cast("double"))
         classes = None
-    data = data.checkpoint() if spark.sparkContext.getCheckpointDir() else data
+    from ..session import materialize
+
+    data = materialize(data)  # split + label index computed once, reused by every model
     train, test = data.where(~F.col("is_test")), data.where(F.col("is_test"))
     prep = preprocess_fit(train, feats)
     tr = preprocess_apply(train, prep, keep=keys + ["label"])

@@ -74,7 +74,7 @@ def column_profile(df: DataFrame, columns: list[str] | None = None, freq: DataFr
     small = u <= F.least(F.lit(CATEGORICAL_MAX_UNIQUE).cast("double"), CATEGORICAL_MAX_RATIO * n)
     semantic = (
         F.when(fam == ty.NUMERIC, F.when(small & (u > 1), "categorical_numeric").otherwise("numeric"))
-        .when(fam == ty.STRING, F.when(F.col("_all_dates") & (u > 0), "datetime").when(small, "categorical").otherwise("text"))
+        .when(fam == ty.STRING, F.when(F.col("_all_dates") & (u > 0), "datetime").when((u > 0) & small, "categorical").otherwise("text"))
         .when(fam == ty.DATETIME, "datetime")
         .otherwise("other")
     )

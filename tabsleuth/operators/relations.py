@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from ..functions import types as ty
 from ..functions.ranking import average_ranks, exact_quantiles, long_numeric
 from ..functions.stats import chi2_pvalue_udf, f_pvalue_udf
-from ..functions.stats import pearson as pearson_expr
+from ..functions.moments import pairwise_pearson
+from ..session import materialize
 
 # Thresholds used to label relationships.
 STRONG_CORR = 0.7
@@ -42,17 +43,11 @@ def _pair_schema(value: str = "value") -> str:
 # ---------------------------------------------------------------- E1 / E4
 
 def pearson(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Pearson r of every numeric pair (upper triangle, pairwise deletion)."""
+    """Pearson r of every numeric pair (upper triangle, pairwise
+    deletion); NULL where a side is constant. Shifted co-moment sums in
+    codegen-sized passes (see ``functions.moments``)."""
     cols = columns or ty.numeric_columns(df)
-    pairs = _pairs(cols)
-    if not pairs:
-        return df.sparkSession.createDataFrame([], _pair_schema())
-    # a constant column gives NULL (never NaN, which Spark orders above every number)
-    aggs = [pearson_expr(ty.numeric_value(df, a), ty.numeric_value(df, b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]
-    wide = df.agg(*aggs)
-    return wide.select(
-        F.explode(F.array(*[F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), F.col(f"c{i}").alias("value")) for i, (a, b) in enumerate(pairs)])).alias("_s")
-    ).select("_s.*")
+    return pearson_pairs(df, _pairs(cols))
 
 
 def strong_pairs(corr_long: DataFrame, threshold: float = STRONG_CORR) -> DataFrame:
@@ -68,51 +63,70 @@ def strong_pairs(corr_long: DataFrame, threshold: float = STRONG_CORR) -> DataFr
 
 # ---------------------------------------------------------------- E2 Spearman
 
-def _rank_columns(rows: DataFrame, cols: list[str]) -> DataFrame:
-    """Replace each column by its average rank over ``rows`` (tie-aware)."""
-    freq = long_numeric(rows, cols).groupBy("column", "v").agg(F.count(F.lit(1)).alias("count"))
-    ranks = average_ranks(freq, ["column"], "v")
-    out = rows
-    for c in cols:
-        rc = ranks.where(F.col("column") == c).select(F.col("v").alias(f"_v_{c}"), F.col("rank").alias(f"_r_{c}"))
-        out = out.join(rc, ty.numeric_value(rows, c) == F.col(f"_v_{c}"), "left")
-    return out.select(*[F.col(f"_r_{c}").alias(c) for c in cols])
+def _name_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Replace the int pair id ``pid`` by (var1, var2) names (literal arrays,
+    no join)."""
+    v1 = F.array(*[F.lit(a) for a, _ in pairs])
+    v2 = F.array(*[F.lit(b) for _, b in pairs])
+    rest = [c for c in df.columns if c != "pid"]
+    return df.select(F.element_at(v1, F.col("pid") + 1).alias("var1"), F.element_at(v2, F.col("pid") + 1).alias("var2"), *rest)
+
+
+def numeric_cells(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """(var1, var2, a, b, o): counts of each distinct numeric value pair over
+    the pair-complete rows of every pair (one explode, one aggregation keyed
+    by an int pair id)."""
+    structs = [
+        F.struct(F.lit(i).alias("pid"), ty.numeric_value(df, a).alias("a"), ty.numeric_value(df, b).alias("b"))
+        for i, (a, b) in enumerate(pairs)
+    ]
+    cells = (
+        df.select(F.explode(F.array(*structs)).alias("_p"))
+        .select("_p.*")
+        .where(F.col("a").isNotNull() & F.col("b").isNotNull())
+        .groupBy("pid", "a", "b")
+        .agg(F.count(F.lit(1)).cast("double").alias("o"))
+    )
+    return _name_pairs(cells, pairs)
 
 
 def spearman(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Spearman rho of every numeric pair with pairwise deletion: for a
-    pair the ranks are taken over the rows where both are present. Pairs
-    are grouped by which null-bearing columns they involve, so a table
-    without nulls needs one ranking job."""
+    """Spearman rho of every numeric pair with pairwise deletion, from
+    the pair cells: per pair the marginal value counts of the complete rows
+    give tie-aware average ranks (two-level prefix sum), and rho is the
+    Pearson r of the ranks, sum o * (ra - m)(rb - m) / sqrt(...) with
+    m = (n + 1) / 2 - all pairs in one plan, no per-row rank joins."""
     cols = columns or ty.numeric_columns(df)
     pairs = _pairs(cols)
-    spark = df.sparkSession
     if not pairs:
-        return spark.createDataFrame([], _pair_schema())
-    nulls = df.agg(*[F.count_if(ty.numeric_value(df, c).isNull()).alias(c) for c in cols]).first().asDict()
-    groups: dict[tuple, list[tuple[str, str]]] = {}
-    for a, b in pairs:
-        key = tuple(sorted(c for c in (a, b) if nulls[c] > 0))
-        groups.setdefault(key, []).append((a, b))
-    results = []
-    for key, gpairs in groups.items():
-        rows = df
-        for c in key:
-            rows = rows.where(ty.numeric_value(df, c).isNotNull())
-        need = sorted({c for p in gpairs for c in p}, key=cols.index)
-        ranked = _rank_columns(rows.select(*need), need)
-        results.append(pearson_pairs(ranked, gpairs))
-    out = results[0]
-    for r in results[1:]:
-        out = out.unionByName(r)
-    return out
+        return df.sparkSession.createDataFrame([], _pair_schema())
+    cells = materialize(numeric_cells(df, pairs))
+    ra = average_ranks(cells.groupBy("var1", "var2", "a").agg(F.sum("o").alias("count")), ["var1", "var2"], "a").select(
+        "var1", "var2", "a", F.col("rank").alias("ra"), F.col("total_count").alias("n")
+    )
+    rb = average_ranks(cells.groupBy("var1", "var2", "b").agg(F.sum("o").alias("count")), ["var1", "var2"], "b").select(
+        "var1", "var2", "b", F.col("rank").alias("rb")
+    )
+    j = cells.join(ra, ["var1", "var2", "a"]).join(rb, ["var1", "var2", "b"])
+    m = (F.col("n") + 1) / 2.0
+    da, db = F.col("ra") - m, F.col("rb") - m
+    agg = j.groupBy("var1", "var2").agg(
+        F.sum(F.col("o") * da * db).alias("sab"), F.sum(F.col("o") * da * da).alias("saa"), F.sum(F.col("o") * db * db).alias("sbb"),
+        F.sum("o").alias("n"),
+    )
+    rho = F.when((F.col("saa") > 0) & (F.col("sbb") > 0) & (F.col("n") >= 2), F.col("sab") / F.sqrt(F.col("saa") * F.col("sbb")))
+    out = agg.select("var1", "var2", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), rho)).alias("value"))
+    want = df.sparkSession.createDataFrame(pairs, "var1 string, var2 string")  # pairs with no complete row stay NULL
+    return want.join(out, ["var1", "var2"], "left")
 
 
-def pearson_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    aggs = [pearson_expr(F.col(a), F.col(b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]
-    return df.agg(*aggs).select(
-        F.explode(F.array(*[F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), F.col(f"c{i}").alias("value")) for i, (a, b) in enumerate(pairs)])).alias("_s")
-    ).select("_s.*")
+def pearson_pairs(df: DataFrame, pairs: list[tuple[str, str]], values: dict | None = None) -> DataFrame:
+    """(var1, var2, value) Pearson r of the given pairs."""
+    spark = df.sparkSession
+    if not pairs:
+        return spark.createDataFrame([], _pair_schema())
+    r = pairwise_pearson(df, pairs, values)
+    return spark.createDataFrame([(a, b, r[(a, b)]) for a, b in pairs], _pair_schema())
 
 
 # ---------------------------------------------------------------- E3 Kendall
@@ -224,19 +238,21 @@ def _cat_value(df: DataFrame, c: str, missing_label: str | None) -> Column:
 
 def contingency(df: DataFrame, pairs: list[tuple[str, str]], missing_label: str | None = None) -> DataFrame:
     """(var1, var2, a, b, o): counts of every value combination of every pair
-    in one explode + aggregation; rows with a NULL in the pair are dropped
-    (unless ``missing_label`` turns NULL into a level)."""
+    in one explode + aggregation (keyed by an int pair id); rows with a NULL
+    in the pair are dropped (unless ``missing_label`` turns NULL into a
+    level)."""
     structs = [
-        F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), _cat_value(df, a, missing_label).alias("a"), _cat_value(df, b, missing_label).alias("b"))
-        for a, b in pairs
+        F.struct(F.lit(i).alias("pid"), _cat_value(df, a, missing_label).alias("a"), _cat_value(df, b, missing_label).alias("b"))
+        for i, (a, b) in enumerate(pairs)
     ]
-    return (
+    cells = (
         df.select(F.explode(F.array(*structs)).alias("_p"))
         .select("_p.*")
         .where(F.col("a").isNotNull() & F.col("b").isNotNull())
-        .groupBy("var1", "var2", "a", "b")
+        .groupBy("pid", "a", "b")
         .agg(F.count(F.lit(1)).alias("o"))
     )
+    return _name_pairs(cells, pairs)
 
 
 def chi_square(cells: DataFrame, yates: bool = True) -> DataFrame:
@@ -245,6 +261,7 @@ def chi_square(cells: DataFrame, yates: bool = True) -> DataFrame:
     chi2 = n * (sum o^2/(row*col) - 1) needs only the non-empty cells. For a
     2x2 table with ``yates`` the continuity correction is applied over the
     full 2x2 grid (empty cells included), as SciPy does."""
+    cells = materialize(cells)
     rows = cells.groupBy("var1", "var2", "a").agg(F.sum("o").alias("ra"))
     colsm = cells.groupBy("var1", "var2", "b").agg(F.sum("o").alias("cb"))
     joined = cells.join(rows, ["var1", "var2", "a"]).join(colsm, ["var1", "var2", "b"])
@@ -401,16 +418,16 @@ def point_biserial(df: DataFrame, numeric: list[str] | None = None, categorical:
     spark = df.sparkSession
     if not binary or not num:
         return spark.createDataFrame([], "numeric_variable string, categorical_variable string, correlation double")
-    aggs, meta = [], []
+    values, pairs, meta = {}, [], []
     for c, top in binary:
-        ind = F.when(ty.clean_col(df, c).isNull(), F.lit(None)).otherwise((ty.clean_col(df, c) == F.lit(top)).cast("double"))
+        ind = f"__ind_{c}"
+        values[ind] = F.when(ty.clean_col(df, c).isNull(), F.lit(None)).otherwise((ty.clean_col(df, c) == F.lit(top)).cast("double"))
         for nm in num:
-            aggs.append(pearson_expr(ind, ty.numeric_value(df, nm)).alias(f"r{len(meta)}"))
+            values.setdefault(nm, ty.numeric_value(df, nm))
+            pairs.append((ind, nm))
             meta.append((nm, c))
-    wide = df.agg(*aggs)
-    return wide.select(
-        F.explode(F.array(*[F.struct(F.lit(nm).alias("numeric_variable"), F.lit(c).alias("categorical_variable"), F.col(f"r{i}").alias("correlation")) for i, (nm, c) in enumerate(meta)])).alias("_s")
-    ).select("_s.*")
+    r = pairwise_pearson(df, pairs, values)
+    return spark.createDataFrame([(nm, c, r[p]) for (nm, c), p in zip(meta, pairs)], "numeric_variable string, categorical_variable string, correlation double")
 
 
 # ---------------------------------------------------------------- E11-E13 mutual information
@@ -469,6 +486,7 @@ def discretise(
 
 def mi_from_cells(cells: DataFrame) -> DataFrame:
     """Plug-in MI (nats) per pair: sum o/n * ln(o*n/(row*col))."""
+    cells = materialize(cells)
     rows = cells.groupBy("var1", "var2", "a").agg(F.sum("o").alias("ra"))
     colsm = cells.groupBy("var1", "var2", "b").agg(F.sum("o").alias("cb"))
     n = cells.groupBy("var1", "var2").agg(F.sum("o").alias("n"))

@@ -23,7 +23,7 @@ def profile_sql(table: str) -> str:
             sem = f"CASE WHEN {small} AND {u} > 1 THEN 'categorical_numeric' ELSE 'numeric' END"
         elif fam == "string":
             dates = f"bool_and({c} IS NULL OR (regexp_full_match({c}, '{DATE_RE}') AND try_cast({c} AS TIMESTAMP) IS NOT NULL))"
-            sem = f"CASE WHEN {dates} AND {u} > 0 THEN 'datetime' WHEN {small} THEN 'categorical' ELSE 'text' END"
+            sem = f"CASE WHEN {dates} AND {u} > 0 THEN 'datetime' WHEN {u} > 0 AND {small} THEN 'categorical' ELSE 'text' END"
         elif fam == "datetime":
             sem = "'datetime'"
         else:

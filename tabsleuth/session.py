@@ -22,6 +22,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", "16g")
     )
     spark = builder.getOrCreate()
@@ -58,3 +59,12 @@ def is_local_path(path: str) -> bool:
 def ensure_parent(path: str) -> None:
     if is_local_path(path):
         os.makedirs(os.path.dirname(path.replace("file:", "")), exist_ok=True)
+
+
+def materialize(df):
+    """Reliable checkpoint of an intermediate that several branches of a plan
+    read (e.g. a frequency table feeding splits, totals and a join): written
+    once to the shared checkpoint folder, lineage cut, so it is neither
+    recomputed per branch nor lost with an executor."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
