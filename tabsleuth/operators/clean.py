@@ -45,26 +45,31 @@ def count_duplicate_rows(df: DataFrame) -> DataFrame:
 
 def duplicate_columns(df: DataFrame) -> DataFrame:
     """Pairs (column_1, column_2) of same-typed columns whose values are
-    equal on every row (NULLs aligned) - one aggregation over all pairs."""
+    equal on every row (NULLs aligned).
+
+    A first pass fingerprints every column (``bit_xor`` of value hashes and
+    the non-null count - order independent, no overflow); equal columns
+    must share both, so only pairs with equal type and fingerprint are
+    verified row by row with ``bool_and(a <=> b)`` in a second pass."""
+    from ..functions.moments import batched_agg
+
+    spark = df.sparkSession
+    schema = "column_1 string, column_2 string"
     fields = df.schema.fields
+    fp = batched_agg(df, [x for f in fields for x in (
+        (f"h:{f.name}", F.bit_xor(F.xxhash64(ty.clean_col(df, f.name)))),
+        (f"n:{f.name}", F.count(ty.clean_col(df, f.name))),
+    )])
     pairs = [
         (a.name, b.name)
         for i, a in enumerate(fields)
         for b in fields[i + 1:]
-        if a.dataType == b.dataType
+        if a.dataType == b.dataType and fp[f"h:{a.name}"] == fp[f"h:{b.name}"] and fp[f"n:{a.name}"] == fp[f"n:{b.name}"]
     ]
-    spark = df.sparkSession
-    schema = "column_1 string, column_2 string"
     if not pairs:
         return spark.createDataFrame([], schema)
-    aggs = [F.bool_and(ty.clean_col(df, a).eqNullSafe(ty.clean_col(df, b))).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]
-    wide = df.agg(*aggs)
-    long = wide.select(
-        F.explode(
-            F.array(*[F.struct(F.lit(a).alias("column_1"), F.lit(b).alias("column_2"), F.col(f"p{i}").alias("same")) for i, (a, b) in enumerate(pairs)])
-        ).alias("_s")
-    ).select("_s.*")
-    return long.where(F.coalesce(F.col("same"), F.lit(True))).select("column_1", "column_2")
+    same = batched_agg(df, [(f"{a}|{b}", F.bool_and(ty.clean_col(df, a).eqNullSafe(ty.clean_col(df, b)))) for a, b in pairs])
+    return spark.createDataFrame([(a, b) for a, b in pairs if same[f"{a}|{b}"] in (True, None)], schema)
 
 
 def filter_target_not_null(df: DataFrame, target: str) -> DataFrame:

@@ -17,6 +17,7 @@ from ..functions.ranking import cumulative_by_value
 from ..functions.stats import normal_quantile
 
 EPS = 2.220446049250313e-16  # float64 machine epsilon (probability clipping)
+MAX_CLASSES = 10_000  # label grid of the confusion matrix is classes^2 rows
 
 
 def _eq(a: Column, b: Column) -> Column:
@@ -39,6 +40,9 @@ def confusion_matrix(pred: DataFrame, y: str = "y_true", p: str = "y_pred") -> D
     """H2: (actual, predicted, count) over the label union, zeros included."""
     counts = pred.groupBy(F.col(y).alias("actual"), F.col(p).alias("predicted")).agg(F.count(F.lit(1)).alias("count"))
     lb = labels(pred, y, p)
+    k = lb.count()
+    if k > MAX_CLASSES:
+        raise ValueError(f"confusion matrix over {k} labels (> {MAX_CLASSES}): not a classification target")
     grid = lb.select(F.col("label").alias("actual")).crossJoin(F.broadcast(lb.select(F.col("label").alias("predicted"))))  # classes^2
     return grid.join(counts, ["actual", "predicted"], "left").select("actual", "predicted", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
 

@@ -30,24 +30,48 @@ def _pick(values: list, idx: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), idx + 1)
 
 
+def _value_kind(dt) -> str:
+    """How a column's values are keyed in the frequency table."""
+    if isinstance(dt, (ty.T.ByteType, ty.T.ShortType, ty.T.IntegerType, ty.T.LongType)):
+        return "integral"
+    if isinstance(dt, ty.T.FloatType):
+        return "float"
+    if isinstance(dt, ty.T.DoubleType):
+        return "double"
+    return "text"
+
+
 def frequency_table(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(pos, column, value, count): counts of every value (as text) per column,
-    NULL (and NaN) counted under ``value IS NULL``."""
+    NULL (and NaN) counted under ``value IS NULL``.
+
+    Numeric values are aggregated on a typed double key and only turned into
+    text after the aggregation (on the distinct values); the group key holds
+    the int column position, the name is attached afterwards."""
     cols = columns or ty.profilable_columns(df)
+    kinds = [_value_kind(df.schema[c].dataType) for c in cols]
     cells = F.explode(
         F.array(
             *[
-                F.struct(F.lit(i).alias("pos"), F.lit(c).alias("column"), ty.clean_col(df, c).cast("string").alias("value"))
-                for i, c in enumerate(cols)
+                F.struct(
+                    F.lit(i).alias("pos"),
+                    (ty.clean_col(df, c).cast("double") if k != "text" else F.lit(None).cast("double")).alias("num"),
+                    (ty.clean_col(df, c).cast("string") if k == "text" else F.lit(None).cast("string")).alias("str"),
+                )
+                for i, (c, k) in enumerate(zip(cols, kinds))
             ]
         )
     )
-    return (
-        df.select(cells.alias("_c"))
-        .select("_c.*")
-        .groupBy("pos", "column", "value")
-        .agg(F.count(F.lit(1)).alias("count"))
+    agg = df.select(cells.alias("_c")).select("_c.*").groupBy("pos", "num", "str").agg(F.count(F.lit(1)).alias("count"))
+    kind = _pick(kinds, F.col("pos"))
+    num = F.col("num")
+    value = (
+        F.when(kind == "integral", num.cast("long").cast("string"))
+        .when(kind == "float", num.cast("float").cast("string"))
+        .when(kind == "double", num.cast("string"))
+        .otherwise(F.col("str"))
     )
+    return agg.select("pos", _pick(cols, F.col("pos")).alias("column"), value.alias("value"), "count")
 
 
 def column_profile(df: DataFrame, columns: list[str] | None = None, freq: DataFrame | None = None) -> DataFrame:
