@@ -119,12 +119,23 @@ def modes(df: DataFrame, columns: list[str], freq: DataFrame | None = None) -> d
     return {r["column"]: r["mode"] for r in best.select("column", "mode").collect()}
 
 
-def fill_median_mode(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Numeric NULL -> median, text NULL -> first mode."""
+def null_counts(df: DataFrame, columns: list[str]) -> dict[str, int]:
+    """NULL (and NaN) count per column - one narrow aggregation."""
+    if not columns:
+        return {}
+    row = df.agg(*[F.count_if(ty.clean_col(df, c).isNull()).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    return {c: row[f"n{i}"] for i, c in enumerate(columns)}
+
+
+def fill_median_mode(df: DataFrame, columns: list[str] | None = None, medians_known: dict | None = None, nulls_known: dict | None = None) -> DataFrame:
+    """Numeric NULL -> median, text NULL -> first mode. Statistics are
+    computed only for the columns that have NULLs."""
     cols = columns or df.columns
-    num = [c for c in cols if ty.family(df.schema[c].dataType) == ty.NUMERIC]
-    cat = [c for c in cols if ty.family(df.schema[c].dataType) == ty.STRING]
-    med = medians(df, num)
+    nulls = nulls_known if nulls_known is not None else null_counts(df, cols)
+    num = [c for c in cols if ty.family(df.schema[c].dataType) == ty.NUMERIC and nulls[c] > 0]
+    cat = [c for c in cols if ty.family(df.schema[c].dataType) == ty.STRING and nulls[c] > 0]
+    known = medians_known or {}
+    med = {**{c: known[c] for c in num if c in known}, **medians(df, [c for c in num if c not in known])}
     mod = modes(df, cat)
     out = []
     for f in df.schema.fields:

@@ -78,7 +78,7 @@ def histogram(df: DataFrame, columns: list[str] | None = None, bins: int = 20) -
     )
 
 
-def top_k_per_group(df: DataFrame, group_cols: list[str], order_cols: list, k: int, salt_col: str | None = None, salts: int = 64) -> DataFrame:
+def top_k_per_group(df: DataFrame, group_cols: list[str], order_cols: list, k: int, salt_col: str | None = None, salts: int = 1024) -> DataFrame:
     """Exact top-k rows per group without putting a whole group in one task:
     a first window per (group, hash salt) keeps k candidates per slice, a
     second window over the <= salts*k candidates picks the final k."""

@@ -344,10 +344,19 @@ def chi_square_test(df: DataFrame, columns: list[str] | None = None, yates: bool
 
 # ---------------------------------------------------------------- E9 / E10 ANOVA, point-biserial
 
+ANOVA_NUMERIC_BATCH = 12  # numerics per grouped aggregation (keeps codegen on)
+
+
 def anova_moments(df: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
     """(numeric, categorical, level, n, mean, var_pop) for every pair and
-    level: one explode over the categoricals, one grouped aggregation with
-    every numeric column's moments."""
+    level: one explode over the categoricals and a grouped aggregation with
+    the numeric columns' moments, ANOVA_NUMERIC_BATCH numerics at a time."""
+    if len(numeric) > ANOVA_NUMERIC_BATCH:
+        parts = [anova_moments(df, numeric[i:i + ANOVA_NUMERIC_BATCH], categorical) for i in range(0, len(numeric), ANOVA_NUMERIC_BATCH)]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
     structs = [F.struct(F.lit(c).alias("categorical"), ty.clean_col(df, c).cast("string").alias("level")) for c in categorical]
     num_vals = [ty.numeric_value(df, c).alias(f"_n{i}") for i, c in enumerate(numeric)]
     x = df.select(F.explode(F.array(*structs)).alias("_g"), *num_vals).select("_g.*", *[f"_n{i}" for i in range(len(numeric))])
@@ -413,8 +422,14 @@ def point_biserial(df: DataFrame, numeric: list[str] | None = None, categorical:
     rows dropped)."""
     num = numeric or ty.numeric_columns(df)
     cat = categorical or ty.categorical_columns(df)
-    lv = df.agg(*[x for i, c in enumerate(cat) for x in (F.count_distinct(ty.clean_col(df, c)).alias(f"u{i}"), F.max(ty.clean_col(df, c)).alias(f"mx{i}"))]).first()
-    binary = [(c, lv[f"mx{i}"]) for i, c in enumerate(cat) if lv[f"u{i}"] == 2]
+    # exactly two levels, without count_distinct (several of them expand the rows):
+    # min != max, and no value other than min and max (two narrow passes)
+    mm = df.agg(*[x for i, c in enumerate(cat) for x in (F.min(ty.clean_col(df, c)).alias(f"mn{i}"), F.max(ty.clean_col(df, c)).alias(f"mx{i}"))]).first()
+    two = [(i, c) for i, c in enumerate(cat) if mm[f"mn{i}"] is not None and mm[f"mn{i}"] != mm[f"mx{i}"]]
+    binary = []
+    if two:
+        other = df.agg(*[F.count_if(~ty.clean_col(df, c).isin(mm[f"mn{i}"], mm[f"mx{i}"])).alias(f"o{i}") for i, c in two]).first()
+        binary = [(c, mm[f"mx{i}"]) for i, c in two if other[f"o{i}"] == 0]
     spark = df.sparkSession
     if not binary or not num:
         return spark.createDataFrame([], "numeric_variable string, categorical_variable string, correlation double")
@@ -463,12 +478,33 @@ def discretise(
 
     src = as_numeric_view(df)
     cols = columns or [c for c in ty.profilable_columns(src) if ty.family(src.schema[c].dataType) in (ty.NUMERIC, ty.STRING)]
-    base = fill_median_mode(src.select(*cols)) if fill else src.select(*cols)
     num = [c for c in cols if ty.family(src.schema[c].dataType) == ty.NUMERIC and c not in raw]
+    probs = [i / bins for i in range(1, bins)]
+    numeric_all = [c for c in cols if ty.family(src.schema[c].dataType) == ty.NUMERIC]
+    # one narrow pass: NULL counts (fill decisions) and distinct estimates (quantile size check)
+    stats = src.agg(
+        *[F.count_if(ty.clean_col(src, c).isNull()).alias(f"n{i}") for i, c in enumerate(cols)],
+        *[F.approx_count_distinct(ty.numeric_value(src, c), 0.05).alias(f"d{i}") for i, c in enumerate(numeric_all)],
+    ).first()
+    nulls = {c: (stats[f"n{i}"] if fill else 0) for i, c in enumerate(cols)}
+    est = {c: stats[f"d{i}"] for i, c in enumerate(numeric_all)}
     cuts: dict[str, list] = {}
-    if num:
-        probs = [i / bins for i in range(1, bins)]
-        for row in exact_quantiles(base, num, probs).collect():
+    # columns without NULLs: deciles straight away (filling changes nothing);
+    # the medians of NULL-bearing columns come out of the same quantile pass
+    holey = [c for c in cols if ty.family(src.schema[c].dataType) == ty.NUMERIC and nulls[c] > 0]
+    first = [c for c in num if nulls[c] == 0] + holey
+    med = {}
+    if first:
+        for row in exact_quantiles(src, first, sorted(set(probs) | {0.5}), distinct_estimates=est).collect():
+            if row["column"] in holey:
+                if row["prob"] == 0.5:
+                    med[row["column"]] = row["value"]
+            elif row["prob"] in probs:
+                cuts.setdefault(row["column"], []).append((row["prob"], row["value"]))
+    base = fill_median_mode(src.select(*cols), medians_known=med, nulls_known=nulls) if fill else src.select(*cols)
+    second = [c for c in num if c in holey]
+    if second:
+        for row in exact_quantiles(base, second, probs, distinct_estimates=est).collect():
             cuts.setdefault(row["column"], []).append((row["prob"], row["value"]))
     sel = []
     for c in cols:
