@@ -243,13 +243,6 @@ def _quantiles_from_freq(df: DataFrame, columns: list[str], probs: list[float],
     )
 
 
-def quantile_wide(df: DataFrame, columns: list[str], probs: list[float], names: list[str]) -> DataFrame:
-    """(column, <name_1>, ..., <name_k>) one row per column."""
-    q = exact_quantiles(df, columns, probs)
-    aggs = [F.max(F.when(F.col("prob") == float(p), F.col("value"))).alias(nm) for p, nm in zip(probs, names)]
-    return q.groupBy("column").agg(*aggs)
-
-
 def average_ranks(freq: DataFrame, group_cols: list[str], value_col: str, count_col: str = "count", small_group_limit: int | None = SMALL_GROUP_ROWS) -> DataFrame:
     """Average (tie-aware, 1-based) rank of each distinct value in its group."""
     cum = cumulative_by_value(freq, group_cols, value_col, [count_col], small_group_limit=small_group_limit)

@@ -10,34 +10,10 @@ import math
 from statistics import NormalDist
 
 import pandas as pd
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 
-def sample_skewness(c: Column) -> Column:
-    """Bias-corrected skewness G1 (pandas ``skew``). Spark's ``skewness`` is
-    the population g1: G1 = g1 * sqrt(n(n-1)) / (n-2)."""
-    n = F.count(c).cast("double")
-    return F.when(n > 2, F.skewness(c) * F.sqrt(n * (n - 1)) / (n - 2))
-
-
-def sample_kurtosis(c: Column) -> Column:
-    """Bias-corrected excess kurtosis G2 (pandas ``kurt``)."""
-    n = F.count(c).cast("double")
-    return F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(c) + 6))
-
-
-def pearson(a: Column, b: Column) -> Column:
-    """Pearson r over the rows where both are present; NULL (not an error,
-    not NaN) when either side is constant. Spark's ``corr`` divides by zero
-    under ANSI mode for a constant column."""
-    a2 = F.when(b.isNotNull(), a)
-    b2 = F.when(a.isNotNull(), b)
-    r = F.try_divide(F.covar_samp(a2, b2), F.stddev_samp(a2) * F.stddev_samp(b2))
-    return F.nanvl(r, F.lit(None).cast("double"))
-
-
 def _betacf(a: float, b: float, x: float) -> float:
     """Continued fraction of the regularised incomplete beta (modified Lentz)."""
     tiny = 1e-300

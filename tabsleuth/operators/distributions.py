@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import types as ty
 from ..functions.ranking import exact_quantiles, long_numeric
-from ..functions.stats import sample_kurtosis, sample_skewness
 
 # Class-balance thresholds.
 SEVERE_MAJORITY = 0.9

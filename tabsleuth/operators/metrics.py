@@ -8,8 +8,6 @@ distinct scores); class-level tables are small (classes x classes).
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -316,5 +314,3 @@ def metrics_table(metrics_row: DataFrame, task: str) -> DataFrame:
     return metrics_row.select(F.explode(F.array(*rows)).alias("_m")).select("_m.*")
 
 
-def is_finite(x: float) -> bool:
-    return x is not None and not math.isinf(x) and not math.isnan(x)

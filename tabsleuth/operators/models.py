@@ -10,7 +10,6 @@ Every evaluation goes through the prediction-table metrics of
 from __future__ import annotations
 
 import time
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,17 +19,9 @@ from .prep import assign_folds, preprocess_apply, preprocess_fit
 
 SEED = 42
 N_NEIGHBORS = 5
-HIGHER_IS_BETTER = True
 LOWER_IS_BETTER_METRICS = ("mae", "mse", "rmse", "log_loss")
 
 
-@dataclass
-class FitResult:
-    name: str
-    model: object
-    seconds: float
-
-
 def classifiers(n_train: int, n_classes: int) -> dict:
     """Logistic regression (C = 1), tree and forest (depth 10,
     100 trees), Gaussian naive Bayes."""

@@ -8,7 +8,6 @@ statistics (medians, modes, means, top levels) are small per-column tables.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -205,5 +204,3 @@ def preprocessing_info(prep: Preprocessor) -> list[tuple[str, str, str]]:
     return rows
 
 
-def ceil_fraction(n: int, frac: float) -> int:
-    return int(math.ceil(n * frac))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import types as ty
-from ..functions.ranking import average_ranks, exact_quantiles, long_numeric
+from ..functions.ranking import average_ranks, exact_quantiles
 from ..functions.stats import chi2_pvalue_udf, f_pvalue_udf
 from ..functions.moments import pairwise_pearson
 from ..session import materialize

@@ -117,12 +117,6 @@ def q_target_options(spark, sf_dir):
     return finish(tg.target_options(fx.table(spark, sf_dir, "part")))
 
 
-def _fallback_candidates_sql(table: str) -> str:
-    """pages: every column is id-like, so options fall back to all columns.
-    The MI bonus is irrelevant there; candidates need no MI for the filter."""
-    return _options_sql(table)
-
-
 @register("target_options_fallback",
           f"SELECT pos, \"column\", dtype, unique_count, missing_count, {r('missing_count / n_rows')} AS missing_ratio, 0.0 AS score, true AS fallback "
           f"FROM ({profile_sql('pages')})")

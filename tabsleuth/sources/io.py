@@ -6,8 +6,6 @@ CSV file, for separator sniffing) is ever brought to the driver.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,5 +118,3 @@ def preview(df: DataFrame, order_by: list[str], n: int = 20) -> DataFrame:
     return df.orderBy(*order_by).limit(n)
 
 
-def to_json_text(obj) -> str:
-    return json.dumps(obj, default=str, sort_keys=True)
