@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SAMPLE_PER_RANGE = 20
-SMALL_GROUP_ROWS = 50_000  # a group up to this size is ordered by one window (in memory)
+SMALL_GROUP_ROWS = 2_000_000  # a group up to this size is ordered by one window (one task, spills if needed)
 ROWS_PER_RANGE = 50_000  # target size of a range in the two-level prefix sum
 
 
@@ -141,7 +141,10 @@ def _cumulative_small(freq: DataFrame, group_cols: list[str], value_col: str, we
     order = F.col(value_col).desc() if descending else F.col(value_col).asc()
     w = Window.partitionBy(*group_cols).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     totals = freq.groupBy(*group_cols).agg(*[F.sum(c).alias(f"total_{c}") for c in weight_cols])
-    out = freq
+    # explicit partition count: AQE would coalesce a small shuffle into one task,
+    # serialising the windows of all groups
+    parts = int(freq.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    out = freq.repartition(parts, *group_cols)
     for c in weight_cols:
         out = out.withColumn(f"cum_{c}", F.sum(c).over(w))
     return out.join(F.broadcast(totals), group_cols)
