@@ -132,13 +132,13 @@ def pearson_pairs(df: DataFrame, pairs: list[tuple[str, str]], values: dict | No
 # ---------------------------------------------------------------- E3 Kendall
 
 def _within_bucket_ll(pdf):
-    """Per x-range: weight of same-range cells with smaller x and smaller y
-    (Fenwick tree over the y ranks, equal x processed together)."""
+    """Per (pair, x-range): weight of same-range cells with smaller x and
+    smaller y (Fenwick tree over the y ranks, equal x processed together)."""
     import numpy as np
     import pandas as pd
 
     if pdf.empty:
-        return pd.DataFrame({"x": [], "y": [], "ll_in": []})
+        return pd.DataFrame({"pid": pd.Series([], dtype="int32"), "x": [], "y": [], "ll_in": []})
     pdf = pdf.sort_values(["x", "ry"], kind="mergesort").reset_index(drop=True)
     ranks = pdf["ry"].to_numpy()
     uniq = np.unique(ranks)
@@ -166,11 +166,12 @@ def _within_bucket_ll(pdf):
                 tree[k] += w[t]
                 k += k & -k
         i = j
-    return pd.DataFrame({"x": pdf["x"], "y": pdf["y"], "ll_in": out})
+    return pd.DataFrame({"pid": pdf["pid"].astype("int32"), "x": pdf["x"], "y": pdf["y"], "ll_in": out})
 
 
-def kendall(df: DataFrame, x: str, y: str, ranges: int = 16) -> DataFrame:
-    """Kendall tau-b of one numeric pair (pairwise deletion), exact.
+def kendall_pairs(df: DataFrame, pairs: list[tuple[str, str]], ranges: int = 16) -> DataFrame:
+    """Kendall tau-b of numeric pairs (pairwise deletion), exact, all
+    pairs in one plan (every step is grouped by an int pair id).
 
     With cells (x, y, w) and, per cell, LL = weight with smaller x and
     smaller y, E = weight with smaller x and equal y, A = weight with
@@ -182,51 +183,53 @@ def kendall(df: DataFrame, x: str, y: str, ranges: int = 16) -> DataFrame:
     """
     from ..functions.ranking import cumulative_by_value, range_index
 
+    if not pairs:
+        return df.sparkSession.createDataFrame([], _pair_schema())
+    structs = [F.struct(F.lit(i).alias("pid"), ty.numeric_value(df, a).alias("x"), ty.numeric_value(df, b).alias("y")) for i, (a, b) in enumerate(pairs)]
     cells = (
-        df.select(ty.numeric_value(df, x).alias("x"), ty.numeric_value(df, y).alias("y"))
-        .na.drop()
-        .groupBy("x", "y")
+        df.select(F.explode(F.array(*structs)).alias("_p"))
+        .select("_p.*")
+        .where(F.col("x").isNotNull() & F.col("y").isNotNull())
+        .groupBy("pid", "x", "y")
         .agg(F.count(F.lit(1)).cast("double").alias("w"))
     )
-    # dense y rank (0-based) and x range per cell
-    ydist = cells.select("y").distinct().withColumn("_g", F.lit(0)).withColumn("_one", F.lit(1))
-    yrank = cumulative_by_value(ydist, ["_g"], "y", ["_one"]).select("y", (F.col("cum__one") - 1).alias("ry"))
-    xd = cells.select("x").distinct().withColumn("_g", F.lit(0))
+    cells = materialize(cells)  # read by six branches below
+    # dense y rank (0-based) per pair and x range per cell
+    ydist = cells.select("pid", "y").distinct().withColumn("_one", F.lit(1))
+    yrank = cumulative_by_value(ydist, ["pid"], "y", ["_one"]).select("pid", "y", (F.col("cum__one") - 1).alias("ry"))
     fr = [i / ranges for i in range(1, ranges)]
-    splits = xd.agg(F.percentile_approx("x", fr, max(10000, 20 * ranges)).alias("_splits"))
-    c = cells.join(yrank, "y").crossJoin(F.broadcast(splits)).withColumn("b", range_index("_splits", "x", ranges)).drop("_splits")
+    splits = cells.select("pid", "x").distinct().groupBy("pid").agg(F.percentile_approx("x", fr, max(10000, 20 * ranges)).alias("_splits"))
+    c = cells.join(yrank, ["pid", "y"]).join(F.broadcast(splits), "pid").withColumn("b", range_index("_splits", "x", ranges)).drop("_splits")
     # A: weight with smaller x
-    xm = cells.groupBy("x").agg(F.sum("w").alias("wx")).withColumn("_g", F.lit(0))
-    a = cumulative_by_value(xm, ["_g"], "x", ["wx"]).select("x", (F.col("cum_wx") - F.col("wx")).alias("A"))
+    xm = cells.groupBy("pid", "x").agg(F.sum("w").alias("wx"))
+    a = cumulative_by_value(xm, ["pid"], "x", ["wx"]).select("pid", "x", (F.col("cum_wx") - F.col("wx")).alias("A"))
     # E: weight with smaller x and equal y
-    e = cumulative_by_value(cells, ["y"], "x", ["w"]).select("x", "y", (F.col("cum_w") - F.col("w")).alias("E"))
+    e = cumulative_by_value(cells, ["pid", "y"], "x", ["w"]).select("pid", "x", "y", (F.col("cum_w") - F.col("w")).alias("E"))
     # LL across ranges: each cell counts for every later range
-    spread = c.select(F.explode(F.sequence(F.col("b") + 1, F.lit(ranges))).alias("b"), "ry", "w").where(F.col("b") < ranges)
-    probes = c.select("b", "ry", F.lit(0.0).alias("w"))
-    hist = spread.unionByName(probes).groupBy("b", "ry").agg(F.sum("w").alias("h"))
-    cum = cumulative_by_value(hist, ["b"], "ry", ["h"]).select("b", "ry", (F.col("cum_h") - F.col("h")).alias("ll_out"))
-    ll_out = c.join(cum, ["b", "ry"]).select("x", "y", "ll_out")
-    ll_in = c.select("b", "x", "y", "ry", "w").groupBy("b").applyInPandas(_within_bucket_ll, "x double, y double, ll_in double")
-    full = cells.join(a, "x").join(e, ["x", "y"]).join(ll_out, ["x", "y"]).join(ll_in, ["x", "y"])
-    s_ = full.agg(F.sum(F.col("w") * (2 * (F.col("ll_out") + F.col("ll_in")) + F.col("E") - F.col("A"))).alias("s"), F.sum("w").alias("n"))
-    tx = cells.groupBy("x").agg(F.sum("w").alias("t")).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("n1"))
-    tyy = cells.groupBy("y").agg(F.sum("w").alias("t")).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("n2"))
+    spread = c.select("pid", F.explode(F.sequence(F.col("b") + 1, F.lit(ranges))).alias("b"), "ry", "w").where(F.col("b") < ranges)
+    probes = c.select("pid", "b", "ry", F.lit(0.0).alias("w"))
+    hist = spread.unionByName(probes).groupBy("pid", "b", "ry").agg(F.sum("w").alias("h"))
+    cum = cumulative_by_value(hist, ["pid", "b"], "ry", ["h"]).select("pid", "b", "ry", (F.col("cum_h") - F.col("h")).alias("ll_out"))
+    ll_out = c.join(cum, ["pid", "b", "ry"]).select("pid", "x", "y", "ll_out")
+    ll_in = c.select("pid", "b", "x", "y", "ry", "w").groupBy("pid", "b").applyInPandas(_within_bucket_ll, "pid int, x double, y double, ll_in double")
+    full = cells.join(a, ["pid", "x"]).join(e, ["pid", "x", "y"]).join(ll_out, ["pid", "x", "y"]).join(ll_in, ["pid", "x", "y"])
+    s_ = full.groupBy("pid").agg(F.sum(F.col("w") * (2 * (F.col("ll_out") + F.col("ll_in")) + F.col("E") - F.col("A"))).alias("s"), F.sum("w").alias("n"))
+    tx = xm.groupBy("pid").agg(F.sum(F.col("wx") * (F.col("wx") - 1) / 2).alias("n1"))
+    tyy = cells.groupBy("pid", "y").agg(F.sum("w").alias("t")).groupBy("pid").agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("n2"))
     n0 = F.col("n") * (F.col("n") - 1) / 2
-    return s_.crossJoin(tx).crossJoin(tyy).select(  # three 1-row frames
-        F.lit(x).alias("var1"),
-        F.lit(y).alias("var2"),
-        (F.col("s") / F.sqrt((n0 - F.col("n1")) * (n0 - F.col("n2")))).alias("value"),
-    )
+    tau = s_.join(tx, "pid").join(tyy, "pid").select("pid", (F.col("s") / F.sqrt((n0 - F.col("n1")) * (n0 - F.col("n2")))).alias("value"))
+    want = df.sparkSession.createDataFrame([(i,) for i in range(len(pairs))], "pid int")  # pairs without complete rows stay NULL
+    return _name_pairs(want.join(tau, "pid", "left"), pairs)
+
+
+def kendall(df: DataFrame, x: str, y: str, ranges: int = 16) -> DataFrame:
+    """E3 for one pair."""
+    return kendall_pairs(df, [(x, y)], ranges)
 
 
 def kendall_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """E3 for every numeric pair (upper triangle)."""
-    cols = columns or ty.numeric_columns(df)
-    out = None
-    for a, b in _pairs(cols):
-        part = kendall(df, a, b)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else df.sparkSession.createDataFrame([], _pair_schema())
+    """E3 for every numeric pair (upper triangle), one plan."""
+    return kendall_pairs(df, _pairs(columns or ty.numeric_columns(df)))
 
 
 # ---------------------------------------------------------------- contingency family

@@ -77,12 +77,7 @@ KENDALL_PAIRS = [("l_quantity", "l_discount"), ("l_linenumber", "l_tax"), ("l_qu
 
 @register("kendall", fx.with_fixtures(_kendall_sql("li_nulls", KENDALL_PAIRS), "li_nulls"))
 def q_kendall(spark, sf_dir):
-    li = fx.li_nulls(spark, sf_dir)
-    out = None
-    for a, b in KENDALL_PAIRS:
-        part = rl.kendall(li, a, b)
-        out = part if out is None else out.unionByName(part)
-    return finish(out)
+    return finish(rl.kendall_pairs(fx.li_nulls(spark, sf_dir), KENDALL_PAIRS))
 
 
 def _chi2_sql(table: str, a: str, b: str, missing: bool = False) -> str:

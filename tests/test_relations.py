@@ -126,3 +126,14 @@ def test_vif_against_least_squares(spark):
         rss = ((X[:, i] - others @ coef) ** 2).sum()
         r2 = 1 - rss / (X[:, i] ** 2).sum()  # uncentred, no intercept
         assert abs(got[name] - 1 / (1 - r2)) < 1e-6 * got[name]
+
+
+def test_kendall_pairs_batch_matches_single(spark):
+    rng = np.random.default_rng(9)
+    a = rng.integers(0, 10, 200).astype(float)
+    b = (a + rng.integers(0, 5, 200)).astype(float)
+    c = rng.normal(size=200).round(1)
+    df = spark.createDataFrame([(float(x), float(y), float(z)) for x, y, z in zip(a, b, c)], "a double, b double, c double")
+    got = {(r["var1"], r["var2"]): r["value"] for r in rl.kendall_pairs(df, [("a", "b"), ("a", "c"), ("b", "c")]).collect()}
+    for (x, y), arr in {("a", "b"): (a, b), ("a", "c"): (a, c), ("b", "c"): (b, c)}.items():
+        assert abs(got[(x, y)] - _kendall_brute(*arr)) < 1e-12
