@@ -31,23 +31,25 @@ def hash_order(key: str | list[str], seed: int = SEED, salt: int | None = None)
     return F.pmod(F.xxhash64(*parts), F.lit(HASH_SPACE)).cast("double")
 
 
-def rank_within(df: DataFrame, group: str | None, order: Column) -> DataFrame:
+def rank_within(df: DataFrame, group: str | None, order: Column, small_group_limit: int | None = -1) -> DataFrame:
     """Add ``_rank`` (1-based, ties broken arbitrarily) and ``_n`` (group
-    size) by ``order`` within ``group`` (the whole table when None)."""
+    size) by ``order`` within ``group`` (the whole table when None).
+    ``small_group_limit=None`` forces the two-level path."""
     g = F.col(group) if group else F.lit(0)
     x = df.withColumn("_grp", g).withColumn("_ordv", order).withColumn("_one", F.lit(1))
-    cum = cumulative_by_value(x, ["_grp"], "_ordv", ["_one"])
+    kw = {} if small_group_limit == -1 else {"small_group_limit": small_group_limit}
+    cum = cumulative_by_value(x, ["_grp"], "_ordv", ["_one"], **kw)
     return cum.withColumn("_rank", F.col("cum__one")).withColumn("_n", F.col("total__one")).drop("_grp", "_ordv", "_one", "cum__one", "total__one")
 
 
-def stratified_split(df: DataFrame, label: str, key: str | list[str], test_fraction: float = TEST_FRACTION, seed: int = SEED, order_col: str | None = None) -> DataFrame:
+def stratified_split(df: DataFrame, label: str, key: str | list[str], test_fraction: float = TEST_FRACTION, seed: int = SEED, order_col: str | None = None, small_group_limit: int | None = -1) -> DataFrame:
     """G1: add boolean ``is_test``: per class the first ceil(f * n_class) rows
     in hash (or ``order_col``) order. A class with one member is an error."""
     small = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < 2).limit(1).collect()
     if small:
         raise ValueError(f"The least populated class in {label} has only 1 member; stratified split impossible")
     order = F.col(order_col).cast("double") if order_col else hash_order(key, seed)
-    r = rank_within(df, label, order)
+    r = rank_within(df, label, order, small_group_limit)
     return r.withColumn("is_test", F.col("_rank") <= F.ceil(F.col("_n") * test_fraction)).drop("_rank", "_n")
 
 
@@ -58,11 +60,11 @@ def random_split(df: DataFrame, key: str | list[str], test_fraction: float = TES
     return df.withColumn("is_test", h < int(round(test_fraction * 100)))
 
 
-def assign_folds(df: DataFrame, key: str | list[str], label: str | None = None, k: int = N_FOLDS, seed: int = SEED, order_col: str | None = None) -> DataFrame:
+def assign_folds(df: DataFrame, key: str | list[str], label: str | None = None, k: int = N_FOLDS, seed: int = SEED, order_col: str | None = None, small_group_limit: int | None = -1) -> DataFrame:
     """G15 folds: ``fold`` = (rank - 1) mod k, ranked per class (stratified)
     or over all rows, in hash (or ``order_col``) order."""
     order = F.col(order_col).cast("double") if order_col else hash_order(key, seed)
-    r = rank_within(df, label, order)
+    r = rank_within(df, label, order, small_group_limit)
     return r.withColumn("fold", F.pmod(F.col("_rank") - 1, F.lit(k)).cast("int")).drop("_rank", "_n")
 
 

@@ -90,7 +90,7 @@ def numeric_cells(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     return _name_pairs(cells, pairs)
 
 
-def spearman(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def spearman(df: DataFrame, columns: list[str] | None = None, small_group_limit: int | None = -1) -> DataFrame:
     """Spearman rho of every numeric pair with pairwise deletion, from
     the pair cells: per pair the marginal value counts of the complete rows
     give tie-aware average ranks (two-level prefix sum), and rho is the
@@ -100,11 +100,14 @@ def spearman(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     pairs = _pairs(cols)
     if not pairs:
         return df.sparkSession.createDataFrame([], _pair_schema())
+    from ..functions.ranking import SMALL_GROUP_ROWS
+
+    lim = SMALL_GROUP_ROWS if small_group_limit == -1 else small_group_limit  # None forces the two-level path
     cells = materialize(numeric_cells(df, pairs))
-    ra = average_ranks(cells.groupBy("var1", "var2", "a").agg(F.sum("o").alias("count")), ["var1", "var2"], "a").select(
+    ra = average_ranks(cells.groupBy("var1", "var2", "a").agg(F.sum("o").alias("count")), ["var1", "var2"], "a", small_group_limit=lim).select(
         "var1", "var2", "a", F.col("rank").alias("ra"), F.col("total_count").alias("n")
     )
-    rb = average_ranks(cells.groupBy("var1", "var2", "b").agg(F.sum("o").alias("count")), ["var1", "var2"], "b").select(
+    rb = average_ranks(cells.groupBy("var1", "var2", "b").agg(F.sum("o").alias("count")), ["var1", "var2"], "b", small_group_limit=lim).select(
         "var1", "var2", "b", F.col("rank").alias("rb")
     )
     j = cells.join(ra, ["var1", "var2", "a"]).join(rb, ["var1", "var2", "b"])
