@@ -51,7 +51,14 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_conversations(turns.unionByName(hostile)))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import removal_digests
+
+    return removal_digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op10_suffix_dedup": op10_suffix_dedup,
     "op1_chat_format": op1_chat_format,
     "op3_bitplane_ids": op3_bitplane_ids,
     "op8_bpe_round_trip": op8_bpe_round_trip,
