@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Text bytes that a worker handles at a time (one longer text is handled alone).
 SLICE_BYTES = 1 << 20
@@ -73,6 +74,17 @@ def byte_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def lower_column(column: pa.Array) -> pa.Array:
+    """A string column in lower case, nulls as empty; text that is not valid
+    UTF-8 keeps its case (only A-Z are folded later)."""
+    if column.null_count:
+        column = column.fill_null("")
+    try:
+        return pc.utf8_lower(column)
+    except pa.ArrowInvalid:
+        return column
+
+
 def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges whose texts have ``limit`` bytes at most together, one row at least."""
     i, n = 0, len(offsets) - 1
@@ -95,3 +107,21 @@ def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     last[end] = text[end]
     start = np.flatnonzero(first)
     return start, np.flatnonzero(last) + 1, np.searchsorted(offsets, start, side="right") - 1
+
+
+_TOKEN = np.zeros(256, dtype=bool)
+_TOKEN[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+
+
+def token_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[RollingHash, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of all texts in a buffer, that is runs of ASCII letters (A-Z
+    folded), digits and bytes from 0x80 on: their hasher, starts, ends, rows."""
+    folded = FOLD[buf]
+    blank = np.where(_TOKEN[folded], folded, np.uint8(0x20))
+    return RollingHash(blank), *words(blank, offsets)
+
+
+def token_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and rows of the tokens of all texts in a buffer."""
+    hasher, start, end, row = token_spans(buf, offsets)
+    return hasher.spans(start, end), row
