@@ -81,7 +81,14 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op4_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_blocks import main_text
+
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_html_blocks": op4_html_blocks,
     "op2_embedding_dedup": op2_embedding_dedup,
     "op5_toxicity": op5_toxicity,
     "op7_decontaminate": op7_decontaminate,
