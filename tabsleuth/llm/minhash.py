@@ -304,8 +304,9 @@ def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id, kept, class, component (the
-    16-byte names of the row's set and of its component; null without shingles)."""
+    """Per row: doc_id, n_shingles, component_id, kept; further class, component
+    and source_text (16-byte names of the row's set, of its component and of its
+    text; null without shingles)."""
     spark = df.sparkSession
     docs = _rows(df, id_col, text_col)
 
@@ -358,11 +359,36 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = classes.select("class", "least").join(found, "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(least, "component").select("class", "component", F.col("component_id"))
-    return rows.select("doc_id", "class", "n").join(named, "class", "left").select(
+    return rows.select("doc_id", "class", "source_text", "n").join(named, "class", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.when(F.col("class").isNull(), F.lit(True)).otherwise(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))).alias("kept"),
         "class",
         "component",
+        "source_text",
     )
+
+
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``df`` with one row of each component: that of the smallest id (null ids
+    last, then by the text's digest), and one of equal rows. Rows without
+    shingles are linked with nothing and all stay."""
+    decided = near_duplicates(df, id_col, text_col).where("class is not null")
+    stays = decided.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "source_text")).alias("s")).select(F.col("s.doc_id").alias("stay_id"), F.col("s.source_text").alias("stay_text"))
+    schema = T.StructType([T.StructField("row", df.schema), T.StructField("row_id", df.schema[id_col].dataType), T.StructField("digest", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, offsets = byte_column(batch.column(2))
+            digests: list[bytes | None] = []
+            for i, j in slices(offsets):
+                part, own = buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                full = np.bincount(words(part, own)[2], minlength=j - i) > 0 if len(part) else np.zeros(j - i, dtype=bool)
+                digests += [_digest(part[a:b].tobytes()) if f else None for a, b, f in zip(own[:-1], own[1:], full, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary())], names=["row", "row_id", "digest"])
+
+    keyed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(f"`{id_col}`").alias("row_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).mapInArrow(run, schema)
+    same = F.col("row_id").eqNullSafe(F.col("stay_id")) & (F.col("digest") == F.col("stay_text"))
+    one = keyed.where("digest is not null").join(stays, same, "left_semi").groupBy("row_id", "digest").agg(F.first("row").alias("row"))
+    return one.select("row").unionByName(keyed.where("digest is null").select("row")).select(*(F.col("row")[c].alias(c) for c in df.columns))
