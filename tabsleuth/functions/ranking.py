@@ -2,73 +2,26 @@
 
 Exact quantiles, average ranks (Spearman), ROC / precision-recall curves and
 equal-frequency bins all need "how many rows have a value <= v" for every
-distinct v. A plain ``Window.orderBy`` without a partition key would put the
-whole table into one task, so the prefix sums are built in two levels:
-
-1. per group, a key-hash sample of about 20k distinct values, sorted per
-   group, gives k-1 split points (groups x k values, broadcast back). The range
-   number of a value is found by binary search over its group's splits
-   (``aggregate`` over log2(k) power-of-two steps), so it is a deterministic
-   function of the value: every branch of the plan, and every recomputation
-   after a lost executor, sees the same ranges;
-2. range totals (groups x k rows, small) get a window prefix sum per group,
-   broadcast back as the range offset;
-3. inside a range a window partitioned by (group, range) adds the running
-   sum. Each window partition holds about distinct/k values.
+distinct v. A plain ``Window.orderBy`` would put a whole group - at worst the
+whole table - into one task, so the prefix sums are built in two levels, for
+groups of any size alike:
+
+1. rows are range-partitioned by (group, value): a large group covers several
+   partitions, many small ones share one. The rows are checkpointed with their
+   partition number, so every later branch sees the same ranges;
+2. the totals of each (group, partition) - at most groups + partitions rows -
+   get a window prefix sum per group, which is the offset of that range;
+3. a window over (group, partition) adds the running sum inside the range.
+
+Groups are compared as structs, so a NULL group is a group like any other.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-SAMPLE_PER_RANGE = 20
-SMALL_GROUP_ROWS = 2_000_000  # a group up to this size is ordered by one window (one task, spills if needed)
-ROWS_PER_RANGE = 50_000  # target size of a range in the two-level prefix sum
-
-
-def _sampled_splits(keyed: DataFrame, group_cols: list[str], ord_col: str, k: int) -> DataFrame:
-    """Split points for non-numeric values: a key-hash sample of about
-    SAMPLE_PER_RANGE*k distinct values per group, sorted per group by
-    ``array_sort`` and thinned to k-1 points (bounded per group)."""
-    target = SAMPLE_PER_RANGE * k
-    sizes = keyed.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_d"))
-    sample = keyed.join(F.broadcast(sizes), group_cols).where(
-        F.pmod(F.xxhash64(F.col(ord_col), F.lit(7)), F.lit(1_000_000)).cast("double")
-        < F.lit(1_000_000.0) * F.least(F.lit(1.0), F.lit(float(target)) / F.col("_d"))
-    )
-    arr = sample.groupBy(*group_cols).agg(F.array_sort(F.collect_list(ord_col)).alias("_all"))
-    return arr.select(
-        *group_cols,
-        F.expr(
-            f"filter(transform(sequence(1, {k - 1}), i -> try_element_at(_all, "
-            f"CAST(greatest(1, floor(i * size(_all) / {k})) AS INT))), x -> x IS NOT NULL)"
-        ).alias("_splits"),
-    )
-
 
-def default_ranges(spark) -> int:
-    """4 x the shuffle partition count, at least 8, at most 65536."""
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(8, min(65536, 4 * parts))
-
-
-def range_index(splits_col: str, value_col: str, k: int):
-    """Number of entries of the sorted array ``splits_col`` that are < value
-    (binary lifting in log2(k) steps)."""
-    steps = []
-    st = 1
-    while st * 2 <= k:
-        st *= 2
-    while st >= 1:
-        steps.append(st)
-        st //= 2
-    arr = "array(" + ", ".join(str(x) for x in steps) + ")"
-    return F.expr(
-        f"aggregate({arr}, 0, (acc, st) -> IF(acc + st <= size({splits_col}) "
-        f"AND try_element_at({splits_col}, acc + st) < {value_col}, acc + st, acc))"
-    )
+from ..session import materialize
 
 
 def cumulative_by_value(
@@ -76,78 +29,35 @@ def cumulative_by_value(
     group_cols: list[str],
     value_col: str,
     weight_cols: list[str],
-    ranges: int | None = None,
     descending: bool = False,
-    small_group_limit: int | None = SMALL_GROUP_ROWS,
+    ties: list[str] = (),
 ) -> DataFrame:
     """Add ``cum_<w>`` = sum of ``w`` over rows of the same group whose value
     is <= this value (>= when ``descending``), this row included, and
     ``total_<w>`` = the group's sum of ``w``.
 
-    ``freq`` must hold one row per (group, value): aggregate first.
-
-    When the largest group has at most ``small_group_limit`` rows (checked
-    with one aggregation) a single window per group is used: each task then
-    holds a group of proven bounded size. Otherwise the two-level ranges.
+    ``freq`` must hold one row per (group, value), or per (group, value,
+    *ties): equal values are then taken in the order of ``ties``.
     """
-    largest = _largest_group(freq, group_cols) if (small_group_limit or not ranges) else None
-    if small_group_limit and largest <= small_group_limit:
-        return _cumulative_small(freq, group_cols, value_col, weight_cols, descending)
-    k = ranges or min(65536, max(default_ranges(freq.sparkSession), -(-largest // ROWS_PER_RANGE)))
-    numeric = isinstance(freq.schema[value_col].dataType, T.NumericType)
-    if numeric:
-        order_val = F.col(value_col) if not descending else -F.col(value_col)
-        keyed = freq.withColumn("_ord", order_val.cast("double"))
-    else:
-        if descending:
-            raise ValueError("descending order is only supported for numeric values")
-        keyed = freq.withColumn("_ord", F.col(value_col))
-    if k > 1:
-        # split points only balance the ranges (any points give exact sums):
-        # a bounded key-hash sample per group is enough
-        splits = _sampled_splits(keyed, group_cols, "_ord", k)
-        keyed = keyed.join(F.broadcast(splits), group_cols, "left").withColumn(
-            "_bucket", range_index("_splits", "_ord", k)
-        ).drop("_splits")
-    else:
-        keyed = keyed.withColumn("_bucket", F.lit(0))
-    totals = keyed.groupBy(*group_cols, "_bucket").agg(*[F.sum(w).alias(f"_tot_{w}") for w in weight_cols])
-    wb = Window.partitionBy(*group_cols).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    # groups x k rows at most: broadcast back.
-    wg = Window.partitionBy(*group_cols)
+    first = F.col(value_col).desc() if descending else F.col(value_col).asc()
+    order = [first, *[F.col(t) for t in ties]]
+    parts = int(freq.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    dealt = freq.withColumn("_key", F.struct(*group_cols) if group_cols else F.struct(F.lit(0)))
+    dealt = materialize(dealt.repartitionByRange(parts, "_key", *order).withColumn("_part", F.spark_partition_id()))
+    totals = dealt.groupBy("_key", "_part").agg(*[F.sum(w).alias(f"_tot_{w}") for w in weight_cols])
+    before = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("_key")
     offsets = totals.select(
-        *group_cols,
-        "_bucket",
-        *[F.coalesce(F.sum(f"_tot_{w}").over(wb), F.lit(0)).alias(f"_off_{w}") for w in weight_cols],
-        *[F.sum(f"_tot_{w}").over(wg).alias(f"total_{w}") for w in weight_cols],
+        "_key",
+        "_part",
+        *[F.coalesce(F.sum(f"_tot_{w}").over(before), F.lit(0)).alias(f"_off_{w}") for w in weight_cols],
+        *[F.sum(f"_tot_{w}").over(whole).alias(f"total_{w}") for w in weight_cols],
     )
-    within = Window.partitionBy(*group_cols, "_bucket").orderBy("_ord").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    out = keyed.join(F.broadcast(offsets), [*group_cols, "_bucket"], "left")
+    within = Window.partitionBy("_key", "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = dealt.select("*", *[F.sum(w).over(within).alias(f"_in_{w}") for w in weight_cols]).join(offsets, ["_key", "_part"])
     for w in weight_cols:
-        out = out.withColumn(f"cum_{w}", F.col(f"_off_{w}") + F.sum(w).over(within))
-    return out.drop("_ord", "_bucket", *[f"_off_{w}" for w in weight_cols])
-
-
-def _largest_group(freq: DataFrame, group_cols: list[str]) -> int:
-    row = freq.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c")).first()
-    return int(row[0] or 0)
-
-
-def _cumulative_small(freq: DataFrame, group_cols: list[str], value_col: str, weight_cols: list[str], descending: bool) -> DataFrame:
-    """Groups of checked, small size: one running-sum window per group; the
-    group totals come from an aggregation (one row per group, broadcast)."""
-    order = F.col(value_col).desc() if descending else F.col(value_col).asc()
-    w = Window.partitionBy(*group_cols).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    totals = freq.groupBy(*group_cols).agg(*[F.sum(c).alias(f"total_{c}") for c in weight_cols])
-    # explicit partition count: AQE would coalesce a small shuffle into one task,
-    # serialising the windows of all groups
-    parts = int(freq.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    out = freq.repartition(parts, *group_cols)
-    for c in weight_cols:
-        out = out.withColumn(f"cum_{c}", F.sum(c).over(w))
-    return out.join(F.broadcast(totals), group_cols)
+        out = out.withColumn(f"cum_{w}", F.col(f"_off_{w}") + F.col(f"_in_{w}"))
+    return out.drop("_key", "_part", *[f"_off_{w}" for w in weight_cols], *[f"_in_{w}" for w in weight_cols])
 
 
 def long_numeric(df: DataFrame, columns: list[str], value_name: str = "v") -> DataFrame:
@@ -171,58 +81,21 @@ def value_frequencies(df: DataFrame, columns: list[str]) -> DataFrame:
     return freq.select(F.element_at(names, F.col("ci") + 1).alias("column"), "v", "count")
 
 
-def exact_quantiles(
-    df: DataFrame,
-    columns: list[str],
-    probs: list[float],
-    ranges: int | None = None,
-    small_group_limit: int | None = None,
-    distinct_estimates: dict | None = None,
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
     """Exact linear-interpolation quantiles (pandas ``quantile`` / SQL
     ``percentile_cont``) for every column and probability.
 
     Returns (column, prob, value); null value for a column with no data.
-
-    Size check first: a HyperLogLog count of each column's distinct values
-    (one narrow pass, rsd 5 %, so the 2x margin is ~20 sigma). When every column has at most half of
-    ``small_group_limit`` (default SMALL_GROUP_ROWS) estimated distinct
-    values, the frequency table is ordered with one window per column (a
-    task holds at most that many rows); otherwise the two-level prefix sums
-    are used. A distinct value covers the 0-based sorted positions
-    [cum-count, cum-1]; rows covering floor/ceil of (n-1)*p are kept and
-    interpolated.
+    A distinct value covers the 0-based sorted positions [cum-count, cum-1];
+    rows covering floor/ceil of (n-1)*p are kept and interpolated.
     """
-    from .types import numeric_value
-
-    spark = df.sparkSession
-    limit = SMALL_GROUP_ROWS if small_group_limit is None else small_group_limit
     plist = [float(p) for p in probs]
-    grid = spark.createDataFrame([(c, p) for c in columns for p in plist], "column string, prob double")
-    bounded = False
-    if limit > 0:
-        est = distinct_estimates if distinct_estimates is not None else distinct_estimate(df, columns)
-        bounded = all(est[c] * 2 <= limit for c in columns)
-    got = _quantiles_from_freq(df, columns, plist, ranges, bounded)
-    return grid.join(F.broadcast(got), ["column", "prob"], "left")
-
-
-def distinct_estimate(df: DataFrame, columns: list[str]) -> dict:
-    """HyperLogLog distinct count per column (rsd 5 %), one narrow pass."""
-    from .types import numeric_value
-
-    row = df.agg(*[F.approx_count_distinct(numeric_value(df, c), 0.05).alias(f"d{i}") for i, c in enumerate(columns)]).first()
-    return {c: row[f"d{i}"] for i, c in enumerate(columns)}
-
+    grid = df.sparkSession.createDataFrame([(c, p) for c in columns for p in plist], "column string, prob double")
+    return grid.join(F.broadcast(_quantiles_from_freq(df, columns, plist)), ["column", "prob"], "left")  # columns x probs rows
 
-def _quantiles_from_freq(df: DataFrame, columns: list[str], probs: list[float], ranges: int | None, bounded: bool) -> DataFrame:
-    from ..session import materialize
 
-    if bounded:
-        cum = _cumulative_small(value_frequencies(df, columns), ["column"], "v", ["count"], False)
-    else:
-        freq = materialize(value_frequencies(df, columns))  # read by several branches
-        cum = cumulative_by_value(freq, ["column"], "v", ["count"], ranges=ranges, small_group_limit=None)
+def _quantiles_from_freq(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
+    cum = cumulative_by_value(value_frequencies(df, columns), ["column"], "v", ["count"])
     start, end = F.col("cum_count") - F.col("count"), F.col("cum_count") - 1
     picks = []
     for p in probs:
@@ -246,7 +119,7 @@ def _quantiles_from_freq(df: DataFrame, columns: list[str], probs: list[float],
     )
 
 
-def average_ranks(freq: DataFrame, group_cols: list[str], value_col: str, count_col: str = "count", small_group_limit: int | None = SMALL_GROUP_ROWS) -> DataFrame:
+def average_ranks(freq: DataFrame, group_cols: list[str], value_col: str, count_col: str = "count") -> DataFrame:
     """Average (tie-aware, 1-based) rank of each distinct value in its group."""
-    cum = cumulative_by_value(freq, group_cols, value_col, [count_col], small_group_limit=small_group_limit)
+    cum = cumulative_by_value(freq, group_cols, value_col, [count_col])
     return cum.withColumn("rank", F.col(f"cum_{count_col}") - (F.col(count_col) - 1) / 2.0)

@@ -7,7 +7,7 @@ that reaches the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import types as ty
@@ -106,6 +106,14 @@ def medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
     return {r["column"]: r["value"] for r in rows}
 
 
+def fill_value(column: Column, dt: ty.T.DataType, median: float) -> Column:
+    """``column`` with NULL replaced by its median. Integer and decimal columns
+    become double, since a median may lie between two values."""
+    if isinstance(dt, (ty.T.FloatType, ty.T.DoubleType)):
+        return F.coalesce(column, F.lit(median).cast(dt))
+    return F.coalesce(column.cast("double"), F.lit(float(median)))
+
+
 def modes(df: DataFrame, columns: list[str], freq: DataFrame | None = None) -> dict[str, str | None]:
     """Most frequent non-null value per column; ties go to the smallest value."""
     if not columns:
@@ -141,7 +149,7 @@ def fill_median_mode(df: DataFrame, columns: list[str] | None = None, medians_kn
     for f in df.schema.fields:
         c = ty.clean_col(df, f.name)
         if f.name in med and med[f.name] is not None:
-            out.append(F.coalesce(c, F.lit(med[f.name]).cast(f.dataType)).alias(f.name))
+            out.append(fill_value(c, f.dataType, med[f.name]).alias(f.name))
         elif f.name in mod and mod[f.name] is not None:
             out.append(F.coalesce(c, F.lit(mod[f.name])).alias(f.name))
         else:

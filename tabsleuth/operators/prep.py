@@ -1,7 +1,7 @@
 """Preparation for baseline models (G1-G6, G15 folds).
 
 Splits and folds are deterministic functions of a key: rows are ranked per
-class by a 52-bit key hash (or any order column) with the two-level prefix
+class by a 64-bit key hash (or any order column) with the two-level prefix
 sum, so no class - however large - is sorted inside one task. Fitted
 statistics (medians, modes, means, top levels) are small per-column tables.
 """
@@ -12,44 +12,46 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import types as ty
 from ..functions.ranking import cumulative_by_value
-from .clean import medians, modes
+from .clean import fill_value, medians, modes
 
 TEST_FRACTION = 0.2
 SEED = 42
 N_FOLDS = 5
 MAX_CATEGORIES = 20
 INFREQUENT = "infrequent"
-HASH_SPACE = 1 << 52  # exact in a double
 
 
 def hash_order(key: str | list[str], seed: int = SEED, salt: int | None = None) -> Column:
     keys = [key] if isinstance(key, str) else list(key)
     parts = [F.col(k) for k in keys] + [F.lit(seed)] + ([F.lit(salt)] if salt is not None else [])
-    return F.pmod(F.xxhash64(*parts), F.lit(HASH_SPACE)).cast("double")
+    return F.xxhash64(*parts)
 
 
-def rank_within(df: DataFrame, group: str | None, order: Column, small_group_limit: int | None = -1) -> DataFrame:
-    """Add ``_rank`` (1-based, ties broken arbitrarily) and ``_n`` (group
-    size) by ``order`` within ``group`` (the whole table when None).
-    ``small_group_limit=None`` forces the two-level path."""
-    g = F.col(group) if group else F.lit(0)
-    x = df.withColumn("_grp", g).withColumn("_ordv", order).withColumn("_one", F.lit(1))
-    kw = {} if small_group_limit == -1 else {"small_group_limit": small_group_limit}
-    cum = cumulative_by_value(x, ["_grp"], "_ordv", ["_one"], **kw)
-    return cum.withColumn("_rank", F.col("cum__one")).withColumn("_n", F.col("total__one")).drop("_grp", "_ordv", "_one", "cum__one", "total__one")
+def rank_within(df: DataFrame, group: str | None, order: Column) -> DataFrame:
+    """Add ``_rank`` (1-based) and ``_n`` (group size) by ``order`` within
+    ``group`` (the whole table when None; NULL is a group of its own). Equal
+    ``order`` values are taken by a hash of the row, so only equal rows are
+    interchangeable."""
+    g = F.col(f"`{group}`") if group else F.lit(0)
+    plain = [F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    x = df.select("*", g.alias("_grp"), order.alias("_ordv"), F.xxhash64(*plain).alias("_tie"), F.lit(1).alias("_one"))
+    cum = cumulative_by_value(x, ["_grp"], "_ordv", ["_one"], ties=["_tie"])
+    return cum.withColumn("_rank", F.col("cum__one")).withColumn("_n", F.col("total__one")).drop("_grp", "_ordv", "_tie", "_one", "cum__one", "total__one")
 
 
-def stratified_split(df: DataFrame, label: str, key: str | list[str], test_fraction: float = TEST_FRACTION, seed: int = SEED, order_col: str | None = None, small_group_limit: int | None = -1) -> DataFrame:
+def stratified_split(df: DataFrame, label: str, key: str | list[str], test_fraction: float = TEST_FRACTION, seed: int = SEED, order_col: str | None = None) -> DataFrame:
     """G1: add boolean ``is_test``: per class the first ceil(f * n_class) rows
-    in hash (or ``order_col``) order. A class with one member is an error."""
+    in hash (or ``order_col``) order; rows with a NULL label are a class of
+    their own. A class with one member is an error."""
     small = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < 2).limit(1).collect()
     if small:
         raise ValueError(f"The least populated class in {label} has only 1 member; stratified split impossible")
-    order = F.col(order_col).cast("double") if order_col else hash_order(key, seed)
-    r = rank_within(df, label, order, small_group_limit)
+    order = F.col(f"`{order_col}`") if order_col else hash_order(key, seed)
+    r = rank_within(df, label, order)
     return r.withColumn("is_test", F.col("_rank") <= F.ceil(F.col("_n") * test_fraction)).drop("_rank", "_n")
 
 
@@ -60,11 +62,11 @@ def random_split(df: DataFrame, key: str | list[str], test_fraction: float = TES
     return df.withColumn("is_test", h < int(round(test_fraction * 100)))
 
 
-def assign_folds(df: DataFrame, key: str | list[str], label: str | None = None, k: int = N_FOLDS, seed: int = SEED, order_col: str | None = None, small_group_limit: int | None = -1) -> DataFrame:
+def assign_folds(df: DataFrame, key: str | list[str], label: str | None = None, k: int = N_FOLDS, seed: int = SEED, order_col: str | None = None) -> DataFrame:
     """G15 folds: ``fold`` = (rank - 1) mod k, ranked per class (stratified)
     or over all rows, in hash (or ``order_col``) order."""
-    order = F.col(order_col).cast("double") if order_col else hash_order(key, seed)
-    r = rank_within(df, label, order, small_group_limit)
+    order = F.col(f"`{order_col}`") if order_col else hash_order(key, seed)
+    r = rank_within(df, label, order)
     return r.withColumn("fold", F.pmod(F.col("_rank") - 1, F.lit(k)).cast("int")).drop("_rank", "_n")
 
 
@@ -103,7 +105,7 @@ def impute_apply(df: DataFrame, med: dict, mod: dict) -> DataFrame:
     for f in df.schema.fields:
         c = ty.clean_col(df, f.name)
         if f.name in med and med[f.name] is not None:
-            out.append(F.coalesce(c, F.lit(med[f.name]).cast(f.dataType)).alias(f.name))
+            out.append(fill_value(c, f.dataType, med[f.name]).alias(f.name))
         elif f.name in mod and mod[f.name] is not None:
             out.append(F.coalesce(c, F.lit(mod[f.name])).alias(f.name))
         else:

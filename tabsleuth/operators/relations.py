@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import types as ty
-from ..functions.ranking import average_ranks, exact_quantiles
+from ..functions.ranking import average_ranks, cumulative_by_value, exact_quantiles, value_frequencies
+from ..functions.moments import batched_agg, pairwise_pearson
 from ..functions.stats import chi2_pvalue_udf, f_pvalue_udf
-from ..functions.moments import pairwise_pearson
 from ..session import materialize
 
 # Thresholds used to label relationships.
@@ -30,6 +30,11 @@ ANOVA_ALPHA = 0.05
 VIF_HIGH = 10.0
 MI_BINS = 10
 MISSING_LABEL = "Missing"
+PAIR_BATCH = 50  # pairs per explode
+KENDALL_BATCH = 10
+# A scaled Gram matrix with an eigenvalue this small has a linear dependence of
+# the columns whose share in its eigenvector is larger than the second number.
+COLLINEAR_EIGENVALUE, COLLINEAR_SHARE = 1e-13, 1e-5
 
 
 def _pairs(cols: list[str]) -> list[tuple[str, str]]:
@@ -73,54 +78,82 @@ def _name_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 
 
 def numeric_cells(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """(var1, var2, a, b, o): counts of each distinct numeric value pair over
-    the pair-complete rows of every pair (one explode, one aggregation keyed
-    by an int pair id)."""
+    """(pid, a, b, o): counts of each distinct numeric value pair over the
+    pair-complete rows of every pair (one explode, one aggregation keyed by an
+    int pair id)."""
     structs = [
         F.struct(F.lit(i).alias("pid"), ty.numeric_value(df, a).alias("a"), ty.numeric_value(df, b).alias("b"))
         for i, (a, b) in enumerate(pairs)
     ]
-    cells = (
+    return (
         df.select(F.explode(F.array(*structs)).alias("_p"))
         .select("_p.*")
         .where(F.col("a").isNotNull() & F.col("b").isNotNull())
         .groupBy("pid", "a", "b")
         .agg(F.count(F.lit(1)).cast("double").alias("o"))
     )
-    return _name_pairs(cells, pairs)
 
 
-def spearman(df: DataFrame, columns: list[str] | None = None, small_group_limit: int | None = -1) -> DataFrame:
-    """Spearman rho of every numeric pair with pairwise deletion, from
-    the pair cells: per pair the marginal value counts of the complete rows
-    give tie-aware average ranks (two-level prefix sum), and rho is the
-    Pearson r of the ranks, sum o * (ra - m)(rb - m) / sqrt(...) with
-    m = (n + 1) / 2 - all pairs in one plan, no per-row rank joins."""
+def spearman(df: DataFrame, columns: list[str] | None = None, batch: int = PAIR_BATCH) -> DataFrame:
+    """Spearman rho of every numeric pair with pairwise deletion.
+
+    Columns without a missing value have one ranking, whatever the pair: they
+    are ranked once each (average ranks from the two-level prefix sum), the
+    ranks joined to the rows by value, and rho is the Pearson r of the rank
+    columns. Pairs with a missing value are ranked over their complete rows,
+    from the counts of distinct value pairs, ``batch`` pairs at a time."""
     cols = columns or ty.numeric_columns(df)
     pairs = _pairs(cols)
     if not pairs:
         return df.sparkSession.createDataFrame([], _pair_schema())
-    from ..functions.ranking import SMALL_GROUP_ROWS
-
-    lim = SMALL_GROUP_ROWS if small_group_limit == -1 else small_group_limit  # None forces the two-level path
+    holes = df.agg(*[F.count_if(ty.numeric_value(df, c).isNull()).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    whole = [c for i, c in enumerate(cols) if not holes[f"n{i}"]]
+    out = []
+    full = [p for p in pairs if p[0] in whole and p[1] in whole]
+    if full:
+        rows = df.select(*[ty.numeric_value(df, c).alias(f"v{i}") for i, c in enumerate(whole)])
+        freq = value_frequencies(df, whole)
+        ranks = materialize(average_ranks(freq, ["column"], "v").select("column", "v", "rank"))
+        for i, c in enumerate(whole):
+            rank = ranks.where(F.col("column") == c).select(F.col("v").alias(f"v{i}"), F.col("rank").alias(f"r{i}"))
+            rows = rows.join(rank, f"v{i}").drop(f"v{i}")
+        rows = materialize(rows)
+        name = {c: f"r{i}" for i, c in enumerate(whole)}
+        r = pairwise_pearson(rows, [(name[a], name[b]) for a, b in full])
+        out.append(df.sparkSession.createDataFrame([(a, b, r[(name[a], name[b])]) for a, b in full], _pair_schema()))
+    rest = [p for p in pairs if p not in set(full)]
+    out += [_spearman_cells(df, rest[i:i + batch]) for i in range(0, len(rest), batch)]
+    return _union(out)
+
+
+def _spearman_cells(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Spearman rho over the complete rows of each pair: the marginal counts of
+    the pair's cells give the ranks, and rho is sum o * (ra - m)(rb - m) /
+    sqrt(...) with m = (n + 1) / 2."""
     cells = materialize(numeric_cells(df, pairs))
-    ra = average_ranks(cells.groupBy("var1", "var2", "a").agg(F.sum("o").alias("count")), ["var1", "var2"], "a", small_group_limit=lim).select(
-        "var1", "var2", "a", F.col("rank").alias("ra"), F.col("total_count").alias("n")
-    )
-    rb = average_ranks(cells.groupBy("var1", "var2", "b").agg(F.sum("o").alias("count")), ["var1", "var2"], "b", small_group_limit=lim).select(
-        "var1", "var2", "b", F.col("rank").alias("rb")
-    )
-    j = cells.join(ra, ["var1", "var2", "a"]).join(rb, ["var1", "var2", "b"])
+    ra = average_ranks(cells.groupBy("pid", "a").agg(F.sum("o").alias("count")), ["pid"], "a").select("pid", "a", F.col("rank").alias("ra"), F.col("total_count").alias("n"))
+    rb = average_ranks(cells.groupBy("pid", "b").agg(F.sum("o").alias("count")), ["pid"], "b").select("pid", "b", F.col("rank").alias("rb"))
     m = (F.col("n") + 1) / 2.0
     da, db = F.col("ra") - m, F.col("rb") - m
-    agg = j.groupBy("var1", "var2").agg(
+    agg = cells.join(ra, ["pid", "a"]).join(rb, ["pid", "b"]).groupBy("pid").agg(
         F.sum(F.col("o") * da * db).alias("sab"), F.sum(F.col("o") * da * da).alias("saa"), F.sum(F.col("o") * db * db).alias("sbb"),
         F.sum("o").alias("n"),
     )
     rho = F.when((F.col("saa") > 0) & (F.col("sbb") > 0) & (F.col("n") >= 2), F.col("sab") / F.sqrt(F.col("saa") * F.col("sbb")))
-    out = agg.select("var1", "var2", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), rho)).alias("value"))
-    want = df.sparkSession.createDataFrame(pairs, "var1 string, var2 string")  # pairs with no complete row stay NULL
-    return want.join(out, ["var1", "var2"], "left")
+    return _named(df, pairs, agg.select("pid", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), rho)).alias("value")))
+
+
+def _named(df: DataFrame, pairs: list[tuple[str, str]], values: DataFrame) -> DataFrame:
+    """Every pair with its values; pairs without a complete row stay NULL."""
+    want = df.sparkSession.createDataFrame([(i,) for i in range(len(pairs))], "pid int")
+    return _name_pairs(want.join(values, "pid", "left"), pairs)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def pearson_pairs(df: DataFrame, pairs: list[tuple[str, str]], values: dict | None = None) -> DataFrame:
@@ -134,100 +167,50 @@ def pearson_pairs(df: DataFrame, pairs: list[tuple[str, str]], values: dict | No
 
 # ---------------------------------------------------------------- E3 Kendall
 
-def _within_bucket_ll(pdf):
-    """Per (pair, x-range): weight of same-range cells with smaller x and
-    smaller y (Fenwick tree over the y ranks, equal x processed together)."""
-    import numpy as np
-    import pandas as pd
-
-    if pdf.empty:
-        return pd.DataFrame({"pid": pd.Series([], dtype="int32"), "x": [], "y": [], "ll_in": []})
-    pdf = pdf.sort_values(["x", "ry"], kind="mergesort").reset_index(drop=True)
-    ranks = pdf["ry"].to_numpy()
-    uniq = np.unique(ranks)
-    pos = np.searchsorted(uniq, ranks) + 1  # 1-based local rank
-    size = len(uniq)
-    tree = np.zeros(size + 1)
-    w = pdf["w"].to_numpy(dtype="float64")
-    xs = pdf["x"].to_numpy()
-    out = np.zeros(len(pdf))
-    i = 0
-    n = len(pdf)
-    while i < n:
-        j = i
-        while j < n and xs[j] == xs[i]:
-            j += 1
-        for t in range(i, j):  # query strictly smaller y among strictly smaller x
-            k, acc = pos[t] - 1, 0.0
-            while k > 0:
-                acc += tree[k]
-                k -= k & -k
-            out[t] = acc
-        for t in range(i, j):
-            k = pos[t]
-            while k <= size:
-                tree[k] += w[t]
-                k += k & -k
-        i = j
-    return pd.DataFrame({"pid": pdf["pid"].astype("int32"), "x": pdf["x"], "y": pdf["y"], "ll_in": out})
-
-
-def kendall_pairs(df: DataFrame, pairs: list[tuple[str, str]], ranges: int = 16) -> DataFrame:
-    """Kendall tau-b of numeric pairs (pairwise deletion), exact, all
-    pairs in one plan (every step is grouped by an int pair id).
-
-    With cells (x, y, w) and, per cell, LL = weight with smaller x and
-    smaller y, E = weight with smaller x and equal y, A = weight with
-    smaller x: S = sum w * (2 LL + E - A). A and E are prefix sums; LL is
-    split by x-range: earlier ranges through a per-range prefix sum over y
-    ranks (each cell is repeated into the later ranges, cells x ranges/2
-    rows), the same range by a Fenwick tree in ``applyInPandas``. No pairs
-    of rows or cells are ever formed.
-    """
-    from ..functions.ranking import cumulative_by_value, range_index
-
+def kendall_pairs(df: DataFrame, pairs: list[tuple[str, str]], batch: int = KENDALL_BATCH) -> DataFrame:
+    """Kendall tau-b of numeric pairs (pairwise deletion), exact, ``batch``
+    pairs in one plan (every step is grouped by an int pair id)."""
     if not pairs:
         return df.sparkSession.createDataFrame([], _pair_schema())
-    structs = [F.struct(F.lit(i).alias("pid"), ty.numeric_value(df, a).alias("x"), ty.numeric_value(df, b).alias("y")) for i, (a, b) in enumerate(pairs)]
-    cells = (
-        df.select(F.explode(F.array(*structs)).alias("_p"))
-        .select("_p.*")
-        .where(F.col("x").isNotNull() & F.col("y").isNotNull())
-        .groupBy("pid", "x", "y")
-        .agg(F.count(F.lit(1)).cast("double").alias("w"))
-    )
-    cells = materialize(cells)  # read by six branches below
-    # dense y rank (0-based) per pair and x range per cell
-    ydist = cells.select("pid", "y").distinct().withColumn("_one", F.lit(1))
-    yrank = cumulative_by_value(ydist, ["pid"], "y", ["_one"]).select("pid", "y", (F.col("cum__one") - 1).alias("ry"))
-    fr = [i / ranges for i in range(1, ranges)]
-    splits = cells.select("pid", "x").distinct().groupBy("pid").agg(F.percentile_approx("x", fr, max(10000, 20 * ranges)).alias("_splits"))
-    c = cells.join(yrank, ["pid", "y"]).join(F.broadcast(splits), "pid").withColumn("b", range_index("_splits", "x", ranges)).drop("_splits")
-    # A: weight with smaller x
-    xm = cells.groupBy("pid", "x").agg(F.sum("w").alias("wx"))
-    a = cumulative_by_value(xm, ["pid"], "x", ["wx"]).select("pid", "x", (F.col("cum_wx") - F.col("wx")).alias("A"))
-    # E: weight with smaller x and equal y
-    e = cumulative_by_value(cells, ["pid", "y"], "x", ["w"]).select("pid", "x", "y", (F.col("cum_w") - F.col("w")).alias("E"))
-    # LL across ranges: each cell counts for every later range
-    spread = c.select("pid", F.explode(F.sequence(F.col("b") + 1, F.lit(ranges))).alias("b"), "ry", "w").where(F.col("b") < ranges)
-    probes = c.select("pid", "b", "ry", F.lit(0.0).alias("w"))
-    hist = spread.unionByName(probes).groupBy("pid", "b", "ry").agg(F.sum("w").alias("h"))
-    cum = cumulative_by_value(hist, ["pid", "b"], "ry", ["h"]).select("pid", "b", "ry", (F.col("cum_h") - F.col("h")).alias("ll_out"))
-    ll_out = c.join(cum, ["pid", "b", "ry"]).select("pid", "x", "y", "ll_out")
-    ll_in = c.select("pid", "b", "x", "y", "ry", "w").groupBy("pid", "b").applyInPandas(_within_bucket_ll, "pid int, x double, y double, ll_in double")
-    full = cells.join(a, ["pid", "x"]).join(e, ["pid", "x", "y"]).join(ll_out, ["pid", "x", "y"]).join(ll_in, ["pid", "x", "y"])
-    s_ = full.groupBy("pid").agg(F.sum(F.col("w") * (2 * (F.col("ll_out") + F.col("ll_in")) + F.col("E") - F.col("A"))).alias("s"), F.sum("w").alias("n"))
-    tx = xm.groupBy("pid").agg(F.sum(F.col("wx") * (F.col("wx") - 1) / 2).alias("n1"))
-    tyy = cells.groupBy("pid", "y").agg(F.sum("w").alias("t")).groupBy("pid").agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("n2"))
+    return _union([_kendall(df, pairs[i:i + batch]) for i in range(0, len(pairs), batch)])
+
+
+def _kendall(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """With cells (x, y, w), LL = weight with smaller x and smaller y, E =
+    weight with smaller x and equal y, A = weight with smaller x:
+    S = sum w * (2 LL + E - A).
+
+    sum wE and sum wA follow from the marginal totals. For sum wLL two cells
+    with different x ranks are compared at the one bit where their ranks first
+    differ: per bit, cells that agree above it form a group, and a cell with
+    the bit set counts the weight of cells without it at smaller y. So each
+    cell appears once per bit of the x rank, all groups are prefix sums over y,
+    and no pairs of rows or cells are ever formed."""
+    cells = materialize(numeric_cells(df, pairs).select("pid", F.col("a").alias("x"), F.col("b").alias("y"), F.col("o").alias("w")))
+    xm = materialize(cells.groupBy("pid", "x").agg(F.sum("w").alias("wx"), F.lit(1).alias("one")))
+    ym = materialize(cells.groupBy("pid", "y").agg(F.sum("w").alias("wy"), F.sum(F.col("w") * F.col("w")).alias("w2"), F.lit(1).alias("one")))
+    xr = cumulative_by_value(xm, ["pid"], "x", ["one"]).select("pid", "x", (F.col("cum_one") - 1).alias("rx"))
+    yr = cumulative_by_value(ym, ["pid"], "y", ["one"]).select("pid", "y", (F.col("cum_one") - 1).alias("ry"))
+    ranked = cells.join(xr, ["pid", "x"]).join(yr, ["pid", "y"]).select("pid", "rx", "ry", "w")
+    most = xm.groupBy("pid").count().agg(F.max("count")).first()[0] or 1
+    bits = max(1, (int(most) - 1).bit_length())
+    level = ranked.select("pid", "rx", "ry", "w", F.explode(F.array(*[F.lit(i) for i in range(bits)])).alias("bit"))
+    on = F.expr("shiftright(rx, bit)") % 2 == 1
+    level = level.select("pid", "bit", F.expr("shiftright(rx, bit + 1)").alias("above"), "ry", F.when(on, 0.0).otherwise(F.col("w")).alias("below"), F.when(on, F.col("w")).otherwise(0.0).alias("asking"))
+    level = level.groupBy("pid", "bit", "above", "ry").agg(F.sum("below").alias("below"), F.sum("asking").alias("asking"))
+    ll = cumulative_by_value(level, ["pid", "bit", "above"], "ry", ["below"]).groupBy("pid").agg(F.sum(F.col("asking") * (F.col("cum_below") - F.col("below"))).alias("ll"))
+    half = lambda w: F.sum(F.col(w) * (F.col(w) - 1) / 2)
+    tx = xm.groupBy("pid").agg(F.sum("wx").alias("n"), F.sum(F.col("wx") * F.col("wx")).alias("x2"), half("wx").alias("n1"))
+    tyy = ym.groupBy("pid").agg(F.sum((F.col("wy") * F.col("wy") - F.col("w2")) / 2).alias("e"), half("wy").alias("n2"))
     n0 = F.col("n") * (F.col("n") - 1) / 2
-    tau = s_.join(tx, "pid").join(tyy, "pid").select("pid", (F.col("s") / F.sqrt((n0 - F.col("n1")) * (n0 - F.col("n2")))).alias("value"))
-    want = df.sparkSession.createDataFrame([(i,) for i in range(len(pairs))], "pid int")  # pairs without complete rows stay NULL
-    return _name_pairs(want.join(tau, "pid", "left"), pairs)
+    s_ = 2 * F.col("ll") + F.col("e") - (F.col("n") * F.col("n") - F.col("x2")) / 2
+    tau = ll.join(tx, "pid").join(tyy, "pid").select("pid", F.try_divide(s_, F.sqrt((n0 - F.col("n1")) * (n0 - F.col("n2")))).alias("value"))
+    return _named(df, pairs, tau)
 
 
-def kendall(df: DataFrame, x: str, y: str, ranges: int = 16) -> DataFrame:
+def kendall(df: DataFrame, x: str, y: str) -> DataFrame:
     """E3 for one pair."""
-    return kendall_pairs(df, [(x, y)], ranges)
+    return kendall_pairs(df, [(x, y)])
 
 
 def kendall_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -243,62 +226,69 @@ def _cat_value(df: DataFrame, c: str, missing_label: str | None) -> Column:
 
 
 def contingency(df: DataFrame, pairs: list[tuple[str, str]], missing_label: str | None = None) -> DataFrame:
-    """(var1, var2, a, b, o): counts of every value combination of every pair
-    in one explode + aggregation (keyed by an int pair id); rows with a NULL
-    in the pair are dropped (unless ``missing_label`` turns NULL into a
-    level)."""
-    structs = [
-        F.struct(F.lit(i).alias("pid"), _cat_value(df, a, missing_label).alias("a"), _cat_value(df, b, missing_label).alias("b"))
-        for i, (a, b) in enumerate(pairs)
-    ]
-    cells = (
-        df.select(F.explode(F.array(*structs)).alias("_p"))
+    """(var1, var2, a, b, o): counts of every value combination of every pair;
+    rows with a NULL in the pair are dropped (unless ``missing_label`` turns
+    NULL into a level)."""
+    return _name_pairs(_level_cells(df, pairs, missing_label, coded=False), pairs)
+
+
+def _level_cells(df: DataFrame, pairs: list[tuple[str, str]], missing_label: str | None = None, coded: bool = True) -> DataFrame:
+    """(pid, a, b, o): one explode and one aggregation keyed by an int pair id.
+    ``coded`` levels are 64-bit hashes of the values: statistics only compare
+    levels, so long texts are neither repeated per pair nor shuffled."""
+    level = {c: _cat_value(df, c, missing_label) for p in pairs for c in p}
+    name = {c: f"c{i}" for i, c in enumerate(level)}
+    coded_rows = df.select(*[(F.when(v.isNotNull(), F.xxhash64(v)) if coded else v).alias(name[c]) for c, v in level.items()])
+    structs = [F.struct(F.lit(i).alias("pid"), F.col(name[a]).alias("a"), F.col(name[b]).alias("b")) for i, (a, b) in enumerate(pairs)]
+    return (
+        coded_rows.select(F.explode(F.array(*structs)).alias("_p"))
         .select("_p.*")
         .where(F.col("a").isNotNull() & F.col("b").isNotNull())
         .groupBy("pid", "a", "b")
         .agg(F.count(F.lit(1)).alias("o"))
     )
-    return _name_pairs(cells, pairs)
+
+
+def chi_square_pairs(df: DataFrame, pairs: list[tuple[str, str]], missing_label: str | None = None, yates: bool = True, batch: int = PAIR_BATCH) -> DataFrame:
+    """(var1, var2, chi2, n, r, c, dof) of every pair with a complete row,
+    ``batch`` pairs at a time, so that one explode multiplies rows by at most
+    ``batch``."""
+    parts = []
+    for i in range(0, len(pairs), batch):
+        some = pairs[i:i + batch]
+        parts.append(_name_pairs(_chi_square(_level_cells(df, some, missing_label), ["pid"], yates), some))
+    return _union(parts)
 
 
 def chi_square(cells: DataFrame, yates: bool = True) -> DataFrame:
-    """(var1, var2, chi2, n, r, c, dof) per pair from long contingency cells.
+    """(var1, var2, chi2, n, r, c, dof) per pair from long contingency cells."""
+    return _chi_square(cells, ["var1", "var2"], yates)
 
-    chi2 = n * (sum o^2/(row*col) - 1) needs only the non-empty cells. For a
+
+def _chi_square(cells: DataFrame, key: list[str], yates: bool) -> DataFrame:
+    """chi2 = n * (sum o^2/(row*col) - 1) needs only the non-empty cells. For a
     2x2 table with ``yates`` the continuity correction is applied over the
     full 2x2 grid (empty cells included), as SciPy does."""
     cells = materialize(cells)
-    rows = cells.groupBy("var1", "var2", "a").agg(F.sum("o").alias("ra"))
-    colsm = cells.groupBy("var1", "var2", "b").agg(F.sum("o").alias("cb"))
-    joined = cells.join(rows, ["var1", "var2", "a"]).join(colsm, ["var1", "var2", "b"])
-    per_pair = joined.groupBy("var1", "var2").agg(
-        F.sum("o").alias("n"),
-        F.sum(F.col("o") * F.col("o") / (F.col("ra") * F.col("cb"))).alias("s"),
-        F.count_distinct("a").alias("r"),
-        F.count_distinct("b").alias("c"),
+    rows = cells.groupBy(*key, "a").agg(F.sum("o").alias("ra"))
+    colsm = cells.groupBy(*key, "b").agg(F.sum("o").alias("cb"))
+    sums = cells.join(rows, [*key, "a"]).join(colsm, [*key, "b"]).groupBy(*key).agg(
+        F.sum("o").alias("n"), F.sum(F.col("o") * F.col("o") / (F.col("ra") * F.col("cb"))).alias("s")
     )
-    plain = per_pair.select("var1", "var2", "n", "r", "c", (F.col("n") * (F.col("s") - 1)).alias("chi2_plain"))
+    per_pair = sums.join(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("r")), key).join(colsm.groupBy(*key).agg(F.count(F.lit(1)).alias("c")), key)
+    dof = (F.col("r") - 1) * (F.col("c") - 1)
+    plain = per_pair.select(*key, "n", "r", "c", (F.col("n") * (F.col("s") - 1)).alias("chi2_plain"))
     if not yates:
-        return plain.select("var1", "var2", F.col("chi2_plain").alias("chi2"), "n", "r", "c", ((F.col("r") - 1) * (F.col("c") - 1)).alias("dof"))
+        return plain.select(*key, F.col("chi2_plain").alias("chi2"), "n", "r", "c", dof.alias("dof"))
     # full grid for the 2x2 pairs only (4 cells per such pair)
-    two = plain.where((F.col("r") == 2) & (F.col("c") == 2)).select("var1", "var2", "n")
-    ra = rows.join(two, ["var1", "var2"], "left_semi")
-    cb = colsm.join(two, ["var1", "var2"], "left_semi")
-    grid = ra.join(cb, ["var1", "var2"]).join(two, ["var1", "var2"])
-    grid = grid.join(cells, ["var1", "var2", "a", "b"], "left").withColumn("o", F.coalesce(F.col("o"), F.lit(0)))
+    two = plain.where((F.col("r") == 2) & (F.col("c") == 2)).select(*key, "n")
+    grid = rows.join(two, key).join(colsm, key)
+    grid = grid.join(cells, [*key, "a", "b"], "left").withColumn("o", F.coalesce(F.col("o"), F.lit(0)))
     e = F.col("ra") * F.col("cb") / F.col("n")
     d = F.abs(F.col("o") - e)
     term = F.pow(d - F.least(F.lit(0.5), d), 2) / e
-    yts = grid.groupBy("var1", "var2").agg(F.sum(term).alias("chi2_yates"))
-    return plain.join(yts, ["var1", "var2"], "left").select(
-        "var1",
-        "var2",
-        F.coalesce(F.col("chi2_yates"), F.col("chi2_plain")).alias("chi2"),
-        "n",
-        "r",
-        "c",
-        ((F.col("r") - 1) * (F.col("c") - 1)).alias("dof"),
-    )
+    yts = grid.groupBy(*key).agg(F.sum(term).alias("chi2_yates"))
+    return plain.join(yts, key, "left").select(*key, F.coalesce(F.col("chi2_yates"), F.col("chi2_plain")).alias("chi2"), "n", "r", "c", dof.alias("dof"))
 
 
 def cramers_v_from_chi2(chi: DataFrame) -> DataFrame:
@@ -310,22 +300,15 @@ def cramers_v_from_chi2(chi: DataFrame) -> DataFrame:
 
 def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
     """E5: Cramer's V of one pair (NULL rows dropped, Yates on 2x2)."""
-    return cramers_v_from_chi2(chi_square(contingency(df, [(a, b)])))
+    return cramers_v_from_chi2(chi_square_pairs(df, [(a, b)]))
 
 
-def cramers_v_matrix(df: DataFrame, columns: list[str] | None = None, missing_label: str | None = None, batch: int = 50) -> DataFrame:
-    """Cramer's V for every categorical pair (upper triangle). Pairs are
-    processed in batches of ``batch`` so one explode multiplies rows by at
-    most ``batch``."""
-    cols = columns or ty.categorical_columns(df)
-    pairs = _pairs(cols)
+def cramers_v_matrix(df: DataFrame, columns: list[str] | None = None, missing_label: str | None = None, batch: int = PAIR_BATCH) -> DataFrame:
+    """Cramer's V for every categorical pair (upper triangle)."""
+    pairs = _pairs(columns or ty.categorical_columns(df))
     if not pairs:
         return df.sparkSession.createDataFrame([], _pair_schema())
-    out = None
-    for i in range(0, len(pairs), batch):
-        part = cramers_v_from_chi2(chi_square(contingency(df, pairs[i:i + batch], missing_label)))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return cramers_v_from_chi2(chi_square_pairs(df, pairs, missing_label, batch=batch))
 
 
 def strong_associations(v_long: DataFrame, threshold: float = STRONG_ASSOC) -> DataFrame:
@@ -342,7 +325,9 @@ def chi_square_test(df: DataFrame, columns: list[str] | None = None, yates: bool
     """chi2, dof and n per categorical pair (optionally the p-value,
     computed on the per-pair rows)."""
     cols = columns or ty.categorical_columns(df)
-    chi = chi_square(contingency(df, _pairs(cols)), yates=yates).select("var1", "var2", "chi2", "dof", "n")
+    if len(cols) < 2:
+        return df.sparkSession.createDataFrame([], "var1 string, var2 string, chi2 double, dof long, n long" + (", p_value double" if with_p else ""))
+    chi = chi_square_pairs(df, _pairs(cols), yates=yates).select("var1", "var2", "chi2", "dof", "n")
     if not with_p:
         return chi
     return chi.withColumn("p_value", chi2_pvalue_udf(F.col("chi2"), F.col("dof").cast("double")))
@@ -486,14 +471,10 @@ def discretise(
     cols = columns or [c for c in ty.profilable_columns(src) if ty.family(src.schema[c].dataType) in (ty.NUMERIC, ty.STRING)]
     num = [c for c in cols if ty.family(src.schema[c].dataType) == ty.NUMERIC and c not in raw]
     probs = [i / bins for i in range(1, bins)]
-    numeric_all = [c for c in cols if ty.family(src.schema[c].dataType) == ty.NUMERIC]
-    # one narrow pass: NULL counts (fill decisions) and distinct estimates (quantile size check)
-    stats = src.agg(
-        *[F.count_if(ty.clean_col(src, c).isNull()).alias(f"n{i}") for i, c in enumerate(cols)],
-        *[F.approx_count_distinct(ty.numeric_value(src, c), 0.05).alias(f"d{i}") for i, c in enumerate(numeric_all)],
-    ).first()
-    nulls = {c: (stats[f"n{i}"] if fill else 0) for i, c in enumerate(cols)}
-    est = {c: stats[f"d{i}"] for i, c in enumerate(numeric_all)}
+    nulls = {c: 0 for c in cols}
+    if fill:
+        row = src.agg(*[F.count_if(ty.clean_col(src, c).isNull()).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+        nulls = {c: row[f"n{i}"] for i, c in enumerate(cols)}
     cuts: dict[str, list] = {}
     # columns without NULLs: deciles straight away (filling changes nothing);
     # the medians of NULL-bearing columns come out of the same quantile pass
@@ -501,7 +482,7 @@ def discretise(
     first = [c for c in num if nulls[c] == 0] + holey
     med = {}
     if first:
-        for row in exact_quantiles(src, first, sorted(set(probs) | {0.5}), distinct_estimates=est).collect():
+        for row in exact_quantiles(src, first, sorted(set(probs) | {0.5})).collect():
             if row["column"] in holey:
                 if row["prob"] == 0.5:
                     med[row["column"]] = row["value"]
@@ -510,7 +491,7 @@ def discretise(
     base = fill_median_mode(src.select(*cols), medians_known=med, nulls_known=nulls) if fill else src.select(*cols)
     second = [c for c in num if c in holey]
     if second:
-        for row in exact_quantiles(base, second, probs, distinct_estimates=est).collect():
+        for row in exact_quantiles(base, second, probs).collect():
             cuts.setdefault(row["column"], []).append((row["prob"], row["value"]))
     sel = []
     for c in cols:
@@ -526,29 +507,32 @@ def discretise(
     return base.select(*sel)
 
 
-def mi_from_cells(cells: DataFrame) -> DataFrame:
-    """Plug-in MI (nats) per pair: sum o/n * ln(o*n/(row*col))."""
-    cells = materialize(cells)
-    rows = cells.groupBy("var1", "var2", "a").agg(F.sum("o").alias("ra"))
-    colsm = cells.groupBy("var1", "var2", "b").agg(F.sum("o").alias("cb"))
-    n = cells.groupBy("var1", "var2").agg(F.sum("o").alias("n"))
-    j = cells.join(rows, ["var1", "var2", "a"]).join(colsm, ["var1", "var2", "b"]).join(F.broadcast(n), ["var1", "var2"])
-    term = F.col("o") / F.col("n") * F.log(F.col("o") * F.col("n") / (F.col("ra") * F.col("cb")))
-    return j.groupBy("var1", "var2").agg(F.greatest(F.sum(term), F.lit(0.0)).alias("value"))
-
-
-def pairwise_mi(df: DataFrame, columns: list[str] | None = None, bins: int = MI_BINS, batch: int = 50) -> DataFrame:
+def mi_pairs(d: DataFrame, pairs: list[tuple[str, str]], batch: int = PAIR_BATCH) -> DataFrame:
+    """Plug-in MI (nats) per pair of discrete columns: sum o/n * ln(o*n/(row*col)),
+    ``batch`` pairs at a time."""
+    parts = []
+    for i in range(0, len(pairs), batch):
+        some = pairs[i:i + batch]
+        cells = materialize(_level_cells(d, some))
+        rows = cells.groupBy("pid", "a").agg(F.sum("o").alias("ra"))
+        colsm = cells.groupBy("pid", "b").agg(F.sum("o").alias("cb"))
+        n = cells.groupBy("pid").agg(F.sum("o").alias("n"))
+        # sum o/n ln(o n / (ra cb)) = (sum o ln o - sum ra ln ra - sum cb ln cb) / n + ln n: three marginal sums, no join of cells
+        xlogx = lambda f, c: f.groupBy("pid").agg(F.sum(F.col(c) * F.log(F.col(c))).alias(f"l_{c}"))
+        sums = n.join(xlogx(cells, "o"), "pid").join(xlogx(rows, "ra"), "pid").join(xlogx(colsm, "cb"), "pid")
+        value = (F.col("l_o") - F.col("l_ra") - F.col("l_cb")) / F.col("n") + F.log("n")
+        parts.append(_name_pairs(sums.select("pid", F.greatest(value, F.lit(0.0)).alias("value")), some))
+    return _union(parts)
+
+
+def pairwise_mi(df: DataFrame, columns: list[str] | None = None, bins: int = MI_BINS, batch: int = PAIR_BATCH) -> DataFrame:
     """MI for every column pair (upper triangle) after median/mode fill,
     numerics in equal-frequency bins."""
     d = discretise(df, columns, bins)
     pairs = _pairs(d.columns)
     if not pairs:
         return df.sparkSession.createDataFrame([], _pair_schema())
-    out = None
-    for i in range(0, len(pairs), batch):
-        part = mi_from_cells(contingency(d, pairs[i:i + batch]))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return mi_pairs(d, pairs, batch)
 
 
 def top_mi_pairs(mi_long: DataFrame, k: int = 10) -> DataFrame:
@@ -571,29 +555,24 @@ def mi_to_target(df: DataFrame, target: str, features: list[str] | None = None,
     feats = features or [c for c in ty.profilable_columns(df) if c != target and ty.family(df.schema[c].dataType) in (ty.NUMERIC, ty.STRING)]
     task = infer_mi_task(df, target)
     d = discretise(df, feats + [target], bins, raw=[target] if task == "classification" else [])
-    mi = mi_from_cells(contingency(d, [(f, target) for f in feats]))
+    mi = mi_pairs(d, [(f, target) for f in feats])
     return mi.select(F.col("var1").alias("feature"), F.col("value").alias("mi"), F.lit(task).alias("task"))
 
 
 # ---------------------------------------------------------------- E14-E16 VIF, summary
 
 def gram(df: DataFrame, cols: list[str]) -> list[list[float]]:
-    """Uncentred cross-product matrix sum(x_i * x_j) in one aggregation."""
-    aggs = [F.sum(F.col(a) * F.col(b)).alias(f"g{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if j >= i]
-    row = df.agg(*aggs).first()
-    p = len(cols)
-    g = [[0.0] * p for _ in range(p)]
-    for i in range(p):
-        for j in range(i, p):
-            g[i][j] = g[j][i] = float(row[f"g{i}_{j}"] or 0.0)
-    return g
+    """Uncentred cross-product matrix sum(x_i * x_j), in codegen-sized passes."""
+    r = batched_agg(df, [((i, j), F.sum(F.col(f"`{a}`") * F.col(f"`{b}`"))) for i, a in enumerate(cols) for j, b in enumerate(cols) if j >= i])
+    return [[float(r[(min(i, j), max(i, j))] or 0.0) for j in range(len(cols))] for i in range(len(cols))]
 
 
 def vif(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """VIF per numeric column (no intercept, so R^2 is uncentred):
     zero-variance columns dropped, NULLs median-filled, then
-    VIF_i = G_ii * (G^-1)_ii from the p x p Gram matrix (driver-side inverse
-    of a p x p matrix; the data pass is one aggregation)."""
+    VIF_i = G_ii * (G^-1)_ii from the p x p Gram matrix, scaled to a unit
+    diagonal first. Only the columns that take part in an exact linear
+    dependence are infinite; the others come from the pseudo-inverse."""
     import numpy as np
 
     from .clean import medians
@@ -603,19 +582,19 @@ def vif(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     schema = "feature string, vif double"
     if len(cols) < 2:
         return spark.createDataFrame([], schema)
-    var = df.agg(*[F.var_samp(ty.numeric_value(df, c)).alias(c) for c in cols]).first().asDict()
+    var = batched_agg(df, [(c, F.var_samp(ty.numeric_value(df, c))) for c in cols])
     keep = [c for c in cols if var[c] is not None and var[c] > 0]
     if len(keep) < 2:
         return spark.createDataFrame([], schema)
     med = medians(df, keep)
     x = df.select(*[F.coalesce(ty.numeric_value(df, c), F.lit(med[c])).alias(c) for c in keep])
     g = np.array(gram(x, keep))
-    try:
-        inv = np.linalg.inv(g)
-        vals = [float(g[i, i] * inv[i, i]) for i in range(len(keep))]
-    except np.linalg.LinAlgError:
-        vals = [float("inf")] * len(keep)
-    return spark.createDataFrame(list(zip(keep, vals)), schema)
+    scale = np.sqrt(np.diag(g))
+    root, vec = np.linalg.eigh(g / np.outer(scale, scale))
+    null = root <= COLLINEAR_EIGENVALUE * len(keep)
+    involved = (np.abs(vec[:, null]) > COLLINEAR_SHARE).any(axis=1)
+    inverse = (vec[:, ~null] ** 2 / root[~null]).sum(axis=1)
+    return spark.createDataFrame([(c, float("inf") if bad else float(v)) for c, bad, v in zip(keep, involved, inverse)], schema)
 
 
 def multicollinear_columns(vif_df: DataFrame, threshold: float = VIF_HIGH) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import types as ty
 from . import profile as pr
-from .relations import contingency, discretise, mi_from_cells
+from .relations import discretise, mi_pairs
 
 # Name patterns and scores of the target heuristics.
 STRONG_NAME_PATTERNS = ["target", "label", "class", "outcome", "response", "dependent",
@@ -124,7 +124,7 @@ def predictability(df: DataFrame, profile_rows: list, candidates: list[str]) ->
         pairs += [(f, rep) for f in usable if f != t]
     if not pairs:
         return spark.createDataFrame([], schema)
-    mi = mi_from_cells(contingency(d, pairs))
+    mi = mi_pairs(d, pairs)
     return mi.select(F.regexp_replace("var2", "__raw$", "").alias("column"), "value").groupBy("column").agg(
         F.avg("value").alias("avg_mi"), F.max("value").alias("max_mi")
     )
