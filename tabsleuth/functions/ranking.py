@@ -60,16 +60,6 @@ def cumulative_by_value(
     return out.drop("_key", "_part", *[f"_off_{w}" for w in weight_cols], *[f"_in_{w}" for w in weight_cols])
 
 
-def long_numeric(df: DataFrame, columns: list[str], value_name: str = "v") -> DataFrame:
-    """(column, v) rows for the non-null values of ``columns`` (NaN dropped)."""
-    from .types import numeric_value
-
-    cells = F.explode(
-        F.array(*[F.struct(F.lit(c).alias("column"), numeric_value(df, c).alias(value_name)) for c in columns])
-    )
-    return df.select(cells.alias("_c")).select("_c.*").where(F.col(value_name).isNotNull())
-
-
 def value_frequencies(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, v, count) over the non-null values of numeric ``columns``
     (aggregated on an int column index, names attached afterwards)."""

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import types as ty
 from ..functions.ranking import cumulative_by_value, exact_quantiles
+from ..session import materialize
 from . import profile as pr
 
 MISSING_LABEL = "Missing"
@@ -184,7 +185,7 @@ def label_encode(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     med = medians(df, num)
     out = df
     if cat:
-        codes = label_codes(df, cat)
+        codes = materialize(label_codes(df, cat))
         for c in cat:
             m = codes.where(F.col("column") == c).select(F.col("value").alias(f"_v_{c}"), F.col("code").alias(f"_code_{c}"))
             out = out.join(m, out[c] == m[f"_v_{c}"], "left")
@@ -205,7 +206,7 @@ def quality_findings(df: DataFrame, key_cols: list[str] | None = None, high_miss
     """Every data-quality warning as a (check, column, value) row:
     large table, constant, high missing, id-like, duplicate rows, duplicate
     columns."""
-    prof = pr.column_profile(df)
+    prof = materialize(pr.column_profile(df))  # one row per column, read by three checks
     size = pr.table_size(df)
     parts = [
         size.where("is_large").select(F.lit("large_table").alias("check"), F.lit(None).cast("string").alias("column"), F.col("data_mb").alias("value")),

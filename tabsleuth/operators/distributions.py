@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import types as ty
-from ..functions.ranking import exact_quantiles, long_numeric
+from ..functions.ranking import exact_quantiles
 
 # Class-balance thresholds.
 SEVERE_MAJORITY = 0.9
@@ -16,15 +16,6 @@ MANY_CLASSES = 10
 DOMINANT_SHARE = 0.8
 
 
-def _stack(df: DataFrame, names: list[str], fields: dict[str, str]) -> DataFrame:
-    """Turn per-column aggregate columns ``<field><i>`` into one row per column."""
-    structs = [
-        F.struct(F.lit(c).alias("column"), *[F.col(f"{f}{i}").alias(alias) for f, alias in fields.items()])
-        for i, c in enumerate(names)
-    ]
-    return df.select(F.explode(F.array(*structs)).alias("_s")).select("_s.*")
-
-
 def moments(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """count, mean, std (n-1), min, max, skew (G1), kurtosis (G2) per numeric
     column - shifted power sums in codegen-sized passes, finished per column."""
@@ -59,22 +50,22 @@ def histogram(df: DataFrame, columns: list[str] | None = None, bins: int = 20) -
     """Equal-width histogram per numeric column; top edge folded into the
     last bin, nulls dropped, empty bins reported with count 0."""
     cols = columns or ty.numeric_columns(df)
-    rng = df.agg(*[x for i, c in enumerate(cols) for x in (F.min(ty.numeric_value(df, c)).alias(f"lo{i}"), F.max(ty.numeric_value(df, c)).alias(f"hi{i}"))])
-    rng_long = _stack(rng, cols, {"lo": "lo", "hi": "hi"})
-    long = long_numeric(df, cols)
-    width = F.col("hi") - F.col("lo")
-    b = F.when(width == 0, F.lit(0)).otherwise(
-        F.least(F.floor((F.col("v") - F.col("lo")) / width * bins), F.lit(bins - 1))
-    ).cast("int")
-    counts = long.join(F.broadcast(rng_long), "column").groupBy("column", b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
-    grid = rng_long.where(F.col("lo").isNotNull()).select("column", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    return grid.join(counts, ["column", "bin"], "left").select(
-        "column",
-        "bin",
-        (F.col("lo") + F.col("bin") * width / bins).alias("bin_start"),
-        (F.col("lo") + (F.col("bin") + 1) * width / bins).alias("bin_end"),
-        F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count"),
-    )
+    rng = df.agg(*[x for i, c in enumerate(cols) for x in (F.min(ty.numeric_value(df, c)).alias(f"lo{i}"), F.max(ty.numeric_value(df, c)).alias(f"hi{i}"))]).first()
+    known = [i for i in range(len(cols)) if rng[f"lo{i}"] is not None]
+    spark = df.sparkSession
+    if not known:
+        return spark.createDataFrame([], "column string, bin int, bin_start double, bin_end double, count long")
+    cells = []
+    for i in known:
+        lo, width = rng[f"lo{i}"], rng[f"hi{i}"] - rng[f"lo{i}"]
+        v = ty.numeric_value(df, cols[i])
+        at = F.when(v.isNotNull(), F.least(F.floor((v - F.lit(lo)) / F.lit(width) * bins), F.lit(bins - 1)) if width else F.lit(0))
+        cells.append(F.struct(F.lit(i).alias("i"), at.cast("int").alias("bin")))
+    # int keys and few of them: combined before the shuffle
+    counts = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*").where(F.col("bin").isNotNull()).groupBy("i", "bin").agg(F.count(F.lit(1)).alias("count"))
+    grid = [(i, b, cols[i], rng[f"lo{i}"] + b * (rng[f"hi{i}"] - rng[f"lo{i}"]) / bins, rng[f"lo{i}"] + (b + 1) * (rng[f"hi{i}"] - rng[f"lo{i}"]) / bins) for i in known for b in range(bins)]
+    grid = spark.createDataFrame(grid, "i int, bin int, column string, bin_start double, bin_end double")
+    return grid.join(counts, ["i", "bin"], "left").select("column", "bin", "bin_start", "bin_end", F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count"))
 
 
 def top_k_per_group(df: DataFrame, group_cols: list[str], order_cols: list, k: int, salt_col: str | None = None, salts: int = 1024) -> DataFrame:
@@ -104,20 +95,23 @@ def box_stats(df: DataFrame, columns: list[str] | None = None, factor: float = 1
     """D3: quartiles, fences, whiskers (extreme values inside the fences) and
     outlier count per numeric column."""
     cols = columns or ty.numeric_columns(df)
-    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
-    qw = q.groupBy("column").agg(
-        *[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(nm) for p, nm in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))]
-    ).withColumn("lower_fence", F.col("q1") - factor * (F.col("q3") - F.col("q1"))).withColumn(
-        "upper_fence", F.col("q3") + factor * (F.col("q3") - F.col("q1"))
-    )
-    long = long_numeric(df, cols).join(F.broadcast(qw.select("column", "lower_fence", "upper_fence")), "column")
-    inside = (F.col("v") >= F.col("lower_fence")) & (F.col("v") <= F.col("upper_fence"))
-    ext = long.groupBy("column").agg(
-        F.min(F.when(inside, F.col("v"))).alias("whisker_low"),
-        F.max(F.when(inside, F.col("v"))).alias("whisker_high"),
-        F.count_if(~inside).alias("outlier_count"),
-    )
-    return qw.join(ext, "column").select("column", "q1", "median", "q3", "lower_fence", "upper_fence", "whisker_low", "whisker_high", "outlier_count")
+    q: dict = {c: {} for c in cols}
+    for r in exact_quantiles(df, cols, [0.25, 0.5, 0.75]).collect():  # three rows per column
+        q[r["column"]][r["prob"]] = r["value"]
+    aggs, rows = [], []
+    for i, c in enumerate(cols):
+        q1, median, q3 = (q[c][p] for p in (0.25, 0.5, 0.75))
+        if q1 is None:
+            continue
+        low, high = q1 - factor * (q3 - q1), q3 + factor * (q3 - q1)
+        v = ty.numeric_value(df, c)
+        inside = (v >= F.lit(low)) & (v <= F.lit(high))
+        aggs += [F.min(F.when(inside, v)).alias(f"l{i}"), F.max(F.when(inside, v)).alias(f"h{i}"), F.count_if(~inside).alias(f"o{i}")]
+        fixed = {"q1": q1, "median": median, "q3": q3, "lower_fence": low, "upper_fence": high}
+        rows.append(F.struct(F.lit(c).alias("column"), *[F.lit(float(x)).alias(n) for n, x in fixed.items()], F.col(f"l{i}").alias("whisker_low"), F.col(f"h{i}").alias("whisker_high"), F.col(f"o{i}").alias("outlier_count")))
+    if not rows:
+        return df.sparkSession.createDataFrame([], "column string, q1 double, median double, q3 double, lower_fence double, upper_fence double, whisker_low double, whisker_high double, outlier_count long")
+    return df.agg(*aggs).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def scatter_points(df: DataFrame, x: str, y: str, color: str | None = None, key: str | None = None, fraction: float | None = None) -> DataFrame:

@@ -45,53 +45,80 @@ def frequency_table(df: DataFrame, columns: list[str] | None = None) -> DataFram
     """(pos, column, value, count): counts of every value (as text) per column,
     NULL (and NaN) counted under ``value IS NULL``.
 
-    Numeric values are aggregated on a typed double key and only turned into
-    text after the aggregation (on the distinct values); the group key holds
-    the int column position, the name is attached afterwards."""
+    Integers are aggregated on a long key, other numbers on a double, and only
+    turned into text after the aggregation (on the distinct values); the group
+    key holds the int column position, the name is attached afterwards."""
     cols = columns or ty.profilable_columns(df)
     kinds = [_value_kind(df.schema[c].dataType) for c in cols]
+    typed = lambda c, k, want, to: (ty.clean_col(df, c) if k in want else F.lit(None)).cast(to)
     cells = F.explode(
         F.array(
             *[
                 F.struct(
                     F.lit(i).alias("pos"),
-                    (ty.clean_col(df, c).cast("double") if k != "text" else F.lit(None).cast("double")).alias("num"),
-                    (ty.clean_col(df, c).cast("string") if k == "text" else F.lit(None).cast("string")).alias("str"),
+                    typed(c, k, ("integral",), "long").alias("int"),
+                    typed(c, k, ("float", "double"), "double").alias("num"),
+                    typed(c, k, ("text",), "string").alias("str"),
                 )
                 for i, (c, k) in enumerate(zip(cols, kinds))
             ]
         )
     )
-    agg = df.select(cells.alias("_c")).select("_c.*").groupBy("pos", "num", "str").agg(F.count(F.lit(1)).alias("count"))
+    agg = df.select(cells.alias("_c")).select("_c.*").groupBy("pos", "int", "num", "str").agg(F.count(F.lit(1)).alias("count"))
     kind = _pick(kinds, F.col("pos"))
-    num = F.col("num")
     value = (
-        F.when(kind == "integral", num.cast("long").cast("string"))
-        .when(kind == "float", num.cast("float").cast("string"))
-        .when(kind == "double", num.cast("string"))
+        F.when(kind == "integral", F.col("int").cast("string"))
+        .when(kind == "float", F.col("num").cast("float").cast("string"))
+        .when(kind == "double", F.col("num").cast("string"))
         .otherwise(F.col("str"))
     )
     return agg.select("pos", _pick(cols, F.col("pos")).alias("column"), value.alias("value"), "count")
 
 
-def column_profile(df: DataFrame, columns: list[str] | None = None, freq: DataFrame | None = None) -> DataFrame:
+def _distinct_cells(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(pos, count, missing, length, is_date), one row per distinct value. Keys
+    are typed or hashed: times as microseconds, texts as 128-bit digests with
+    their length and date probe beside them, so no text is shuffled."""
+    null = lambda to: F.lit(None).cast(to)
+    structs = []
+    for i, c in enumerate(cols):
+        dt, v = df.schema[c].dataType, ty.clean_col(df, c)
+        number, real, text = null("long"), null("double"), null("string")
+        if _value_kind(dt) == "integral":
+            number = v.cast("long")
+        elif ty.is_floating(dt):
+            real = v.cast("double")
+        elif isinstance(dt, ty.T.TimestampNTZType):
+            number = F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), v)
+        elif isinstance(dt, ty.T.TimestampType):
+            number = F.unix_micros(v)
+        elif isinstance(dt, ty.T.DateType):
+            number = F.unix_date(v).cast("long")
+        else:
+            text = v.cast("string")
+        is_date = text.rlike(DATE_TEXT_PATTERN) & F.coalesce(text.try_cast("timestamp").isNotNull(), F.lit(False))
+        structs.append(F.struct(F.lit(i).alias("pos"), v.isNull().alias("missing"), number.alias("number"), real.alias("real"), F.unhex(F.md5(text)).alias("digest"), F.length(text).alias("length"), F.coalesce(is_date, F.lit(False)).alias("is_date")))
+    rows = df.select(F.explode(F.array(*structs)).alias("_c")).select("_c.*")
+    return rows.groupBy("pos", "missing", "number", "real", "digest").agg(F.count(F.lit(1)).alias("count"), F.max("length").alias("length"), F.max("is_date").alias("is_date"))
+
+
+def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Per column dtype, missing/unique counts and %, constant / id-like
-    flags, semantic type and mean text length (strings)."""
+    flags, semantic type and mean text length (strings). One row per column,
+    also for an empty table."""
     cols = columns or ty.profilable_columns(df)
-    freq = freq if freq is not None else frequency_table(df, cols)
     fams = [ty.family(df.schema[c].dataType) for c in cols]
     dtypes = [ty.type_name(df.schema[c].dataType) for c in cols]
-    is_date_text = F.col("value").rlike(DATE_TEXT_PATTERN) & F.expr("try_cast(value AS timestamp)").isNotNull()
-    agg = freq.groupBy("pos", "column").agg(
+    there = ~F.col("missing")
+    found = _distinct_cells(df, cols).groupBy("pos").agg(
         F.sum("count").alias("n_rows"),
-        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("count"))), F.lit(0)).cast("long").alias("missing_count"),
-        F.count("value").alias("unique_count"),
-        F.bool_and(F.col("value").isNull() | is_date_text).alias("_all_dates"),
-        F.try_divide(
-            F.sum(F.when(F.col("value").isNotNull(), F.length("value") * F.col("count"))),
-            F.sum(F.when(F.col("value").isNotNull(), F.col("count"))),
-        ).alias("mean_length"),
+        F.sum(F.when(F.col("missing"), F.col("count"))).alias("missing_count"),
+        F.count_if(there).alias("unique_count"),
+        F.bool_and(F.col("missing") | F.col("is_date")).alias("_all_dates"),
+        F.try_divide(F.sum(F.when(there, F.col("length") * F.col("count"))), F.sum(F.when(there, F.col("count")))).alias("mean_length"),
     )
+    base = df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(cols)], "pos int, column string")
+    agg = base.join(found, "pos", "left").na.fill(0, ["n_rows", "missing_count", "unique_count"])
     n = F.col("n_rows")
     u = F.col("unique_count")
     fam = _pick(fams, F.col("pos"))
@@ -119,6 +146,14 @@ def column_profile(df: DataFrame, columns: list[str] | None = None, freq: DataFr
     )
 
 
+def missing_table(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(pos, column, n_rows, missing_count, missing_pct) from one narrow pass."""
+    cols = columns or ty.profilable_columns(df)
+    counts = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(ty.clean_col(df, c).isNull()).alias(f"m{i}") for i, c in enumerate(cols)])
+    cell = F.explode(F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(c).alias("column"), F.col("n").alias("n_rows"), F.col(f"m{i}").alias("missing_count")) for i, c in enumerate(cols)]))
+    return counts.select(cell.alias("_c")).select("_c.*").withColumn("missing_pct", F.try_divide(F.col("missing_count"), F.col("n_rows")) * 100)
+
+
 def dataset_overview(df: DataFrame) -> DataFrame:
     """Rows, columns, numeric / categorical column counts, missing cells and %.
 
@@ -152,7 +187,8 @@ def column_info(profile: DataFrame) -> DataFrame:
 
 
 def missing_by_column(profile: DataFrame, only_missing: bool = False) -> DataFrame:
-    """Missing count and % per column (optionally only those with missing)."""
+    """Missing count and % per column (optionally only those with missing),
+    from a profile or a :func:`missing_table` (as C5 and C9)."""
     out = profile.select("pos", "column", "missing_count", "missing_pct")
     if only_missing:
         out = out.where(F.col("missing_count") > 0)
@@ -168,9 +204,10 @@ def missing_summary(profile: DataFrame) -> DataFrame:
     )
 
 
-def dtype_summary(profile: DataFrame) -> DataFrame:
-    """Number of columns per dtype."""
-    return profile.groupBy("dtype").agg(F.count(F.lit(1)).alias("n_columns"))
+def dtype_summary(df: DataFrame) -> DataFrame:
+    """Number of columns per dtype, from the schema alone."""
+    names = [ty.type_name(df.schema[c].dataType) for c in ty.profilable_columns(df)]
+    return df.sparkSession.createDataFrame([(t, names.count(t)) for t in sorted(set(names))], "dtype string, n_columns long")
 
 
 # Fixed width in bytes per value of each fixed-size Spark type.
@@ -239,29 +276,13 @@ def outliers_iqr(df: DataFrame, columns: list[str] | None = None, factor: float
         v = ty.numeric_value(df, c)
         cond = (v < F.lit(lo)) | (v > F.lit(hi)) if lo is not None else F.lit(False)
         aggs.append(F.count_if(cond).alias(f"_o{i}"))
-    counts = df.agg(*aggs)
-    stacked = counts.select(
-        "_n",
-        F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_o{i}").alias("outlier_count")) for i, c in enumerate(cols)])).alias("_s"),
-    ).select("_n", "_s.*")
-    return stacked.join(F.broadcast(bounds), "column").select(
-        "column",
-        "q1",
-        "q3",
-        "iqr",
-        "lower_bound",
-        "upper_bound",
-        F.col("outlier_count").cast("long").alias("outlier_count"),
-        F.coalesce(F.try_divide(F.col("outlier_count"), F.col("_n")) * 100, F.lit(0.0)).alias("outlier_pct"),
+    names = ("q1", "q3", "iqr", "lower_bound", "upper_bound")
+    rows = [F.struct(F.lit(c).alias("column"), *[F.lit(b[c][x]).cast("double").alias(x) for x in names], F.col(f"_o{i}").cast("long").alias("outlier_count")) for i, c in enumerate(cols)]
+    return df.agg(*aggs).select("_n", F.explode(F.array(*rows)).alias("_s")).select(
+        "_s.*", F.coalesce(F.try_divide(F.col("_s.outlier_count"), F.col("_n")) * 100, F.lit(0.0)).alias("outlier_pct")
     )
 
 
-def flag_outliers(df: DataFrame, column: str, bounds_row, flag: str = "is_outlier") -> DataFrame:
-    """C14 row flags: add a boolean column marking outliers of ``column``."""
-    v = ty.numeric_value(df, column)
-    return df.withColumn(flag, F.coalesce((v < F.lit(bounds_row["lower_bound"])) | (v > F.lit(bounds_row["upper_bound"])), F.lit(False)))
-
-
 def feature_stability(
     df: DataFrame,
     key_col: str,

@@ -9,7 +9,8 @@ from . import fixtures as fx
 from .registry import finish, r, register
 from .schemas import SCHEMAS, cols, family
 
-DATE_RE = pr.DATE_TEXT_PATTERN
+# The oracle's own copy of the date pattern.
+DATE_RE = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?)?$"
 
 
 def profile_sql(table: str) -> str:
@@ -121,19 +122,19 @@ def q_describe_numeric(spark, sf_dir):
     + r("100.0 * sum(missing_count) / sum(n_rows)") + " AS missing_percentage FROM (" + profile_sql("doc_labels") + ")",
     "doc_labels"))
 def q_missing_summary(spark, sf_dir):
-    return finish(pr.missing_summary(_profile(spark, sf_dir, "doc_labels")))
+    return finish(pr.missing_summary(pr.missing_table(fx.load(spark, sf_dir, "doc_labels"))))
 
 
 @register("missing_by_column", fx.with_fixtures(
     "SELECT pos, \"column\", missing_count, missing_pct FROM (" + profile_sql("doc_labels") + ") WHERE missing_count > 0",
     "doc_labels"))
 def q_missing_by_column(spark, sf_dir):
-    return finish(pr.missing_by_column(_profile(spark, sf_dir, "doc_labels"), only_missing=True))
+    return finish(pr.missing_by_column(pr.missing_table(fx.load(spark, sf_dir, "doc_labels")), only_missing=True))
 
 
 @register("dtype_summary", "SELECT dtype, count(*) AS n_columns FROM (" + profile_sql("lineitem") + ") GROUP BY dtype")
 def q_dtype_summary(spark, sf_dir):
-    return finish(pr.dtype_summary(_profile(spark, sf_dir, "lineitem")))
+    return finish(pr.dtype_summary(fx.table(spark, sf_dir, "lineitem")))
 
 
 def _table_size_sql(table: str) -> str:
@@ -158,7 +159,7 @@ def q_table_size(spark, sf_dir):
     "SELECT pos, \"column\", missing_count, missing_pct FROM (" + profile_sql("doc_labels") + ") WHERE missing_pct > 50",
     "doc_labels"))
 def q_high_missing_columns(spark, sf_dir):
-    return finish(pr.high_missing_columns(_profile(spark, sf_dir, "doc_labels"), 50.0))
+    return finish(pr.high_missing_columns(pr.missing_table(fx.load(spark, sf_dir, "doc_labels")), 50.0))
 
 
 @register("id_like_columns", "SELECT pos, \"column\", unique_count, n_rows FROM (" + profile_sql("orders") + ") WHERE is_id_like")
