@@ -11,16 +11,20 @@
 3. Within a posting list the collisions of two signatures are counted, on a
    prefix of the coordinates first; a pair that cannot reach ``MATCHES`` any
    more is skipped. Pairs that reach it are candidates.
-4. Candidates are confirmed on the full shingle sets. First only a spanning
-   forest of each posting list is confirmed and components are formed; then all
-   candidates that join different components. Pairs within a component cannot
-   change the result and are never made.
-5. Lists of passed-over values that some classes had to be posted under anyway
-   are split into blocks: every block meets the first one at first, and every
-   other one afterwards if the list still has several components.
+   Of each list only a spanning forest of its candidates is emitted.
+4. Lists of passed-over values that some classes had to be posted under anyway
+   are split into blocks: every block meets the first one, and then, in lists
+   whose classes are not all connected yet, every other one.
+5. Classes that candidates connect form a cluster. The full shingle sets of a
+   cluster's classes are compared with each other (intersections of all its
+   pairs at once, as a product of incidence matrices), so every link inside it
+   is known; what leaves the task is a spanning forest of these links. Large
+   clusters are split into blocks like long lists, and blocks that are linked
+   already are not compared again.
+6. Components of the links give the result.
 
 Memory of a task: a slice of texts, one posting list of at most the threshold
-(or two blocks) of 64-byte signatures, and batches of confirmed pairs.
+(or two blocks) of 64-byte signatures, or two blocks of shingle sets.
 
 Defined cases: a text without words (null, empty, white space) has no shingles
 and is linked with nothing; one of fewer than five words has one shingle; rows
@@ -38,7 +42,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,6 +62,8 @@ STRONG = 48
 PREFIX = 24
 HOT_LEAST, HOT_VALUES = 4096, 1 << 20
 BLOCK = 1024
+#: shingles of a block of sets
+SET_BLOCK = 1 << 20
 
 _A = mix(np.arange(1, COORDS + 1, dtype=np.uint64)) | np.uint64(1)
 _B = mix(np.arange(1001, COORDS + 1001, dtype=np.uint64))
@@ -205,10 +211,11 @@ def _candidates(low: np.ndarray, size: np.ndarray, label: np.ndarray, i: int, ot
     return others[count >= MATCHES], count[count >= MATCHES]
 
 
-def _forest(low: np.ndarray, size: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the candidates, strong ones first."""
+def _forest(low: np.ndarray, size: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the candidates that join different labels, strong
+    candidates first."""
     m = len(size)
-    label, everyone, out = np.arange(m), np.arange(m), []
+    label, everyone, out = label.copy(), np.arange(m), []
     for least in (STRONG, MATCHES):
         for i in range(m - 1):
             if (label == label[0]).all():
@@ -221,65 +228,94 @@ def _forest(low: np.ndarray, size: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _across(low: np.ndarray, size: np.ndarray, label: np.ndarray) -> Iterator[tuple[int, int]]:
-    """All candidates that join different labels."""
-    everyone = np.arange(len(size))
-    for i in range(len(size) - 1):
-        for j in _candidates(low, size, label, i, everyone[i + 1 :])[0]:
-            yield i, int(j)
-
-
-def _list_pairs(postings: DataFrame, first_round: bool) -> DataFrame:
-    """Candidates (a < b) of each posting list. ``postings`` has pair, unit,
-    class, n, low, and in the second round label."""
-    columns = ["pair", "unit", "class", "n", "low"] + ["label"] * (not first_round)
-    rows = postings.select(*columns).repartition("pair", "unit").sortWithinPartitions("pair", "unit", "class")
-
-    def solve(classes: list[bytes], n: list[int], low: list[bytes], labels: list[bytes]) -> list[tuple[bytes, bytes]]:
-        keep = [k for k in range(len(classes)) if k == 0 or classes[k] != classes[k - 1]]  # a block may meet itself
-        if len(keep) < 2:
-            return []
-        if len(keep) < len(classes):
-            classes, n, low, labels = ([x[k] for k in keep] if x else x for x in (classes, n, low, labels))
-        sig = np.frombuffer(b"".join(low), dtype=np.uint8).reshape(-1, COORDS)
-        if first_round:
-            found = _forest(sig, np.array(n))
-        else:
-            if len(set(labels)) == 1:
-                return []
-            found = _across(sig, np.array(n), np.unique(np.array(labels, dtype="S16"), return_inverse=True)[1])
-        return [(min(classes[i], classes[j]), max(classes[i], classes[j])) for i, j in found]
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str], columns: list[str]) -> Iterator[list[list]]:
+    """The columns of each run of rows with equal keys, over batch borders."""
+    last, group = None, [[] for _ in columns]
+    for batch in batches:
+        names = zip(*(batch.column(c).to_pylist() for c in keys), strict=True)
+        for key, *values in zip(names, *(batch.column(c).to_pylist() for c in columns), strict=True):
+            if key != last:
+                if group[0]:
+                    yield group
+                last, group = key, [[] for _ in columns]
+            for g, v in zip(group, values, strict=True):
+                g.append(v)
+    if group[0]:
+        yield group
+
+
+def _once(group: list[list]) -> list[list]:
+    """A group sorted by its first column, without repeats: a block may meet itself."""
+    keep = [k for k in range(len(group[0])) if k == 0 or group[0][k] != group[0][k - 1]]
+    return group if len(keep) == len(group[0]) else [[c[k] for k in keep] for c in group]
+
+
+def _edges(found: Iterator[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+    out = ([], [])
+    for a, b in found:
+        out[0].append(min(a, b))
+        out[1].append(max(a, b))
+        if len(out[0]) >= 50_000:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in out], names=["a", "b"])
+            out = ([], [])
+    if out[0]:
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in out], names=["a", "b"])
+
+
+def _list_pairs(postings: DataFrame) -> DataFrame:
+    """Candidates (a < b) that connect the classes of each posting list.
+    ``postings`` has pair, unit, class, n, low, label."""
+    columns = ["class", "n", "low", "label"]
+    rows = postings.select("pair", "unit", *columns).repartition("pair", "unit").sortWithinPartitions("pair", "unit", "class")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, group, out = None, [[], [], [], []], []
+        def found() -> Iterator[tuple[bytes, bytes]]:
+            for group in _groups(batches, ["pair", "unit"], columns):
+                classes, n, low, label = _once(group)
+                if len(classes) > 1:
+                    sig = np.frombuffer(b"".join(low), dtype=np.uint8).reshape(-1, COORDS)
+                    for i, j in _forest(sig, np.array(n), np.unique(np.array(label, dtype=object), return_inverse=True)[1]):
+                        yield classes[i], classes[j]
 
-        def table() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
-
-        for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in columns]
-            for k in range(batch.num_rows):
-                key = (cols[0][k], cols[1][k])
-                if key != last:
-                    out += solve(*group)
-                    if len(out) > 50_000:
-                        yield table()
-                        out = []
-                    last, group = key, [[], [], [], []]
-                for x, c in zip(group, cols[2:], strict=False):
-                    x.append(c[k])
-        out += solve(*group)
-        if out:
-            yield table()
+        yield from _edges(found())
 
     return rows.mapInArrow(run, "a binary, b binary").distinct()
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Candidates with ``linked``, by their full shingle sets."""
-    one = texts.select(F.col("class").alias("a"), F.col("packed").alias("pa"))
-    two = texts.select(F.col("class").alias("b"), F.col("packed").alias("pb"))
-    rows = pairs.join(one, "a").join(two, "b").select("a", "b", "pa", "pb")
+def linked_forest(sets: list[np.ndarray], label: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the links between sets of different labels. All
+    intersections are counted; a shingle of one set only adds nothing to them."""
+    m, sizes = len(sets), np.array([len(s) for s in sets])
+    values, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(m), sizes)
+    shared = count[inverse] > 1
+    owner, column = owner[shared], (np.cumsum(count > 1) - 1)[inverse[shared]]
+    both = np.zeros((m, m), dtype=np.float32)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    width = 4096
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, (first, first + width))
+        part = np.zeros((m, width), dtype=np.float32)
+        part[owner[a:b], column[a:b] - first] = 1
+        both += part @ part.T
+    linked = 100 * both >= 75 * (sizes[:, None] + sizes[None, :] - both)
+    label, out = label.copy(), []
+    for i in range(m):
+        if (label == label[0]).all():
+            break
+        for j in np.flatnonzero(linked[i] & (label != label[i])):
+            if label[j] != label[i]:
+                out.append((i, int(j)))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def _cluster_links(members: DataFrame) -> DataFrame:
+    """Links (a < b) that connect the classes of each cluster as far as they are
+    linked. ``members`` has cluster, unit, class, packed, label."""
+    columns = ["class", "packed", "label"]
+    rows = members.select("cluster", "unit", *columns).repartition("cluster", "unit").sortWithinPartitions("cluster", "unit", "class")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
@@ -288,19 +324,29 @@ def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             buf = np.frombuffer(press.decompress(packed), dtype=np.uint8)
             return shingle_hashes(buf, np.array([0, len(buf)]))[0]
 
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                linked, memo = [], {}
-                for a, b, x, y in zip(*(part.column(c).to_pylist() for c in ("a", "b", "pa", "pb")), strict=True):
-                    for key, packed in ((a, x), (b, y)):
-                        if key not in memo:
-                            memo[key] = shingles(packed)
-                    both = len(np.intersect1d(memo[a], memo[b], assume_unique=True))
-                    linked.append(100 * both >= 75 * (len(memo[a]) + len(memo[b]) - both))
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+        def found() -> Iterator[tuple[bytes, bytes]]:
+            for group in _groups(batches, ["cluster", "unit"], columns):
+                classes, packed, label = _once(group)
+                if len(set(label)) > 1:
+                    for i, j in linked_forest([shingles(p) for p in packed], np.unique(np.array(label, dtype=object), return_inverse=True)[1]):
+                        yield classes[i], classes[j]
 
-    return rows.mapInArrow(run, "a binary, b binary, linked boolean")
+        yield from _edges(found())
+
+    return rows.mapInArrow(run, "a binary, b binary").distinct()
+
+
+def _units_first() -> Column:
+    """Units of a row of block ``block`` out of ``blocks``: each block with the first one."""
+    blocks = F.col("blocks").cast("long")
+    return F.explode(F.when(blocks == 1, F.array(F.lit(0).cast("long"))).when(F.col("block") == 0, F.sequence(F.lit(1).cast("long"), blocks - 1)).otherwise(F.array(F.col("block").cast("long"))))
+
+
+def _units_rest() -> Column:
+    """Units of a row: each pair of blocks, the first one excepted."""
+    block, blocks = F.col("block").cast("long"), F.col("blocks").cast("long")
+    others = F.when((blocks > 2) & (block > 0), F.array_remove(F.sequence(F.lit(1).cast("long"), blocks - 1), block)).otherwise(F.array().cast("array<long>"))
+    return F.explode(F.transform(others, lambda o: F.least(o, block) * blocks + F.greatest(o, block)))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -331,29 +377,27 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         n_blocks = F.coalesce(blocks[F.col("pair")], F.lit(1))
     spread = postings.withColumn("blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
 
-    at_first = spread.withColumn("unit", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).when(F.col("block") == 0, F.sequence(F.lit(1).cast("long"), F.col("blocks").cast("long") - 1)).otherwise(F.array(F.col("block").cast("long")))))
-    pairs = written(_list_pairs(at_first, True), "candidates")
-    involved = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct().join(classes.select("class", "source_text"), "class")
-    packed = _packed(docs)
-    texts = written(packed.join(involved, "source_text").groupBy("class").agg(F.first("packed").alias("packed")), "texts")
-    checked = written(_confirm(pairs, texts), "confirmed")
-    links = checked.where("linked").select("a", "b")
+    pairs = written(_list_pairs(spread.withColumn("unit", _units_first()).withColumn("label", F.col("class"))), "candidates")
+    cluster = components(pairs)
+    if sizes:
+        known = spread.where("blocks > 2").join(cluster.select(F.col("node").alias("class"), F.col("root").alias("label")), "class", "left").withColumn("label", F.coalesce("label", "class"))
+        mixed = known.groupBy("pair").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("pair")
+        more = written(_list_pairs(known.join(mixed, "pair", "left_semi").withColumn("unit", _units_rest())), "candidates")
+        pairs = pairs.unionByName(more)
+        cluster = components(pairs)
+
+    cluster = cluster.select(F.col("node").alias("class"), F.col("root").alias("cluster")).join(classes.select("class", "n", "source_text"), "class")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / SET_BLOCK)).cast("int").alias("blocks")
+    cluster = written(cluster.join(cluster.groupBy("cluster").agg(blocks), "cluster").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")), "clusters")
+    held = _packed(docs).join(cluster.select("source_text"), "source_text", "left_semi").groupBy("source_text").agg(F.first("packed").alias("packed"))
+    members = written(cluster.join(held, "source_text").select("cluster", "blocks", "block", "class", "packed"), "members")
+    links = written(_cluster_links(members.withColumn("unit", _units_first()).withColumn("label", F.col("class"))), "links")
     label = components(links)
-
-    # candidates that would join two components
-    labelled = spread.join(label.select(F.col("node").alias("class"), F.col("root").alias("label")), "class", "left").withColumn("label", F.coalesce("label", "class"))
-    mixed = labelled.groupBy("pair").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("pair")
-    low, high = F.least(F.col("block"), F.col("other")).cast("long"), F.greatest(F.col("block"), F.col("other")).cast("long")
-    later = labelled.join(mixed, "pair", "left_semi").withColumn("other", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1), F.col("block")))))
-    later = later.withColumn("unit", F.when(F.col("blocks") == 1, F.lit(0).cast("long")).otherwise(low * F.col("blocks") + high))
-    more = written(_list_pairs(later, False).join(checked.select("a", "b"), ["a", "b"], "left_anti"), "candidates")
+    large = members.where("blocks > 2").join(label.select(F.col("node").alias("class"), F.col("root").alias("label")), "class", "left").withColumn("label", F.coalesce("label", "class"))
+    mixed = large.groupBy("cluster").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("cluster")
+    more = written(_cluster_links(large.join(mixed, "cluster", "left_semi").withColumn("unit", _units_rest())), "links")
     if not more.isEmpty():
-        extra = more.select(F.col("a").alias("class")).unionByName(more.select(F.col("b").alias("class"))).distinct().join(texts.select("class"), "class", "left_anti").join(classes.select("class", "source_text"), "class")
-        extra = written(extra, "extra")
-        if not extra.isEmpty():
-            texts = texts.unionByName(written(packed.join(extra, "source_text").groupBy("class").agg(F.first("packed").alias("packed")), "texts"))
-        links = links.unionByName(written(_confirm(more, texts), "confirmed").where("linked").select("a", "b"))
-        label = components(links)
+        label = components(links.unionByName(more))
 
     found = label.select(F.col("node").alias("class"), F.col("root").alias("component"))
     named = classes.select("class", "least").join(found, "class", "left").withColumn("component", F.coalesce("component", "class"))
