@@ -9,8 +9,10 @@ judged on the input.
    alone, so equal windows have equal anchors at equal places. Consecutive
    windows with one anchor form a fragment. Anchors are counted with map-side
    combining; only fragments whose anchor occurs again go on.
-2. *Collapsing.* Equal fragments become one row with a count. All windows of a
-   fragment that occurs twice are repeated.
+2. *Collapsing.* Fragments travel by name (a 128-bit digest and their place);
+   equal ones become one row with a count. All windows of a fragment that
+   occurs twice are repeated. Only different fragments that share an anchor are
+   fetched from one of the texts that hold them.
 3. *Sorting.* The different fragments of an anchor are joined into one text and
    its suffixes sorted in two stages: only suffixes smaller than their
    successors are sorted directly; the others are induced by scanning the
@@ -89,10 +91,14 @@ def _sort_directly(starts: np.ndarray, word: np.ndarray, depth: int) -> np.ndarr
         group = np.cumsum(~tied[at])
         place = starts[at] + d
         key = np.where(place < n, word[np.minimum(place, n - 1)], np.uint64(0))
-        order = np.lexsort((key, group))
-        starts[at] = starts[at][order]
-        key = key[order]
-        tied[at[1:]] &= key[1:] == key[:-1]
+        odd = key != key[np.searchsorted(group, group)]
+        mixed = np.flatnonzero(np.isin(group, group[odd]))  # the other groups stay as they are
+        if len(mixed):
+            order = np.lexsort((key[mixed], group[mixed]))
+            own = at[mixed]
+            starts[own] = starts[own][order]
+            key[mixed] = key[mixed][order]
+            tied[at[1:]] &= key[1:] == key[:-1]
     return starts
 
 
@@ -217,9 +223,17 @@ def fragments(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
 
 
 _ANCHORS = "anchor long, k1 long, k2 long, run long"
-_FRAGMENT = T.StructType([
-    T.StructField("anchor", T.LongType()), T.StructField("f1", T.LongType()), T.StructField("f2", T.LongType()), T.StructField("body", T.BinaryType()),
-    T.StructField("place", T.IntegerType()), T.StructField("copies", T.LongType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("starts", T.ArrayType(T.IntegerType())),
+#: a fragment by name: its anchor and that anchor's place in it, the digest of
+#: its bytes, its number of windows, and where it is
+_NAMED = T.StructType([
+    T.StructField("anchor", T.LongType()), T.StructField("f1", T.LongType()), T.StructField("f2", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("count", T.IntegerType()),
+    T.StructField("copies", T.LongType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("starts", T.ArrayType(T.IntegerType())),
+])
+_NAMED_ARROW = [("anchor", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("place", pa.int32()), ("count", pa.int32()), ("copies", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("starts", pa.list_(pa.int32()))]
+#: a fragment with its bytes, as one text holds it
+_BODY = T.StructType([
+    T.StructField("anchor", T.LongType()), T.StructField("body", T.BinaryType()), T.StructField("place", T.IntegerType()),
+    T.StructField("copies", T.LongType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("start", T.IntegerType()),
 ])
 
 
@@ -274,42 +288,56 @@ def _open(packed: bytes) -> bytes:
 
 
 def _fragment_rows(rows: DataFrame, length: int) -> DataFrame:
-    """From (k1, k2, packed, copies, runs): the fragments (kind 1) and, once
-    more, the text (kind 0)."""
-    schema = T.StructType([T.StructField("kind", T.IntegerType()), *_FRAGMENT.fields, T.StructField("packed", T.BinaryType())])
+    """From (k1, k2, packed, copies, runs): the fragments by name (kind 1) and,
+    once more, the text (kind 0)."""
+    schema = T.StructType([T.StructField("kind", T.IntegerType()), *_NAMED.fields, T.StructField("packed", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = pa.schema([("kind", pa.int32()), ("anchor", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("body", pa.binary()), ("place", pa.int32()), ("copies", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("starts", pa.list_(pa.int32())), ("packed", pa.binary())])
+        kinds = pa.schema([("kind", pa.int32()), *_NAMED_ARROW, ("packed", pa.binary())])
         for batch in batches:
-            out, size = [], 0
-            for rec in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
-                text = _open(rec["packed"])
-                found: dict[tuple, dict] = {}
-                for r in rec["runs"]:
-                    start, place, count = r["run"] >> 20, (r["run"] >> 10) & 1023, r["run"] & 1023
-                    body = text[start : start + count - 1 + length]
-                    name = _name(body)
-                    if (x := found.get(name)) is None:
-                        found[name] = {"kind": 1, "anchor": r["anchor"], "f1": name[0], "f2": name[1], "body": body, "place": place, "copies": rec["copies"], "k1": rec["k1"], "k2": rec["k2"], "starts": [start]}
-                        size += len(body) + 100
-                    else:
-                        x["starts"].append(start)
-                        x["copies"] += rec["copies"]
-                out += found.values()
-                out.append({"kind": 0, "k1": rec["k1"], "k2": rec["k2"], "copies": rec["copies"], "packed": rec["packed"]})
-                if size > 8 << 20:
-                    yield pa.RecordBatch.from_pylist(out, schema=kinds)
-                    out, size = [], 0
-            if out:
+            for i in range(0, batch.num_rows, 256):
+                out = []
+                for rec in batch.slice(i, 256).to_pylist():
+                    text = _open(rec["packed"])
+                    found: dict[tuple, dict] = {}
+                    for r in rec["runs"]:
+                        start, place, count = r["run"] >> 20, (r["run"] >> 10) & 1023, r["run"] & 1023
+                        name = _name(text[start : start + count - 1 + length])
+                        if (x := found.get(name)) is None:
+                            found[name] = {"kind": 1, "anchor": r["anchor"], "f1": name[0], "f2": name[1], "place": place, "count": count, "copies": rec["copies"], "k1": rec["k1"], "k2": rec["k2"], "starts": [start]}
+                        else:
+                            x["starts"].append(start)
+                            x["copies"] += rec["copies"]
+                    out += found.values()
+                    out.append({"kind": 0, "k1": rec["k1"], "k2": rec["k2"], "copies": rec["copies"], "packed": rec["packed"]})
                 yield pa.RecordBatch.from_pylist(out, schema=kinds)
 
     return rows.mapInArrow(run, schema)
 
 
+def _bodies(named: DataFrame, looked: DataFrame, length: int) -> DataFrame:
+    """The bytes of named fragments, each from the text that holds it first."""
+    wanted = named.select("k1", "k2", F.struct("anchor", "place", "copies", "count", F.element_at("starts", 1).alias("start")).alias("f")).groupBy("k1", "k2").agg(F.collect_list("f").alias("fragments"))
+    rows = looked.join(wanted, ["k1", "k2"]).select("k1", "k2", "packed", "fragments")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.schema([("anchor", pa.int64()), ("body", pa.binary()), ("place", pa.int32()), ("copies", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("start", pa.int32())])
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                out = []
+                for rec in batch.slice(i, 64).to_pylist():
+                    text = _open(rec["packed"])
+                    for f in rec["fragments"]:
+                        out.append({"anchor": f["anchor"], "body": text[f["start"] : f["start"] + f["count"] - 1 + length], "place": f["place"], "copies": f["copies"], "k1": rec["k1"], "k2": rec["k2"], "start": f["start"]})
+                yield pa.RecordBatch.from_pylist(out, schema=kinds)
+
+    return rows.mapInArrow(run, _BODY)
+
+
 def _sorted_windows(groups: DataFrame, length: int) -> DataFrame:
     """Sort the suffixes of each anchor's fragments; the repeated windows of
     fragments that occur once, as (k1, k2, start, count)."""
-    rows = groups.select("anchor", "body", "copies", "k1", "k2", F.element_at("starts", 1).alias("start")).repartition("anchor").sortWithinPartitions("anchor")
+    rows = groups.select("anchor", "body", "copies", "k1", "k2", "start").repartition("anchor").sortWithinPartitions("anchor")
 
     def solve(bodies: list[bytes], rest: list[tuple]) -> pa.RecordBatch:
         text = np.frombuffer(b"\xff".join(bodies), dtype=np.uint8)
@@ -346,12 +374,12 @@ def _sorted_windows(groups: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(run, "k1 long, k2 long, start int, count int")
 
 
-def _cut(frags: DataFrame, width: int, length: int, gram: int) -> DataFrame:
+def _cut(bodies: DataFrame, width: int, length: int) -> DataFrame:
     """Cut fragments into windows of neighbouring places, dealt by the bytes
     that all windows of the cut share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = pa.schema([("anchor", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("body", pa.binary()), ("place", pa.int32()), ("copies", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("starts", pa.list_(pa.int32()))])
+        kinds = pa.schema(_NAMED_ARROW)
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 out = []
@@ -361,14 +389,12 @@ def _cut(frags: DataFrame, width: int, length: int, gram: int) -> DataFrame:
                     for cut in range((place - count + 1) // width, place // width + 1):
                         low, high = cut * width, cut * width + width - 1  # distances of the anchor from a window's start
                         first, last = max(0, place - high), min(count - 1, place - low)
-                        shared = body[place - low : place - high + length]
-                        piece = body[first : last + length]
-                        key = _name(struct.pack("<qi", rec["anchor"], cut) + shared)[0]
-                        name = _name(piece)
-                        out.append({"anchor": key, "f1": name[0], "f2": name[1], "body": piece, "place": place - first, "copies": rec["copies"], "k1": rec["k1"], "k2": rec["k2"], "starts": [rec["starts"][0] + first]})
+                        key = _name(struct.pack("<qi", rec["anchor"], cut) + body[place - low : place - high + length])[0]
+                        name = _name(body[first : last + length])
+                        out.append({"anchor": key, "f1": name[0], "f2": name[1], "place": place - first, "count": last - first + 1, "copies": rec["copies"], "k1": rec["k1"], "k2": rec["k2"], "starts": [rec["start"] + first]})
                 yield pa.RecordBatch.from_pylist(out, schema=kinds)
 
-    return frags.select(*_FRAGMENT.names).mapInArrow(run, _FRAGMENT)
+    return bodies.mapInArrow(run, _NAMED)
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
@@ -384,33 +410,29 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, gr
     texts = _packed_texts(docs, length).groupBy("k1", "k2").agg(F.first("packed").alias("packed"), F.count(F.lit(1)).alias("copies"))
     path = scratch_path(spark, "fragments")
     _fragment_rows(texts.join(runs, ["k1", "k2"]).select("k1", "k2", "packed", "copies", "runs"), length).write.partitionBy("kind").option("compression", "zstd").parquet(path)
-    table = T.StructType([*_FRAGMENT.fields, T.StructField("packed", T.BinaryType()), T.StructField("kind", T.IntegerType())])
+    table = T.StructType([*_NAMED.fields, T.StructField("packed", T.BinaryType()), T.StructField("kind", T.IntegerType())])
     written = spark.read.schema(table).parquet(path)
-    frags, looked = written.where("kind = 1").select(*_FRAGMENT.names), written.where("kind = 0").select("k1", "k2", "packed")
+    named, looked = written.where("kind = 1").select(*_NAMED.names), written.where("kind = 0").select("k1", "k2", "packed")
+
+    def stored(frame: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(spark, name)
+        frame.write.option("compression", "zstd").parquet(path)
+        return spark.read.schema(frame.schema).parquet(path)
 
     found = []
     for width in (*CUTS, 0):
-        different = frags.groupBy("anchor", "f1", "f2").agg(F.sum("copies").alias("copies"), *(F.first(c).alias(c) for c in ("body", "place", "k1", "k2", "starts")))
-        path = scratch_path(spark, "different")
-        different.select(*_FRAGMENT.names).write.option("compression", "zstd").parquet(path)
-        different = spark.read.schema(_FRAGMENT).parquet(path)
+        rest = F.first(F.struct("place", "count", "k1", "k2", "starts")).alias("rest")
+        different = stored(named.groupBy("anchor", "f1", "f2").agg(F.sum("copies").alias("copies"), rest).select("anchor", "f1", "f2", "copies", "rest.*"), "different")
         often = different.where("copies > 1").select("anchor", "f1", "f2")
-        found.append(
-            frags.select("anchor", "f1", "f2", "k1", "k2", "starts", (F.length("body") - length + 1).alias("count"))
-            .join(often, ["anchor", "f1", "f2"], "left_semi")
-            .select("k1", "k2", F.explode("starts").alias("start"), "count")
-        )
-        sizes = different.groupBy("anchor").count()
+        found.append(named.join(often, ["anchor", "f1", "f2"], "left_semi").select("k1", "k2", F.explode("starts").alias("start"), "count"))
         if not width:  # single windows: equal ones are one row by now
             break
-        found.append(_sorted_windows(different.join(sizes.where(f"count between 2 and {group}").select("anchor"), "anchor", "left_semi"), length))
+        sizes = different.groupBy("anchor").count()
+        found.append(_sorted_windows(_bodies(different.join(sizes.where(f"count between 2 and {group}").select("anchor"), "anchor", "left_semi"), looked, length), length))
         hot = sizes.where(f"count > {group}").select("anchor")
         if hot.isEmpty():
             break
-        frags = _cut(different.join(hot, "anchor", "left_semi"), width, length, gram)
-        path = scratch_path(spark, "cuts")
-        frags.write.option("compression", "zstd").parquet(path)
-        frags = spark.read.schema(_FRAGMENT).parquet(path)
+        named = stored(_cut(_bodies(different.join(hot, "anchor", "left_semi"), looked, length), width, length), "cuts")
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
