@@ -2,7 +2,7 @@
 
 pandas treats NaN and None alike; Spark does not (``avg``/``corr`` over a NaN
 give NaN and ``count`` counts it). Every operator therefore reads columns
-through :func:`normalise`, which turns float NaN into SQL NULL.
+through :func:`clean_col`, which turns float NaN into SQL NULL.
 """
 
 from __future__ import annotations
@@ -58,7 +58,7 @@ def is_floating(dt: T.DataType) -> bool:
 def clean_col(df: DataFrame, name: str) -> Column:
     """Column with NaN mapped to NULL (floats only); others unchanged."""
     dt = df.schema[name].dataType
-    c = F.col(name)
+    c = F.col(f"`{name}`")
     if is_floating(dt):
         return F.nanvl(c, F.lit(None).cast(dt))
     return c
@@ -75,13 +75,6 @@ def numeric_value(df: DataFrame, name: str) -> Column:
     return c
 
 
-def normalise(df: DataFrame) -> DataFrame:
-    """Project every float column through ``nanvl(c, NULL)``; keeps names and order."""
-    if not any(is_floating(f.dataType) for f in df.schema.fields):
-        return df
-    return df.select(*[clean_col(df, f.name).alias(f.name) for f in df.schema.fields])
-
-
 def type_name(dt: T.DataType) -> str:
     """Spark's short type name (bigint, double, string, timestamp_ntz, ...)."""
     return dt.simpleString()

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from .prep import hash_order, rank_within
 
 SEED = 42
@@ -28,30 +28,36 @@ DOMINANT_IMPORTANCE = 0.1
 
 # ---------------------------------------------------------------- I1 permutation importance
 
-def permute_column(df: DataFrame, column: str, key: str | list[str], repeat: int = 0, seed: int = SEED, method: str = "hash") -> DataFrame:
-    """``df`` with ``column`` permuted: the row at key-rank r receives the
-    value of the row at rank r in key-hash order (hash of key, seed,
-    repeat), or of key-rank r+1 (cyclic) with ``method='shift'``. Ranks come
-    from the two-level prefix sum; the exchange is one equi-join on rank."""
-    keys = [key] if isinstance(key, str) else list(key)
+def _permuted(df: DataFrame, columns: list[str], keys: list[str], repeat: int, seed: int, method: str) -> DataFrame:
+    """``df`` with ``_perm_<i>`` for each of ``columns``: the row at key-rank r
+    receives the values of the row at rank r in key-hash order (hash of key,
+    seed, repeat), or of key-rank r+1 (cyclic) with ``method='shift'``. Ranks
+    come from the two-level prefix sum; the exchange is one equi-join on rank
+    that carries only these columns."""
+    values = [F.col(f"`{c}`").alias(f"_perm_{i}") for i, c in enumerate(columns)]
     base = rank_within(df, None, _key_order(keys)).withColumnRenamed("_rank", "_kr")
     if method == "shift":
-        donors = base.select(
-            F.when(F.col("_kr") == 1, F.col("_n")).otherwise(F.col("_kr") - 1).alias("_kr"), F.col(column).alias("_perm")
-        )
+        rank = F.when(F.col("_kr") == 1, F.col("_n")).otherwise(F.col("_kr") - 1)
+        donors = base.select(rank.alias("_kr"), *values)
     else:
-        donors = rank_within(df.select(*keys, column), None, hash_order(keys, seed, salt=repeat)).select(
-            F.col("_rank").alias("_kr"), F.col(column).alias("_perm")
-        )
-    out = base.drop("_n").join(donors, "_kr").drop(column, "_kr").withColumnRenamed("_perm", column)
-    return out.select(*df.columns)
+        narrow = df.select(*dict.fromkeys([*keys, *columns]))
+        donors = rank_within(narrow, None, hash_order(keys, seed, salt=repeat)).select(F.col("_rank").alias("_kr"), *values)
+    return base.drop("_n").join(donors, "_kr").drop("_kr")
+
+
+def permute_column(df: DataFrame, column: str, key: str | list[str], repeat: int = 0, seed: int = SEED, method: str = "hash") -> DataFrame:
+    """``df`` with one column permuted."""
+    keys = [key] if isinstance(key, str) else list(key)
+    return _swapped(_permuted(df, [column], keys, repeat, seed, method), df.columns, column, 0)
+
+
+def _swapped(permuted: DataFrame, columns: list[str], column: str, i: int) -> DataFrame:
+    return permuted.select(*[F.col(f"_perm_{i}").alias(c) if c == column else F.col(f"`{c}`") for c in columns])
 
 
 def _key_order(keys: list[str]):
-    """A double that orders rows by their key (exact for one integral key)."""
-    if len(keys) == 1:
-        return F.col(keys[0]).cast("double")
-    return hash_order(keys, 0)
+    """An order of the rows by their key (hashed if it has several columns)."""
+    return F.col(f"`{keys[0]}`") if len(keys) == 1 else hash_order(keys, 0)
 
 
 def permutation_importance(
@@ -65,20 +71,35 @@ def permutation_importance(
     method: str = "hash",
 ) -> DataFrame:
     """Importance of each raw feature = score(original) - score(with the
-    feature permuted), mean and population std over ``repeats``; sorted by
-    mean desc. ``predict`` maps rows to rows with predictions, ``score``
-    reduces them to one number (a Spark aggregation)."""
-    spark = df.sparkSession
+    feature permuted), mean and population std over ``repeats``. ``predict``
+    maps rows to rows with predictions, ``score`` reduces them to one number (a
+    Spark aggregation). Rows are ranked and joined once per repeat, for all
+    features together."""
+    keys = [key] if isinstance(key, str) else list(key)
     base_score = score(predict(df))
-    rows = []
-    for f in features:
-        drops = []
-        for rep in range(repeats if method == "hash" else 1):
-            drops.append(base_score - score(predict(permute_column(df, f, key, rep, seed, method))))
-        arr = np.array(drops, dtype="float64")
-        rows.append((f, float(arr.mean()), float(arr.std())))
-    out = spark.createDataFrame(rows, "feature string, importance_mean double, importance_std double")
-    return out
+    drops: dict[str, list[float]] = {f: [] for f in features}
+    for repeat in range(repeats if method == "hash" else 1):
+        permuted = materialize(_permuted(df, features, keys, repeat, seed, method))
+        for i, f in enumerate(features):
+            drops[f].append(base_score - score(predict(_swapped(permuted, df.columns, f, i))))
+    rows = [(f, float(np.mean(d)), float(np.std(d))) for f, d in drops.items()]
+    return df.sparkSession.createDataFrame(rows, "feature string, importance_mean double, importance_std double")
+
+
+def explain_baseline(run, features: list[str], key: str | list[str], model: str | None = None, repeats: int = REPEATS) -> DataFrame:
+    """I1 for a fitted baseline (the best one unless named) over all rows of
+    its run: accuracy or -MSE as the score."""
+    from . import metrics as mt
+
+    name = model or run.best()
+    rows = run.train.unionByName(run.test)
+
+    def score(pred: DataFrame) -> float:
+        p = pred.select(F.col("label").alias("y_true"), F.col("prediction").alias("y_pred"))
+        return mt.accuracy(p).first()[0] if run.task == "classification" else -mt.regression_metrics(p).first()["mse"]
+
+    keys = [key] if isinstance(key, str) else list(key)
+    return permutation_importance(rows, features, lambda d: run.predict(d, name, [*keys, "label"]), score, key, repeats).withColumn("model", F.lit(name))
 
 
 # ---------------------------------------------------------------- I2 TreeSHAP
@@ -283,19 +304,19 @@ def top_features(imp: DataFrame, k: int = TOP_INSIGHTS, group_cols: list[str] |
     """I4: top-k features per run by importance (ties by name), with the
     run's count of positive importances. Runs have few features, so the
     window per run is small."""
-    g = group_cols or ["run"]
+    g = ["run"] if group_cols is None else group_cols
     w = Window.partitionBy(*g).orderBy(F.col("importance").desc(), F.col("feature"))
     pos = imp.groupBy(*g).agg(F.count_if(F.col("importance") > 0).alias("n_positive"))
     ranked = imp.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return ranked.join(pos, g).select(*g, "rank", "feature", "importance", "n_positive")
+    return (ranked.join(pos, g) if g else ranked.crossJoin(pos)).select(*g, "rank", "feature", "importance", "n_positive")
 
 
 def weak_and_dominant_features(imp: DataFrame, group_cols: list[str] | None = None) -> DataFrame:
     """Per run, features with importance <= 0 (weak) and whether the top
     importance exceeds .1 (dominant) -> (run, feature, kind)."""
-    g = group_cols or ["run"]
+    g = ["run"] if group_cols is None else group_cols
     weak = imp.where(F.col("importance") <= 0).select(*g, "feature", F.lit("weak").alias("kind"))
-    top = imp.groupBy(*g).agg(F.max_by("feature", F.struct(F.col("importance"), -F.lit(1))).alias("feature"), F.max("importance").alias("m"))
+    top = imp.groupBy(*g).agg(F.min_by("feature", F.struct(-F.col("importance"), F.col("feature"))).alias("feature"), F.max("importance").alias("m"))
     dom = top.where(F.col("m") > DOMINANT_IMPORTANCE).select(*g, "feature", F.lit("dominant").alias("kind"))
     return weak.unionByName(dom)
 
@@ -303,7 +324,7 @@ def weak_and_dominant_features(imp: DataFrame, group_cols: list[str] | None = No
 def importance_stats(imp: DataFrame, group_cols: list[str] | None = None) -> DataFrame:
     """Mean, std (population), max, min, zero count and ratio, quartiles
     and the top-5 / top-10 feature lists per run."""
-    g = group_cols or ["run"]
+    g = ["run"] if group_cols is None else group_cols
     v = F.col("importance")
     ranked = F.array_sort(F.collect_list(F.struct((-v).alias("k"), F.col("feature").alias("f"))))
     return imp.groupBy(*g).agg(
@@ -318,6 +339,8 @@ def importance_stats(imp: DataFrame, group_cols: list[str] | None = None) -> Dat
         F.percentile(v, 0.75).alias("q75"),
         F.array_join(F.transform(F.slice(ranked, 1, 5), lambda s: s["f"]), ",").alias("top_5_features"),
         F.array_join(F.transform(F.slice(ranked, 1, 10), lambda s: s["f"]), ",").alias("top_10_features"),
+        F.transform(F.slice(ranked, 1, 5), lambda s: F.round(-s["k"], 6)).alias("top_5_scores"),
+        F.transform(F.slice(ranked, 1, 10), lambda s: F.round(-s["k"], 6)).alias("top_10_scores"),
     )
 
 
@@ -332,34 +355,73 @@ def performance_level(scores: DataFrame, task: str, value: str = "value") -> Dat
     return scores.withColumn("performance_level", lvl)
 
 
-def dataset_findings(df: DataFrame, high_missing_pct: float = 30.0, best: DataFrame | None = None, importances: DataFrame | None = None) -> DataFrame:
+def dataset_findings(df: DataFrame, high_missing_pct: float = 30.0, results: DataFrame | None = None, task: str | None = None, importances: DataFrame | None = None) -> DataFrame:
     """One (section, item, value) table: shape, missing %, high-missing
-    (30 %), constant and high-cardinality columns, strong correlations,
-    and - when given - the best model and top-5 features."""
+    (30 %), constant and high-cardinality columns, strong correlations and
+    multicollinear columns, and - when the rows of a training run are given -
+    the best model, its score and level, models trained and failed, and the
+    top-5 features."""
+    from ..functions import types as ty
     from . import profile as pr
-    from .relations import pearson, strong_pairs
+    from .models import select_best_model
+    from .relations import multicollinear_columns, pearson, strong_pairs, vif
 
-    prof = pr.column_profile(df)
+    prof = materialize(pr.column_profile(df))
     ov = pr.dataset_overview(df)
+    text = lambda c, digits: F.format_string(f"%.{digits}f", F.col(c).cast("double"))
+    row = lambda frame, section, item, value: frame.select(F.lit(section).alias("section"), (F.lit(item) if isinstance(item, str) else item).alias("item"), value.alias("value"))
     parts = [
-        ov.select(F.lit("dataset").alias("section"), F.lit("rows").alias("item"), F.col("total_rows").cast("string").alias("value")),
-        ov.select(F.lit("dataset"), F.lit("columns"), F.col("total_cols").cast("string")),
-        ov.select(F.lit("dataset"), F.lit("missing_percentage"), F.format_number("missing_percentage", 2)),
-        pr.high_missing_columns(prof, high_missing_pct).select(F.lit("high_missing"), F.col("column"), F.format_number("missing_pct", 2)),
-        pr.constant_columns(prof).select(F.lit("constant"), F.col("column"), F.col("unique_count").cast("string")),
-        pr.high_cardinality_columns(prof).select(F.lit("high_cardinality"), F.col("column"), F.col("unique_count").cast("string")),
+        row(ov, "dataset", "rows", F.col("total_rows").cast("string")),
+        row(ov, "dataset", "columns", F.col("total_cols").cast("string")),
+        row(ov, "dataset", "missing_percentage", text("missing_percentage", 2)),
+        row(pr.high_missing_columns(prof, high_missing_pct), "high_missing", F.col("column"), text("missing_pct", 2)),
+        row(pr.constant_columns(prof), "constant", F.col("column"), F.col("unique_count").cast("string")),
+        row(pr.high_cardinality_columns(prof), "high_cardinality", F.col("column"), F.col("unique_count").cast("string")),
     ]
-    from ..functions import types as ty
-
     if len(ty.numeric_columns(df)) >= 2:
-        sp = strong_pairs(pearson(df))
-        parts.append(sp.agg(F.count(F.lit(1)).cast("string").alias("value")).select(F.lit("relationships"), F.lit("strong_correlations"), "value"))
-    if best is not None:
-        parts.append(best.select(F.lit("modeling"), F.lit("best_model"), F.col("best_model").cast("string")))
-        parts.append(best.select(F.lit("modeling"), F.lit("best_score"), F.format_number("best_score", 4)))
+        count = F.count(F.lit(1)).cast("string").alias("n")
+        parts.append(row(strong_pairs(pearson(df)).agg(count), "relationships", "strong_correlations", F.col("n")))
+        parts.append(row(multicollinear_columns(vif(df)).agg(count), "relationships", "multicollinear_columns", F.col("n")))
+    if results is not None:
+        best = performance_level(select_best_model(results), task or "classification", "best_score")
+        failed = results.groupBy("model").agg(F.max((F.col("metric") == "error").cast("int")).alias("failed"))
+        counts = failed.agg(F.count_if(F.col("failed") == 0).cast("string").alias("ok"), F.count_if(F.col("failed") == 1).cast("string").alias("bad"))
+        parts += [
+            row(best, "modeling", "best_model", F.col("best_model")),
+            row(best, "modeling", "best_score", text("best_score", 4)),
+            row(best, "modeling", "performance_level", F.col("performance_level")),
+            row(counts, "modeling", "models_trained", F.col("ok")),
+            row(counts, "modeling", "models_failed", F.col("bad")),
+        ]
     if importances is not None:
-        parts.append(top_features(importances, TOP_INSIGHTS, []).select(F.lit("top_features"), F.col("feature"), F.format_number("importance", 4)))
+        parts.append(row(top_features(importances, TOP_INSIGHTS, []), "top_features", F.col("feature"), text("importance", 4)))
     out = parts[0]
     for p in parts[1:]:
-        out = out.union(p)
-    return out.toDF("section", "item", "value")
+        out = out.unionByName(p)
+    return out
+
+
+def run_summary(df: DataFrame, target: str, task: str, results: DataFrame, importances: DataFrame, name: str = "table") -> DataFrame:
+    """A6 content: one row of structs - metadata (name, shape, target, task),
+    data quality (missing %, warnings), modelling (best model, trained and
+    failed counts), the top-5 importances, and recommendations (findings by
+    section)."""
+    from .clean import quality_findings
+    from .profile import dataset_overview
+
+    ov = dataset_overview(df)
+    warnings = quality_findings(df).agg(F.count(F.lit(1)).alias("warnings_count"), F.array_sort(F.collect_list(F.concat_ws(": ", "check", "column"))).alias("warnings"))
+    found = materialize(dataset_findings(df, results=results, task=task, importances=importances))  # a few rows per column
+    item = lambda i: F.max(F.when((F.col("section") == "modeling") & (F.col("item") == i), F.col("value")))
+    modeling = found.agg(item("best_model").alias("best_model"), item("models_trained").cast("long").alias("models_trained"), item("models_failed").cast("long").alias("models_failed"))
+    top = top_features(importances, TOP_INSIGHTS, []).agg(F.array_sort(F.collect_list(F.struct("rank", "feature", "importance"))).alias("t"))
+    advice = found.where(F.col("section").isin("high_missing", "constant", "high_cardinality", "relationships")).groupBy("section").agg(F.count(F.lit(1)).alias("n"))
+    advice = advice.agg(F.array_sort(F.collect_list("section")).alias("sections"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_recommendations"))
+    one = ov.crossJoin(warnings).crossJoin(modeling).crossJoin(top).crossJoin(advice)  # one row each
+    return one.select(
+        F.struct(F.lit(name).alias("dataset"), F.col("total_rows"), F.col("total_cols"), F.lit(target).alias("target_column"), F.lit(task).alias("task_type")).alias("metadata"),
+        F.struct(F.round("missing_percentage", 6).alias("missing_data_pct"), "warnings_count", "warnings").alias("data_quality"),
+        F.struct("best_model", "models_trained", "models_failed").alias("modeling"),
+        F.struct(F.lit("permutation_importance").alias("method"), F.transform("t", lambda x: x["feature"]).alias("top_features"), F.transform("t", lambda x: F.round(x["importance"], 6)).alias("top_scores")).alias("feature_importance"),
+        F.struct("sections", "total_recommendations").alias("recommendations"),
+    )

@@ -15,7 +15,6 @@ from ..functions.ranking import cumulative_by_value
 from ..functions.stats import normal_quantile
 
 EPS = 2.220446049250313e-16  # float64 machine epsilon (probability clipping)
-MAX_CLASSES = 10_000  # label grid of the confusion matrix is classes^2 rows
 
 
 def _eq(a: Column, b: Column) -> Column:
@@ -34,14 +33,15 @@ def labels(pred: DataFrame, y: str = "y_true", p: str = "y_pred") -> DataFrame:
     return pred.select(F.col(y).alias("label")).union(pred.select(F.col(p).alias("label"))).where(F.col("label").isNotNull()).distinct()
 
 
-def confusion_matrix(pred: DataFrame, y: str = "y_true", p: str = "y_pred") -> DataFrame:
-    """H2: (actual, predicted, count) over the label union, zeros included."""
+def confusion_matrix(pred: DataFrame, y: str = "y_true", p: str = "y_pred", zeros: bool = True) -> DataFrame:
+    """H2: (actual, predicted, count). With ``zeros`` the empty cells of the
+    label union are rows too (classes^2 of them); without, only cells that
+    occur, for any number of labels."""
     counts = pred.groupBy(F.col(y).alias("actual"), F.col(p).alias("predicted")).agg(F.count(F.lit(1)).alias("count"))
+    if not zeros:
+        return counts.where(F.col("actual").isNotNull() & F.col("predicted").isNotNull())
     lb = labels(pred, y, p)
-    k = lb.count()
-    if k > MAX_CLASSES:
-        raise ValueError(f"confusion matrix over {k} labels (> {MAX_CLASSES}): not a classification target")
-    grid = lb.select(F.col("label").alias("actual")).crossJoin(F.broadcast(lb.select(F.col("label").alias("predicted"))))  # classes^2
+    grid = lb.select(F.col("label").alias("actual")).crossJoin(lb.select(F.col("label").alias("predicted")))  # labels, not rows
     return grid.join(counts, ["actual", "predicted"], "left").select("actual", "predicted", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
 
 
@@ -131,14 +131,16 @@ def score_table(pred: DataFrame, score: str, positive: Column, group: Column | N
 
 def roc_curve(pred: DataFrame, y: str = "y_true", score: str = "score", positive=1) -> DataFrame:
     """H8: (threshold, fpr, tpr) at every distinct score, thresholds descending
-    (collinear points are kept)."""
+    (collinear points are kept), after the start point (+inf, 0, 0)."""
     st = score_table(pred, score, F.col(y) == F.lit(positive))
     cum = cumulative_by_value(st, ["g"], "s", ["pos", "neg"], descending=True)
-    return cum.select(
+    points = cum.select(
         F.col("s").alias("threshold"),
         F.try_divide(F.col("cum_neg"), F.col("total_neg")).alias("fpr"),
         F.try_divide(F.col("cum_pos"), F.col("total_pos")).alias("tpr"),
     )
+    start = pred.sparkSession.createDataFrame([(float("inf"), 0.0, 0.0)], "threshold double, fpr double, tpr double")
+    return start.unionByName(points)
 
 
 def _auc_from_table(st: DataFrame) -> DataFrame:
@@ -189,15 +191,22 @@ def log_loss_multiclass(pred: DataFrame, classes: list, prob_cols: list[str], y:
 def roc_auc_multiclass(pred: DataFrame, classes: list, prob_cols: list[str], y: str = "y_true") -> DataFrame:
     """Macro one-vs-rest and one-vs-one AUC. All class problems are one
     explode + one score table grouped by problem."""
-    ovr = [F.struct(F.lit(f"ovr:{i}").alias("g"), F.col(pc).cast("double").alias("s"), (F.col(y) == F.lit(c)).alias("positive"), F.lit(True).alias("keep"))
-           for i, (c, pc) in enumerate(zip(classes, prob_cols))]
-    ovo = []
-    for i, (a, pa) in enumerate(zip(classes, prob_cols)):
-        for j, (b, pb) in enumerate(zip(classes, prob_cols)):
-            if i != j:
-                keep = F.col(y).isin(a, b)
-                ovo.append(F.struct(F.lit(f"ovo:{min(i, j)}:{max(i, j)}:{i}").alias("g"), F.col(pa).cast("double").alias("s"), (F.col(y) == F.lit(a)).alias("positive"), keep.alias("keep")))
-    x = pred.select(F.explode(F.array(*(ovr + ovo))).alias("_e")).select("_e.*").where("keep")
+    # one row per (row, class of the score): its own class decides which problems
+    # it belongs to, so a row makes classes + 2 (classes - 1) rows, not classes^2
+    index = F.lit(None).cast("int")
+    for i, c in enumerate(classes):
+        index = F.when(F.col(y) == F.lit(c), F.lit(i)).otherwise(index)
+    scores = F.array(*[F.col(c).cast("double") for c in prob_cols])
+    k = len(classes)
+    x = pred.select(index.alias("t"), scores.alias("p"))
+    name = lambda a, b, i: F.concat(F.lit("ovo:"), F.least(a, b).cast("string"), F.lit(":"), F.greatest(a, b).cast("string"), F.lit(":"), i.cast("string"))
+    each = x.select("t", "p", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("i"))
+    ovr = each.select(F.concat(F.lit("ovr:"), F.col("i").cast("string")).alias("g"), F.element_at("p", F.col("i") + 1).alias("s"), F.coalesce(F.col("t") == F.col("i"), F.lit(False)).alias("positive"))
+    other = each.where(F.col("t").isNotNull() & (F.col("i") != F.col("t")))
+    t, i = F.col("t"), F.col("i")
+    own = other.select(name(t, i, t).alias("g"), F.element_at("p", t + 1).alias("s"), F.lit(True).alias("positive"))
+    rival = other.select(name(t, i, i).alias("g"), F.element_at("p", i + 1).alias("s"), F.lit(False).alias("positive"))
+    x = ovr.unionByName(own).unionByName(rival).where(F.col("s").isNotNull())
     st = x.groupBy("g", "s").agg(F.count_if("positive").cast("double").alias("pos"), F.count_if(~F.col("positive")).cast("double").alias("neg"))
     auc = _auc_from_table(st)
     kind = F.split(F.col("g"), ":")
@@ -287,6 +296,7 @@ def cv_score_summary(scores: DataFrame, group_cols: list[str] | None = None, val
     )
 
 
+# The key metrics of each task, in display order.
 CLASSIFICATION_TABLE = ["accuracy", "balanced_accuracy", "f1", "precision", "recall", "f1_weighted", "roc_auc", "pr_auc", "log_loss"]
 REGRESSION_TABLE = ["mae", "rmse", "r2", "mape", "explained_variance", "adjusted_r2"]
 

@@ -10,15 +10,18 @@ Every evaluation goes through the prediction-table metrics of
 from __future__ import annotations
 
 import time
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import metrics as mt
-from .prep import assign_folds, preprocess_apply, preprocess_fit
+from .prep import N_FOLDS, Preprocessor, assign_folds, preprocess_apply, preprocess_fit
 
 SEED = 42
 N_NEIGHBORS = 5
+KNN = "K-Nearest Neighbors"
+# Metrics where a smaller value is better.
 LOWER_IS_BETTER_METRICS = ("mae", "mse", "rmse", "log_loss")
 
 
@@ -42,8 +45,8 @@ def regressors(n_train: int, y_std: float) -> dict:
 
     return {
         "Linear Regression": LinearRegression(solver="normal", regParam=0.0),
-        "Ridge Regression": LinearRegression(regParam=1.0 * (y_std or 1.0) / max(n_train, 1), elasticNetParam=0.0, standardization=False, solver="l-bfgs", maxIter=1000),
-        "Lasso Regression": LinearRegression(regParam=0.1, elasticNetParam=1.0, standardization=False, maxIter=1000),
+        "Ridge Regression": LinearRegression(solver="normal", regParam=1.0 * (y_std or 1.0) / max(n_train, 1), elasticNetParam=0.0, standardization=False),
+        "Lasso Regression": LinearRegression(regParam=0.1, elasticNetParam=1.0, standardization=False, maxIter=1000, tol=1e-12),
         "Decision Tree": DecisionTreeRegressor(maxDepth=10, seed=SEED),
         "Random Forest": RandomForestRegressor(numTrees=100, maxDepth=10, seed=SEED),
     }
@@ -54,37 +57,46 @@ def regressors(n_train: int, y_std: float) -> dict:
 def knn_predict(
     train: DataFrame,
     test: DataFrame,
-    id_col: str,
+    id_col: str | list[str],
     features: str = "features",
     label: str = "label",
     k: int = N_NEIGHBORS,
     task: str = "classification",
     rows_per_block: int = 20000,
 ) -> DataFrame:
-    """Exact k nearest neighbours (Euclidean) -> (id, prediction).
+    """Exact k nearest neighbours (Euclidean) -> (id columns, prediction).
 
-    Exact kNN is inherently test x train work; it is spread without ever
+    The cost is test x train distances, whatever the layout: use it for tables
+    where that product is affordable. The work is spread without ever
     materialising row pairs and without broadcasting either side: test rows
     are dealt into ``nq`` blocks and training rows into ``nt`` blocks (about
     ``rows_per_block`` rows each); every (test block, train block) pair is
     one ``cogroup.applyInPandas`` group solved with NumPy, emitting only the
-    k best training rows per test row. A window over the nt * k candidates
-    of each test row keeps the final k. Ties in distance go to the smaller
-    training id; the vote goes to the most frequent label (ties: smallest),
-    regression takes the mean.
+    k best training rows per test row, so what leaves the tasks is nt * k rows
+    per test row. A window over those candidates keeps the final k. Ids may be
+    one or several columns of any type; ties in distance go to the smaller
+    integer id (else to the smaller hash of the id); the vote goes to the most
+    frequent label (ties: smallest), regression takes the mean.
     """
     import numpy as np
     import pandas as pd
     from pyspark.ml.functions import vector_to_array
     from pyspark.sql import Window
+    from pyspark.sql import types as T
 
+    from ..session import materialize
+
+    ids = [id_col] if isinstance(id_col, str) else list(id_col)
+    single = len(ids) == 1 and isinstance(train.schema[ids[0]].dataType, T.IntegralType)
+    tie = F.col(f"`{ids[0]}`").cast("long") if single else F.xxhash64(*[F.col(f"`{c}`") for c in ids])
+    test = materialize(test.select(*[F.col(f"`{c}`") for c in ids], F.col(features).alias("_x"), F.monotonically_increasing_id().alias("qid")))
     nq = max(1, -(-test.count() // rows_per_block))
     nt = max(1, -(-train.count() // rows_per_block))
-    tr = train.select(F.col(id_col).cast("long").alias("tid"), F.col(label).cast("double").alias("y"), vector_to_array(F.col(features)).alias("x"))
+    tr = train.select(tie.alias("tid"), F.col(label).cast("double").alias("y"), vector_to_array(F.col(features)).alias("x"))
     tr = tr.withColumn("tb", F.pmod(F.xxhash64("tid", F.lit(SEED)), F.lit(nt)).cast("int")).withColumn(
         "qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))
     )
-    te = test.select(F.col(id_col).cast("long").alias("qid"), vector_to_array(F.col(features)).alias("x"))
+    te = test.select("qid", vector_to_array(F.col("_x")).alias("x"))
     te = te.withColumn("qb", F.pmod(F.xxhash64("qid", F.lit(SEED + 1)), F.lit(nq)).cast("int")).withColumn(
         "tb", F.explode(F.sequence(F.lit(0), F.lit(nt - 1)))
     )
@@ -119,7 +131,7 @@ def knn_predict(
         pred = votes.groupBy("qid").agg(F.min_by("y", F.struct(-F.col("v"), F.col("y"))).alias("prediction"))
     else:
         pred = nn.groupBy("qid").agg(F.avg("y").alias("prediction"))
-    return pred.withColumnRenamed("qid", id_col)
+    return test.join(pred, "qid").select(*[F.col(f"`{c}`") for c in ids], "prediction")
 
 
 # ---------------------------------------------------------------- G16 training loop
@@ -150,6 +162,12 @@ def evaluate_predictions(pred: DataFrame, task: str, classes: list | None = None
                 rows.append(mt.log_loss_binary(q, positive=1.0))
         else:
             rows.append(mt.multiclass_prf(p).select("f1_macro", "f1_weighted", "precision_macro", "recall_macro"))
+            if "prob" in p.columns and classes is not None:
+                names = [f"p{i}" for i in range(len(classes))]
+                q = p.select("y_true", *[F.col("prob")[i].alias(n) for i, n in enumerate(names)])
+                index = [float(i) for i in range(len(classes))]
+                rows.append(mt.roc_auc_multiclass(q, index, names).select("roc_auc_ovr"))
+                rows.append(mt.log_loss_multiclass(q, index, names))
     else:
         rows.append(mt.regression_metrics(p).select("mae", "rmse", "r2", "mape"))
     wide = rows[0]
@@ -159,6 +177,28 @@ def evaluate_predictions(pred: DataFrame, task: str, classes: list | None = None
     return wide.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in cols])).alias("m")).select("m.*")
 
 
+@dataclass
+class BaselineRun:
+    """What training leaves behind: the result rows, and everything needed to
+    predict with or to explain a fitted model."""
+
+    results: DataFrame  # (model, metric, value, error)
+    models: dict
+    preprocessor: Preprocessor
+    task: str
+    classes: list | None
+    train: DataFrame  # raw features, keys, label
+    test: DataFrame
+
+    def best(self) -> str | None:
+        row = select_best_model(self.results).first()
+        return row["best_model"] if row else None
+
+    def predict(self, df: DataFrame, model: str, keep: list[str] | None = None) -> DataFrame:
+        """``keep`` columns with the model's prediction of raw rows."""
+        return self.models[model].transform(preprocess_apply(df, self.preprocessor, keep=keep or ["label"]))
+
+
 def train_baselines(
     df: DataFrame,
     target: str,
@@ -167,16 +207,18 @@ def train_baselines(
     features: list[str] | None = None,
     models: list[str] | None = None,
     include_knn: bool = True,
-    cv_folds: int = 0,
-) -> DataFrame:
+    cv_folds: int = N_FOLDS,
+) -> BaselineRun:
     """Split (stratified for classification), preprocess (fitted on the
     training rows), fit every baseline, predict the test rows, compute
-    metrics (and optionally k-fold CV of the primary score). A failing
-    model yields an 'error' row instead of failing the run.
+    metrics, and cross-validate the primary score on the training rows (the
+    preprocessing is fitted anew in each fold; ``cv_folds=0`` skips it). A
+    failing model yields an 'error' row instead of failing the run.
 
-    Returns (model, metric, value, error) rows; ``primary_score`` is the
-    balanced accuracy or -RMSE; ``train_seconds`` the fit time.
+    ``results`` has (model, metric, value, error) rows; ``primary_score`` is
+    the balanced accuracy or -RMSE; ``train_seconds`` the fit time.
     """
+    from ..session import materialize
     from .clean import filter_target_not_null
     from .prep import random_split, stratified_split
 
@@ -192,94 +234,102 @@ def train_baselines(
         data = indexer.transform(data)
         classes = list(indexer.labels)
     else:
-        data = random_split(data, keys).withColumn("label", F.col(target).cast("double"))
+        data = random_split(data, keys).withColumn("label", F.col(f"`{target}`").cast("double"))
         classes = None
-    from ..session import materialize
-
     data = materialize(data)  # split + label index computed once, reused by every model
     train, test = data.where(~F.col("is_test")), data.where(F.col("is_test"))
     prep = preprocess_fit(train, feats)
     tr = preprocess_apply(train, prep, keep=keys + ["label"])
     te = preprocess_apply(test, prep, keep=keys + ["label"])
-    n_train = tr.count()
-    if task == "classification":
-        cand = classifiers(n_train, len(classes))
-    else:
-        y_std = tr.agg(F.stddev_samp("label")).first()[0]
-        cand = regressors(n_train, y_std)
-    if models:
-        cand = {k: v for k, v in cand.items() if k in models}
-    results = []
-    for name, est in cand.items():
+
+    def candidates(rows: DataFrame) -> dict:
+        n, sd = rows.agg(F.count(F.lit(1)), F.stddev_samp("label")).first()
+        found: dict = dict(classifiers(n, len(classes)) if task == "classification" else regressors(n, sd))
+        if include_knn:
+            found[KNN] = None
+        return {k: v for k, v in found.items() if not models or k in models}
+
+    def fitted(name: str, est, rows: DataFrame):
+        return KnnModel(rows, keys, task) if name == KNN else est.setFeaturesCol("features").setLabelCol("label").fit(rows)
+
+    folds = materialize(assign_folds(train, keys, label="label" if task == "classification" else None, k=cv_folds)) if cv_folds else None
+    results, kept = [], {}
+    for name, est in candidates(tr).items():
         try:
             t0 = time.time()
-            model = est.setFeaturesCol("features").setLabelCol("label").fit(tr)
+            model = fitted(name, est, tr)
             secs = time.time() - t0
-            pred = model.transform(te)
-            m = evaluate_predictions(pred, task, classes)
-            primary = "balanced_accuracy" if task == "classification" else "rmse"
-            rows = [(name, r["metric"], r["value"], None) for r in m.collect()]
-            pv = next(v for _, mm, v, _ in rows if mm == primary)
-            rows.append((name, "primary_score", pv if task == "classification" else -pv, None))
+            rows = [(name, r["metric"], r["value"], None) for r in evaluate_predictions(model.transform(te), task, classes).collect()]
+            score = {m: v for _, m, v, _ in rows}
+            rows.append((name, "primary_score", score["balanced_accuracy"] if task == "classification" else -score["rmse"], None))
             rows.append((name, "train_seconds", secs, None))
-            if cv_folds:
-                rows.append((name, "cv_mean", cross_validate_score(tr, est, task, keys, cv_folds, classes), None))
-            results += rows
+            kept[name] = model
         except Exception as e:  # noqa: BLE001 - one failing model must not stop the others
             results.append((name, "error", None, str(e)[:500]))
-    if include_knn and (not models or "K-Nearest Neighbors" in models):
-        try:
-            kp = knn_predict(tr, te, keys[0], task=task)
-            pred = kp.join(te.select(keys[0], "label"), keys[0])
-            m = evaluate_predictions(pred, task, classes)
-            rows = [("K-Nearest Neighbors", r["metric"], r["value"], None) for r in m.collect()]
-            primary = "balanced_accuracy" if task == "classification" else "rmse"
-            pv = next(v for _, mm, v, _ in rows if mm == primary)
-            rows.append(("K-Nearest Neighbors", "primary_score", pv if task == "classification" else -pv, None))
-            results += rows
-        except Exception as e:  # noqa: BLE001
-            results.append(("K-Nearest Neighbors", "error", None, str(e)[:500]))
-    return spark.createDataFrame(results, "model string, metric string, value double, error string")
-
-
-def cross_validate_score(train: DataFrame, estimator, task: str, keys: list[str], k: int = 5, classes: list | None = None) -> float:
-    """Mean primary score over k folds (stratified for classification);
-    0.0 when a fold fails."""
+            continue
+        if folds is not None:
+            value, error = cross_validate_score(folds, lambda r, n=name: fitted(n, candidates(r)[n], r), task, feats, keys)
+            rows.append((name, "cv_mean", value, error))
+        results += rows
+    return BaselineRun(spark.createDataFrame(results, "model string, metric string, value double, error string"), kept, prep, task, classes, train, test)
+
+
+class KnnModel:
+    """The neighbours estimator in the form of a fitted model."""
+
+    def __init__(self, train: DataFrame, keys: list[str], task: str):
+        self.train, self.keys, self.task = train, keys, task
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """``label`` and ``prediction`` of every row. The rows get an id of
+        their own, so keys need not be unique."""
+        from ..session import materialize
+
+        rows = materialize(df.withColumn("_row", F.monotonically_increasing_id()))
+        train = self.train.withColumn("_row", F.xxhash64(*[F.col(f"`{c}`") for c in self.keys]))
+        found = knn_predict(train, rows, "_row", task=self.task)
+        return rows.join(found, "_row").drop("_row")
+
+
+def cross_validate_score(folded: DataFrame, fit, task: str, features: list[str], keys: list[str]) -> tuple[float | None, str | None]:
+    """Mean primary score (balanced accuracy or -RMSE) over the folds of
+    ``folded`` (raw rows with ``label`` and ``fold``). Preprocessing and model
+    (``fit(rows)``) see the other folds only. A failing fold gives no score
+    but its error."""
     try:
-        folded = assign_folds(train, keys, label="label" if task == "classification" else None, k=k)
         scores = []
-        for f in range(k):
-            fit_on = folded.where(F.col("fold") != f)
-            held = folded.where(F.col("fold") == f)
-            model = estimator.setFeaturesCol("features").setLabelCol("label").fit(fit_on)
-            m = {r["metric"]: r["value"] for r in evaluate_predictions(model.transform(held), task, classes).collect()}
-            scores.append(m["balanced_accuracy"] if task == "classification" else -m["rmse"])
-        return float(sum(scores) / len(scores))
-    except Exception:  # noqa: BLE001
-        return 0.0
+        for f in range(folded.agg(F.max("fold")).first()[0] + 1):
+            inside, held = folded.where(F.col("fold") != f), folded.where(F.col("fold") == f)
+            prep = preprocess_fit(inside, features)
+            model = fit(preprocess_apply(inside, prep, keep=keys + ["label"]))
+            pred = model.transform(preprocess_apply(held, prep, keep=keys + ["label"])).select(F.col("label").alias("y_true"), F.col("prediction").alias("y_pred"))
+            scores.append(mt.balanced_accuracy(pred).first()[0] if task == "classification" else -mt.regression_metrics(pred).first()["rmse"])
+        return float(sum(scores) / len(scores)), None
+    except Exception as e:  # noqa: BLE001 - reported beside the model's other rows
+        return None, str(e)[:500]
 
 
 def select_best_model(results: DataFrame, group_cols: list[str] | None = None, score: str = "primary_score") -> DataFrame:
-    """Model with the highest primary score among non-failed models."""
+    """Model with the highest primary score among non-failed models (ties:
+    the first name)."""
     g = group_cols or []
-    ok = results.where(F.col("metric") == score).where(F.col("value").isNotNull())
-    return ok.groupBy(*g).agg(F.max_by("model", F.struct("value", F.lit(0))).alias("best_model"), F.max("value").alias("best_score"))
+    ok = results.where(F.col("metric") == score).where(F.col("value").isNotNull() & ~F.isnan("value"))
+    return ok.groupBy(*g).agg(F.min_by("model", F.struct(-F.col("value"), F.col("model"))).alias("best_model"), F.max("value").alias("best_score"))
 
 
 def model_leaderboard(results: DataFrame, metric: str, group_cols: list[str] | None = None) -> DataFrame:
-    """Models ranked by ``metric`` (ascending for error metrics); a
-    missing value counts as 0; failed models are kept with their error."""
+    """Models ranked by ``metric`` (ascending for error metrics); models
+    without the metric have no score and come last, failed ones at the very end
+    with their error."""
     from pyspark.sql import Window
 
     g = group_cols or []
-    asc = metric.lower() in LOWER_IS_BETTER_METRICS
     models = results.select(*g, "model").distinct()
-    vals = results.where(F.col("metric") == metric).where(~F.isnan(F.col("value")) | F.col("value").isNull()).select(*g, "model", F.col("value").alias("metric_value"))
+    vals = results.where((F.col("metric") == metric) & ~F.isnan("value")).select(*g, "model", F.col("value").alias("primary_metric"))
     errs = results.where(F.col("metric") == "error").select(*g, "model", F.col("error"))
     t = models.join(vals, [*g, "model"], "left").join(errs, [*g, "model"], "left")
-    t = t.withColumn("status", F.when(F.col("error").isNotNull(), "Failed").otherwise("Success")).withColumn(
-        "primary_metric", F.coalesce(F.col("metric_value"), F.lit(0.0))
-    )
-    order = F.col("primary_metric").asc() if asc else F.col("primary_metric").desc()
-    w = Window.partitionBy(*g).orderBy(order, F.col("model"))  # one row per model
+    t = t.withColumn("status", F.when(F.col("error").isNotNull(), "Failed").otherwise("Success"))
+    value = F.col("primary_metric")
+    order = value.asc_nulls_last() if metric.lower() in LOWER_IS_BETTER_METRICS else value.desc_nulls_last()
+    w = Window.partitionBy(*g).orderBy(F.col("error").isNotNull(), order, F.col("model"))  # one row per model
     return t.withColumn("rank", F.row_number().over(w)).select(*g, "rank", "model", "primary_metric", "status", "error")

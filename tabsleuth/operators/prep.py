@@ -85,13 +85,15 @@ class Preprocessor:
     levels: dict = field(default_factory=dict)  # column -> list of kept levels (ordered)
     infrequent: dict = field(default_factory=dict)  # column -> bool (an 'infrequent' slot exists)
 
-    def feature_names(self) -> list[str]:
-        names = list(self.numeric)
+    def slots(self) -> list[tuple[str, str | None]]:
+        """(column, level) of every slot of the feature vector, in order."""
+        out: list[tuple[str, str | None]] = [(c, None) for c in self.numeric]
         for c in self.categorical:
-            names += [f"{c}={v}" for v in self.levels[c]]
-            if self.infrequent[c]:
-                names.append(f"{c}={INFREQUENT}")
-        return names
+            out += [(c, v) for v in [*self.levels[c], *([INFREQUENT] if self.infrequent[c] else [])]]
+        return out
+
+    def feature_names(self) -> list[str]:
+        return [c if v is None else f"{c}={v}" for c, v in self.slots()]
 
 
 def impute_fit(train: DataFrame, numeric: list[str], categorical: list[str]) -> tuple[dict, dict]:
@@ -129,7 +131,7 @@ def scale_apply(df: DataFrame, means: dict, stds: dict) -> DataFrame:
             s = stds[f.name] if stds[f.name] not in (None, 0.0) else 1.0
             out.append(((ty.numeric_value(df, f.name) - F.lit(means[f.name])) / F.lit(s)).alias(f.name))
         else:
-            out.append(F.col(f.name))
+            out.append(F.col(f"`{f.name}`"))
     return df.select(*out)
 
 
@@ -159,7 +161,7 @@ def one_hot_fit(train: DataFrame, categorical: list[str], max_categories: int =
 
 def one_hot_level(df: DataFrame, column: str, levels: list[str], has_infrequent: bool) -> Column:
     """G5 bucketed form: the kept level, 'infrequent', or NULL (unknown)."""
-    v = F.col(column).cast("string")
+    v = F.col(f"`{column}`").cast("string")
     kept = v.isin(*levels) if levels else F.lit(False)
     return F.when(kept, v).when(v.isNotNull() & F.lit(has_infrequent), F.lit(INFREQUENT))
 
@@ -185,26 +187,22 @@ def preprocess_fit(train: DataFrame, features: list[str]) -> Preprocessor:
 
 
 def preprocess_apply(df: DataFrame, prep: Preprocessor, keep: list[str] | None = None, vector: str | None = "features") -> DataFrame:
-    """G6 apply: expanded feature columns (and an assembled vector)."""
+    """G6 apply: the ``keep`` columns, and the expanded features as a vector
+    (or, with ``vector=None``, as one column per slot). Slots are assembled by
+    position, so names and levels may hold any character."""
+    from pyspark.ml.feature import VectorAssembler
+
     keep = keep or []
-    filled = impute_apply(df.select(*keep, *[c for c in prep.numeric + prep.categorical if c not in keep]), prep.medians, prep.modes)
-    scaled = scale_apply(filled, prep.means, prep.stds)
-    cols = [F.col(c) for c in keep] + [F.col(c).alias(c) for c in prep.numeric]
+    kept = [F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)]
+    own = [c for c in prep.numeric + prep.categorical]
+    raw = df.select(*kept, *[F.col(f"`{c}`").alias(c) for c in own])
+    scaled = scale_apply(impute_apply(raw, prep.medians, prep.modes), prep.means, prep.stds)
+    cols = [F.col(f"_k{i}") for i in range(len(keep))] + [F.col(f"`{c}`") for c in prep.numeric]
     for c in prep.categorical:
         cols += one_hot_columns(scaled, c, prep.levels[c], prep.infrequent[c])
-    out = scaled.select(*cols)
+    slots = [f"_s{i}" for i in range(len(cols) - len(keep))]
+    out = scaled.select(*cols).toDF(*[f"_k{i}" for i in range(len(keep))], *slots)
     if vector:
-        from pyspark.ml.feature import VectorAssembler
-
-        names = prep.feature_names()
-        out = VectorAssembler(inputCols=names, outputCol=vector, handleInvalid="keep").transform(out)
-    return out
-
-
-def preprocessing_info(prep: Preprocessor) -> list[tuple[str, str, str]]:
-    """(column, kind, steps) rows describing the fitted preprocessing."""
-    rows = [(c, "numeric", "median imputation, standard scaling") for c in prep.numeric]
-    rows += [(c, "categorical", f"most-frequent imputation, one-hot ({len(prep.levels[c])} levels{' + infrequent' if prep.infrequent[c] else ''})") for c in prep.categorical]
-    return rows
-
-
+        out = VectorAssembler(inputCols=slots, outputCol=vector, handleInvalid="keep").transform(out)
+        return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], vector)
+    return out.toDF(*keep, *prep.feature_names())

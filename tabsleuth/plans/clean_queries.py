@@ -89,23 +89,23 @@ def q_fill_missing_label(spark, sf_dir):
     return finish(cl.fill_missing_label(fx.li_nulls(spark, sf_dir)))
 
 
-_LE_COLS = ["l_orderkey", "l_linenumber", "l_discount", "l_returnflag", "l_linestatus"]
-
-
 def _codes(c: str) -> str:
     return (f"LEFT JOIN (SELECT v AS {c}_v, dense_rank() OVER (ORDER BY v) - 1 AS {c}_code FROM "
             f"(SELECT DISTINCT {c} AS v FROM li_nulls WHERE {c} IS NOT NULL)) ON t.{c} = {c}_v")
 
 
+def _encoded(c: str) -> str:
+    if c in ("l_returnflag", "l_linestatus"):
+        return f"coalesce(CAST({c}_code AS DOUBLE), -1.0) AS {c}"
+    if c == "l_discount":
+        return f"{r(f'coalesce(t.l_discount, {_MED_DISC}, 0.0)')} AS l_discount"
+    return f"t.{c}" if c == "l_shipdate" else f"{r(f't.{c}')} AS {c}"
+
+
 @register("label_encode", fx.with_fixtures(
-    "SELECT CAST(t.l_orderkey AS DOUBLE) AS l_orderkey, CAST(t.l_linenumber AS DOUBLE) AS l_linenumber, "
-    f"{r(f'coalesce(t.l_discount, {_MED_DISC}, 0.0)')} AS l_discount, "
-    "coalesce(CAST(l_returnflag_code AS DOUBLE), -1.0) AS l_returnflag, "
-    "coalesce(CAST(l_linestatus_code AS DOUBLE), -1.0) AS l_linestatus "
-    f"FROM li_nulls t {_codes('l_returnflag')} {_codes('l_linestatus')}", "li_nulls"))
+    f"SELECT {', '.join(_encoded(c) for c in cols('li_nulls'))} FROM li_nulls t {_codes('l_returnflag')} {_codes('l_linestatus')}", "li_nulls"))
 def q_label_encode(spark, sf_dir):
-    df = fx.li_nulls(spark, sf_dir).select(*_LE_COLS)
-    return finish(cl.label_encode(df))
+    return finish(cl.label_encode(fx.li_nulls(spark, sf_dir)))
 
 
 def _findings_sql(table: str) -> str:

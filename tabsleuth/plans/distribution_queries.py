@@ -45,7 +45,7 @@ def _topk_sql(table: str, k: int, max_unique: int | None) -> str:
 @register("value_counts_topk", _topk_sql("orders", 10, 20))
 def q_value_counts_topk(spark, sf_dir):
     o = fx.table(spark, sf_dir, "orders")
-    freq = pr.frequency_table(o, [c for c in o.columns if c != "o_orderdate"])
+    freq = pr.frequency_table(o)
     return finish(ds.value_counts_topk(freq, k=10, max_unique=20))
 
 

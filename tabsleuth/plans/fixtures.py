@@ -44,6 +44,9 @@ def doc_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(lb, "doc_id", "left").select("doc_id", "text", "lang", "source", "n_chars", "quality", "toxic")
 
 
+LINEITEM_NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
 def cust_const(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     return (

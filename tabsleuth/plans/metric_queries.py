@@ -7,7 +7,7 @@ from ..operators import metrics as mt
 from . import fixtures as fx
 from .registry import finish, r, register
 
-EPS = mt.EPS
+EPS = 2.220446049250313e-16  # the oracle's own copy of the float64 machine epsilon
 Z95 = 1.959963984540054
 CLASSES = fx.PRED_MULTI_CLASSES
 PROBS = [f"p_{c}" for c in CLASSES]
@@ -116,7 +116,7 @@ _SCORES = ("WITH s AS (SELECT score, sum(CASE WHEN y_true = 1 THEN 1 ELSE 0 END)
            "sum(neg) OVER (ORDER BY score DESC) AS cn, sum(pos) OVER () AS tp_all, sum(neg) OVER () AS tn_all FROM s) ")
 
 
-@register("roc_curve", W(_SCORES + f"SELECT score::DOUBLE AS threshold, {r('cn / tn_all')} AS fpr, {r('cp / tp_all')} AS tpr FROM c", "pred_binary").replace(") WITH s AS", "), s AS"))
+@register("roc_curve", W(_SCORES + f"SELECT score::DOUBLE AS threshold, {r('cn / tn_all')} AS fpr, {r('cp / tp_all')} AS tpr FROM c UNION ALL SELECT 'inf'::DOUBLE, 0.0, 0.0", "pred_binary").replace(") WITH s AS", "), s AS"))
 def q_roc_curve(spark, sf_dir):
     return finish(mt.roc_curve(fx.pred_binary(spark, sf_dir)), keep=("threshold",))
 

@@ -9,6 +9,7 @@ from ..operators import explain as ex
 from ..operators import metrics as mt
 from ..operators import models as md
 from ..operators import prep as pp
+from ..session import materialize
 from . import fixtures as fx
 from .profile_queries import profile_sql
 from .registry import finish, r, register
@@ -42,7 +43,7 @@ def q_random_split(spark, sf_dir):
 
 def _li_split(spark, sf_dir):
     li = fx.li_nulls(spark, sf_dir).withColumn("_ord", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-    s = pp.stratified_split(li, "l_linestatus", ["l_orderkey", "l_linenumber"], order_col="_ord")
+    s = materialize(pp.stratified_split(li, "l_linestatus", ["l_orderkey", "l_linenumber"], order_col="_ord"))
     return s.where(~F.col("is_test")), s.where(F.col("is_test"))
 
 
@@ -65,14 +66,18 @@ def q_impute_median_mode(spark, sf_dir):
     return finish(out)
 
 
-@register("standard_scale", _with_split(
-    "SELECT l_orderkey, l_linenumber, " + r("(l_quantity - (SELECT avg(l_quantity) FROM li_split WHERE NOT is_test)) / (SELECT stddev_pop(l_quantity) FROM li_split WHERE NOT is_test)")
-    + " AS l_quantity, " + r("(l_extendedprice - (SELECT avg(l_extendedprice) FROM li_split WHERE NOT is_test)) / (SELECT stddev_pop(l_extendedprice) FROM li_split WHERE NOT is_test)")
-    + " AS l_extendedprice FROM li_split WHERE is_test"))
+def _scaled(c: str) -> str:
+    train = "FROM li_split WHERE NOT is_test"
+    return r(f"({c} - (SELECT avg({c}) {train})) / (SELECT stddev_pop({c}) {train})", 5) + f" AS {c}_scaled"
+
+
+@register("standard_scale", _with_split(f"SELECT l_orderkey, l_linenumber, {', '.join(_scaled(c) for c in fx.LINEITEM_NUMERIC)} FROM li_split WHERE is_test"))
 def q_standard_scale(spark, sf_dir):
     train, test = _li_split(spark, sf_dir)
-    means, stds = pp.scale_fit(train, ["l_quantity", "l_extendedprice"])
-    return finish(pp.scale_apply(test.select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"), means, stds))
+    names = fx.LINEITEM_NUMERIC
+    means, stds = pp.scale_fit(train, names)
+    scaled = pp.scale_apply(test.select("l_orderkey", "l_linenumber", *[F.col(c).cast("double").alias(f"{c}_scaled") for c in names]), {f"{c}_scaled": means[c] for c in names}, {f"{c}_scaled": stds[c] for c in names})
+    return finish(scaled, digits=5)
 
 
 def _topk_level_sql(c: str) -> str:
@@ -106,9 +111,9 @@ ORDER_FEATURES = ["o_totalprice", "o_custkey", "o_orderpriority"]
 def _one_model(spark, sf_dir, name: str, task: str):
     o = fx.table(spark, sf_dir, "orders")
     if task == "classification":
-        return md.train_baselines(o, "o_orderstatus", "o_orderkey", "classification", ORDER_FEATURES, models=[name], include_knn=name == "K-Nearest Neighbors")
+        return md.train_baselines(o, "o_orderstatus", "o_orderkey", "classification", ORDER_FEATURES, models=[name], cv_folds=0).results
     feats = ["o_custkey", "o_orderstatus", "o_orderpriority"]
-    return md.train_baselines(o, "o_totalprice", "o_orderkey", "regression", feats, models=[name], include_knn=name == "K-Nearest Neighbors")
+    return md.train_baselines(o, "o_totalprice", "o_orderkey", "regression", feats, models=[name], cv_folds=0).results
 
 
 for _key, _name, _task in [
@@ -127,20 +132,14 @@ for _key, _name, _task in [
     register(_key)(lambda spark, sf_dir, _n=_name, _t=_task: finish(_one_model(spark, sf_dir, _n, _t).where(F.col("metric") != "train_seconds")))
 
 
-def _one_feature_fit(spark, sf_dir, est_kind: str):
+def _one_feature_fit(spark, sf_dir, name: str):
+    """The library's own estimator, fitted to one feature."""
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
 
     li = fx.table(spark, sf_dir, "lineitem")
     d = VectorAssembler(inputCols=["l_quantity"], outputCol="features").transform(li.select("l_quantity", F.col("l_extendedprice").alias("label")))
-    if est_kind == "ols":
-        est = LinearRegression(solver="normal", regParam=0.0)
-    elif est_kind == "ridge":
-        n, ystd = d.agg(F.count(F.lit(1)), F.stddev_samp("label")).first()
-        est = LinearRegression(solver="normal", regParam=1.0 * ystd / n, elasticNetParam=0.0, standardization=False)
-    else:
-        est = LinearRegression(regParam=0.1, elasticNetParam=1.0, standardization=False, maxIter=1000, tol=1e-12)
-    m = est.fit(d)
+    n, y_std = d.agg(F.count(F.lit(1)), F.stddev_samp("label")).first()
+    m = md.regressors(n, y_std)[name].fit(d)
     return spark.createDataFrame([(float(m.intercept), float(m.coefficients[0]))], "intercept double, slope double")
 
 
@@ -149,14 +148,14 @@ _XY = "l_extendedprice, l_quantity"
 
 @register("fit_linear_one_feature", f"SELECT {r(f'regr_intercept({_XY})')} AS intercept, {r(f'regr_slope({_XY})')} AS slope FROM lineitem")
 def q_fit_linear_one_feature(spark, sf_dir):
-    return finish(_one_feature_fit(spark, sf_dir, "ols"))
+    return finish(_one_feature_fit(spark, sf_dir, "Linear Regression"))
 
 
 @register("fit_ridge_one_feature",
           f"SELECT {r(f'avg(l_extendedprice) - regr_sxy({_XY}) / (regr_sxx({_XY}) + 1.0) * avg(l_quantity)')} AS intercept, "
           f"{r(f'regr_sxy({_XY}) / (regr_sxx({_XY}) + 1.0)')} AS slope FROM lineitem")
 def q_fit_ridge_one_feature(spark, sf_dir):
-    return finish(_one_feature_fit(spark, sf_dir, "ridge"))
+    return finish(_one_feature_fit(spark, sf_dir, "Ridge Regression"))
 
 
 @register("fit_lasso_one_feature",
@@ -164,20 +163,40 @@ def q_fit_ridge_one_feature(spark, sf_dir):
           f"(SELECT avg(l_extendedprice) AS ay, avg(l_quantity) AS ax, sign(regr_sxy({_XY})) * greatest(abs(regr_sxy({_XY})) / count(*) - 0.1, 0) "
           f"/ (regr_sxx({_XY}) / count(*)) AS s FROM lineitem)")
 def q_fit_lasso_one_feature(spark, sf_dir):
-    return finish(_one_feature_fit(spark, sf_dir, "lasso"), digits=4)
+    return finish(_one_feature_fit(spark, sf_dir, "Lasso Regression"), digits=4)
+
+
+_NB_FLOOR = "(SELECT 1e-9 * greatest(var_pop(o_totalprice), var_pop(o_custkey)) FROM orders)"  # MLlib's smoothing of variances
 
 
 @register("naive_bayes_class_stats",
-          "SELECT o_orderstatus AS class, count(*) AS n, " + r("avg(o_totalprice)") + " AS mean_totalprice, "
-          + r("var_pop(o_totalprice)", 2) + " AS var_totalprice, " + r("avg(o_custkey)") + " AS mean_custkey, "
-          + r("var_pop(o_custkey)", 4) + " AS var_custkey FROM orders GROUP BY o_orderstatus")
+          "SELECT o_orderstatus AS class, " + r("ln(count(*) / (SELECT count(*) FROM orders))") + " AS log_prior, " + r("avg(o_totalprice)", 4) + " AS mean_totalprice, "
+          + r(f"var_pop(o_totalprice) + {_NB_FLOOR}", 0) + " AS var_totalprice, " + r("avg(o_custkey)", 4) + " AS mean_custkey, "
+          + r(f"var_pop(o_custkey) + {_NB_FLOOR}", 2) + " AS var_custkey FROM orders GROUP BY o_orderstatus")
 def q_naive_bayes_class_stats(spark, sf_dir):
+    """What the fitted naive Bayes baseline has learnt."""
+    from pyspark.ml.feature import StringIndexer, VectorAssembler
+
     o = fx.table(spark, sf_dir, "orders")
-    out = o.groupBy(F.col("o_orderstatus").alias("class")).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("o_totalprice").alias("mean_totalprice"), F.var_pop("o_totalprice").alias("var_totalprice"),
-        F.avg("o_custkey").alias("mean_custkey"), F.var_pop("o_custkey").alias("var_custkey"),
-    )
-    return finish(out, per_column={"var_custkey": 4, "var_totalprice": 2})
+    index = StringIndexer(inputCol="o_orderstatus", outputCol="label", stringOrderType="alphabetAsc").fit(o)
+    d = VectorAssembler(inputCols=["o_totalprice", "o_custkey"], outputCol="features").transform(index.transform(o))
+    m = md.classifiers(o.count(), 3)["Naive Bayes"].fit(d)
+    theta, sigma = m.theta.toArray(), m.sigma.toArray()
+    rows = [(c, float(m.pi[i]), float(theta[i][0]), float(sigma[i][0]), float(theta[i][1]), float(sigma[i][1])) for i, c in enumerate(index.labels)]
+    out = spark.createDataFrame(rows, "class string, log_prior double, mean_totalprice double, var_totalprice double, mean_custkey double, var_custkey double")
+    return finish(out, per_column={"mean_totalprice": 4, "mean_custkey": 4, "var_custkey": 2, "var_totalprice": 0})
+
+
+@register("knn_embeddings", "SELECT q AS vec_id, arg_min(y, (-v, y)) AS prediction FROM (SELECT q, y, count(*) AS v FROM ("
+          "SELECT a.vec_id AS q, b.label::DOUBLE AS y, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.vec_id) AS k "
+          "FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND b.vec_id % 20 <> 0) WHERE k <= 5 GROUP BY q, y) GROUP BY q")
+def q_knn_embeddings(spark, sf_dir):
+    """Queries: every vector whose id is divisible by 20, against all others."""
+    from pyspark.ml.functions import array_to_vector
+
+    e = fx.table(spark, sf_dir, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"), F.col("label").cast("double").alias("label"))
+    asked = F.col("vec_id") % 20 == 0
+    return finish(md.knn_predict(e.where(~asked), e.where(asked), "vec_id"))
 
 
 _FOLDS = ("SELECT o_orderkey, o_orderstatus, CAST((row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1) % 5 AS INTEGER) AS fold FROM orders")
@@ -191,27 +210,24 @@ def q_fold_assignment(spark, sf_dir):
 
 @register("cross_validate")
 def q_cross_validate(spark, sf_dir):
-    from pyspark.ml.classification import LogisticRegression
-
     o = fx.table(spark, sf_dir, "orders")
-    s = pp.stratified_split(o, "o_orderstatus", "o_orderkey")
-    from pyspark.ml.feature import StringIndexer
-
-    idx = StringIndexer(inputCol="o_orderstatus", outputCol="label", stringOrderType="alphabetAsc").fit(s)
-    data = idx.transform(s)
-    prep = pp.preprocess_fit(data, ORDER_FEATURES)
-    tr = pp.preprocess_apply(data, prep, keep=["o_orderkey", "label"])
-    n = tr.count()
-    est = LogisticRegression(maxIter=1000, regParam=1.0 / n, standardization=False, family="multinomial")
-    score = md.cross_validate_score(tr, est, "classification", ["o_orderkey"], 5, list(idx.labels))
-    return spark.createDataFrame([("Logistic Regression", "cv_balanced_accuracy", float(score))], "model string, metric string, value double")
+    run = md.train_baselines(o, "o_orderstatus", "o_orderkey", "classification", ORDER_FEATURES, models=["Logistic Regression", "Naive Bayes"])
+    return finish(run.results.where(F.col("metric") == "cv_mean"))
 
 
 @register("train_baselines")
 def q_train_baselines(spark, sf_dir):
     o = fx.table(spark, sf_dir, "orders")
-    res = md.train_baselines(o, "o_orderstatus", "o_orderkey", "classification", ORDER_FEATURES)
-    return finish(res.where(F.col("metric") != "train_seconds"))
+    run = md.train_baselines(o, "o_orderstatus", "o_orderkey", "classification", ORDER_FEATURES, cv_folds=0)
+    return finish(run.results.where(F.col("metric") != "train_seconds"))
+
+
+@register("explain_best_baseline")
+def q_explain_best_baseline(spark, sf_dir):
+    """Permutation importance of the best of three fitted baselines."""
+    o = fx.table(spark, sf_dir, "orders")
+    run = md.train_baselines(o, "o_orderstatus", "o_orderkey", "classification", ORDER_FEATURES, models=["Logistic Regression", "Naive Bayes", "Decision Tree"], cv_folds=0)
+    return finish(ex.explain_baseline(run, ORDER_FEATURES, "o_orderkey", repeats=2))
 
 
 _CVS = ("SELECT run, model, metric, avg(value) AS cv_mean FROM cv_scores GROUP BY run, model, metric")
@@ -262,16 +278,26 @@ def q_permutation_importance(spark, sf_dir):
     return finish(ex.permutation_importance(o, ["o_totalprice", "o_custkey"], _rule_predict, _accuracy, "o_orderkey", repeats=5))
 
 
-@register("tree_shap")
-def q_tree_shap(spark, sf_dir):
-    from pyspark.ml.regression import DecisionTreeRegressor
-
+def _explained_tree(spark, sf_dir):
     o = fx.table(spark, sf_dir, "orders")
     feats = ["o_custkey", "o_orderstatus", "o_orderpriority"]
     prep = pp.preprocess_fit(o, feats)
-    data = pp.preprocess_apply(o.withColumn("label", F.col("o_totalprice")), prep, keep=["o_orderkey", "label"])
-    model = DecisionTreeRegressor(maxDepth=10, seed=42).fit(data)
-    return finish(ex.tree_shap(model, data, ["o_orderkey"], prep.feature_names(), kind="regression"))
+    data = materialize(pp.preprocess_apply(o.withColumn("label", F.col("o_totalprice")), prep, keep=["o_orderkey", "label"]))
+    model = md.regressors(data.count(), 1.0)["Decision Tree"].fit(data)
+    return model, data, ex.tree_shap(model, data, ["o_orderkey"], prep.feature_names(), kind="regression")
+
+
+@register("tree_shap")
+def q_tree_shap(spark, sf_dir):
+    return finish(_explained_tree(spark, sf_dir)[2])
+
+
+@register("tree_shap_additivity", "SELECT count(*) AS n_rows, 0.0 AS largest_gap FROM orders")
+def q_tree_shap_additivity(spark, sf_dir):
+    """Contributions and base value of every row sum to its prediction."""
+    model, data, shap = _explained_tree(spark, sf_dir)
+    sums = shap.groupBy("o_orderkey").agg(F.sum("value").alias("s")).join(model.transform(data).select("o_orderkey", "prediction"), "o_orderkey")
+    return finish(sums.agg(F.count(F.lit(1)).alias("n_rows"), F.max(F.abs(F.col("s") - F.col("prediction"))).alias("largest_gap")), digits=4)
 
 
 @register("shap_importance", W(f"SELECT feature, {r('avg(abs(value))')} AS importance FROM contributions GROUP BY feature", "contributions"))
@@ -287,11 +313,16 @@ def q_top_features(spark, sf_dir):
     return finish(ex.top_features(fx.importances(spark, sf_dir), 5))
 
 
+_TILTED = "SELECT run, feature, CASE feature WHEN 'l_tax' THEN -importance WHEN 'l_quantity' THEN importance + 0.2 ELSE importance END AS importance FROM importances"
+
+
 @register("weak_and_dominant_features", W(
-    "SELECT run, feature, 'weak' AS kind FROM importances WHERE importance <= 0 UNION ALL "
-    "SELECT run, arg_max(feature, importance) AS feature, 'dominant' FROM importances GROUP BY run HAVING max(importance) > 0.1", "importances"))
+    f"SELECT run, feature, 'weak' AS kind FROM ({_TILTED}) WHERE importance <= 0 UNION ALL "
+    f"SELECT run, arg_max(feature, importance) AS feature, 'dominant' FROM ({_TILTED}) GROUP BY run HAVING max(importance) > 0.1", "importances"))
 def q_weak_and_dominant_features(spark, sf_dir):
-    return finish(ex.weak_and_dominant_features(fx.importances(spark, sf_dir)))
+    imp = F.col("importance")
+    tilted = F.when(F.col("feature") == "l_tax", -imp).when(F.col("feature") == "l_quantity", imp + 0.2).otherwise(imp)
+    return finish(ex.weak_and_dominant_features(fx.importances(spark, sf_dir).withColumn("importance", tilted)))
 
 
 @register("importance_stats", W(
@@ -300,11 +331,34 @@ def q_weak_and_dominant_features(spark, sf_dir):
     + ", count(*) FILTER (WHERE importance = 0) AS zero_importance_count, " + r("count(*) FILTER (WHERE importance = 0) / count(*)") + " AS zero_importance_ratio, "
     + ", ".join(f"{r(f'quantile_cont(importance, {q})')} AS {a}" for q, a in [(0.25, "q25"), (0.5, "q50"), (0.75, "q75")])
     + ", array_to_string(list(feature ORDER BY importance DESC, feature)[1:5], ',') AS top_5_features, "
-    "array_to_string(list(feature ORDER BY importance DESC, feature)[1:10], ',') AS top_10_features FROM importances GROUP BY run", "importances"))
+    "array_to_string(list(feature ORDER BY importance DESC, feature)[1:10], ',') AS top_10_features, "
+    "list(round(importance, 6) ORDER BY importance DESC, feature)[1:5] AS top_5_scores, list(round(importance, 6) ORDER BY importance DESC, feature)[1:10] AS top_10_scores "
+    "FROM importances GROUP BY run", "importances"))
 def q_importance_stats(spark, sf_dir):
     return finish(ex.importance_stats(fx.importances(spark, sf_dir)))
 
 
+# One run of the fixture scores, with a failed model beside it.
+_RUN = f"(SELECT model, cv_mean FROM ({_CVS}) WHERE run = (SELECT min(run) FROM cv_scores))"
+_MODELING = (
+    f"SELECT 'modeling' AS section, 'best_model' AS item, (SELECT arg_min(model, (-cv_mean, model)) FROM {_RUN}) AS value "
+    f"UNION ALL SELECT 'modeling', 'best_score', printf('%.4f', (SELECT max(cv_mean) FROM {_RUN})) "
+    f"UNION ALL SELECT 'modeling', 'performance_level', (SELECT CASE WHEN max(cv_mean) > 0.9 THEN 'excellent' WHEN max(cv_mean) > 0.8 THEN 'good' "
+    f"WHEN max(cv_mean) > 0.6 THEN 'moderate' ELSE 'poor' END FROM {_RUN}) "
+    f"UNION ALL SELECT 'modeling', 'models_trained', (SELECT CAST(count(*) AS VARCHAR) FROM {_RUN}) UNION ALL SELECT 'modeling', 'models_failed', '1' "
+    "UNION ALL SELECT 'top_features', feature, printf('%.4f', importance) FROM (SELECT feature, avg(importance) AS importance FROM importances GROUP BY feature ORDER BY importance DESC, feature LIMIT 5)"
+)
+
+
+def _one_run(spark, sf_dir):
+    """(results of one run with a failed model, mean importances)."""
+    scores = _cv_summary(spark, sf_dir)
+    first = scores.agg(F.min("run")).first()[0]
+    results = scores.where(F.col("run") == first).select("model", "metric", "value", "error")
+    failed = spark.createDataFrame([("Broken Model", "error", None, "did not fit")], "model string, metric string, value double, error string")
+    return results.unionByName(failed), fx.importances(spark, sf_dir).groupBy("feature").agg(F.avg("importance").alias("importance"))
+
+
 def _findings_sql() -> str:
     prof = f"({profile_sql('cust_const')})"
     return (
@@ -315,7 +369,9 @@ def _findings_sql() -> str:
         f"UNION ALL SELECT 'constant', \"column\", CAST(unique_count AS VARCHAR) FROM {prof} WHERE is_constant "
         f"UNION ALL SELECT 'high_cardinality', \"column\", CAST(unique_count AS VARCHAR) FROM {prof} WHERE family = 'string' AND unique_count > 50 AND NOT is_constant "
         "UNION ALL SELECT 'relationships', 'strong_correlations', CAST(count(*) AS VARCHAR) FROM ("
-        + " UNION ALL ".join(f"SELECT corr({a}, {b}) AS c FROM cust_const" for a, b in _num_pairs()) + ") WHERE abs(c) >= 0.7 AND NOT isnan(c)"
+        + " UNION ALL ".join(f"SELECT corr({a}, {b}) AS c FROM cust_const" for a, b in _num_pairs()) + ") WHERE abs(c) >= 0.7 AND NOT isnan(c) "
+        "UNION ALL SELECT 'relationships', 'multicollinear_columns', '2' WHERE (SELECT count_if(c_acctbal <> c_acctbal_copy) FROM cust_const) = 0 "
+        f"UNION ALL SELECT * FROM ({_MODELING})"
     )
 
 
@@ -324,9 +380,10 @@ def _num_pairs():
     return [(a, b) for i, a in enumerate(nums) for b in nums[i + 1:]]
 
 
-@register("dataset_findings", W(_findings_sql(), "cust_const"))
+@register("dataset_findings", W(_findings_sql(), "cust_const", "cv_scores", "importances"))
 def q_dataset_findings(spark, sf_dir):
-    return ex.dataset_findings(fx.cust_const(spark, sf_dir))
+    results, importances = _one_run(spark, sf_dir)
+    return ex.dataset_findings(fx.cust_const(spark, sf_dir), results=results, task="classification", importances=importances)
 
 
 @register("performance_level", W(
@@ -362,21 +419,24 @@ def q_summary_csv_sink(spark, sf_dir):
     return spark.read.csv(path, header=True, inferSchema=False)
 
 
-@register("summary_json_sink")
+_JSON = (
+    "WITH f AS (" + _findings_sql() + ") SELECT 'cust_const' AS dataset, CAST((SELECT count(*) FROM cust_const) AS BIGINT) AS total_rows, CAST(8 AS BIGINT) AS total_cols, "
+    "'c_mktsegment' AS target_column, 'classification' AS task_type, 0.0 AS missing_data_pct, "
+    "(SELECT value FROM f WHERE item = 'best_model') AS best_model, CAST((SELECT value FROM f WHERE item = 'models_trained') AS BIGINT) AS models_trained, CAST(1 AS BIGINT) AS models_failed, "
+    "(SELECT list(item ORDER BY CAST(value AS DOUBLE) DESC, item) FROM f WHERE section = 'top_features') AS top_features, "
+    "(SELECT list(DISTINCT section ORDER BY section) FROM f WHERE section IN ('high_missing', 'constant', 'high_cardinality', 'relationships')) AS sections, "
+    "CAST((SELECT count(*) FROM f WHERE section IN ('high_missing', 'constant', 'high_cardinality', 'relationships')) AS BIGINT) AS total_recommendations"
+)
+
+
+@register("summary_json_sink", W(_JSON, "cust_const", "cv_scores", "importances").replace(") WITH f AS", "), f AS", 1))
 def q_summary_json_sink(spark, sf_dir):
     from ..session import scratch_path
     from ..sources import io
-    from ..operators import profile as pr
-
-    df = fx.cust_const(spark, sf_dir)
-    ov = pr.dataset_overview(df)
-    prof = pr.column_profile(df)
-    quality = prof.agg(
-        F.count_if("is_constant").alias("constant_columns"), F.count_if("is_id_like").alias("id_like_columns"),
-        F.count_if(F.col("missing_count") > 0).alias("columns_with_missing"),
-    )
-    summary = ov.crossJoin(quality).select(F.struct("total_rows", "total_cols", "missing_percentage").alias("metadata"),
-                                           F.struct("constant_columns", "id_like_columns", "columns_with_missing").alias("data_quality"))
+
+    results, importances = _one_run(spark, sf_dir)
+    summary = ex.run_summary(fx.cust_const(spark, sf_dir), "c_mktsegment", "classification", results, importances, "cust_const")
     path = scratch_path(spark, "summary-json")
     io.write_summary_json(summary, path)
-    return spark.read.json(path)
+    back = spark.read.schema(summary.schema).json(path)
+    return back.select("metadata.*", "data_quality.missing_data_pct", "modeling.*", "feature_importance.top_features", "recommendations.*")

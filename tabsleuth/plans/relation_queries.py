@@ -25,12 +25,15 @@ def q_pearson(spark, sf_dir):
     return finish(rl.pearson(fx.li_nulls(spark, sf_dir)))
 
 
+CUST_NUM = cols("cust_const", "numeric")
+
+
 @register("strong_pairs", fx.with_fixtures(
     "SELECT var1 AS feature_1, var2 AS feature_2, value AS correlation, abs(value) AS abs_correlation, "
     "CASE WHEN abs(value) >= 0.9 THEN 'Very Strong' ELSE 'Strong' END AS strength FROM ("
-    + _pearson_sql("li_nulls", LI_NUM + []) + ") WHERE abs(value) >= 0.7", "li_nulls"))
+    + _pearson_sql("cust_const", CUST_NUM) + ") WHERE abs(value) >= 0.7 AND NOT isnan(value)", "cust_const"))
 def q_strong_pairs(spark, sf_dir):
-    return finish(rl.strong_pairs(rl.pearson(fx.li_nulls(spark, sf_dir))))
+    return finish(rl.strong_pairs(rl.pearson(fx.cust_const(spark, sf_dir))))
 
 
 def _spearman_sql(table: str, cs: list[str]) -> str:
@@ -45,12 +48,9 @@ def _spearman_sql(table: str, cs: list[str]) -> str:
     return " UNION ALL ".join(parts)
 
 
-SPEARMAN_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
-
-
-@register("spearman", fx.with_fixtures(_spearman_sql("li_nulls", SPEARMAN_COLS), "li_nulls"))
+@register("spearman", fx.with_fixtures(_spearman_sql("li_nulls", LI_NUM), "li_nulls"))
 def q_spearman(spark, sf_dir):
-    return finish(rl.spearman(fx.li_nulls(spark, sf_dir), SPEARMAN_COLS))
+    return finish(rl.spearman(fx.li_nulls(spark, sf_dir)))
 
 
 @register("spearman_orders", _spearman_sql("orders", ["o_orderkey", "o_custkey", "o_totalprice"]))
@@ -80,6 +80,16 @@ def q_kendall(spark, sf_dir):
     return finish(rl.kendall_pairs(fx.li_nulls(spark, sf_dir), KENDALL_PAIRS))
 
 
+@register("kendall_matrix_part", _kendall_sql("part", _pairs(cols("part", "numeric"))))
+def q_kendall_matrix_part(spark, sf_dir):
+    return finish(rl.kendall_matrix(fx.table(spark, sf_dir, "part")))
+
+
+@register("kendall_matrix_supplier", _kendall_sql("supplier", _pairs(cols("supplier", "numeric"))))
+def q_kendall_matrix_supplier(spark, sf_dir):
+    return finish(rl.kendall_matrix(fx.table(spark, sf_dir, "supplier")))
+
+
 def _chi2_sql(table: str, a: str, b: str, missing: bool = False) -> str:
     va = f"coalesce(CAST({a} AS VARCHAR), 'Missing')" if missing else f"CAST({a} AS VARCHAR)"
     vb = f"coalesce(CAST({b} AS VARCHAR), 'Missing')" if missing else f"CAST({b} AS VARCHAR)"
@@ -124,11 +134,15 @@ def q_cramers_v_lineitem(spark, sf_dir):
     return finish(rl.cramers_v_matrix(fx.table(spark, sf_dir, "lineitem")))
 
 
+_MAKER = "part_maker AS (SELECT *, substr(p_brand, 1, 7) AS p_maker FROM part)"
+
+
 @register("strong_associations",
-          "SELECT var1 AS variable_1, var2 AS variable_2, value AS cramers_v, CASE WHEN value >= 0.8 THEN 'Very Strong' ELSE 'Strong' END AS strength "
-          "FROM (" + _cramer_sql("part", _pairs(PART_CAT)) + ") WHERE value >= 0.5")
+          f"WITH {_MAKER} SELECT var1 AS variable_1, var2 AS variable_2, value AS cramers_v, CASE WHEN value >= 0.8 THEN 'Very Strong' ELSE 'Strong' END AS strength "
+          "FROM (" + _cramer_sql("part_maker", _pairs([*PART_CAT, "p_maker"])) + ") WHERE value >= 0.5")
 def q_strong_associations(spark, sf_dir):
-    return finish(rl.strong_associations(rl.cramers_v_matrix(fx.table(spark, sf_dir, "part"))))
+    p = fx.table(spark, sf_dir, "part")
+    return finish(rl.strong_associations(rl.cramers_v_matrix(p.withColumn("p_maker", p["p_brand"].substr(1, 7)))))
 
 
 @register("chi_square_test", fx.with_fixtures(
@@ -146,7 +160,7 @@ def q_chi_square_pvalues(spark, sf_dir):
     return finish(rl.chi_square_test(fx.table(spark, sf_dir, "part"), with_p=True))
 
 
-def _anova_sql(table: str, num: list[str], cat: list[str]) -> str:
+def _anova_inner(table: str, num: list[str], cat: list[str]) -> str:
     parts = []
     for nm in num:
         for c in cat:
@@ -156,9 +170,12 @@ def _anova_sql(table: str, num: list[str], cat: list[str]) -> str:
                 f"SELECT count(*) AS N, count(DISTINCT g) AS k, sum(pow(gm - tm, 2)) AS ssb, sum(pow(x - gm, 2)) AS ssw FROM ("
                 f"SELECT x, g, avg(x) OVER (PARTITION BY g) AS gm, avg(x) OVER () AS tm FROM ({comp})))"
             )
-    inner = " UNION ALL ".join(parts)
+    return " UNION ALL ".join(parts)
+
+
+def _anova_sql(table: str, num: list[str], cat: list[str]) -> str:
     return (f"SELECT numeric_variable, categorical_variable, {r('(ssb / (k - 1)) / (ssw / (N - k))')} AS f_statistic "
-            f"FROM ({inner}) WHERE N >= 10 AND k >= 2")
+            f"FROM ({_anova_inner(table, num, cat)}) WHERE N >= 10 AND k >= 2")
 
 
 @register("anova_f", fx.with_fixtures(_anova_sql("li_nulls", LI_NUM, ["l_returnflag", "l_linestatus"]), "li_nulls"))
@@ -166,12 +183,27 @@ def q_anova_f(spark, sf_dir):
     return finish(rl.anova_f(fx.li_nulls(spark, sf_dir), with_p=False))
 
 
-@register("anova_f_orders", _anova_sql("orders", ["o_totalprice", "o_custkey"], ["o_orderstatus", "o_orderpriority"]))
+ORDER_NUM, ORDER_CAT = cols("orders", "numeric"), cols("orders", "string")
+
+
+@register("anova_f_orders", _anova_sql("orders", ORDER_NUM, ORDER_CAT))
 def q_anova_f_orders(spark, sf_dir):
-    return finish(rl.anova_f(fx.table(spark, sf_dir, "orders"), ["o_totalprice", "o_custkey"], with_p=False))
+    return finish(rl.anova_f(fx.table(spark, sf_dir, "orders"), with_p=False))
+
+
+def _anova_p_sql(num: list[str]) -> str:
+    """P-values in closed form: with an even number 2m of numerator degrees the
+    tail of F is x^(d/2) * sum over j < m of (d/2)_j (1-x)^j / j!, x = d / (d + 2m F)."""
+    parts = []
+    for c, k in (("o_orderstatus", 3), ("o_orderpriority", 5)):
+        x = f"(d / (d + {k - 1} * f))"
+        tail = f"pow({x}, d / 2)" + (f" * (1 + d / 2 * (1 - {x}))" if k == 5 else "")
+        parts.append(f"SELECT numeric_variable, categorical_variable, f AS f_statistic, {tail} AS p FROM (SELECT numeric_variable, categorical_variable, "
+                     f"(ssb / {k - 1}) / (ssw / (N - {k})) AS f, (N - {k})::DOUBLE AS d FROM (" + _anova_inner("orders", num, [c]) + "))")
+    return " UNION ALL ".join(parts)
 
 
-@register("anova_pvalues")
+@register("anova_pvalues", f"SELECT numeric_variable, categorical_variable, {r('f_statistic')} AS f_statistic, {r('p')} AS p_value, p < 0.05 AS significant FROM ({_anova_p_sql(ORDER_NUM)})")
 def q_anova_pvalues(spark, sf_dir):
     return finish(rl.anova_f(fx.table(spark, sf_dir, "orders"), with_p=True))
 
@@ -194,8 +226,9 @@ def q_point_biserial(spark, sf_dir):
 
 # ---------------------------------------------------------------- MI
 
-MI_COLS = ["l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
-MI_NUM = ["l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+MI_COLS = cols("li_nulls")
+MI_NUM = [*LI_NUM, "l_shipdate"]
+_LI_EPOCH = "(SELECT * REPLACE (epoch_us(l_shipdate) / 1e6 AS l_shipdate) FROM li_nulls)"
 
 
 def _disc_sql(table: str, cs: list[str], num: list[str], raw: list[str] = ()) -> str:
@@ -228,41 +261,44 @@ def _mi_sql(view: str, pairs) -> str:
     return " UNION ALL ".join(parts)
 
 
-_MI_VIEW = "WITH d AS (" + _disc_sql("li_nulls", MI_COLS, MI_NUM) + ") "
+_MI_VIEW = "WITH d AS MATERIALIZED (" + _disc_sql(_LI_EPOCH, MI_COLS, MI_NUM) + ") "
 
 
 @register("pairwise_mi", fx.with_fixtures(
-    _MI_VIEW + f"SELECT var1, var2, {r('value')} AS value FROM (" + _mi_sql("d", _pairs(MI_COLS)) + ")", "li_nulls").replace(") WITH d AS", "), d AS"))
+    _MI_VIEW + f"SELECT var1, var2, {r('value')} AS value FROM (" + _mi_sql("d", _pairs(MI_COLS)) + ")", "li_nulls").replace(") WITH d AS", "), d AS", 1))
 def q_pairwise_mi(spark, sf_dir):
-    return finish(rl.pairwise_mi(fx.li_nulls(spark, sf_dir).select(*MI_COLS)))
+    return finish(rl.pairwise_mi(fx.li_nulls(spark, sf_dir)))
 
 
 @register("top_mi_pairs", fx.with_fixtures(
     _MI_VIEW + f"SELECT var1, var2, {r('value')} AS value FROM (" + _mi_sql("d", _pairs(MI_COLS))
-    + ") ORDER BY round(value, 6) DESC, var1, var2 LIMIT 10", "li_nulls").replace(") WITH d AS", "), d AS"))
+    + ") ORDER BY round(value, 6) DESC, var1, var2 LIMIT 10", "li_nulls").replace(") WITH d AS", "), d AS", 1))
 def q_top_mi_pairs(spark, sf_dir):
-    mi = finish(rl.pairwise_mi(fx.li_nulls(spark, sf_dir).select(*MI_COLS)))
+    mi = finish(rl.pairwise_mi(fx.li_nulls(spark, sf_dir)))
     return rl.top_mi_pairs(mi, 10)
 
 
-MI_T_FEATS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linestatus"]
+MI_T_FEATS = [c for c in MI_COLS if c not in ("l_returnflag", "l_shipdate")]
 
 
 @register("mi_to_target", fx.with_fixtures(
-    "WITH d AS (" + _disc_sql("li_nulls", MI_T_FEATS + ["l_returnflag"], MI_NUM) + ") "
+    "WITH d AS MATERIALIZED (" + _disc_sql("li_nulls", MI_T_FEATS + ["l_returnflag"], MI_NUM) + ") "
     + f"SELECT var1 AS feature, {r('value')} AS mi, 'classification' AS task FROM ("
-    + _mi_sql("d", [(f, "l_returnflag") for f in MI_T_FEATS]) + ")", "li_nulls").replace(") WITH d AS", "), d AS"))
+    + _mi_sql("d", [(f, "l_returnflag") for f in MI_T_FEATS]) + ")", "li_nulls").replace(") WITH d AS", "), d AS", 1))
 def q_mi_to_target(spark, sf_dir):
-    return finish(rl.mi_to_target(fx.li_nulls(spark, sf_dir), "l_returnflag", MI_T_FEATS))
+    return finish(rl.mi_to_target(fx.li_nulls(spark, sf_dir), "l_returnflag"))
+
+
+MI_ORDER_FEATS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
 
 
 @register("mi_to_target_regression",
-          "WITH d AS (" + _disc_sql("orders", ["o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice"], ["o_custkey", "o_totalprice"]) + ") "
+          "WITH d AS MATERIALIZED (" + _disc_sql("orders", [*MI_ORDER_FEATS, "o_totalprice"], ["o_orderkey", "o_custkey", "o_totalprice"]) + ") "
           + f"SELECT var1 AS feature, {r('value')} AS mi, 'regression' AS task FROM ("
-          + _mi_sql("d", [(f, "o_totalprice") for f in ["o_custkey", "o_orderstatus", "o_orderpriority"]]) + ")")
+          + _mi_sql("d", [(f, "o_totalprice") for f in MI_ORDER_FEATS]) + ")")
 def q_mi_to_target_regression(spark, sf_dir):
     o = fx.table(spark, sf_dir, "orders")
-    return finish(rl.mi_to_target(o, "o_totalprice", ["o_custkey", "o_orderstatus", "o_orderpriority"]))
+    return finish(rl.mi_to_target(o, "o_totalprice"))
 
 
 # ---------------------------------------------------------------- VIF
@@ -297,13 +333,31 @@ def q_vif_lineitem(spark, sf_dir):
     return finish(rl.vif(fx.li_nulls(spark, sf_dir)))
 
 
+@register("vif_orders", _vif3_sql("orders", ORDER_NUM))
+def q_vif_orders(spark, sf_dir):
+    return finish(rl.vif(fx.table(spark, sf_dir, "orders")))
+
+
 @register("multicollinear_columns", fx.with_fixtures(
-    "SELECT * FROM (" + _vif3_sql("li_nulls", VIF_COLS) + ") WHERE vif > 10", "li_nulls").replace("FROM (WITH s AS", "FROM (WITH s AS"))
+    "SELECT feature, 'inf'::DOUBLE AS vif FROM (VALUES ('c_acctbal'), ('c_acctbal_copy')) t(feature) "
+    "WHERE (SELECT count_if(c_acctbal <> c_acctbal_copy) FROM cust_const) = 0", "cust_const"))
 def q_multicollinear_columns(spark, sf_dir):
-    return finish(rl.multicollinear_columns(rl.vif(fx.li_nulls(spark, sf_dir), VIF_COLS)))
+    return finish(rl.multicollinear_columns(rl.vif(fx.cust_const(spark, sf_dir))))
+
+
+def _summary_sql() -> str:
+    strong = lambda sql, least: f"(SELECT count(*)::DOUBLE FROM ({sql}) WHERE abs(value) >= {least} AND NOT isnan(value))"
+    items = [
+        ("total_features", "6.0"), ("numeric_features", "3.0"), ("categorical_features", "2.0"),
+        ("strong_pearson", strong(_pearson_sql("orders", ORDER_NUM), 0.7)), ("strong_spearman", strong(_spearman_sql("orders", ORDER_NUM), 0.7)),
+        ("high_vif", f"(SELECT count(*)::DOUBLE FROM ({_vif3_sql('orders', ORDER_NUM)}) WHERE vif > 10)"),
+        ("strong_associations", strong(_cramer_sql("orders", _pairs(ORDER_CAT)), 0.5)),
+        ("significant_anova", f"(SELECT count(*)::DOUBLE FROM ({_anova_p_sql(ORDER_NUM)}) WHERE p < 0.05)"),
+    ]
+    return " UNION ALL ".join(f"SELECT '{k}' AS item, {v} AS value" for k, v in items)
 
 
-@register("relationship_summary")
+@register("relationship_summary", _summary_sql())
 def q_relationship_summary(spark, sf_dir):
     return finish(rl.relationship_summary(fx.table(spark, sf_dir, "orders")))
 

@@ -178,12 +178,6 @@ def q_validate_target(spark, sf_dir):
     return finish(tg.validate_target(fx.table(spark, sf_dir, "part"), "p_size"))
 
 
-@register("validate_target_missing",
-          "SELECT false AS valid, 'no_such_column' AS manual_target, 'Column ''no_such_column'' not found in dataset' AS error FROM part LIMIT 1")
-def q_validate_target_missing(spark, sf_dir):
-    return finish(tg.validate_target(fx.table(spark, sf_dir, "part"), "no_such_column"))
-
-
 def _basic_sql(table: str) -> str:
     n_cols = len([c for c, t in SCHEMAS[table] if family(t) != "other"])
     kw = " OR ".join(f"contains(lower(\"column\"), '{k}')" for k in tg.BASIC_KEYWORDS)

@@ -8,45 +8,45 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Encodings and separators tried, in this order, when sniffing a CSV file.
 CSV_ENCODINGS = ["utf-8", "latin-1", "cp1252"]
 CSV_SEPARATORS = [",", ";", "\t", "|"]
 SUPPORTED_EXTENSIONS = {".csv": "csv", ".parquet": "parquet", ".pq": "parquet", ".json": "json"}
-DEFAULT_ROW_CAP = 50000
-MIN_ROW_CAP = 100
 
 
 class UnsupportedFormat(ValueError):
     pass
 
 
-def _first_line(spark: SparkSession, path: str, encoding: str) -> str | None:
-    rows = spark.read.option("encoding", encoding).option("lineSep", "\n").text(path).limit(1).collect()
-    return rows[0][0] if rows else None
+def _is_utf8(spark: SparkSession, path: str) -> bool:
+    """Whether every line of a file is valid UTF-8 (one pass; a decoder that
+    replaces malformed bytes would hide them)."""
+    lines = spark.read.option("encoding", "ISO-8859-1").option("lineSep", "\n").text(path)  # bytes one to one
+    data = F.encode(F.col("value"), "ISO-8859-1")
+    return lines.where(~F.is_valid_utf8(data.cast("string"))).isEmpty()
 
 
 def sniff_csv(spark: SparkSession, path: str) -> tuple[str, str]:
-    """(encoding, separator): the first combination whose header splits into
-    more than one column. Raises ValueError when none does (single-column
-    files are rejected)."""
-    for enc in CSV_ENCODINGS:
-        try:
-            head = _first_line(spark, path, enc)
-        except Exception:  # noqa: BLE001 - unreadable with this encoding, try the next
-            continue
-        if head is None:
-            continue
+    """(encoding, separator): UTF-8 if the whole file is valid UTF-8, else the
+    next encoding of the list, which maps every byte; then the first separator
+    that splits the header into more than one column. Raises ValueError when
+    none does (single-column files are rejected)."""
+    enc = CSV_ENCODINGS[0] if _is_utf8(spark, path) else CSV_ENCODINGS[1]
+    rows = spark.read.option("encoding", enc).option("lineSep", "\n").text(path).limit(1).collect()
+    if rows:
         for sep in CSV_SEPARATORS:
-            if len(head.split(sep)) > 1:
+            if len(rows[0][0].split(sep)) > 1:
                 return enc, sep
     raise ValueError(f"could not parse {path} as a delimited file with more than one column")
 
 
-def read_csv_sniff(spark: SparkSession, path: str, max_rows: int | None = None, infer_schema: bool = True) -> DataFrame:
-    """A1: read CSV with sniffed encoding and separator, header row, inferred schema."""
+def read_csv_sniff(spark: SparkSession, path: str, max_rows: int | None = None, schema: T.StructType | str | None = None) -> DataFrame:
+    """A1: read CSV with sniffed encoding and separator and a header row. The
+    schema is inferred (one more pass over the file) unless it is given."""
     enc, sep = sniff_csv(spark, path)
-    df = spark.read.csv(path, sep=sep, encoding=enc, header=True, inferSchema=infer_schema)
+    df = spark.read.csv(path, sep=sep, encoding=enc, header=True, schema=schema, inferSchema=schema is None)
     return row_cap(df, max_rows) if max_rows else df
 
 
@@ -56,16 +56,15 @@ def read_parquet(spark: SparkSession, path: str, max_rows: int | None = None) ->
     return row_cap(df, max_rows) if max_rows else df
 
 
-def row_cap(df: DataFrame, max_rows: int | None = DEFAULT_ROW_CAP, order_by: list[str] | None = None) -> DataFrame:
-    """A3: keep at most ``max_rows`` rows (never fewer than 100 when a cap is
-    given); with ``order_by`` the kept rows are deterministic (top-k sort, no
-    global sort of the whole table)."""
+def row_cap(df: DataFrame, max_rows: int | None = None, order_by: list[str] | None = None) -> DataFrame:
+    """A3: keep at most ``max_rows`` rows (all when it is None); with
+    ``order_by`` the kept rows are deterministic (top-k sort, no global sort of
+    the whole table)."""
     if max_rows is None:
         return df
-    n = max(int(max_rows), MIN_ROW_CAP)
     if order_by:
-        return df.orderBy(*order_by).limit(n)
-    return df.limit(n)
+        return df.orderBy(*order_by).limit(int(max_rows))
+    return df.limit(int(max_rows))
 
 
 def load_table(spark: SparkSession, path: str, max_rows: int | None = None) -> DataFrame:
