@@ -78,12 +78,6 @@ def filter_target_not_null(df: DataFrame, target: str) -> DataFrame:
     return df.where(ty.clean_col(df, target).isNotNull())
 
 
-def split_features_target(df: DataFrame, target: str) -> tuple[DataFrame, DataFrame]:
-    """(X, y) after dropping rows without a target."""
-    kept = filter_target_not_null(df, target)
-    return kept.drop(target), kept.select(target)
-
-
 def pairwise_dropna(df: DataFrame, a: str, b: str) -> DataFrame:
     """Complete cases of one column pair."""
     return df.select(ty.clean_col(df, a).alias(a), ty.clean_col(df, b).alias(b)).na.drop(subset=[a, b])

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from ..operators import profile as pr
 from . import fixtures as fx
@@ -199,6 +198,15 @@ def q_outliers_iqr(spark, sf_dir):
     return finish(pr.outliers_iqr(fx.table(spark, sf_dir, "events")))
 
 
+@register("outlier_flags",
+          "SELECT event_id, value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1) AS is_outlier FROM events, "
+          "(SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events)")
+def q_outlier_flags(spark, sf_dir):
+    ev = fx.table(spark, sf_dir, "events")
+    bounds = pr.outliers_iqr(ev, ["value"]).first()
+    return finish(pr.flag_outliers(ev, "value", bounds).select("event_id", "is_outlier"))
+
+
 def _stability_sql() -> str:
     t = "events"
     num = ["event_id", "user_id", "value"]

@@ -73,15 +73,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def is_local_path(path: str) -> bool:
-    return "://" not in path or path.startswith("file:")
-
-
-def ensure_parent(path: str) -> None:
-    if is_local_path(path):
-        os.makedirs(os.path.dirname(path.replace("file:", "")), exist_ok=True)
-
-
 def materialize(df):
     """Reliable checkpoint of an intermediate that several branches of a plan
     read (e.g. a frequency table feeding splits, totals and a join): written

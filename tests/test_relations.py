@@ -1,7 +1,6 @@
 import math
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from tabsleuth.functions.stats import chi2_survival, f_survival
