@@ -51,16 +51,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import scratch_path
-from ._text import RollingHash, byte_column, mix, slices
+from ._text import RollingHash, byte_column, slices
 
 LENGTH = 200
 GRAM = 48
 #: different fragments of one anchor that a task sorts together
-GROUP = 4096
+GROUP = 1024
 #: widths of the cuts of hot anchors, in window places
 CUTS = (20, 1)
 #: bytes of fragments that are sorted at once
-SORT_BYTES = 1 << 20
+SORT_BYTES = 1 << 18
 _LOW = np.uint64(0xFFFFFFFF)
 
 
