@@ -283,6 +283,14 @@ def outliers_iqr(df: DataFrame, columns: list[str] | None = None, factor: float
     )
 
 
+def flag_outliers(df: DataFrame, column: str, bounds_row, flag: str = "is_outlier") -> DataFrame:
+    """C14 row flags: add a boolean column marking outliers of ``column``, by
+    its row of :func:`outliers_iqr`."""
+    v = ty.numeric_value(df, column)
+    outside = (v < F.lit(bounds_row["lower_bound"])) | (v > F.lit(bounds_row["upper_bound"]))
+    return df.withColumn(flag, F.coalesce(outside, F.lit(False)))
+
+
 def feature_stability(
     df: DataFrame,
     key_col: str,

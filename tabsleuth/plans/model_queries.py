@@ -95,12 +95,24 @@ def q_one_hot_topk(spark, sf_dir):
     return finish(p.select("p_partkey", *[pp.one_hot_level(p, c, levels[c], infreq[c]).alias(c) for c in ["p_type", "p_brand", "p_name"]]))
 
 
-@register("preprocess")
+def _preprocess_sql() -> str:
+    """Median / mode of the training rows, then scaling and indicator columns."""
+    train = "FROM li_split WHERE NOT is_test"
+    out = ["l_orderkey", "l_linenumber"]
+    for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax"):
+        x = f"coalesce({c}, (SELECT quantile_cont({c}, 0.5) {train}))"
+        out.append(r(f"({x} - (SELECT avg({x}) {train})) / (SELECT stddev_pop({x}) {train})", 5) + f" AS {c}")
+    mode = f"(SELECT l_returnflag {train} AND l_returnflag IS NOT NULL GROUP BY l_returnflag ORDER BY count(*) DESC, l_returnflag LIMIT 1)"
+    out += [f"CASE WHEN coalesce(l_returnflag, {mode}) = '{v}' THEN 1.0 ELSE 0.0 END::DOUBLE AS \"l_returnflag={v}\"" for v in "ANR"]
+    return f"SELECT {', '.join(out)} FROM li_split WHERE is_test"
+
+
+@register("preprocess", _with_split(_preprocess_sql()))
 def q_preprocess(spark, sf_dir):
     train, test = _li_split(spark, sf_dir)
     feats = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag"]
     prep = pp.preprocess_fit(train, feats)
-    return finish(pp.preprocess_apply(test, prep, keep=["l_orderkey", "l_linenumber"], vector=None))
+    return finish(pp.preprocess_apply(test, prep, keep=["l_orderkey", "l_linenumber"], vector=None), digits=5)
 
 
 # ---------------------------------------------------------------- G7-G18 models
