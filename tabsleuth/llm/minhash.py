@@ -60,7 +60,7 @@ MATCHES = 34
 STRONG = 48
 #: coordinates counted before hopeless pairs are skipped
 PREFIX = 24
-HOT_LEAST, HOT_VALUES = 4096, 1 << 20
+HOT_LEAST, HOT_VALUES = 4096, 1 << 18
 BLOCK = 1024
 #: shingles of a block of sets
 SET_BLOCK = 1 << 20
@@ -389,7 +389,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     cluster = cluster.select(F.col("node").alias("class"), F.col("root").alias("cluster")).join(classes.select("class", "n", "source_text"), "class")
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / SET_BLOCK)).cast("int").alias("blocks")
     cluster = written(cluster.join(cluster.groupBy("cluster").agg(blocks), "cluster").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")), "clusters")
-    held = _packed(docs).join(cluster.select("source_text"), "source_text", "left_semi").groupBy("source_text").agg(F.first("packed").alias("packed"))
+    # the clusters grow with the corpus: joined by shuffle at any size, never broadcast
+    held = _packed(docs).join(cluster.select("source_text").hint("merge"), "source_text", "left_semi").groupBy("source_text").agg(F.first("packed").alias("packed"))
     members = written(cluster.join(held, "source_text").select("cluster", "blocks", "block", "class", "packed"), "members")
     links = written(_cluster_links(members.withColumn("unit", _units_first()).withColumn("label", F.col("class"))), "links")
     label = components(links)
