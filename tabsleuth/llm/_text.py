@@ -37,7 +37,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         p, q = np.full(size, _BASE, dtype=np.uint64), np.full(size, _INVERSE, dtype=np.uint64)
         p[0] = q[0] = 1
         p, q = np.cumprod(p, dtype=np.uint64), np.cumprod(q, dtype=np.uint64)
-        if size > 64 * SLICE_BYTES:  # for one huge text: not kept
+        if size > 2 * SLICE_BYTES:  # for one huge text: not kept
             return p, q
         _POWERS, _INVERSES = p, q
     return _POWERS, _INVERSES

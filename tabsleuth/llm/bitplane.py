@@ -2,8 +2,8 @@
 
 Documents are put in ascending id order (range partitions, each one a shard).
 A shard's ids, every document closed by an end id, form one stream that is cut
-into blocks of ``BLOCK`` ids. A block is transposed into 32 bit planes (or 4
-byte planes) and each plane is compressed with zstandard; planes of zeros take
+into blocks of ``BLOCK`` ids. A block is transposed into 4 byte planes (or 32
+bit planes; for token ids byte planes come out smaller) and each plane is compressed with zstandard; planes of zeros take
 no space. Blocks are written as rows of a Parquet table: the payload, its place
 in the stream and the chunk index (which document has which ids of the block).
 Spark's committer writes the files, so a lost task leaves no half file and any
@@ -30,15 +30,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._cache import WordCache
-from ._pretokens import BYTE_PATTERN, load_vocabulary, special_splitter
+from ._pretokens import BytePieces
 
 MAGIC = b"BPL1"
 BLOCK = 1 << 16
@@ -50,7 +48,7 @@ OUT_BYTES = 4 << 20
 # ---------------------------------------------------------------- the format
 
 
-def pack(ids: np.ndarray, kind: str = "bit") -> bytes:
+def pack(ids: np.ndarray, kind: str = "byte") -> bytes:
     """One block of ids as a payload."""
     raw = np.ascontiguousarray(ids, dtype="<u4").view(np.uint8).reshape(-1, 4)
     if kind == "bit":
@@ -128,23 +126,15 @@ class LibraryIds:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.words = regex.compile(BYTE_PATTERN)
-        self.special = load_vocabulary(path)["special"]
-        self.split = special_splitter(self.special)
-        self.cache = WordCache(self._word)
+        special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
+        self.pieces = BytePieces(self._ids, special, limit=350_000)
 
-    def _word(self, word: str) -> bytes:
-        return np.array(self.library.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def _ids(self, words: list[str]) -> list[bytes]:
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False))]
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.empty(0, dtype="<u4")
-        if self.split is None or not self.split.search(text):
-            return np.frombuffer(b"".join(self.cache.many(self.words.findall(text))), dtype="<u4")
-        out = []
-        for k, part in enumerate(self.split.split(text)):
-            out += [np.array([self.special[part]], dtype="<u4").tobytes()] if k % 2 else self.cache.many(self.words.findall(part))
-        return np.frombuffer(b"".join(out), dtype="<u4")
+    def many(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of whole texts (null: none), in order."""
+        return self.pieces.many(texts)
 
 
 _ENCODERS: dict[str, LibraryIds] = {}
@@ -159,7 +149,7 @@ def encoder(path: str) -> LibraryIds:
 # ------------------------------------------------------------ Spark operators
 
 
-def write_ids(df: DataFrame, out: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, kind: str = "bit", block: int = BLOCK) -> None:
+def write_ids(df: DataFrame, out: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, kind: str = "byte", block: int = BLOCK) -> None:
     """Encode every whole text and write the blocks below the path ``out``."""
     key = df.schema[id_col].dataType
     docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("tie"))
@@ -184,8 +174,9 @@ def write_ids(df: DataFrame, out: str, tokenizer: str, id_col: str = "doc_id", t
             inner = pa.struct([("doc_id", batch.schema.field(0).type), ("row", pa.int64()), ("part", pa.int32()), ("at", pa.int32()), ("n", pa.int32())])
             kinds = pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), ("first", pa.int64()), ("n_ids", pa.int32()), ("payload", pa.binary()), ("parts", pa.list_(inner))])
             keys, texts = batch.column(0), batch.column(1)
-            for i in range(batch.num_rows):
-                ids = np.append(ids_of(texts[i].as_py()), np.array(end_id, dtype="<u4"))
+            last = np.array(end_id, dtype="<u4")
+            for i, found in enumerate(ids_of.many(texts)):
+                ids = np.append(found.view("<u4"), last)
                 at, piece = 0, 0
                 while at < len(ids):
                     n = min(block - fill, len(ids) - at)
@@ -206,56 +197,61 @@ def write_ids(df: DataFrame, out: str, tokenizer: str, id_col: str = "doc_id", t
     docs.mapInArrow(run, schema).write.mode("errorifexists").option("compression", "none").parquet(out)
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """Of each block: shard, document columns, places in the block, ids."""
+    for k in range(batch.num_rows):
+        doc, row, part, at, n = batch.column("parts")[k].values.flatten()
+        starts = at.to_numpy()
+        yield pa.repeat(batch.column("shard")[k], len(row)), row, doc, part, pa.array(starts.astype(np.int64) + batch.column("first")[k].as_py()), np.append(starts, starts[-1] + n[-1].as_py()), unpack(batch.column("payload")[k].as_py())
+
+
+def _part_fields(blocks: DataFrame) -> list[T.StructField]:
+    key = blocks.schema["parts"].dataType.elementType["doc_id"].dataType
+    return [T.StructField("shard", T.IntegerType()), T.StructField("row", T.LongType()), T.StructField("doc_id", key), T.StructField("part", T.IntegerType()), T.StructField("first", T.LongType())]
+
+
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """The ids back, one row per document and block: shard, row, doc_id, part,
     first (place of the part in its shard's stream), ids array<int>."""
     blocks = spark.read.parquet(path)
-    key = blocks.schema["parts"].dataType.elementType["doc_id"].dataType
-    schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("row", T.LongType()), T.StructField("doc_id", key), T.StructField("part", T.IntegerType()), T.StructField("first", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                ids = unpack(batch.column("payload")[k].as_py())
-                parts = batch.column("parts")[k].values.flatten()
-                doc, row, part, at, n = parts
-                starts, sizes = at.to_numpy(), n.to_numpy()
-                offsets = pa.array(np.append(starts, starts[-1] + sizes[-1]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.repeat(batch.column("shard")[k], len(row)), row, doc, part, pa.array(starts.astype(np.int64) + batch.column("first")[k].as_py()), pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))],
-                    names=["shard", "row", "doc_id", "part", "first", "ids"],
-                )
+            for *columns, cuts, ids in _parts(batch):
+                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids.astype(np.int32)))], names=["shard", "row", "doc_id", "part", "first", "ids"])
 
-    return blocks.select("shard", "first", "payload", "parts").mapInArrow(run, schema)
+    return blocks.select("shard", "first", "payload", "parts").mapInArrow(run, T.StructType([*_part_fields(blocks), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def id_digests(spark: SparkSession, path: str) -> DataFrame:
     """Read back what :func:`write_ids` wrote: doc_id, start, n_tokens, ids_crc32."""
-    pieces = read_ids(spark, path)
-    key = pieces.schema["doc_id"].dataType
+    blocks = spark.read.parquet(path)
+    fields = _part_fields(blocks)
 
     def checks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("ids")
-            values, offsets = ids.values.to_numpy().astype("<u4"), ids.offsets.to_numpy()
-            crc = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("shard", "row", "doc_id", "part", "first")), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], names=["shard", "row", "doc_id", "part", "first", "n", "crc"])
+            for *columns, cuts, ids in _parts(batch):
+                crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(cuts).astype(np.int64)), pa.array(crc, pa.int64())], names=["shard", "row", "doc_id", "part", "first", "n", "crc"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             crcs = []
             for parts in batch.column("parts"):
-                total = 0
-                for p in parts.as_py():
+                first, *more = parts.as_py()
+                total = first["crc"]
+                for p in more:
                     total = crc32_join(total, p["crc"], 4 * p["n"])
                 crcs.append(total)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("shard", "doc_id", "first", "n_tokens")), pa.array(crcs, pa.int64())], names=["shard", "doc_id", "first", "n_tokens", "ids_crc32"])
 
-    of_part = pieces.mapInArrow(checks, T.StructType([*pieces.schema.fields[:5], T.StructField("n", T.LongType()), T.StructField("crc", T.LongType())]))
+    of_part = blocks.select("shard", "first", "payload", "parts").mapInArrow(checks, T.StructType([*fields, T.StructField("n", T.LongType()), T.StructField("crc", T.LongType())]))
     # a document's parts are as many as its blocks, so the list is bounded by its size
-    docs = of_part.groupBy("shard", "row").agg(F.first("doc_id").alias("doc_id"), F.min("first").alias("first"), F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("part", "n", "crc"))).alias("parts"))
-    schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("doc_id", key), T.StructField("first", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
-    whole = docs.select("shard", "doc_id", "first", "n_tokens", "parts").mapInArrow(joined, schema)
+    parts = of_part.groupBy("shard", "row").agg(F.first("doc_id").alias("doc_id"), F.min("first").alias("first"), F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("part", "n", "crc"))).alias("parts"))
+    several = F.size("parts") > 1
+    one = parts.where(~several).select("shard", "doc_id", "first", "n_tokens", F.element_at("parts", 1)["crc"].alias("ids_crc32"))
+    schema = T.StructType([T.StructField("shard", T.IntegerType()), fields[2], T.StructField("first", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
+    whole = one.unionByName(parts.where(several).select("shard", "doc_id", "first", "n_tokens", "parts").mapInArrow(joined, schema))
     # one row per shard, so as many as the writing stage had partitions
     sizes = sorted((r["shard"], r["n"]) for r in spark.read.parquet(path).groupBy("shard").agg(F.sum("n_ids").alias("n")).collect())
     base, at = [], 0

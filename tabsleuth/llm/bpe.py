@@ -20,19 +20,18 @@ U+FFFD. The output columns must not exist in the input (ValueError).
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterable, Iterator
+import struct
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._cache import WordCache
-from ._pretokens import BYTE_PATTERN, byte_alphabet, load_vocabulary, special_splitter
+from ._pretokens import BytePieces, byte_alphabet, load_vocabulary
 
-#: bytes of text that are encoded before a batch of results is handed back
+#: bytes of results before a batch of them is handed back
 OUT_BYTES = 4 << 20
 
 
@@ -47,12 +46,13 @@ class BytePairCodec:
         self.first = [0] * 256
         for ch, b in byte_of.items():
             self.first[b] = vocab[ch]
-        self.strings = {i: bytes(byte_of[ch] for ch in s) for s, i in vocab.items()}
         self.special = spec["special"]
-        self.strings |= {i: s.encode() for s, i in self.special.items()}
-        self.words = regex.compile(BYTE_PATTERN)
-        self.split = special_splitter(self.special)
-        self.cache = WordCache(self._packed)
+        self.strings = np.full(1 + max([*vocab.values(), *self.special.values()]), b"", dtype=object)
+        for s, i in vocab.items():
+            self.strings[i] = bytes(byte_of[ch] for ch in s)
+        for s, i in self.special.items():
+            self.strings[i] = s.encode()
+        self.pieces = BytePieces(lambda words: [struct.pack(f"<{len(ids)}i", *ids) for ids in (self.merge(w.encode()) for w in words)], self.special)
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one word."""
@@ -84,27 +84,16 @@ class BytePairCodec:
                     heapq.heappush(queue, (found[0], h, ids[h], new, found[1]))
         return [x for x in ids if x >= 0]
 
-    def _packed(self, word: str) -> bytes:
-        return np.array(self.merge(word.encode()), dtype="<i4").tobytes()
-
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a whole text."""
-        if not text:
-            return np.empty(0, dtype="<i4")
-        if self.split is None or not self.split.search(text):
-            return np.frombuffer(b"".join(self.cache.many(self.words.findall(text))), dtype="<i4")
-        out = []
-        for k, part in enumerate(self.split.split(text)):
-            if k % 2:
-                out.append(np.array([self.special[part]], dtype="<i4").tobytes())
-            else:
-                out += self.cache.many(self.words.findall(part))
-        return np.frombuffer(b"".join(out), dtype="<i4")
-
-    def decode(self, ids: Iterable[int]) -> str:
+        return next(self.pieces.many(pa.array([text], pa.string())))
+
+    def decode(self, ids: Sequence[int] | np.ndarray) -> str:
         """The text of ids, special tokens included."""
-        get = self.strings.get
-        return b"".join([get(i, b"") for i in ids]).decode("utf-8", errors="replace")
+        ids = np.asarray(ids, dtype=np.int64)
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.strings)):
+            ids = ids[(ids >= 0) & (ids < len(self.strings))]
+        return b"".join(self.strings[ids].tolist()).decode("utf-8", errors="replace")
 
 
 _CODECS: dict[str, BytePairCodec] = {}
@@ -139,10 +128,9 @@ def encode_documents(df: DataFrame, path: str, text_col: str = "text", ids_col:
         for batch in batches:
             schema = batch.schema.append(pa.field(ids_col, pa.list_(pa.int32())))
             texts, rows, size, start = batch.column(at), [], 0, 0
-            for i in range(len(texts)):
-                text = texts[i].as_py()
-                rows.append(bp.encode(text))
-                size += len(text or "")
+            for i, ids in enumerate(bp.pieces.many(texts)):
+                rows.append(ids)
+                size += 4 * len(ids)
                 if size >= OUT_BYTES or i == len(texts) - 1:
                     offsets = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
                     yield _with_column(batch, start, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows))), schema)
@@ -162,8 +150,7 @@ def decode_ids(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "
             schema = batch.schema.append(pa.field(text_col, pa.string()))
             lists, rows, size, start = batch.column(at), [], 0, 0
             for i in range(len(lists)):
-                v = lists[i]
-                ids = v.values.to_pylist() if v.is_valid else []
+                ids = lists[i].values.to_numpy() if lists[i].is_valid else ()
                 rows.append(bp.decode(ids))
                 size += 4 * len(ids)
                 if size >= OUT_BYTES or i == len(lists) - 1:
@@ -173,12 +160,36 @@ def decode_ids(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(text_col, T.StringType(), True)]))
 
 
+def encode_and_decode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+    """Both of the above in one pass over the rows: the ids of each text, and
+    what these ids decode to."""
+    _check_new(df, ids_col, decoded_col)
+    at = df.columns.index(text_col)
+    schema = T.StructType([*df.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), True), T.StructField(decoded_col, T.StringType(), True)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bp = codec(path)
+        for batch in batches:
+            wide = batch.schema.append(pa.field(ids_col, pa.list_(pa.int32()))).append(pa.field(decoded_col, pa.string()))
+            texts, rows, size, start = batch.column(at), [], 0, 0
+            for i, ids in enumerate(bp.pieces.many(texts)):
+                rows.append(ids)
+                size += 4 * len(ids)
+                if size >= OUT_BYTES or i == len(texts) - 1:
+                    offsets = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows)))
+                    part = batch.slice(start, len(rows))
+                    yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(map(bp.decode, rows), pa.string())], schema=wide)
+                    start, rows, size = i + 1, [], 0
+
+    return df.mapInArrow(run, schema)
+
+
 def round_trip_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_tokens, ids_sha256 (decimal ids joined by commas) and
     decoded_sha256, all from the ids."""
     docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    ids = encode_documents(docs, path).drop("text")
-    return decode_ids(ids, path).select(
+    return encode_and_decode(docs, path).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

@@ -37,7 +37,7 @@ class TokenCounter:
         self.shown = {b: ch for ch, b in byte_alphabet().items()}
         self.words = regex.compile(WORD_PATTERN)
         self.split = special_splitter(spec["special"])
-        self.cache = WordCache(self._count_word)
+        self.cache = WordCache(lambda words: list(map(self._count_word, words)))
 
     def _count_word(self, word: str) -> int:
         symbols: list[str | None] = [self.shown[b] for b in word.encode()]

@@ -38,7 +38,7 @@ def test_counter_equals_the_library():
 def test_memo_of_any_size_gives_the_same(monkeypatch):
     texts = [prose(i, 60) for i in range(30)]
     small = bpe.BytePairCodec(BYTES)
-    small.cache.limit = 7
+    small.pieces.words.limit = small.pieces.spaced.limit = 7
     assert [small.encode(t).tolist() for t in texts] == [bpe.codec(BYTES).encode(t).tolist() for t in texts]
 
 
