@@ -451,8 +451,9 @@ def _spans(windows: list[dict], length: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _cut_texts(windows: DataFrame, looked: DataFrame, length: int) -> DataFrame:
-    """Per text digest that loses bytes: n_removed, n_spans, kept (bytes), spans."""
+def _cut_texts(windows: DataFrame, looked: DataFrame, length: int, as_text: bool = False) -> DataFrame:
+    """Per text digest that loses bytes: n_removed, spans, kept (bytes, or text
+    without the characters of which only a part is left)."""
     per_text = windows.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "count")).alias("windows"))
     rows = looked.join(per_text, ["k1", "k2"]).select("k1", "k2", "packed", "windows")
 
@@ -468,15 +469,16 @@ def _cut_texts(windows: DataFrame, looked: DataFrame, length: int) -> DataFrame:
                         pieces.append(text[at:a])
                         at = b
                     pieces.append(text[at:])
-                    kept.append(b"".join(pieces))
+                    rest = b"".join(pieces)
+                    kept.append(rest.decode("utf-8", errors="ignore") if as_text else rest)
                     removed.append(sum(b - a for a, b in own))
                     spans.append([{"start": a, "end": b} for a, b in own])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("k1"), part.column("k2"), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())],
+                    [part.column("k1"), part.column("k2"), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.string() if as_text else pa.binary())],
                     names=["k1", "k2", "n_removed", "spans", "kept"],
                 )
 
-    return rows.mapInArrow(run, "k1 long, k2 long, n_removed long, spans array<struct<start: bigint, end: bigint>>, kept binary")
+    return rows.mapInArrow(run, "k1 long, k2 long, n_removed long, spans array<struct<start: bigint, end: bigint>>, kept " + ("string" if as_text else "binary"))
 
 
 def _with_digest(df: DataFrame, at: int, names: tuple[str, str]) -> DataFrame:
@@ -511,19 +513,8 @@ def remove_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH)
     which only a part is covered goes as a whole. All rows and columns stay; a
     null text stays null."""
     windows, looked = repeated_windows(_texts(df, text_col), length)
-    # decode() would replace what a cut character leaves behind; try_to is not needed: such bytes are dropped here
-    cut = _cut_texts(windows, looked, length)
-    cut = _decoded(cut.select("k1", "k2", "kept"))
+    cut = _cut_texts(windows, looked, length, as_text=True).select("k1", "k2", "kept")
     row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
     keyed = _with_digest(df.select(row, F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")), 1, ("k1", "k2")).drop("text")
     joined = keyed.join(cut, ["k1", "k2"], "left")
     return joined.select(*(F.coalesce(F.col("kept"), F.col("row")[c]).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in df.columns))
-
-
-def _decoded(cut: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = [b.decode("utf-8", errors="ignore") for b in batch.column("kept").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.array(kept, pa.string())], names=["k1", "k2", "kept"])
-
-    return cut.mapInArrow(run, "k1 long, k2 long, kept string")

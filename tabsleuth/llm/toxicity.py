@@ -33,7 +33,7 @@ from ._text import byte_column, lower_column, mix, slices, token_spans
 BUCKETS = 1 << 20
 #: sizes of the stems in bytes
 STEMS = (4, 5, 6, 7, 8)
-SAMPLE = 12_000
+SAMPLE = 8000
 EPOCHS = 5
 ALPHA, BETA, L1, L2 = 0.7, 1.0, 6.0, 1.0
 
@@ -104,7 +104,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         examples = []
         for batch in batches:
-            examples += [(b.values.to_numpy().astype(np.int64), y) for y, b in zip(batch.column(1).to_pylist(), batch.column(2), strict=True)]
+            examples += [(b.values.to_numpy(), y) for y, b in zip(batch.column(1).to_pylist(), batch.column(2), strict=True)]
         bucket, weight, intercept = train(examples)
         yield pa.RecordBatch.from_arrays([pa.array([bucket.tolist()], pa.list_(pa.int64())), pa.array([weight.tolist()], pa.list_(pa.float64())), pa.array([intercept])], names=["bucket", "weight", "intercept"])
 
