@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -125,3 +126,19 @@ def token_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     """Hashes and rows of the tokens of all texts in a buffer."""
     hasher, start, end, row = token_spans(buf, offsets)
     return hasher.spans(start, end), row
+
+
+def tidy(run):
+    """A task's batch function that hands freed memory back at its end: Python
+    workers live on and serve other stages, whose memory this would take."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim is not None:
+                trim(0)
+
+    return tidied

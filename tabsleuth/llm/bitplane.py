@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._pretokens import BytePieces
+from ._text import tidy
 
 MAGIC = b"BPL1"
 BLOCK = 1 << 16
@@ -194,7 +195,7 @@ def write_ids(df: DataFrame, out: str, tokenizer: str, id_col: str = "doc_id", t
         if done:
             yield pa.RecordBatch.from_pylist(done, schema=kinds)
 
-    docs.mapInArrow(run, schema).write.mode("errorifexists").option("compression", "none").parquet(out)
+    docs.mapInArrow(tidy(run), schema).write.mode("errorifexists").option("compression", "none").parquet(out)
 
 
 def _parts(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -220,7 +221,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
             for *columns, cuts, ids in _parts(batch):
                 yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids.astype(np.int32)))], names=["shard", "row", "doc_id", "part", "first", "ids"])
 
-    return blocks.select("shard", "first", "payload", "parts").mapInArrow(run, T.StructType([*_part_fields(blocks), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return blocks.select("shard", "first", "payload", "parts").mapInArrow(tidy(run), T.StructType([*_part_fields(blocks), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def id_digests(spark: SparkSession, path: str) -> DataFrame:
@@ -245,13 +246,13 @@ def id_digests(spark: SparkSession, path: str) -> DataFrame:
                 crcs.append(total)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("shard", "doc_id", "first", "n_tokens")), pa.array(crcs, pa.int64())], names=["shard", "doc_id", "first", "n_tokens", "ids_crc32"])
 
-    of_part = blocks.select("shard", "first", "payload", "parts").mapInArrow(checks, T.StructType([*fields, T.StructField("n", T.LongType()), T.StructField("crc", T.LongType())]))
+    of_part = blocks.select("shard", "first", "payload", "parts").mapInArrow(tidy(checks), T.StructType([*fields, T.StructField("n", T.LongType()), T.StructField("crc", T.LongType())]))
     # a document's parts are as many as its blocks, so the list is bounded by its size
     parts = of_part.groupBy("shard", "row").agg(F.first("doc_id").alias("doc_id"), F.min("first").alias("first"), F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("part", "n", "crc"))).alias("parts"))
     several = F.size("parts") > 1
     one = parts.where(~several).select("shard", "doc_id", "first", "n_tokens", F.element_at("parts", 1)["crc"].alias("ids_crc32"))
     schema = T.StructType([T.StructField("shard", T.IntegerType()), fields[2], T.StructField("first", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
-    whole = one.unionByName(parts.where(several).select("shard", "doc_id", "first", "n_tokens", "parts").mapInArrow(joined, schema))
+    whole = one.unionByName(parts.where(several).select("shard", "doc_id", "first", "n_tokens", "parts").mapInArrow(tidy(joined), schema))
     # one row per shard, so as many as the writing stage had partitions
     sizes = sorted((r["shard"], r["n"]) for r in spark.read.parquet(path).groupBy("shard").agg(F.sum("n_ids").alias("n")).collect())
     base, at = [], 0

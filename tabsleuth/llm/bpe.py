@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._pretokens import BytePieces, byte_alphabet, load_vocabulary
+from ._text import tidy
 
 #: bytes of results before a batch of them is handed back
 OUT_BYTES = 4 << 20
@@ -96,16 +97,6 @@ class BytePairCodec:
         return b"".join(self.strings[ids].tolist()).decode("utf-8", errors="replace")
 
 
-_CODECS: dict[str, BytePairCodec] = {}
-
-
-def codec(path: str) -> BytePairCodec:
-    """The worker's codec of a file, loaded once."""
-    if path not in _CODECS:
-        _CODECS[path] = BytePairCodec(path)
-    return _CODECS[path]
-
-
 def _check_new(df: DataFrame, *names: str) -> None:
     have = {c.lower() for c in df.columns}
     for n in names:
@@ -124,7 +115,7 @@ def encode_documents(df: DataFrame, path: str, text_col: str = "text", ids_col:
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bp = codec(path)
+        bp = BytePairCodec(path)  # of this task: its memo goes with it
         for batch in batches:
             schema = batch.schema.append(pa.field(ids_col, pa.list_(pa.int32())))
             texts, rows, size, start = batch.column(at), [], 0, 0
@@ -136,7 +127,7 @@ def encode_documents(df: DataFrame, path: str, text_col: str = "text", ids_col:
                     yield _with_column(batch, start, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows))), schema)
                     start, rows, size = i + 1, [], 0
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), True)]))
+    return df.mapInArrow(tidy(run), T.StructType([*df.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), True)]))
 
 
 def decode_ids(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -145,7 +136,7 @@ def decode_ids(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "
     at = df.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bp = codec(path)
+        bp = BytePairCodec(path)  # of this task: its memo goes with it
         for batch in batches:
             schema = batch.schema.append(pa.field(text_col, pa.string()))
             lists, rows, size, start = batch.column(at), [], 0, 0
@@ -157,7 +148,7 @@ def decode_ids(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "
                     yield _with_column(batch, start, pa.array(rows, pa.string()), schema)
                     start, rows, size = i + 1, [], 0
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(text_col, T.StringType(), True)]))
+    return df.mapInArrow(tidy(run), T.StructType([*df.schema.fields, T.StructField(text_col, T.StringType(), True)]))
 
 
 def encode_and_decode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
@@ -168,7 +159,7 @@ def encode_and_decode(df: DataFrame, path: str, text_col: str = "text", ids_col:
     schema = T.StructType([*df.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), True), T.StructField(decoded_col, T.StringType(), True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bp = codec(path)
+        bp = BytePairCodec(path)  # of this task: its memo goes with it
         for batch in batches:
             wide = batch.schema.append(pa.field(ids_col, pa.list_(pa.int32()))).append(pa.field(decoded_col, pa.string()))
             texts, rows, size, start = batch.column(at), [], 0, 0
@@ -182,7 +173,7 @@ def encode_and_decode(df: DataFrame, path: str, text_col: str = "text", ids_col:
                     yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(map(bp.decode, rows), pa.string())], schema=wide)
                     start, rows, size = i + 1, [], 0
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def round_trip_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

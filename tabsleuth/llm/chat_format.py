@@ -39,6 +39,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._text import tidy
+
 OPEN, CLOSE = "<turn>", "</turn>\n"
 _CONTROL = re.compile(r"\\|<(?=/?turn>|\|)")
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
@@ -166,7 +168,7 @@ def format_conversations(df: DataFrame, conv_col: str = "conv_id", turn_col: str
                 names=schema.names,
             )
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def read_back(pieces: DataFrame) -> DataFrame:
@@ -204,4 +206,4 @@ def read_back(pieces: DataFrame) -> DataFrame:
         if state is not None:
             yield pa.RecordBatch.from_pylist([row()], schema=kinds)
 
-    return rows.mapInArrow(run, schema).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_attachments", "n_attachment_tokens")
+    return rows.mapInArrow(tidy(run), schema).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_attachments", "n_attachment_tokens")

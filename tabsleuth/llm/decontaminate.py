@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import scratch_path
-from ._text import byte_column, lower_column, mix, slices, token_hashes
+from ._text import byte_column, lower_column, mix, slices, tidy, token_hashes
 
 SPAN = 8
 #: Positions that each mask looks at; it ignores (3, 6), (2, 5), (1, 4), (0, 7).
@@ -162,7 +162,7 @@ def _judged_in_place(df: DataFrame, bench: DataFrame, text_col: str, hits_col: s
                     hits.append(sorted(best.values(), key=lambda h: (h["item_id"] is None, h["item_id"] or 0)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits, _HIT_ARROW)], schema=batch.schema.append(pa.field(hits_col, _HIT_ARROW)))
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(hits_col, T.ArrayType(HIT))]))
+    return df.mapInArrow(tidy(run), T.StructType([*df.schema.fields, T.StructField(hits_col, T.ArrayType(HIT))]))
 
 
 def _digest(data: bytes) -> bytes:
@@ -181,7 +181,7 @@ def _seed_rows(texts: DataFrame) -> DataFrame:
                 for h, at in seeds(tokens, row):
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i + row[at])), pa.array(h.view(np.int64)), pa.array((at - bounds[row[at]]).astype(np.int32))], names=["key", "seed", "place"])
 
-    return texts.mapInArrow(run, T.StructType([texts.schema.fields[0], T.StructField("seed", T.LongType()), T.StructField("place", T.IntegerType())]))
+    return texts.mapInArrow(tidy(run), T.StructType([texts.schema.fields[0], T.StructField("seed", T.LongType()), T.StructField("place", T.IntegerType())]))
 
 
 def _keyed(df: DataFrame, at: int, key_col: str) -> DataFrame:
@@ -191,7 +191,7 @@ def _keyed(df: DataFrame, at: int, key_col: str) -> DataFrame:
             keys = pa.array([_digest(buf[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, keys], schema=batch.schema.append(pa.field(key_col, pa.binary())))
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(key_col, T.BinaryType())]))
+    return df.mapInArrow(tidy(run), T.StructType([*df.schema.fields, T.StructField(key_col, T.BinaryType())]))
 
 
 def _judged_by_joins(df: DataFrame, bench: DataFrame, text_col: str, hits_col: str) -> DataFrame:
@@ -219,7 +219,7 @@ def _judged_by_joins(df: DataFrame, bench: DataFrame, text_col: str, hits_col: s
                 hits = sorted(best.values(), key=lambda h: (h["item_id"] is None, h["item_id"] or 0))
                 yield pa.RecordBatch.from_arrays([pa.array([rec["key"]], pa.binary()), pa.array([hits], _HIT_ARROW)], names=["key", "hits"])
 
-    judged = once.mapInArrow(run, T.StructType([T.StructField("key", T.BinaryType()), T.StructField("hits", T.ArrayType(HIT))]))
+    judged = once.mapInArrow(tidy(run), T.StructType([T.StructField("key", T.BinaryType()), T.StructField("hits", T.ArrayType(HIT))]))
     whole = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), plain)
     joined = _keyed(whole, 1, "key").select("row", "key").join(judged, "key", "left")
     return joined.select(*(F.col("row")[c].alias(c) for c in df.columns), F.coalesce("hits", F.array().cast(T.ArrayType(HIT))).alias(hits_col))

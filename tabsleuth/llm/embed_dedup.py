@@ -38,6 +38,7 @@ from pyspark.sql import types as T
 
 from ..session import scratch_path
 from ._components import components
+from ._text import tidy
 
 LEAST = 0.9
 WINDOW = 128
@@ -86,7 +87,7 @@ def _vectors(df: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, st
                 data.append(one)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.binary()), pa.array(sizes, pa.int32()), pa.array(data, pa.binary())], names=schema.names)
 
-    return rows.mapInArrow(run, schema), kind
+    return rows.mapInArrow(tidy(run), schema), kind
 
 
 def _keys(classes: DataFrame, kind: str, turn: int) -> DataFrame:
@@ -105,7 +106,7 @@ def _keys(classes: DataFrame, kind: str, turn: int) -> DataFrame:
                 key[at] = np.packbits(side, axis=1).view(">u8").reshape(-1).astype(np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((key ^ np.uint64(1 << 63)).view(np.int64))], schema=batch.schema.append(pa.field("key", pa.int64())))
 
-    return classes.mapInArrow(run, T.StructType([*classes.schema.fields, T.StructField("key", T.LongType())]))
+    return classes.mapInArrow(tidy(run), T.StructType([*classes.schema.fields, T.StructField("key", T.LongType())]))
 
 
 def _window_links(classes: DataFrame, kind: str, turn: int, window: int, least: float) -> DataFrame:
@@ -146,7 +147,7 @@ def _window_links(classes: DataFrame, kind: str, turn: int, window: int, least:
                     if found[0]:
                         yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.binary()), pa.array(found[1], pa.binary())], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a binary, b binary")
+    return rows.mapInArrow(tidy(run), "a binary, b binary")
 
 
 def _counts_in_groups(members: DataFrame, kind: str, least: float) -> DataFrame:
@@ -171,7 +172,7 @@ def _counts_in_groups(members: DataFrame, kind: str, least: float) -> DataFrame:
         if group[0]:
             yield solve(*group)
 
-    return rows.mapInArrow(run, "class binary, links long")
+    return rows.mapInArrow(tidy(run), "class binary, links long")
 
 
 def _counts_in_blocks(members: DataFrame, kind: str, least: float) -> DataFrame:
@@ -185,7 +186,7 @@ def _counts_in_blocks(members: DataFrame, kind: str, least: float) -> DataFrame:
             offsets = np.arange(0, unit.size + 1, unit.shape[1], dtype=np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("component"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(unit.reshape(-1)))], names=["component", "unit"])
 
-    units = members.select("component", "vector").mapInArrow(unit_rows, "component binary, unit array<double>")
+    units = members.select("component", "vector").mapInArrow(tidy(unit_rows), "component binary, unit array<double>")
     mean = units.select("component", F.posexplode("unit").alias("at", "x")).groupBy("component", "at").agg(F.sum("x").alias("x"))
     mean = mean.groupBy("component").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("mean"))
 
@@ -199,7 +200,7 @@ def _counts_in_blocks(members: DataFrame, kind: str, least: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("component", "class", "weight", "vector")), pa.array((angle / RING).astype(np.int32))], names=["component", "class", "weight", "vector", "ring"])
 
     path = scratch_path(spark, "rings")
-    members.join(mean, "component").select("component", "class", "weight", "vector", "mean").mapInArrow(angles, "component binary, class binary, weight long, vector binary, ring int").write.parquet(path)
+    members.join(mean, "component").select("component", "class", "weight", "vector", "mean").mapInArrow(tidy(angles), "component binary, class binary, weight long, vector binary, ring int").write.parquet(path)
     rings = spark.read.schema("component binary, class binary, weight long, vector binary, ring int").parquet(path)
     size = rings.groupBy("component", "ring").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"))
     one, two = size.select("component", F.col("ring").alias("r"), F.col("n").alias("rn")), size.select("component", F.col("ring").alias("q"), F.col("n").alias("qn"), F.col("w").alias("qw"))
@@ -242,7 +243,7 @@ def _counts_in_blocks(members: DataFrame, kind: str, least: float) -> DataFrame:
         if (out := solve(group)) is not None:
             yield out
 
-    return known.unionByName(dealt.mapInArrow(multiply, "class binary, links long")).groupBy("class").agg(F.sum("links").alias("links"))
+    return known.unionByName(dealt.mapInArrow(tidy(multiply), "class binary, links long")).groupBy("class").agg(F.sum("links").alias("links"))
 
 
 def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = LEAST, window: int = WINDOW, group: int = GROUP) -> DataFrame:

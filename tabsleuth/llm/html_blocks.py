@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._text import byte_column, token_hashes
+from ._text import byte_column, tidy, token_hashes
 
 SAMPLE = 400
 VARIANTS = 3
@@ -394,7 +394,7 @@ def fit(df: DataFrame, id_col: str = "page_id", html_col: str = "html", sample:
             weights = train(found)
             yield pa.RecordBatch.from_arrays([pa.array(list(weights)), pa.array([v.reshape(-1).tolist() for v in weights.values()], pa.list_(pa.float64())), pa.array([list(v.shape) for v in weights.values()], pa.list_(pa.int32()))], names=["name", "value", "shape"])
 
-    rows = chosen.select("html").coalesce(1).mapInArrow(learn, "name string, value array<double>, shape array<int>").collect()
+    rows = chosen.select("html").coalesce(1).mapInArrow(tidy(learn), "name string, value array<double>, shape array<int>").collect()
     return {r["name"]: np.array(r["value"]).reshape(r["shape"]) for r in rows} or None
 
 
@@ -418,4 +418,4 @@ def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html
                     names=schema.names,
                 )
 
-    return pages.mapInArrow(run, schema)
+    return pages.mapInArrow(tidy(run), schema)

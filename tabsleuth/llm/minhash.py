@@ -48,7 +48,7 @@ from pyspark.sql import types as T
 
 from ..session import scratch_path
 from ._components import components
-from ._text import FOLD, RollingHash, byte_column, mix, slices, words
+from ._text import FOLD, RollingHash, byte_column, mix, slices, tidy, words
 
 SHINGLE = 5
 COORDS = 64
@@ -154,7 +154,7 @@ def _signature_rows(docs: DataFrame) -> DataFrame:
                     names=schema.names,
                 )
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -168,7 +168,7 @@ def _packed(docs: DataFrame) -> DataFrame:
                 texts = [buf[a:b].tobytes() for a, b in zip(offsets[i:j], offsets[i + 1 : j + 1], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([_digest(t) for t in texts], pa.binary()), pa.array([press.compress(t) for t in texts], pa.binary())], names=["source_text", "packed"])
 
-    return docs.select("text").mapInArrow(run, "source_text binary, packed binary")
+    return docs.select("text").mapInArrow(tidy(run), "source_text binary, packed binary")
 
 
 def _postings(classes: DataFrame, hot: np.ndarray) -> DataFrame:
@@ -189,7 +189,7 @@ def _postings(classes: DataFrame, hot: np.ndarray) -> DataFrame:
             who = pa.array(np.repeat(np.arange(m), POSTS))
             yield pa.RecordBatch.from_arrays([pa.array(chosen), *(batch.column(c).take(who) for c in ("class", "n", "low")), pa.array(passed)], names=["pair", "class", "n", "low", "passed"])
 
-    return classes.select("class", "n", "pairs", "low").mapInArrow(run, "pair long, class binary, n long, low binary, passed boolean")
+    return classes.select("class", "n", "pairs", "low").mapInArrow(tidy(run), "pair long, class binary, n long, low binary, passed boolean")
 
 
 def _collisions(low: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -279,7 +279,7 @@ def _list_pairs(postings: DataFrame) -> DataFrame:
 
         yield from _edges(found())
 
-    return rows.mapInArrow(run, "a binary, b binary").distinct()
+    return rows.mapInArrow(tidy(run), "a binary, b binary").distinct()
 
 
 def linked_forest(sets: list[np.ndarray], label: np.ndarray) -> list[tuple[int, int]]:
@@ -333,7 +333,7 @@ def _cluster_links(members: DataFrame) -> DataFrame:
 
         yield from _edges(found())
 
-    return rows.mapInArrow(run, "a binary, b binary").distinct()
+    return rows.mapInArrow(tidy(run), "a binary, b binary").distinct()
 
 
 def _units_first() -> Column:
@@ -433,7 +433,7 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
                 digests += [_digest(part[a:b].tobytes()) if f else None for a, b, f in zip(own[:-1], own[1:], full, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary())], names=["row", "row_id", "digest"])
 
-    keyed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(f"`{id_col}`").alias("row_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).mapInArrow(run, schema)
+    keyed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(f"`{id_col}`").alias("row_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).mapInArrow(tidy(run), schema)
     same = F.col("row_id").eqNullSafe(F.col("stay_id")) & (F.col("digest") == F.col("stay_text"))
     one = keyed.where("digest is not null").join(stays, same, "left_semi").groupBy("row_id", "digest").agg(F.first("row").alias("row"))
     return one.select("row").unionByName(keyed.where("digest is null").select("row")).select(*(F.col("row")[c].alias(c) for c in df.columns))

@@ -51,7 +51,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import scratch_path
-from ._text import RollingHash, byte_column, slices
+from ._text import RollingHash, byte_column, slices, tidy
 
 LENGTH = 200
 GRAM = 48
@@ -258,7 +258,7 @@ def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 packed = (start << 20) | (place << 10) | count
                 yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(key[row, 0]), pa.array(key[row, 1]), pa.array(packed)], names=["anchor", "k1", "k2", "run"])
 
-    return docs.mapInArrow(run, _ANCHORS)
+    return docs.mapInArrow(tidy(run), _ANCHORS)
 
 
 def _packed_texts(docs: DataFrame, length: int) -> DataFrame:
@@ -280,7 +280,7 @@ def _packed_texts(docs: DataFrame, length: int) -> DataFrame:
                 if k1:
                     yield pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(packed, pa.binary())], names=["k1", "k2", "packed"])
 
-    return docs.mapInArrow(run, "k1 long, k2 long, packed binary")
+    return docs.mapInArrow(tidy(run), "k1 long, k2 long, packed binary")
 
 
 def _open(packed: bytes) -> bytes:
@@ -312,7 +312,7 @@ def _fragment_rows(rows: DataFrame, length: int) -> DataFrame:
                     out.append({"kind": 0, "k1": rec["k1"], "k2": rec["k2"], "copies": rec["copies"], "packed": rec["packed"]})
                 yield pa.RecordBatch.from_pylist(out, schema=kinds)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def _bodies(named: DataFrame, looked: DataFrame, length: int) -> DataFrame:
@@ -331,7 +331,7 @@ def _bodies(named: DataFrame, looked: DataFrame, length: int) -> DataFrame:
                         out.append({"anchor": f["anchor"], "body": text[f["start"] : f["start"] + f["count"] - 1 + length], "place": f["place"], "copies": f["copies"], "k1": rec["k1"], "k2": rec["k2"], "start": f["start"]})
                 yield pa.RecordBatch.from_pylist(out, schema=kinds)
 
-    return rows.mapInArrow(run, _BODY)
+    return rows.mapInArrow(tidy(run), _BODY)
 
 
 def _sorted_windows(groups: DataFrame, length: int) -> DataFrame:
@@ -371,7 +371,7 @@ def _sorted_windows(groups: DataFrame, length: int) -> DataFrame:
         if bodies:
             yield solve(bodies, rest)
 
-    return rows.mapInArrow(run, "k1 long, k2 long, start int, count int")
+    return rows.mapInArrow(tidy(run), "k1 long, k2 long, start int, count int")
 
 
 def _cut(bodies: DataFrame, width: int, length: int) -> DataFrame:
@@ -394,7 +394,7 @@ def _cut(bodies: DataFrame, width: int, length: int) -> DataFrame:
                         out.append({"anchor": key, "f1": name[0], "f2": name[1], "place": place - first, "count": last - first + 1, "copies": rec["copies"], "k1": rec["k1"], "k2": rec["k2"], "starts": [rec["start"] + first]})
                 yield pa.RecordBatch.from_pylist(out, schema=kinds)
 
-    return bodies.mapInArrow(run, _NAMED)
+    return bodies.mapInArrow(tidy(run), _NAMED)
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
@@ -478,7 +478,7 @@ def _cut_texts(windows: DataFrame, looked: DataFrame, length: int, as_text: bool
                     names=["k1", "k2", "n_removed", "spans", "kept"],
                 )
 
-    return rows.mapInArrow(run, "k1 long, k2 long, n_removed long, spans array<struct<start: bigint, end: bigint>>, kept " + ("string" if as_text else "binary"))
+    return rows.mapInArrow(tidy(run), "k1 long, k2 long, n_removed long, spans array<struct<start: bigint, end: bigint>>, kept " + ("string" if as_text else "binary"))
 
 
 def _with_digest(df: DataFrame, at: int, names: tuple[str, str]) -> DataFrame:
@@ -491,7 +491,7 @@ def _with_digest(df: DataFrame, at: int, names: tuple[str, str]) -> DataFrame:
             schema = batch.schema.append(pa.field(names[0], pa.int64())).append(pa.field(names[1], pa.int64()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy())], schema=schema)
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(names[0], T.LongType()), T.StructField(names[1], T.LongType())]))
+    return df.mapInArrow(tidy(run), T.StructType([*df.schema.fields, T.StructField(names[0], T.LongType()), T.StructField(names[1], T.LongType())]))
 
 
 def removal_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ._cache import WordCache
 from ._pretokens import WORD_PATTERN, byte_alphabet, load_vocabulary, special_splitter
+from ._text import tidy
 
 
 class TokenCounter:
@@ -100,5 +101,5 @@ def token_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             size = pc.binary_length(texts).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), size, n], names=["doc_id", "n_bytes", "n_tokens"])
 
-    out = docs.mapInArrow(run, f"doc_id {kind.simpleString()}, n_bytes long, n_tokens long")
+    out = docs.mapInArrow(tidy(run), f"doc_id {kind.simpleString()}, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > F.lit(limit))

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._text import byte_column, lower_column, mix, slices, token_spans
+from ._text import byte_column, lower_column, mix, slices, tidy, token_spans
 
 BUCKETS = 1 << 20
 #: sizes of the stems in bytes
@@ -108,8 +108,8 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
         bucket, weight, intercept = train(examples)
         yield pa.RecordBatch.from_arrays([pa.array([bucket.tolist()], pa.list_(pa.int64())), pa.array([weight.tolist()], pa.list_(pa.float64())), pa.array([intercept])], names=["bucket", "weight", "intercept"])
 
-    bags = rows.mapInArrow(bag, "turn long, label int, buckets array<int>").orderBy("turn", "label", "buckets").limit(sample)
-    model = bags.coalesce(1).mapInArrow(learn, "bucket array<long>, weight array<double>, intercept double").first()
+    bags = rows.mapInArrow(tidy(bag), "turn long, label int, buckets array<int>").orderBy("turn", "label", "buckets").limit(sample)
+    model = bags.coalesce(1).mapInArrow(tidy(learn), "bucket array<long>, weight array<double>, intercept double").first()
     if model is None:
         return np.empty(0, dtype=np.int64), np.empty(0), -np.inf
     return np.array(model["bucket"], dtype=np.int64), np.array(model["weight"], dtype=np.float64), model["intercept"]
@@ -139,7 +139,7 @@ def score(df: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col:
                 value = 1.0 / (1.0 + np.exp(-total))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value)], schema=batch.schema.append(pa.field(score_col, pa.float64())))
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(score_col, T.DoubleType())]))
+    return df.mapInArrow(tidy(run), T.StructType([*df.schema.fields, T.StructField(score_col, T.DoubleType())]))
 
 
 def toxicity_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -21,7 +21,7 @@ def wild_texts():
 
 
 def test_codec_equals_the_library():
-    library, own = Tokenizer.from_file(BYTES), bpe.codec(BYTES)
+    library, own = Tokenizer.from_file(BYTES), bpe.BytePairCodec(BYTES)
     for text in wild_texts() + [t or "" for t in ODD_TEXTS]:
         ids = own.encode(text).tolist()
         assert ids == library.encode(text, add_special_tokens=False).ids, text
@@ -39,7 +39,8 @@ def test_memo_of_any_size_gives_the_same(monkeypatch):
     texts = [prose(i, 60) for i in range(30)]
     small = bpe.BytePairCodec(BYTES)
     small.pieces.words.limit = small.pieces.spaced.limit = 7
-    assert [small.encode(t).tolist() for t in texts] == [bpe.codec(BYTES).encode(t).tolist() for t in texts]
+    large = bpe.BytePairCodec(BYTES)
+    assert [small.encode(t).tolist() for t in texts] == [large.encode(t).tolist() for t in texts]
 
 
 def test_round_trip_query(spark):
