@@ -180,7 +180,7 @@ def preprocess_fit(train: DataFrame, features: list[str]) -> Preprocessor:
     num = [c for c in features if ty.family(train.schema[c].dataType) == ty.NUMERIC]
     cat = [c for c in features if ty.family(train.schema[c].dataType) == ty.STRING]
     med, mod = impute_fit(train, num, cat)
-    filled = impute_apply(train.select(*num, *cat), med, mod)
+    filled = impute_apply(train.select(*[F.col(f"`{c}`") for c in num + cat]), med, mod)
     means, stds = scale_fit(filled, num)
     levels, infrequent = one_hot_fit(filled, cat)
     return Preprocessor(num, cat, med, mod, means, stds, levels, infrequent)

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 # Encodings and separators tried, in this order, when sniffing a CSV file.
 CSV_ENCODINGS = ["utf-8", "latin-1", "cp1252"]
 CSV_SEPARATORS = [",", ";", "\t", "|"]
+SPARK_CHARSETS = {"latin-1": "ISO-8859-1"}  # where the reader's name differs
 SUPPORTED_EXTENSIONS = {".csv": "csv", ".parquet": "parquet", ".pq": "parquet", ".json": "json"}
 
 
@@ -23,9 +24,7 @@ class UnsupportedFormat(ValueError):
 def _is_utf8(spark: SparkSession, path: str) -> bool:
     """Whether every line of a file is valid UTF-8 (one pass; a decoder that
     replaces malformed bytes would hide them)."""
-    lines = spark.read.option("encoding", "ISO-8859-1").option("lineSep", "\n").text(path)  # bytes one to one
-    data = F.encode(F.col("value"), "ISO-8859-1")
-    return lines.where(~F.is_valid_utf8(data.cast("string"))).isEmpty()
+    return spark.read.option("lineSep", "\n").text(path).where(~F.is_valid_utf8("value")).isEmpty()
 
 
 def sniff_csv(spark: SparkSession, path: str) -> tuple[str, str]:
@@ -34,7 +33,7 @@ def sniff_csv(spark: SparkSession, path: str) -> tuple[str, str]:
     that splits the header into more than one column. Raises ValueError when
     none does (single-column files are rejected)."""
     enc = CSV_ENCODINGS[0] if _is_utf8(spark, path) else CSV_ENCODINGS[1]
-    rows = spark.read.option("encoding", enc).option("lineSep", "\n").text(path).limit(1).collect()
+    rows = spark.read.option("lineSep", "\n").text(path).limit(1).collect()  # separators are ASCII in each encoding
     if rows:
         for sep in CSV_SEPARATORS:
             if len(rows[0][0].split(sep)) > 1:
@@ -46,7 +45,7 @@ def read_csv_sniff(spark: SparkSession, path: str, max_rows: int | None = None,
     """A1: read CSV with sniffed encoding and separator and a header row. The
     schema is inferred (one more pass over the file) unless it is given."""
     enc, sep = sniff_csv(spark, path)
-    df = spark.read.csv(path, sep=sep, encoding=enc, header=True, schema=schema, inferSchema=schema is None)
+    df = spark.read.csv(path, sep=sep, encoding=SPARK_CHARSETS.get(enc, enc), header=True, schema=schema, inferSchema=schema is None)
     return row_cap(df, max_rows) if max_rows else df
 
 
