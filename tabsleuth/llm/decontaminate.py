@@ -14,7 +14,8 @@ and tokens are broadcast and each text is judged where it is read, without a
 shuffle. A larger benchmark is joined by shuffles: seeds by hash, then the
 texts that have hits by digest. Both give the same rows.
 
-Tokens are runs of lower-cased letters, digits and bytes from 0x80 on, so case, spacing and ASCII punctuation do not matter.
+Tokens are runs of lower-cased letters, digits and bytes from 0x80 on, so case,
+spacing and ASCII punctuation do not matter.
 
 Defined cases: null and empty texts are never contaminated; items of fewer than
 ``SPAN`` tokens are too short to be evidence and match nothing; repeated rows

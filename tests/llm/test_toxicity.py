@@ -1,5 +1,6 @@
 import zlib
 
+import numpy as np
 from helpers import ODD_TEXTS, documents, prose
 
 from tabsleuth.llm import toxicity as tx
@@ -32,7 +33,10 @@ def test_odd_rows_and_small_tables(spark):
 
 
 def test_weights_are_sparse_and_labels_decide():
-    rng = __import__("numpy").random.default_rng(1)
-    examples = [(__import__("numpy").unique(__import__("numpy").append(rng.integers(100, tx.BUCKETS, 50), [7] if k % 3 == 0 else [])).astype(int), int(k % 3 == 0)) for k in range(600)]
+    rng = np.random.default_rng(1)
+    examples = []
+    for k in range(600):
+        toxic = k % 3 == 0
+        examples.append((np.unique(np.append(rng.integers(100, tx.BUCKETS, 50), [7] if toxic else [])).astype(int), int(toxic)))
     bucket, weight, _ = tx.train(examples)
     assert 7 in bucket and weight[list(bucket).index(7)] == weight.max() and len(bucket) < 200
