@@ -2,11 +2,20 @@
 
 In each pass every vector gets a key of 64 random-hyperplane bits. Vectors are
 put in the lexicographic order of their keys (range partitions) and each one is
-compared, in double precision, with the ``WINDOW`` ones after it; similar
-vectors share long key prefixes and so come close to each other in some pass.
-The verified links of all passes are united into components. The number of
-passes follows from the number of vectors so that a pair right at the threshold
-is met with a probability of ``RECALL`` (closer pairs: higher).
+compared, in double precision, with the ``WINDOW`` ones on either side and with
+its block; similar vectors share long key prefixes and so come close to each
+other in some pass. The verified links of all passes are united into components.
+
+How far that goes is measured, not assumed: each pass reports for each vector
+how many leading bits a partner had to share to be compared with it for certain
+(one more than the first vector beyond its reach, or beyond the partition,
+shares). A pair right at the threshold agrees on that many bits with a known
+probability, so each vector has a probability that all passes missed a partner
+of it. It is settled, and left out of later passes, when that is below
+1 - ``RECALL``; ``n_passes()`` only sets the length of the first round. Rounds go
+on until all are settled. Where vectors lie so densely that further passes would
+cost more than comparing all open vectors with each other, that is done instead
+(``_all_links``, strips of bounded size), which is exact.
 
 Windows alone would miss links inside groups larger than a window, so links are
 then counted exactly within each component: small components in one task, large
@@ -47,12 +56,14 @@ BITS = 64
 SEED = 20_240_229
 #: members of a component that one task counts together, and of a block
 GROUP, BLOCK = 2048, 1024
+#: bytes of vectors that are sent to all tasks at a time, and comparisons at a time
+STRIP, AT_ONCE = 8 << 20, 4 << 20
 #: width in degrees of the rings that large components are cut into
 RING = 0.5
 
 
 def n_passes(n: int, window: int = WINDOW, least: float = LEAST, recall: float = RECALL) -> int:
-    """Passes after which a pair of similarity ``least`` among ``n`` vectors has
+    """First guess, for vectors spread evenly, of the passes after which a pair of similarity ``least`` among ``n`` vectors has
     shared a window with probability ``recall``: it must agree on about
     log2(n / window) leading bits, on each with probability 1 - angle / pi."""
     bits = max(0.0, math.log2(max(n, 1) / window))
@@ -90,28 +101,79 @@ def _vectors(df: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, st
     return rows.mapInArrow(tidy(run), schema), kind
 
 
-def _keys(classes: DataFrame, kind: str, turn: int) -> DataFrame:
-    """The classes with the sort key of a pass."""
+def _keys(classes: DataFrame, kind: str, turns: range) -> DataFrame:
+    """The classes with the sort key of each pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
+        planes: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             sizes = batch.column("size").to_numpy()
-            key = np.zeros(batch.num_rows, dtype=np.uint64)
+            key = np.zeros((len(turns), batch.num_rows), dtype=np.uint64)
             for dim in np.unique(sizes):
                 at = np.flatnonzero(sizes == dim)
-                if dim not in planes:
-                    planes[dim] = np.random.default_rng([SEED, turn, int(dim)]).standard_normal((int(dim), BITS))
-                side = _units(batch.column("vector").take(pa.array(at)), kind) @ planes[dim] > 0
-                key[at] = np.packbits(side, axis=1).view(">u8").reshape(-1).astype(np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((key ^ np.uint64(1 << 63)).view(np.int64))], schema=batch.schema.append(pa.field("key", pa.int64())))
-
-    return classes.mapInArrow(tidy(run), T.StructType([*classes.schema.fields, T.StructField("key", T.LongType())]))
-
-
-def _window_links(classes: DataFrame, kind: str, turn: int, window: int, least: float) -> DataFrame:
-    """Verified links of a pass; within a task only those that join something."""
-    rows = _keys(classes.select("class", "size", "vector"), kind, turn).repartitionByRange("size", "key", "class").sortWithinPartitions("size", "key", "class")
+                unit = _units(batch.column("vector").take(pa.array(at)), kind)
+                for k, turn in enumerate(turns):
+                    if (turn, dim) not in planes:
+                        planes[turn, dim] = np.random.default_rng([SEED, turn, int(dim)]).standard_normal((int(dim), BITS))
+                    key[k, at] = np.packbits(unit @ planes[turn, dim] > 0, axis=1).view(">u8").reshape(-1).astype(np.uint64)
+            for k, turn in enumerate(turns):
+                more = [pa.array(np.full(batch.num_rows, turn, dtype=np.int32)), pa.array((key[k] ^ np.uint64(1 << 63)).view(np.int64))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *more], schema=batch.schema.append(pa.field("turn", pa.int32())).append(pa.field("key", pa.int64())))
+
+    return classes.mapInArrow(tidy(run), T.StructType([*classes.schema.fields, T.StructField("turn", T.IntegerType()), T.StructField("key", T.LongType())]))
+
+
+def _shared(a: np.ndarray, b: np.uint64) -> np.ndarray:
+    """Leading bits that keys have in common with another one."""
+    x = a ^ b
+    high, low = (x >> np.uint64(32)).astype(np.float64), (x & np.uint64(0xFFFFFFFF)).astype(np.float64)
+    return BITS - np.where(high > 0, 32 + np.frexp(high)[1], np.frexp(low)[1])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], pa.Table]]:
+    """(turn, size) and the rows of it in their order, ``BLOCK`` at a time."""
+    last, held = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        turn, size = batch.column("turn").to_numpy(), batch.column("size").to_numpy()
+        cuts = (np.flatnonzero((turn[1:] != turn[:-1]) | (size[1:] != size[:-1])) + 1).tolist()
+        for i, j in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+            group, part = (int(turn[i]), int(size[i])), pa.Table.from_batches([batch.slice(i, j - i)])
+            if group != last and held is not None and held.num_rows:
+                yield last, held
+            held, last = part if group != last else pa.concat_tables([held, part]), group
+            while held.num_rows >= BLOCK:
+                yield last, held.slice(0, BLOCK)
+                held = held.slice(BLOCK)
+    if held is not None and held.num_rows:
+        yield last, held
+
+
+def _forest(close: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Links that span the components of a block."""
+    unseen = np.ones(len(close), dtype=bool)
+    for start in np.flatnonzero(close.sum(axis=1) > 1):
+        if unseen[start]:
+            unseen[start] = False
+            stack = [start]
+            while stack:
+                x = stack.pop()
+                new = np.flatnonzero(close[x] & unseen)
+                unseen[new] = False
+                stack.extend(new)
+                for y in new:
+                    yield x, y
+
+
+_FOUND = "a binary, b binary, mark long, bits int"
+
+
+def _window_links(classes: DataFrame, kind: str, turns: range, window: int, least: float) -> DataFrame:
+    """Verified links (a, b) of some passes, within a task only those that join
+    something; and for every vector (mark) and pass the leading bits that make
+    sure that a partner was compared: 0 if all were, over ``BITS`` if unknown."""
+    rows = _keys(classes.select("class", "size", "vector", "mark"), kind, turns).repartitionByRange("turn", "size", "key", "class").sortWithinPartitions("turn", "size", "key", "class")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parent: dict[bytes, bytes] = {}
@@ -121,33 +183,99 @@ def _window_links(classes: DataFrame, kind: str, turn: int, window: int, least:
                 parent[x] = x = parent.get(up, up)
             return x
 
-        tail_names: list[bytes] = []
-        tail = np.empty((0, 0))
-        for batch in batches:
-            sizes = batch.column("size").to_numpy()
-            for dim in np.unique(sizes):
-                at = np.flatnonzero(sizes == dim)
-                if tail.shape[1] != dim:
-                    tail_names, tail = [], np.empty((0, int(dim)))
-                for i in range(0, len(at), BLOCK):
-                    own = at[i : i + BLOCK]
-                    names = tail_names + batch.column("class").take(pa.array(own)).to_pylist()
-                    unit = np.concatenate((tail, _units(batch.column("vector").take(pa.array(own)), kind)))
-                    old, found = len(tail_names), ([], [])
-                    close = unit @ unit[old:].T >= least
-                    for x, y in zip(*np.nonzero(close), strict=True):
-                        y += old
-                        if 0 < y - x <= window:
-                            a, b = root(names[x]), root(names[y])
-                            if a != b:
-                                parent[max(a, b)] = min(a, b)
-                                found[0].append(names[x])
-                                found[1].append(names[y])
-                    tail_names, tail = names[-window:], unit[-window:]
-                    if found[0]:
-                        yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.binary()), pa.array(found[1], pa.binary())], names=["a", "b"])
-
-    return rows.mapInArrow(tidy(run), "a binary, b binary")
+        def reach(mark: np.ndarray, key: np.ndarray, floor: np.ndarray, ceil: np.uint64 | None) -> pa.RecordBatch:
+            bits = 1 + (floor if ceil is None else np.maximum(floor, _shared(key, ceil)))
+            none = pa.nulls(len(mark), pa.binary())
+            return pa.RecordBatch.from_arrays([none, none, pa.array(mark), pa.array(bits.astype(np.int32))], names=["a", "b", "mark", "bits"])
+
+        last, before = None, None  # before: the key ahead of the tail, none at the start of all
+        names: list[bytes] = []
+        mark, key, floor, unit = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64), np.empty((0, 0))
+        wait = (mark, key, floor)  # compared with all in reach, but the next key is not known
+        for group, block in _blocks(batches):
+            own = block.column("key").to_numpy().view(np.uint64) ^ np.uint64(1 << 63)
+            if group == last:
+                yield reach(*wait, own[0])
+            else:
+                if last is not None:
+                    yield reach(*wait, None)
+                    yield reach(mark, key, floor, None)
+                before = own[0] if last is None else None  # more of the group may be in the partition before
+                names, mark, key, floor, unit = [], mark[:0], key[:0], floor[:0], np.empty((0, group[1]))
+                last = group
+            names = names + block.column("class").to_pylist()
+            mark = np.concatenate((mark, block.column("mark").to_numpy()))
+            floor = np.concatenate((floor, np.full(len(own), -1) if before is None else _shared(own, before)))
+            key = np.concatenate((key, own))
+            unit = np.concatenate((unit, _units(block.column("vector").to_pylist(), kind)))
+            found = ([], [])
+            for x, y in _forest(unit @ unit.T >= least):
+                a, b = root(names[x]), root(names[y])
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    found[0].append(names[x])
+                    found[1].append(names[y])
+            if found[0]:
+                none = len(found[0])
+                yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.binary()), pa.array(found[1], pa.binary()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.int32())], names=["a", "b", "mark", "bits"])
+            cut = max(0, len(names) - window)
+            if cut:
+                before = key[cut - 1]
+            wait = (mark[:cut], key[:cut], floor[:cut])
+            names, mark, key, floor, unit = names[cut:], mark[cut:], key[cut:], floor[cut:], unit[cut:]
+        if last is not None:  # more of the group may be in the partition after
+            yield reach(*wait, key[-1] if len(key) else wait[1][-1])
+            yield reach(mark, key, floor, key[-1] if len(key) else None)
+
+    return rows.mapInArrow(tidy(run), _FOUND)
+
+
+def _all_links(rows: DataFrame, kind: str, least: float) -> DataFrame:
+    """Links that span the components of all rows, every pair compared."""
+    spark = rows.sparkSession
+    strips = -(-rows.agg(F.sum(F.col("size").cast("long") * 8)).first()[0] // STRIP)
+    rows = rows.select("class", "size", "vector").withColumn("strip", F.pmod(F.xxhash64("class", F.lit(1)), F.lit(strips)))
+
+    def against(strip: int) -> DataFrame:
+        sent = spark.sparkContext.broadcast([tuple(r) for r in rows.where(F.col("strip") == strip).select("class", "size", "vector").collect()])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            side: dict[int, tuple[list[bytes], np.ndarray, np.ndarray]] = {}
+            for dim in {r[1] for r in sent.value}:
+                part = [r for r in sent.value if r[1] == dim]
+                side[dim] = ([bytes(r[0]) for r in part], _units([bytes(r[2]) for r in part], kind), np.arange(len(part)))
+            for batch in batches:
+                sizes, found = batch.column("size").to_numpy(), ([], [])
+                for dim in np.unique(sizes):
+                    if dim not in side:
+                        continue
+                    names, unit, label = side[dim]  # label: a member that the links so far lead to
+                    at = np.flatnonzero(sizes == dim)
+                    step = max(1, AT_ONCE // len(names))
+                    for i in range(0, len(at), step):
+                        some = pa.array(at[i : i + step])
+                        close = _units(batch.column("vector").take(some), kind) @ unit.T >= least
+                        own = batch.column("class").take(some).to_pylist()
+                        for k in np.flatnonzero(close.any(axis=1)):
+                            ends = np.unique(label[close[k]])
+                            for e in ends:
+                                if names[e] != own[k]:
+                                    found[0].append(own[k])
+                                    found[1].append(names[e])
+                            if len(ends) > 1:
+                                label[np.isin(label, ends)] = ends[0]
+                if found[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.binary()), pa.array(found[1], pa.binary())], names=["a", "b"])
+
+        return rows.where(F.col("strip") >= strip).mapInArrow(tidy(run), "a binary, b binary")
+
+    links = None
+    for strip in range(strips):
+        path = scratch_path(spark, "links")
+        against(strip).write.parquet(path)
+        found = spark.read.schema("a binary, b binary").parquet(path)
+        links = found if links is None else links.unionByName(found)
+    return links
 
 
 def _counts_in_groups(members: DataFrame, kind: str, least: float) -> DataFrame:
@@ -258,13 +386,28 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: st
     vectors, kind = _vectors(df, id_col, vector_col)
     classes = written(vectors.where("class is not null").groupBy("class").agg(F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("least"), F.min("size").alias("size"), F.min("vector").alias("vector")), "vectors")
     n = classes.count()
-    links = None
-    for turn in range(n_passes(n, window, least) if n else 0):
-        # each pass is written, so that its shuffle files can go before the next one
-        found = written(_window_links(classes, kind, turn, window, least), "links")
-        links = found if links is None else links.unionByName(found)
-    if links is None:
-        links = spark.createDataFrame([], "a binary, b binary")
+    links, gains = spark.createDataFrame([], "a binary, b binary"), None
+    agree, enough = 1.0 - math.acos(least) / math.pi, math.log(1.0 - RECALL)
+    missed = F.when(F.col("bits") > BITS, 0.0).otherwise(F.log1p(-F.least(F.pow(F.lit(agree), F.col("bits")), F.lit(1 - 1e-12))))
+    rest, m, done, more = classes.withColumn("mark", F.xxhash64("class")).select("class", "size", "vector", "mark"), n, 0, n_passes(n, window, least)
+    while m:
+        per = min(more, max(1, n // m))  # no more rows at a time than in the first pass
+        for turn in range(done, done + more, per):
+            # each pass is written, so that its shuffle files can go before the next one
+            found = written(_window_links(rest, kind, range(turn, min(turn + per, done + more)), window, least), "links")
+            links = links.unionByName(found.where("a is not null").select("a", "b"))
+            gain = found.where("a is null").select("mark", "bits")
+            gains = gain if gains is None else gains.unionByName(gain)
+        done += more
+        still = gains.groupBy("mark").agg(F.sum(missed).alias("missed")).where(F.col("missed") > enough)
+        needs = still.select(F.least(F.lit(enough) / F.least("missed", F.lit(-1e-9)) - 1, F.lit(1e6)) * done)
+        m, mean, middle = needs.toDF("needs").agg(F.count(F.lit(1)), F.avg("needs"), F.percentile_approx("needs", 0.5)).first()
+        if m:
+            rest = written(rest.join(still.select("mark"), "mark", "left_semi").select("class", "size", "vector", "mark"), "open")
+            if m <= 2 * mean * (BLOCK + window):  # a pass compares a row with so many, the other way with m / 2
+                links = links.unionByName(_all_links(rest, kind, least))
+                break
+            more = max(1, math.ceil(min(middle, done)))
     label = components(links).select(F.col("node").alias("class"), F.col("root").alias("component"))
     members = written(classes.join(label, "class").select("component", "class", "weight", "least", "vector"), "members")
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min("least").alias("component_id"))

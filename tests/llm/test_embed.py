@@ -51,3 +51,31 @@ def test_doubles_equal_ids_null_ids_empty_table(spark):
 
 def test_passes_grow_slowly():
     assert [ed.n_passes(n) for n in (0, 100, 50_000)] == [1, 1, 16] and ed.n_passes(10**9) < 200
+
+
+def dense(n=6000, dim=64):
+    """A third of the vectors at a cosine of about .75 to each other, half of
+    them and of the others with a partner just above the limit."""
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    middle = unit(rng.standard_normal((1, dim)))
+    hot = np.sqrt(0.75) * middle + np.sqrt(0.25) * unit(rng.standard_normal((n // 4, dim)))
+    cold = rng.standard_normal((n // 2, dim))
+    base = unit(np.concatenate((hot, cold)))
+    own = np.r_[0 : n // 12, n // 4 : n // 4 + n // 6]
+    side = rng.standard_normal((len(own), dim))
+    side = unit(side - (side * base[own]).sum(axis=1, keepdims=True) * base[own])
+    cos = rng.uniform(0.9005, 0.91, (len(own), 1))
+    return np.float32(np.concatenate((base, cos * base[own] + np.sqrt(1 - cos**2) * side)))
+
+
+def test_links_in_a_dense_group_that_is_not_linked(spark):
+    rows = dense()
+    unit = rows.astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<float>")
+    got = np.array([r["n_links"] for r in ed.near_duplicate_vectors(df).orderBy("vec_id").collect()])
+    hot = np.r_[0:1500, 4500:5000]
+    assert (got <= want).all() and want[hot].sum() > 900
+    assert got.sum() >= 0.99 * want.sum() and got[hot].sum() >= 0.99 * want[hot].sum(), (got.sum() / want.sum(), got[hot].sum() / want[hot].sum())
