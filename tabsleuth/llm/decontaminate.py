@@ -1,13 +1,15 @@
 """Benchmark passages in training texts, found by spaced-seed hashing.
 
 A seed is a mask over ``SPAN`` neighbouring tokens that ignores two of them;
-the four masks together ignore every position once, so a window with one
+the first four masks together ignore every position once, so a window with one
 substituted token (or with two at the positions of one mask) still has an
-equal hash. Hashes of benchmark and training windows are joined; around each
-hit the two token sequences are laid over each other without gaps, and the best
-segment (+1 a match, -3 a substitution) is taken. A text is contaminated by an
-item if that segment has ``NEED`` matching tokens, or four fifths of the item
-if it is shorter.
+equal hash. The last two ignore neighbours, so that any two substitutions in an
+item of 13 tokens or more leave a seed. Hashes of benchmark and training windows
+are joined; around each hit the two token sequences are laid over each other
+without gaps, and of all segments in which four fifths of the tokens are equal
+the one with the most equal tokens is taken (then the shortest, then the first).
+A text is contaminated by an item if that segment has ``NEED`` matching tokens,
+or four fifths of the item if it is shorter.
 
 If the benchmark has at most ``SENT_TOKENS`` tokens (checked first), its seeds
 and tokens are broadcast and each text is judged where it is read, without a
@@ -39,8 +41,8 @@ from ..session import scratch_path
 from ._text import byte_column, lower_column, mix, slices, tidy, token_hashes
 
 SPAN = 8
-#: Positions that each mask looks at; it ignores (3, 6), (2, 5), (1, 4), (0, 7).
-MASKS = ((0, 1, 2, 4, 5, 7), (0, 1, 3, 4, 6, 7), (0, 2, 3, 5, 6, 7), (1, 2, 3, 4, 5, 6))
+#: Positions that each mask looks at; it ignores (3, 6), (2, 5), (1, 4), (0, 7), (3, 4), (2, 4).
+MASKS = ((0, 1, 2, 4, 5, 7), (0, 1, 3, 4, 6, 7), (0, 2, 3, 5, 6, 7), (1, 2, 3, 4, 5, 6), (0, 1, 2, 5, 6, 7), (0, 1, 3, 5, 6, 7))
 NEED = 13
 SENT_TOKENS = 1 << 21
 _FILTER_BITS = 24
@@ -70,14 +72,19 @@ def aligned(text: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, i
     if last <= first:
         return None
     same = text[first + shift : last + shift] == item[first:last]
-    sums = np.concatenate(([0], np.cumsum(np.where(same, 1, -3))))
+    equal = np.flatnonzero(same)
+    if not len(equal):
+        return None
+    sums = np.concatenate(([0], np.cumsum(np.where(same, 1, -4))))  # not negative: four fifths are equal
     lows = np.minimum.accumulate(sums)
-    end = int(np.argmax(sums - lows))
-    start = int(np.argmax(sums[: end + 1] == lows[end]))
-    matched = int(same[start:end].sum())
+    start = np.searchsorted(-lows, -sums[equal + 1])  # the first one for a segment that ends with each match
+    head = np.searchsorted(equal, start)
+    matches, length = np.arange(1, len(equal) + 1) - head, equal + 1 - equal[head]
+    best = np.lexsort((length, -matches))[0]
+    matched, begin = int(matches[best]), int(equal[head[best]])
     if matched < min(NEED, -(-4 * len(item) // 5)):
         return None
-    return matched, end - start, first + start + shift, first + start
+    return matched, int(length[best]), first + begin + shift, first + begin
 
 
 def judge(text: np.ndarray, found: dict[int | None, tuple[np.ndarray, set[int]]]) -> list[dict]:

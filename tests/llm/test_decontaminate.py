@@ -53,3 +53,18 @@ def test_clean_rows_stay_with_their_columns(spark):
 
 def test_any_single_substitution_leaves_a_seed():
     assert {k for m in dc.MASKS for k in range(dc.SPAN) if k not in m} == set(range(dc.SPAN))
+
+
+@pytest.mark.parametrize("sent", [dc.SENT_TOKENS, 1])
+def test_any_one_or_two_substitutions_in_an_item(spark, sent):
+    items = {n: [f"w{n}x{k}" for k in range(n)] for n in range(13, 21)}
+    texts, want = [], []
+    for n, item in items.items():
+        for i in range(n):
+            for j in range(i, n):
+                changed = [f"other{k}" if k in (i, j) else w for k, w in enumerate(item)]
+                texts.append(" ".join(["before it", *changed, "after it"]))
+                want.append((len(want), n, n - len({i, j})))
+    bench = spark.createDataFrame([(n, " ".join(item)) for n, item in items.items()], "item_id long, text string")
+    found = dc.contaminated_pairs(documents(spark, texts), bench, sent_tokens=sent).collect()
+    assert sorted(tuple(r)[:3] for r in found) == want
