@@ -9,7 +9,9 @@ are joined; around each hit the two token sequences are laid over each other
 without gaps, and of all segments in which four fifths of the tokens are equal
 the one with the most equal tokens is taken (then the shortest, then the first).
 A text is contaminated by an item if that segment has ``NEED`` matching tokens,
-or four fifths of the item if it is shorter.
+or four fifths of the item if it is shorter. Items of fewer than ``SPAN`` tokens
+are hashed whole and must occur with every token; their first place in a text
+is reported.
 
 If the benchmark has at most ``SENT_TOKENS`` tokens (checked first), its seeds
 and tokens are broadcast and each text is judged where it is read, without a
@@ -19,8 +21,8 @@ texts that have hits by digest. Both give the same rows.
 Tokens are runs of lower-cased letters, digits and bytes from 0x80 on, so case,
 spacing and ASCII punctuation do not matter.
 
-Defined cases: null and empty texts are never contaminated; items of fewer than
-``SPAN`` tokens are too short to be evidence and match nothing; repeated rows
+Defined cases: null and empty texts are never contaminated; items without a
+token match nothing; repeated rows
 and equal ids each keep their own result; repeated items with one id count
 once, with different ids each; a null item id is kept as null; an empty table
 on either side gives no hits. Other columns are passed through.
@@ -65,6 +67,16 @@ def seeds(tokens: np.ndarray, row: np.ndarray) -> Iterator[tuple[np.ndarray, np.
         yield mix(h[inside]), inside
 
 
+def whole(tokens: np.ndarray, row: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all windows of ``length`` tokens within a row, and where they start."""
+    n = max(0, len(tokens) - length + 1)
+    inside = np.flatnonzero(row[:n] == row[length - 1 :])
+    h = np.full(n, len(MASKS) + length, dtype=np.uint64)
+    for k in range(length):
+        h = h * _FACTOR + tokens[k : k + n]
+    return mix(h[inside]), inside
+
+
 def aligned(text: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int, int] | None:
     """Best segment of an item laid over a text at a shift: matches, length,
     start in the text and in the item. None if it is not evidence."""
@@ -82,7 +94,7 @@ def aligned(text: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, i
     matches, length = np.arange(1, len(equal) + 1) - head, equal + 1 - equal[head]
     best = np.lexsort((length, -matches))[0]
     matched, begin = int(matches[best]), int(equal[head[best]])
-    if matched < min(NEED, -(-4 * len(item) // 5)):
+    if matched < (len(item) if len(item) < SPAN else min(NEED, -(-4 * len(item) // 5))):
         return None
     return matched, int(length[best]), first + begin + shift, first + begin
 
@@ -108,6 +120,11 @@ class SeedTable:
         bounds = np.searchsorted(row, np.arange(len(items) + 1))
         self.tokens = [tokens[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         parts = [(h, at) for h, at in seeds(tokens, row)]
+        counts = np.diff(bounds)
+        self.lengths = [n for n in range(1, SPAN) if n in counts]
+        for n in self.lengths:
+            h, at = whole(tokens, row, n)
+            parts.append((h[counts[row[at]] == n], at[counts[row[at]] == n]))
         hashes = np.concatenate([h for h, _ in parts]) if parts else np.empty(0, dtype=np.uint64)
         at = np.concatenate([a for _, a in parts]) if parts else np.empty(0, dtype=np.int64)
         order = np.argsort(hashes, kind="stable")
@@ -118,7 +135,8 @@ class SeedTable:
         self.filter[self.hashes >> np.uint64(64 - _FILTER_BITS)] = True
 
     def hits(self, tokens: np.ndarray, row: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(text row, token, item, place in the item) of every equal seed."""
+        """(text row, token, item, place in the item) of every equal seed; of a
+        short item the first in a row."""
         for h, at in seeds(tokens, row):
             near = np.flatnonzero(self.filter[h >> np.uint64(64 - _FILTER_BITS)])
             low, high = np.searchsorted(self.hashes, h[near]), np.searchsorted(self.hashes, h[near], side="right")
@@ -126,6 +144,15 @@ class SeedTable:
                 t = int(at[near[k]])
                 for s in range(low[k], high[k]):
                     yield int(row[t]), t, int(self.item[s]), int(self.place[s])
+        for n in self.lengths:
+            h, at = whole(tokens, row, n)
+            near = np.flatnonzero(self.filter[h >> np.uint64(64 - _FILTER_BITS)])
+            low, high = np.searchsorted(self.hashes, h[near]), np.searchsorted(self.hashes, h[near], side="right")
+            hit = np.flatnonzero(high > low)
+            for k in hit[np.unique(row[at[near[hit]]] * (len(self.hashes) + 1) + low[hit], return_index=True)[1]]:
+                t = int(at[near[k]])
+                for s in range(low[k], high[k]):
+                    yield int(row[t]), t, int(self.item[s]), int(self.place[s])
 
 
 def _benchmark(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -177,8 +204,20 @@ def _digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
-def _seed_rows(texts: DataFrame) -> DataFrame:
-    """key, seed, place of every window of the texts (key, text)."""
+def _short_lengths(bench: DataFrame) -> list[int]:
+    """Token counts below ``SPAN`` that items have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, row = token_hashes(*byte_column(lower_column(batch.column(0))))
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.bincount(row)).astype(np.int32))], names=["n"])
+
+    return sorted(r["n"] for r in bench.select("text").mapInArrow(tidy(run), "n int").where(f"n > 0 and n < {SPAN}").distinct().collect())
+
+
+def _seed_rows(texts: DataFrame, lengths: list[int], items: bool) -> DataFrame:
+    """key, seed, place of every window of the texts (key, text); for short
+    items the whole ones, in texts the first of each kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,7 +225,16 @@ def _seed_rows(texts: DataFrame) -> DataFrame:
             for i, j in slices(offsets):
                 tokens, row = token_hashes(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 bounds = np.searchsorted(row, np.arange(j - i + 1))
-                for h, at in seeds(tokens, row):
+                parts = list(seeds(tokens, row))
+                for n in lengths:
+                    h, at = whole(tokens, row, n)
+                    if items:
+                        kept = np.flatnonzero(np.diff(bounds)[row[at]] == n)
+                    else:
+                        kept = np.lexsort((at, h, row[at]))
+                        kept = kept[np.concatenate((np.ones(min(1, len(kept)), dtype=bool), (h[kept[1:]] != h[kept[:-1]]) | (row[at[kept[1:]]] != row[at[kept[:-1]]])))]
+                    parts.append((h[kept], at[kept]))
+                for h, at in parts:
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i + row[at])), pa.array(h.view(np.int64)), pa.array((at - bounds[row[at]]).astype(np.int32))], names=["key", "seed", "place"])
 
     return texts.mapInArrow(tidy(run), T.StructType([texts.schema.fields[0], T.StructField("seed", T.LongType()), T.StructField("place", T.IntegerType())]))
@@ -207,8 +255,9 @@ def _judged_by_joins(df: DataFrame, bench: DataFrame, text_col: str, hits_col: s
     plain = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")
     texts = _keyed(df.select(plain), 0, "key").select("key", "text")
     item = F.struct("item_id", "text")
-    wanted = _seed_rows(bench.select(item.alias("key"), "text")).select(F.col("key").alias("item"), "seed", F.col("place").alias("item_place"))
-    shifts = _seed_rows(texts).join(wanted, "seed").groupBy("key", "item").agg(F.collect_set(F.col("place") - F.col("item_place")).alias("shifts"))
+    lengths = _short_lengths(bench)
+    wanted = _seed_rows(bench.select(item.alias("key"), "text"), lengths, True).select(F.col("key").alias("item"), "seed", F.col("place").alias("item_place"))
+    shifts = _seed_rows(texts, lengths, False).join(wanted, "seed").groupBy("key", "item").agg(F.collect_set(F.col("place") - F.col("item_place")).alias("shifts"))
     path = scratch_path(spark, "seed-hits")
     shifts.groupBy("key").agg(F.collect_list(F.struct("item", "shifts")).alias("found")).write.parquet(path)
     found = spark.read.parquet(path)

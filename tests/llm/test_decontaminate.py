@@ -68,3 +68,12 @@ def test_any_one_or_two_substitutions_in_an_item(spark, sent):
     bench = spark.createDataFrame([(n, " ".join(item)) for n, item in items.items()], "item_id long, text string")
     found = dc.contaminated_pairs(documents(spark, texts), bench, sent_tokens=sent).collect()
     assert sorted(tuple(r)[:3] for r in found) == want
+
+
+@pytest.mark.parametrize("sent", [dc.SENT_TOKENS, 1])
+def test_items_shorter_than_a_seed_match_whole(spark, sent):
+    items = ["Solo", "Two words", "a b c d e f g", "one wordy end", "x", "", "two  WORDS!"]
+    texts = ["solo", "lone two words, two words", "A, b c d e f g h solo", "a b c d z f g", "one wordy", "solos twowords", "one wordy end", None, "", "two", "words two"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = dc.contaminated_pairs(documents(spark, texts), bench, sent_tokens=sent).collect()
+    assert sorted(map(tuple, found)) == [(0, 0, 1, 1, 0, 0), (1, 1, 2, 2, 1, 0), (1, 6, 2, 2, 1, 0), (2, 0, 1, 1, 8, 0), (2, 2, 7, 7, 0, 0), (6, 3, 3, 3, 0, 0)]
