@@ -2,15 +2,16 @@
 
 1. The distinct five-word shingles of a text are hashed; texts with equal sets
    are one class. A class has ``COORDS`` minima (signature coordinates).
-2. A class is posted under ``POSTS`` of its coordinate-value pairs: two classes
-   of similarity 0.75 agree on each coordinate with that probability, so the
-   chance to share no posting is .25 ** POSTS. Values that more than a
+2. A class is posted under ``POSTS`` of its coordinate-value pairs, not under
+   all: two classes of similarity 0.75 agree on each coordinate with that
+   probability, so the chance to share no posting is .25 ** POSTS; it is higher
+   if frequent values make them choose different coordinates. Values that more than a
    threshold of classes have (a passage that very many texts share) are passed
    over as long as a class has others; that threshold keeps their list below
    ``HOT_VALUES`` entries at any input size, and only that list is broadcast.
-3. Within a posting list the collisions of two signatures are counted, on a
-   prefix of the coordinates first; a pair that cannot reach ``MATCHES`` any
-   more is skipped. Pairs that reach it are candidates.
+3. Posting lists are not merged: within each list the collisions of every two
+   signatures are counted, on the first ``PREFIX`` coordinates first; a pair that
+   cannot reach ``MATCHES`` any more is skipped. Pairs that reach it are candidates.
    Of each list only a spanning forest of its candidates is emitted.
 4. Lists of passed-over values that some classes had to be posted under anyway
    are split into blocks: every block meets the first one, and then, in lists
@@ -59,7 +60,7 @@ CHOICE, POSTS = 32, 10
 MATCHES = 34
 STRONG = 48
 #: coordinates counted before hopeless pairs are skipped
-PREFIX = 24
+PREFIX = 48
 HOT_LEAST, HOT_VALUES = 4096, 1 << 18
 BLOCK = 1024
 #: shingles of a block of sets

@@ -63,3 +63,14 @@ def test_skipping_never_loses_a_candidate():
     a, b = np.triu_indices(60, 1)
     full = (low[a] == low[b]).sum(axis=1)
     assert ((mh._collisions(low, a, b) >= mh.MATCHES) == (full >= mh.MATCHES)).all()
+
+
+def test_the_prefix_skips_pairs_and_only_those_that_cannot_match():
+    low = np.zeros((mh.COORDS + 2, mh.COORDS), dtype=np.uint8)
+    for k in range(mh.COORDS + 1):  # agrees with the first on its last k coordinates
+        low[k + 1, : mh.COORDS - k] = 1
+    other = np.arange(1, mh.COORDS + 2)
+    count = mh._collisions(low, np.zeros_like(other), other)
+    true = other - 1
+    assert (count[true >= mh.MATCHES] == true[true >= mh.MATCHES]).all()
+    assert (count[(true > 0) & (true < mh.MATCHES)] == 0).any()
