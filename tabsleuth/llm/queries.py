@@ -94,6 +94,15 @@ def op4_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(_table(spark, sf_dir, "pages"))
 
 
+def op13_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents, piece_digests
+
+    docs = _table(spark, sf_dir, "documents")
+    path = scratch_path(spark, "packed")
+    pack_documents(docs, path, tokenizer_path("byte_bpe_50k.json"))
+    return piece_digests(spark, path, docs.schema["doc_id"].dataType)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_html_blocks": op4_html_blocks,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -105,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bitplane_ids": op3_bitplane_ids,
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_token_counts": op9_token_counts,
+    "op13_binary_packing": op13_binary_packing,
 }
 ORACLES: dict[str, str] = {}
 
