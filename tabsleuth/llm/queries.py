@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, scratch_path
 
@@ -103,6 +104,13 @@ def op13_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(spark, path, docs.schema["doc_id"].dataType)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import hard_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label_col=label)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_html_blocks": op4_html_blocks,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -114,9 +122,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bitplane_ids": op3_bitplane_ids,
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_token_counts": op9_token_counts,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_binary_packing": op13_binary_packing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op12_hard_negatives": """
+WITH whole AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0),
+parts AS (SELECT id, label, unnest(q) AS v, unnest(range(1, len(q) + 1)) AS i FROM whole),
+scored AS (
+  SELECT a.id AS anchor_id, b.id AS other_id, a.label = b.label AS same, CAST(sum(a.v * b.v) AS BIGINT) AS score
+  FROM parts a JOIN parts b ON a.i = b.i AND a.id % 50 = 0 AND a.id <> b.id
+  GROUP BY a.id, b.id, a.label = b.label),
+positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM (
+    SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) AS place FROM scored WHERE same) WHERE place <= 5),
+mined AS (
+  SELECT p.anchor_id, p.positive_id, n.other_id AS negative_id, p.positive_score, n.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.other_id) AS place
+  FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
+   AND 50 * p.positive_score <= 100 * n.score AND 100 * n.score <= 95 * p.positive_score)
+SELECT anchor_id, positive_id, CAST(place AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM mined WHERE place <= 3
+""",
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
