@@ -3,12 +3,12 @@
 A space before a character that is no white space always begins a word of the
 byte-level pattern, and words are encoded apart from each other. So a text may
 be cut there into pieces, and the ids of a piece (with the space before it) do
-not depend on its neighbours. Splitting, finding distinct pieces, looking them
-up and putting ids together are Arrow kernels over a slice of texts; only
-pieces that the memo does not hold become Python strings. These are joined to
-one text for the library, whose ids are cut again before every token that
-begins with the space. Texts with special strings, or with a space before
-other white space, go to the library whole.
+not depend on its neighbours. Splitting, finding distinct pieces and putting
+ids together are Arrow kernels over a slice of texts, and a bounded memo keeps
+the ids of pieces. Those that it does not hold are joined to one text for the
+library, whose ids are cut again before every token that begins with the space.
+Texts with special strings, or with a space before other white space, go to the
+library whole.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from ._pretokens import _BLANKS
 from ._text import byte_column, slices
 
 #: bytes of text that are looked at together
-SLICE = 4 << 20
+SLICE = 8 << 20
 #: pieces that the memo holds before it starts anew
 MEMO = 700_000
 #: pieces that are joined to one text for the library
@@ -63,7 +63,7 @@ class LibraryIds:
         self._forget()
 
     def _forget(self) -> None:
-        self.known = pa.array([], pa.string())
+        self.known: dict[str, int] = {}  # stem -> row of ids
         self.ids = pa.array([], pa.list_(pa.int32()))
 
     def _encode(self, texts: list[str]) -> list:
@@ -83,16 +83,17 @@ class LibraryIds:
 
     def _of_stems(self, stems: pa.Array) -> pa.ListArray:
         """Ids of distinct stems; the memo takes up those it does not hold."""
-        at = pc.index_in(stems, value_set=self.known)
-        if at.null_count:
-            new = stems.filter(pc.is_null(at)).unique()
+        words = stems.to_numpy(zero_copy_only=False).tolist()  # much faster than to_pylist()
+        at = list(map(self.known.get, words))
+        if None in at:
+            new = list(dict.fromkeys(w for w, k in zip(words, at, strict=True) if k is None))
             if len(self.known) + len(new) > self.limit:
                 self._forget()
-                new = stems.unique()
-            self.known = pa.concat_arrays([self.known, new])
-            self.ids = pa.concat_arrays([self.ids, self._encode_pieces(new.to_pylist())])
-            at = pc.index_in(stems, value_set=self.known)
-        return self.ids.take(at)
+                new = list(dict.fromkeys(words))
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+            self.ids = pa.concat_arrays([self.ids, self._encode_pieces(new)])
+            at = list(map(self.known.__getitem__, words))
+        return self.ids.take(pa.array(at, pa.int64()))
 
     def _of_pieces(self, pieces: pa.Array) -> pa.ListArray:
         """Ids of distinct pieces, each with the space before it; a mark after
