@@ -104,6 +104,12 @@ def op13_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(spark, path, docs.schema["doc_id"].dataType)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .hard_negatives import hard_negatives
 
@@ -122,6 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bitplane_ids": op3_bitplane_ids,
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_token_counts": op9_token_counts,
+    "op11_collocations": op11_collocations,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_binary_packing": op13_binary_packing,
 }
