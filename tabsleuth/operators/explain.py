@@ -4,7 +4,8 @@ Permutation importance permutes one column by an equi-join on row ranks
 (key order vs. key-hash order), so no row order is assumed and nothing goes
 through the driver. TreeSHAP reads the saved MLlib tree nodes (bounded by
 model size, not data size), broadcasts them and evaluates the exact
-path-dependent algorithm for a batch of rows at once inside ``mapInPandas``.
+path-dependent algorithm for a batch of rows at once inside ``mapInArrow``:
+bit patterns of satisfied path features look up per-leaf weight tables.
 Importance summaries work on long (run, feature, importance) tables.
 """
 
@@ -13,7 +14,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,46 +60,72 @@ def _key_order(keys: list[str]):
     return F.col(f"`{keys[0]}`") if len(keys) == 1 else hash_order(keys, 0)
 
 
+#: column that tells the copies of a row apart: 0 as it is, i with feature i swapped
+COPY = "_copy"
+
+
+def _stacked(permuted: DataFrame, columns: list[str], features: list[str], first: int) -> DataFrame:
+    """One copy of the rows for each feature, with that feature swapped
+    (``COPY`` = 1, 2, ...), and with ``first`` = 0 the rows as they are too."""
+    copies = permuted.withColumn(COPY, F.explode(F.sequence(F.lit(first), F.lit(len(features)))))
+    place = {f: i for i, f in enumerate(features)}
+    value = lambda c: F.when(F.col(COPY) == place[c] + 1, F.col(f"_perm_{place[c]}")).otherwise(F.col(f"`{c}`")).alias(c) if c in place else F.col(f"`{c}`")
+    return copies.select(*[value(c) for c in columns], COPY)
+
+
 def permutation_importance(
     df: DataFrame,
     features: list[str],
     predict: Callable[[DataFrame], DataFrame],
-    score: Callable[[DataFrame], float],
+    score: Callable[[DataFrame, str], DataFrame],
     key: str | list[str],
     repeats: int = REPEATS,
     seed: int = SEED,
     method: str = "hash",
 ) -> DataFrame:
     """Importance of each raw feature = score(original) - score(with the
-    feature permuted), mean and population std over ``repeats``. ``predict``
-    maps rows to rows with predictions, ``score`` reduces them to one number (a
-    Spark aggregation). Rows are ranked and joined once per repeat, for all
-    features together."""
+    feature permuted), mean and population std over ``repeats``.
+
+    ``predict`` maps rows to rows with predictions and keeps the column
+    ``COPY``; ``score(predictions, column)`` gives (column, score) rows by a
+    grouped aggregation. A repeat ranks and joins the rows once for all
+    features, stacks one copy a feature, and predicts and scores the stack, so
+    the number of jobs does not depend on the number of features."""
     keys = [key] if isinstance(key, str) else list(key)
-    base_score = score(predict(df))
     drops: dict[str, list[float]] = {f: [] for f in features}
+    base = None
     for repeat in range(repeats if method == "hash" else 1):
         permuted = materialize(_permuted(df, features, keys, repeat, seed, method))
+        stack = _stacked(permuted, df.columns, features, 0 if base is None else 1)
+        scores = {r[0]: r[1] for r in score(predict(stack), COPY).collect()}
+        base = scores[0] if base is None else base
         for i, f in enumerate(features):
-            drops[f].append(base_score - score(predict(_swapped(permuted, df.columns, f, i))))
+            drops[f].append(base - scores[i + 1])
     rows = [(f, float(np.mean(d)), float(np.std(d))) for f, d in drops.items()]
     return df.sparkSession.createDataFrame(rows, "feature string, importance_mean double, importance_std double")
 
 
 def explain_baseline(run, features: list[str], key: str | list[str], model: str | None = None, repeats: int = REPEATS) -> DataFrame:
     """I1 for a fitted baseline (the best one unless named) over all rows of
-    its run: accuracy or -MSE as the score."""
+    its run. The score is the ROC AUC for two classes, if the model gives
+    probabilities, else the accuracy; -MSE for regression."""
+    from pyspark.ml.functions import vector_to_array
+
     from . import metrics as mt
 
     name = model or run.best()
     rows = run.train.unionByName(run.test)
 
-    def score(pred: DataFrame) -> float:
-        p = pred.select(F.col("label").alias("y_true"), F.col("prediction").alias("y_pred"))
-        return mt.accuracy(p).first()[0] if run.task == "classification" else -mt.regression_metrics(p).first()["mse"]
+    def score(pred: DataFrame, by: str) -> DataFrame:
+        p = pred.select(by, F.col("label").alias("y_true"), F.col("prediction").alias("y_pred"), *([vector_to_array("probability").alias("prob")] if "probability" in pred.columns else []))
+        if run.task != "classification":
+            return p.groupBy(by).agg((-F.avg(F.pow(F.col("y_true") - F.col("y_pred"), 2))).alias("score"))
+        if len(run.classes) == 2 and "prob" in p.columns:
+            return mt.roc_auc(p.withColumn("score", F.col("prob")[1]), positive=1.0, by=by)
+        return mt.accuracy(p, by=by)
 
     keys = [key] if isinstance(key, str) else list(key)
-    return permutation_importance(rows, features, lambda d: run.predict(d, name, [*keys, "label"]), score, key, repeats).withColumn("model", F.lit(name))
+    return permutation_importance(rows, features, lambda d: run.predict(d, name, [*keys, "label", COPY]), score, key, repeats).withColumn("model", F.lit(name))
 
 
 # ---------------------------------------------------------------- I2 TreeSHAP
@@ -172,68 +198,98 @@ def _goes_left(node, x: np.ndarray) -> np.ndarray:
     return np.isin(v, np.array(cats))
 
 
-def tree_shap_batch(tree: dict, x: np.ndarray, kind: str, cls: int = 1) -> tuple[np.ndarray, float]:
-    """Exact path-dependent TreeSHAP of one tree for a batch of rows.
+#: patterns up to which a leaf's whole weight table is made at once
+TABLE_FEATURES = 12
+#: bytes of weight tables that a task keeps for its next batches
+TABLE_BYTES = 64 << 20
+
+
+def leaf_weights(cover: list[float], value: float, bits: np.ndarray | None = None) -> np.ndarray:
+    """Contributions of the features on one leaf's path, one row a feature and
+    one column a pattern of satisfied features (all 2^d patterns, or those
+    given as the rows of ``bits``).
+
+    The Shapley weight of a feature i, given which others are satisfied (o_j)
+    and the share of training rows that satisfy each (z_j), is the integral
+    over t in [0, 1] of prod_{j != i} (o_j t + z_j (1 - t)): a polynomial of
+    degree d - 1, so ceil(d / 2) Gauss-Legendre nodes give it exactly."""
+    d = len(cover)
+    t, w = np.polynomial.legendre.leggauss((d + 1) // 2)
+    t, w = (t + 1) / 2, w / 2
+    z = np.maximum(np.array(cover), 1e-30)
+    off = z[None, :] * (1 - t[:, None])  # nodes x features
+    on = off + t[:, None]
+    if bits is not None:
+        factor = np.where(bits[None], on[:, None, :], off[:, None, :])  # nodes x patterns x features
+        whole = factor.prod(axis=2) * (w * value)[:, None]
+        return ((whole[:, :, None] / factor).sum(axis=0) * (bits - z)).T
+    whole = (w * value)[:, None]
+    for i in range(d):  # feature i is bit i
+        whole = np.concatenate([whole * off[:, i, None], whole * on[:, i, None]], axis=1)
+    out = np.empty((d, 1 << d))
+    for i in range(d):
+        halves = whole.reshape(len(t), -1, 2, 1 << i)
+        out[i].reshape(-1, 2, 1 << i)[:, 0] = (halves[:, :, 0] / off[:, i, None, None]).sum(axis=0) * -z[i]
+        out[i].reshape(-1, 2, 1 << i)[:, 1] = (halves[:, :, 1] / on[:, i, None, None]).sum(axis=0) * (1 - z[i])
+    return out
+
+
+class WeightTables:
+    """Weight tables of leaves, kept while they fit into ``TABLE_BYTES``."""
+
+    def __init__(self):
+        self.kept: dict = {}
+        self.size = 0
+
+    def get(self, key, cover: list[float], value: float) -> np.ndarray:
+        table = self.kept.get(key)
+        if table is None:
+            table = leaf_weights(cover, value)
+            if self.size + table.nbytes <= TABLE_BYTES:
+                self.kept[key] = table
+                self.size += table.nbytes
+        return table
 
-    The path state (feature, zero fraction) depends only on the tree; the
-    one fractions and weights are vectors over the rows, so each node is
-    visited once per batch."""
-    b, m_feats = x.shape
-    phi = np.zeros((b, m_feats))
-
-    def extend(path, pz, po, pi):
-        l = len(path)
-        new = [[d, z, o, w.copy()] for d, z, o, w in path]
-        new.append([pi, pz, po, np.ones(b) if l == 0 else np.zeros(b)])
-        for i in range(l - 1, -1, -1):
-            new[i + 1][3] = new[i + 1][3] + po * new[i][3] * (i + 1) / (l + 1)
-            new[i][3] = pz * new[i][3] * (l - i) / (l + 1)
-        return new
-
-    def unwound_weights(path, i):
-        l = len(path) - 1
-        o_i, z_i = path[i][2], path[i][1]
-        nz = o_i != 0
-        o_safe = np.where(nz, o_i, 1.0)
-        n = path[l][3].copy()
-        ws = [e[3].copy() for e in path]
-        for j in range(l - 1, -1, -1):
-            w_nz = n * (l + 1) / ((j + 1) * o_safe)
-            n_nz = ws[j] - w_nz * z_i * (l - j) / (l + 1)
-            w_z = ws[j] * (l + 1) / (z_i * (l - j)) if z_i != 0 else np.zeros(b)
-            ws[j] = np.where(nz, w_nz, w_z)
-            n = np.where(nz, n_nz, n)
-        return ws[:l]
-
-    def unwind(path, i):
-        ws = unwound_weights(path, i)
-        rest = [e[:3] for k, e in enumerate(path) if k != i]
-        return [[d, z, o, w] for (d, z, o), w in zip(rest, ws)]
-
-    def recurse(nid, path, pz, po, pi):
-        path = extend(path, pz, po, pi)
-        node = tree[nid]
-        if node[0] == -1:  # leaf
-            v = _leaf_value(node, kind, cls)
-            for i in range(1, len(path)):
-                w = sum(unwound_weights(path, i))
-                phi[:, path[i][0]] += w * (path[i][2] - path[i][1]) * v
-            return
-        left, right, feat = node[0], node[1], node[2]
-        iz, io = 1.0, np.ones(b)
-        k = next((i for i in range(1, len(path)) if path[i][0] == feat), None)
-        if k is not None:
-            iz, io = path[k][1], path[k][2]
-            path = unwind(path, k)
-        gl = _goes_left(node, x).astype("float64")
-        cover = node[5] if node[5] > 0 else 1.0
-        recurse(left, path, iz * tree[left][5] / cover, io * gl, feat)
-        recurse(right, path, iz * tree[right][5] / cover, io * (1.0 - gl), feat)
 
+def tree_shap_batch(tree: dict, x: np.ndarray, kind: str, cls: int = 1, tables: WeightTables | None = None, number: int = 0) -> tuple[np.ndarray, float]:
+    """Exact path-dependent TreeSHAP of one tree for a batch of rows.
+
+    What a leaf adds to a row depends only on which of the distinct features
+    on its path have all their conditions satisfied. On the way down each row
+    carries that as a bit pattern (one bit a feature, one vector operation a
+    node), and at the leaf the pattern looks the contributions up in the
+    leaf's table. Paths of more than ``TABLE_FEATURES`` features get the
+    weights of the patterns that occur, in place of a table."""
+    phi = np.zeros((x.shape[1], len(x)))
+    tables = tables or WeightTables()
     root = _root(tree)
-    recurse(root, [], 1.0, np.ones(b), -1)
-    base = _expected_value(tree, root, kind, cls)
-    return phi, base
+    stack = [(root, np.zeros(len(x), dtype=np.int64), [], [])]
+    while stack:
+        nid, pattern, feats, cover = stack.pop()
+        node = tree[nid]
+        if node[0] == -1:
+            value = _leaf_value(node, kind, cls)
+            if not feats or value == 0.0:
+                continue
+            if len(feats) <= TABLE_FEATURES:
+                table = tables.get((number, nid), cover, value)
+            else:
+                seen, pattern = np.unique(pattern, return_inverse=True)
+                table = leaf_weights(cover, value, (seen[:, None] >> np.arange(len(feats)) & 1).astype(bool))
+            for f, weights in zip(feats, table, strict=True):
+                phi[f] += weights[pattern]
+            continue
+        left = _goes_left(node, x)
+        f = node[2]
+        for child, goes in ((node[0], left), (node[1], ~left)):
+            share = tree[child][5] / node[5] if node[5] > 0 else 0.0
+            if f in feats:
+                k = feats.index(f)
+                z = cover[:k] + [cover[k] * share] + cover[k + 1:]
+                stack.append((child, np.where(goes, pattern, pattern & ~(1 << k)), feats, z))
+            else:
+                stack.append((child, pattern | (goes.astype(np.int64) << len(feats)), [*feats, f], [*cover, share]))
+    return phi.T, _expected_value(tree, root, kind, cls)
 
 
 def _expected_value(tree: dict, nid: int, kind: str, cls: int) -> float:
@@ -244,52 +300,42 @@ def _expected_value(tree: dict, nid: int, kind: str, cls: int) -> float:
     return (tree[node[0]][5] * _expected_value(tree, node[0], kind, cls) + tree[node[1]][5] * _expected_value(tree, node[1], kind, cls)) / c
 
 
-def tree_shap(model, df: DataFrame, id_cols: list[str], feature_names: list[str], features: str = "features", kind: str = "regression", cls: int = 1, batch: int = 512) -> DataFrame:
+def tree_shap(model, df: DataFrame, id_cols: list[str], feature_names: list[str], features: str = "features", kind: str = "regression", cls: int = 1) -> DataFrame:
     """SHAP contributions of a tree model (decision tree or random
     forest; other models are not explained) for every row of ``df`` ->
     long (ids..., feature, value) plus one 'base_value' row per input row.
     Forests average their trees. ``cls`` picks the class whose probability
-    is explained (the positive class for binary problems)."""
+    is explained (the positive class for binary problems). Memory of a task:
+    one Arrow batch of rows, its contributions and ``TABLE_BYTES`` of tables."""
+    import pyarrow as pa
     from pyspark.ml.functions import vector_to_array
+    from pyspark.sql import types as T
 
     spark = df.sparkSession
     trees = _tree_tables(model, spark, kind)
     bc = spark.sparkContext.broadcast(trees)  # model-sized, not data-sized
-    names = list(feature_names)
-    x = df.select(*id_cols, vector_to_array(F.col(features)).alias("_x"))
-    id_schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in id_cols)
-    schema = f"{id_schema}, feature string, value double"
-
-    def run(it):
-        ts = bc.value
-        for pdf in it:
-            for s in range(0, len(pdf), batch):
-                part = pdf.iloc[s:s + batch]
-                if part.empty:
-                    continue
-                xm = np.vstack(part["_x"].to_numpy()).astype("float64")
-                phi = np.zeros_like(xm)
-                base = 0.0
-                for t in ts:
-                    p, b0 = tree_shap_batch(t, xm, kind, cls)
-                    phi += p
-                    base += b0
-                phi /= len(ts)
-                base /= len(ts)
-                ids = part[id_cols].reset_index(drop=True)
-                long = []
-                for j, nm in enumerate(names):
-                    blk = ids.copy()
-                    blk["feature"] = nm
-                    blk["value"] = phi[:, j]
-                    long.append(blk)
-                blk = ids.copy()
-                blk["feature"] = "base_value"
-                blk["value"] = base
-                long.append(blk)
-                yield pd.concat(long, ignore_index=True)
-
-    return x.mapInPandas(run, schema)
+    names = [*feature_names, "base_value"]
+    x = df.select(*[F.col(f"`{c}`") for c in id_cols], vector_to_array(F.col(features)).alias("_x"))
+    schema = T.StructType([*x.schema.fields[:-1], T.StructField("feature", T.StringType()), T.StructField("value", T.DoubleType())])
+
+    def run(batches):
+        ts, tables = bc.value, WeightTables()
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            rows = batch.column(len(id_cols)).flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(n, -1)
+            total, base = np.zeros((n, len(names))), 0.0
+            for k, t in enumerate(ts):
+                phi, b0 = tree_shap_batch(t, rows, kind, cls, tables, k)
+                total[:, :-1] += phi
+                base += b0
+            total[:, -1] = base
+            ids = [pa.concat_arrays([batch.column(i)] * len(names)) for i in range(len(id_cols))]
+            feature = pa.DictionaryArray.from_arrays(pa.array(np.repeat(np.arange(len(names), dtype=np.int32), n)), pa.array(names)).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([*ids, feature, pa.array((total / len(ts)).T.ravel())], names=[f.name for f in schema.fields])
+
+    return x.mapInArrow(run, schema)
 
 
 # ---------------------------------------------------------------- I3-I8 importance tables and findings

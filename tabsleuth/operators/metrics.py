@@ -23,9 +23,9 @@ def _eq(a: Column, b: Column) -> Column:
 
 # ---------------------------------------------------------------- H1-H7
 
-def accuracy(pred: DataFrame, y: str = "y_true", p: str = "y_pred") -> DataFrame:
-    """H1"""
-    return pred.agg(F.avg(_eq(F.col(y), F.col(p)).cast("double")).alias("accuracy"))
+def accuracy(pred: DataFrame, y: str = "y_true", p: str = "y_pred", by: str | None = None) -> DataFrame:
+    """H1 (with ``by``: one row for each of its values)"""
+    return pred.groupBy(*([by] if by else [])).agg(F.avg(_eq(F.col(y), F.col(p)).cast("double")).alias("accuracy"))
 
 
 def labels(pred: DataFrame, y: str = "y_true", p: str = "y_pred") -> DataFrame:
@@ -154,10 +154,11 @@ def _auc_from_table(st: DataFrame) -> DataFrame:
     )
 
 
-def roc_auc(pred: DataFrame, y: str = "y_true", score: str = "score", positive=1) -> DataFrame:
-    """H9: area under the ROC curve (ties count one half)."""
-    st = score_table(pred, score, F.col(y) == F.lit(positive))
-    return _auc_from_table(st).select(F.col("auc").alias("roc_auc"))
+def roc_auc(pred: DataFrame, y: str = "y_true", score: str = "score", positive=1, by: str | None = None) -> DataFrame:
+    """H9: area under the ROC curve (ties count one half); with ``by`` one row
+    for each of its values."""
+    st = score_table(pred, score, F.col(y) == F.lit(positive), F.col(by) if by else None)
+    return _auc_from_table(st).select(*([F.col("g").alias(by)] if by else []), F.col("auc").alias("roc_auc"))
 
 
 def average_precision(pred: DataFrame, y: str = "y_true", score: str = "score", positive=1) -> DataFrame:

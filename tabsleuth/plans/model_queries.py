@@ -269,8 +269,8 @@ def _rule_predict(df):
     return df.withColumn("y_pred", (F.col("o_totalprice") > 250000).cast("int")).withColumn("y_true", (F.col("o_orderstatus") == "F").cast("int"))
 
 
-def _accuracy(df) -> float:
-    return mt.accuracy(df).first()[0]
+def _accuracy(df, by):
+    return mt.accuracy(df, by=by)
 
 
 @register("permutation_importance_shift",

@@ -1,3 +1,4 @@
+import itertools
 import math
 
 import numpy as np
@@ -6,7 +7,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import functions as F
 
-from tabsleuth.operators import explain, models, prep
+from tabsleuth.operators import explain, metrics, models, prep
 
 from conftest import SF001
 
@@ -73,3 +74,67 @@ def test_unclear_task_must_be_named(spark):
     df = spark.createDataFrame([(1, 1.0)], "k int, y double")
     with pytest.raises(ValueError):
         models.train_baselines(df, "y", "k", "unclear")
+
+
+def _shapley(tree, x, kind):
+    """Shapley values by all subsets, the tree's expectation as the game."""
+    n, root = x.shape[1], explain._root(tree)
+
+    def value(nid, row, known):
+        node = tree[nid]
+        if node[0] == -1:
+            return explain._leaf_value(node, kind, 0)
+        if node[2] in known:
+            return value(node[0] if explain._goes_left(node, row[None])[0] else node[1], row, known)
+        return sum(tree[c][5] * value(c, row, known) for c in node[:2]) / node[5]
+
+    out = np.zeros_like(x)
+    for r, row in enumerate(x):
+        for i in range(n):
+            for k in range(n):
+                for some in itertools.combinations([j for j in range(n) if j != i], k):
+                    weight = math.factorial(k) * math.factorial(n - k - 1) / math.factorial(n)
+                    out[r, i] += weight * (value(root, row, {*some, i}) - value(root, row, set(some)))
+    return out
+
+
+@pytest.mark.parametrize("table_features", [0, 2, 12])
+def test_tree_shap_equals_all_subsets(monkeypatch, table_features):
+    """With the weight table of a leaf, and with the patterns that occur."""
+    monkeypatch.setattr(explain, "TABLE_FEATURES", table_features)
+    rng = np.random.default_rng(5)
+
+    def grow(tree, depth, n):
+        nid = len(tree)
+        if depth == 0 or n < 2:
+            tree[nid] = (-1, -1, -1, [], -1, float(n), float(rng.normal()), [float(n)])
+            return nid
+        tree[nid], feature, k = None, int(rng.integers(5)), int(rng.integers(1, n))
+        tree[nid] = (grow(tree, depth - 1, k), grow(tree, depth - 1, n - k), feature, [float(rng.normal())], -1, float(n), 0.0, [float(n)])
+        return nid
+
+    for _ in range(4):
+        tree: dict = {}
+        grow(tree, 6, 40)
+        x = rng.normal(size=(9, 5))
+        assert np.allclose(explain.tree_shap_batch(tree, x, "regression")[0], _shapley(tree, x, "regression"), atol=1e-12)
+
+
+def test_stacked_importance_equals_one_feature_at_a_time(spark):
+    o = spark.read.parquet(f"{SF001}/orders.parquet")
+    run = models.train_baselines(o.where("o_orderstatus <> 'P'"), "o_orderstatus", "o_orderkey", "classification", ["o_totalprice", "o_custkey", "o_orderpriority"], models=["Naive Bayes"], cv_folds=0)
+    feats = ["o_totalprice", "o_custkey", "o_orderpriority"]
+    got = {r["feature"]: r for r in explain.explain_baseline(run, feats, "o_orderkey", repeats=2).collect()}
+    rows = run.train.unionByName(run.test)
+
+    def auc(df):
+        from pyspark.ml.functions import vector_to_array
+
+        p = run.predict(df, "Naive Bayes").select(F.col("label").alias("y_true"), vector_to_array("probability")[1].alias("score"))
+        return metrics.roc_auc(p, positive=1.0).first()[0]
+
+    base = auc(rows)
+    for f in feats:
+        drops = [base - auc(explain.permute_column(rows, f, "o_orderkey", repeat)) for repeat in range(2)]
+        assert got[f]["importance_mean"] == pytest.approx(np.mean(drops), abs=1e-9)
+        assert got[f]["importance_std"] == pytest.approx(np.std(drops), abs=1e-9)
