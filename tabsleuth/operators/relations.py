@@ -11,12 +11,12 @@ driver, never data rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import types as ty
 from ..functions.ranking import average_ranks, cumulative_by_value, exact_quantiles, value_frequencies
-from ..functions.moments import batched_agg, pairwise_pearson
+from ..functions.moments import batched_agg, co_moments, pairwise_pearson
 from ..functions.stats import chi2_pvalue_udf, f_pvalue_udf
 from ..session import materialize
 
@@ -98,10 +98,9 @@ def spearman(df: DataFrame, columns: list[str] | None = None, batch: int = PAIR_
     """Spearman rho of every numeric pair with pairwise deletion.
 
     Columns without a missing value have one ranking, whatever the pair: they
-    are ranked once each (average ranks from the two-level prefix sum), the
-    ranks joined to the rows by value, and rho is the Pearson r of the rank
-    columns. Pairs with a missing value are ranked over their complete rows,
-    from the counts of distinct value pairs, ``batch`` pairs at a time."""
+    are ranked all at once (see :func:`ranked_rows`), and rho is the Pearson r
+    of the rank columns. Pairs with a missing value are ranked over their
+    complete rows, from the counts of distinct value pairs, ``batch`` pairs at a time."""
     cols = columns or ty.numeric_columns(df)
     pairs = _pairs(cols)
     if not pairs:
@@ -111,13 +110,7 @@ def spearman(df: DataFrame, columns: list[str] | None = None, batch: int = PAIR_
     out = []
     full = [p for p in pairs if p[0] in whole and p[1] in whole]
     if full:
-        rows = df.select(*[ty.numeric_value(df, c).alias(f"v{i}") for i, c in enumerate(whole)])
-        freq = value_frequencies(df, whole)
-        ranks = materialize(average_ranks(freq, ["column"], "v").select("column", "v", "rank"))
-        for i, c in enumerate(whole):
-            rank = ranks.where(F.col("column") == c).select(F.col("v").alias(f"v{i}"), F.col("rank").alias(f"r{i}"))
-            rows = rows.join(rank, f"v{i}").drop(f"v{i}")
-        rows = materialize(rows)
+        rows = materialize(ranked_rows(df, whole))
         name = {c: f"r{i}" for i, c in enumerate(whole)}
         r = pairwise_pearson(rows, [(name[a], name[b]) for a, b in full])
         out.append(df.sparkSession.createDataFrame([(a, b, r[(name[a], name[b])]) for a, b in full], _pair_schema()))
@@ -126,6 +119,40 @@ def spearman(df: DataFrame, columns: list[str] | None = None, batch: int = PAIR_
     return _union(out)
 
 
+def ranked_rows(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row per row of ``df`` with ``r0``, ``r1``, ...: the average ranks of
+    the values of ``columns`` (none of them missing).
+
+    All columns are ranked by one sort of their long form (column, value, row
+    id), cut into even ranges by all three, so a value that a third of the rows
+    share covers several ranges. A range's rows get their place by windows
+    inside the range; the counts of rows in earlier ranges, and of the values
+    that lie at the ends of ranges (at most two a range and column, so a small
+    table), make it a rank of the whole column. The ranks are put together
+    again by row id: one shuffle each way, whatever the number of columns."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    rows = materialize(df.select(F.monotonically_increasing_id().alias("id"), *[ty.numeric_value(df, c).alias(f"v{i}") for i, c in enumerate(columns)]))
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"v{i}").alias("v")) for i in range(len(columns))]))
+    long = rows.select("id", cells.alias("_c")).select("id", "_c.*")
+    long = materialize(long.repartitionByRange(parts, "c", "v", "id").withColumn("part", F.spark_partition_id()))
+    inside = Window.partitionBy("part", "c").orderBy("v")
+    same = Window.partitionBy("part", "c", "v")
+    own = long.select("id", "c", "v", "part", F.rank().over(inside).alias("lo"), F.count(F.lit(1)).over(same).alias("n"))
+    # a range has a column's values between these two
+    ends = long.groupBy("c", "part").agg(F.count(F.lit(1)).alias("rows"), F.min("v").alias("least"), F.max("v").alias("most"))
+    earlier = Window.partitionBy("c").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = materialize(ends.select("c", "part", "rows", "least", "most", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("before")))
+    edge = ends.select("c", F.explode(F.array_distinct(F.array("least", "most"))).alias("v")).distinct()
+    edges = long.join(F.broadcast(edge), ["c", "v"]).groupBy("c", "v", "part").agg(F.count(F.lit(1)).alias("n"))
+    edges = edges.groupBy("c", "v").agg(F.sum("n").alias("edge_n"), F.min_by("n", "part").alias("first_n"), F.min("part").alias("part")).join(ends, ["c", "part"])
+    # in its first range such a value is the least one or the last one
+    smaller = F.when(F.col("v") == F.col("least"), 0).otherwise(F.col("rows") - F.col("first_n"))
+    edges = edges.select("c", "v", (F.col("before") + smaller + 1 + (F.col("edge_n") - 1) / 2.0).alias("edge_rank"))
+    ranked = own.join(F.broadcast(ends.select("c", "part", "before")), ["c", "part"]).join(F.broadcast(edges), ["c", "v"], "left")
+    rank = F.coalesce("edge_rank", F.col("before") + F.col("lo") + (F.col("n") - 1) / 2.0)
+    return ranked.groupBy("id").agg(*[F.max(F.when(F.col("c") == i, rank)).alias(f"r{i}") for i in range(len(columns))])
+
+
 def _spearman_cells(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """Spearman rho over the complete rows of each pair: the marginal counts of
     the pair's cells give the ranks, and rho is sum o * (ra - m)(rb - m) /
@@ -562,9 +589,14 @@ def mi_to_target(df: DataFrame, target: str, features: list[str] | None = None,
 # ---------------------------------------------------------------- E14-E16 VIF, summary
 
 def gram(df: DataFrame, cols: list[str]) -> list[list[float]]:
-    """Uncentred cross-product matrix sum(x_i * x_j), in codegen-sized passes."""
-    r = batched_agg(df, [((i, j), F.sum(F.col(f"`{a}`") * F.col(f"`{b}`"))) for i, a in enumerate(cols) for j, b in enumerate(cols) if j >= i])
-    return [[float(r[(min(i, j), max(i, j))] or 0.0) for j in range(len(cols))] for i in range(len(cols))]
+    """Uncentred cross-product matrix sum(x_i * x_j) of complete columns, in
+    one scan whatever their number."""
+    m = co_moments(df, [F.col(f"`{c}`") for c in cols])
+
+    def product(v: dict) -> float:
+        return v["sab"] + v["n"] * v["mean_a"] * v["mean_b"] if v["n"] else 0.0
+
+    return [[product(m[(min(i, j), max(i, j))]) for j in range(len(cols))] for i in range(len(cols))]
 
 
 def vif(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -587,8 +619,8 @@ def vif(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     if len(keep) < 2:
         return spark.createDataFrame([], schema)
     med = medians(df, keep)
-    x = df.select(*[F.coalesce(ty.numeric_value(df, c), F.lit(med[c])).alias(c) for c in keep])
-    g = np.array(gram(x, keep))
+    x = df.select(*[F.coalesce(ty.numeric_value(df, c), F.lit(med[c])).alias(f"v{i}") for i, c in enumerate(keep)])
+    g = np.array(gram(x, x.columns))
     scale = np.sqrt(np.diag(g))
     root, vec = np.linalg.eigh(g / np.outer(scale, scale))
     null = root <= COLLINEAR_EIGENVALUE * len(keep)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import distributions as ds
 from ..operators import relations as rl
 from . import fixtures as fx
@@ -20,6 +22,26 @@ def _pearson_sql(table: str, cs: list[str]) -> str:
 LI_NUM = cols("lineitem", "numeric")
 
 
+def _components(spark, sf_dir):
+    """The embeddings as a wide table: one column a component."""
+    e = fx.table(spark, sf_dir, "embeddings")
+    width = e.agg(F.max(F.size("embedding"))).first()[0]
+    return e.select(*[F.get("embedding", F.lit(i)).cast("double").alias(f"c{i}") for i in range(width)])
+
+
+@register("pearson_wide",
+          "WITH p AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(0, len(embedding))) AS i FROM embeddings) "
+          f"SELECT 'c' || a.i AS var1, 'c' || b.i AS var2, {r('corr(a.v, b.v)')} AS value FROM p a JOIN p b ON a.vec_id = b.vec_id AND a.i < b.i GROUP BY a.i, b.i")
+def q_pearson_wide(spark, sf_dir):
+    """All pairs of the components of the embeddings, from one scan."""
+    return finish(rl.pearson(_components(spark, sf_dir)))
+
+
+@register("vif_wide")
+def q_vif_wide(spark, sf_dir):
+    return finish(rl.vif(_components(spark, sf_dir)))
+
+
 @register("pearson", fx.with_fixtures(_pearson_sql("li_nulls", LI_NUM), "li_nulls"))
 def q_pearson(spark, sf_dir):
     return finish(rl.pearson(fx.li_nulls(spark, sf_dir)))
