@@ -54,6 +54,164 @@ def regressors(n_train: int, y_std: float) -> dict:
 
 # ---------------------------------------------------------------- G11 k-nearest neighbours
 
+#: training rows that a pivot's cell has on average, and pivots at most
+CELL_ROWS, MAX_PIVOTS = 2000, 1024
+#: slack of distance bounds, above the rounding of sums of squares
+KNN_SLACK = 1e-6
+
+
+def _cell_of(rows: DataFrame, pivots, columns: list[str]) -> DataFrame:
+    """``rows`` (x array<double> and ``columns``) with the nearest pivot and
+    the distance to it. The pivots are at most ``MAX_PIVOTS`` vectors."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    held = rows.sparkSession.sparkContext.broadcast(pivots)
+    schema = T.StructType([*[rows.schema[c] for c in columns], rows.schema["x"], T.StructField("cell", T.IntegerType()), T.StructField("off", T.DoubleType())])
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                near = _distances(_matrix(batch.column(len(columns))), held.value)
+                cell = near.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(near[np.arange(len(cell)), cell])], names=[f.name for f in schema.fields])
+
+    return rows.select(*columns, "x").mapInArrow(run, schema)
+
+
+def _matrix(column):
+    import pyarrow as pa
+
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(len(flat), -1)
+
+
+def _distances(a, b):
+    import numpy as np
+
+    return np.sqrt(np.maximum((a * a).sum(1)[:, None] - 2.0 * a @ b.T + (b * b).sum(1)[None, :], 0.0))
+
+
+def _solved(test: DataFrame, train: DataFrame, k: int) -> DataFrame:
+    """(qid, tid, d, y): of each test row, the k nearest training rows of each
+    block it meets that are not farther than its ``reach``."""
+    import numpy as np
+    import pyarrow as pa
+
+    out = pa.schema([("qid", pa.int64()), ("tid", pa.int64()), ("d", pa.float64()), ("y", pa.float64())])
+
+    def solve(q: pa.Table, t: pa.Table) -> pa.Table:
+        if not q.num_rows or not t.num_rows:
+            return out.empty_table()
+        qx, tx = _matrix(q.column("x")), _matrix(t.column("x"))
+        qid, tid, y, reach = (c.to_numpy() for c in (q.column("qid"), t.column("tid"), t.column("y"), q.column("reach")))
+        kk, parts = min(k, len(tx)), []
+        step = max(1, 1_000_000 // len(tx))
+        for s in range(0, len(qx), step):
+            near = _distances(qx[s:s + step], tx)
+            bound = np.minimum(np.partition(near, kk - 1, axis=1)[:, kk - 1], reach[s:s + step])
+            rows, cols = np.nonzero(near <= (bound * (1 + KNN_SLACK) + KNN_SLACK)[:, None])
+            # these few again, term by term: the same number in whatever block, so that ties are ties
+            d = ((qx[s + rows] - tx[cols]) ** 2).sum(axis=1)
+            order = np.lexsort((tid[cols], d, rows))
+            rows, cols, d = rows[order], cols[order], d[order]
+            place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+            rows, cols, d = rows[place < kk], cols[place < kk], d[place < kk]
+            parts.append((qid[s + rows], tid[cols], d, y[cols]))
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], schema=out)
+
+    return test.groupBy("cell", "tb", "qb").cogroup(train.groupBy("cell", "tb", "qb")).applyInArrow(solve, "qid long, tid long, d double, y double")
+
+
+def knn_neighbours(train: DataFrame, test: DataFrame, k: int, rows_per_block: int = 20000) -> tuple[DataFrame, dict]:
+    """The k nearest of ``train`` (tid, y, x) for every row of ``test`` (qid,
+    x), exact: (qid, tid, d, y, r), and counts of the pairs there are and of
+    those compared.
+
+    Pivots (a sample of the training rows by hash) divide both tables into
+    cells. A row first meets the training rows of its own cell, or, where that
+    has fewer than k, is bounded by distances to pivots plus cell radii; its
+    k-th distance is its reach. By the triangle inequality a cell can hold a
+    nearer row only if the distance to its pivot less the cell's radius is
+    within reach, so the row is sent to these cells only, where rows beyond its
+    reach are not handed on. Cells of more than ``rows_per_block`` rows, on
+    either side, are split into blocks. A task holds two blocks."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import Window
+    from pyspark.sql import types as T
+
+    from ..session import materialize
+
+    spark = train.sparkSession
+    n = train.count()
+    if not n:
+        return spark.createDataFrame([], "qid long, tid long, d double, y double, r int"), {"pairs": 0, "compared": 0}
+    m = min(MAX_PIVOTS, max(1, n // CELL_ROWS))
+    sample = train.select("tid", "x").orderBy(F.xxhash64("tid", F.lit(SEED + 2)), "tid").limit(m).collect()  # MAX_PIVOTS rows at most
+    pivots = np.unique(np.array([r["x"] for r in sample], dtype="float64").reshape(len(sample), -1), axis=0)
+    tr = materialize(_cell_of(train, pivots, ["tid", "y"]))
+    sizes = {r["cell"]: (r["n"], r["far"]) for r in tr.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("off").alias("far")).collect()}  # one row a pivot
+    count = np.array([sizes.get(c, (0, 0.0))[0] for c in range(len(pivots))])
+    radius = np.array([sizes.get(c, (0, 0.0))[1] for c in range(len(pivots))])
+    full = count >= k
+    te = materialize(_cell_of(test, pivots, ["qid"]))
+
+    def blocks(df: DataFrame, key: str, at: str) -> tuple[DataFrame, dict]:
+        """``df`` with its block in its cell, and the blocks of each cell."""
+        many = {r["cell"]: -(-r["n"] // rows_per_block) for r in df.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+        parts = F.element_at(F.array(*[F.lit(many.get(c, 1)) for c in range(len(pivots))]), F.col("cell") + 1)
+        return df.withColumn(at, F.pmod(F.xxhash64(key, F.lit(SEED)), parts).cast("int")), many
+
+    def meet(asked: DataFrame) -> DataFrame:
+        """Each asking row with the blocks of its cell."""
+        asked, of_test = blocks(asked, "qid", "qb")
+        dealt, of_train = blocks(tr, "tid", "tb")
+        copies = lambda many: F.explode(F.sequence(F.lit(0), F.element_at(F.array(*[F.lit(many.get(c, 1)) for c in range(len(pivots))]), F.col("cell") + 1) - 1))
+        return _solved(asked.withColumn("tb", copies(of_train)), dealt.withColumn("qb", copies(of_test)), k)
+
+    nearest = Window.partitionBy("qid").orderBy("d", "tid")
+    first = materialize(meet(te.select("qid", "x", "cell", F.lit(float("inf")).alias("reach"))).withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= k))
+    found = first.groupBy("qid").agg(F.max("d").alias("far"), F.count(F.lit(1)).alias("n"))
+    held = spark.sparkContext.broadcast((pivots, count, radius, full))
+    rows = te.select("qid", "x", "cell").join(found, "qid", "left").select("qid", "x", F.col("cell").alias("home"), F.when(F.col("n") >= k, F.sqrt("far")).otherwise(float("inf")).alias("reach"))
+    schema = T.StructType([rows.schema["qid"], rows.schema["x"], T.StructField("cell", T.IntegerType()), T.StructField("reach", T.DoubleType())])
+
+    def others(batches):
+        """Rows with every other cell that may hold a neighbour."""
+        pivots, count, radius, full = held.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            d = _distances(_matrix(batch.column(1)), pivots)
+            reach = batch.column(3).to_numpy()
+            if full.any():
+                reach = np.minimum(reach, (d + radius)[:, full].min(axis=1))
+            may = (d - radius <= reach[:, None] * (1 + KNN_SLACK) + KNN_SLACK) & (count > 0)
+            may[np.arange(len(d)), batch.column(2).to_numpy()] = False
+            row, cell = np.nonzero(may)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(cell.astype(np.int32)), pa.array(reach[row])], names=["qid", "x", "cell", "reach"])
+
+    asked = materialize(rows.mapInArrow(others, schema))
+    near = first.drop("r").unionByName(meet(asked)).withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= k)
+    met = asked.select("cell").unionByName(te.select("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()
+    return near, {"pairs": n * te.count(), "compared": int(sum(r["n"] * int(count[r["cell"]]) for r in met))}
+
+
+def _knn_tables(train: DataFrame, test: DataFrame, id_col: str | list[str], features: str, label: str):
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.sql import types as T
+
+    from ..session import materialize
+
+    ids = [id_col] if isinstance(id_col, str) else list(id_col)
+    single = len(ids) == 1 and isinstance(train.schema[ids[0]].dataType, T.IntegralType)
+    tie = F.col(f"`{ids[0]}`").cast("long") if single else F.xxhash64(*[F.col(f"`{c}`") for c in ids])
+    test = materialize(test.select(*[F.col(f"`{c}`") for c in ids], vector_to_array(F.col(features)).alias("x"), F.monotonically_increasing_id().alias("qid")))
+    return ids, train.select(tie.alias("tid"), F.col(label).cast("double").alias("y"), vector_to_array(F.col(features)).alias("x")), test
+
+
 def knn_predict(
     train: DataFrame,
     test: DataFrame,
@@ -63,75 +221,38 @@ def knn_predict(
     k: int = N_NEIGHBORS,
     task: str = "classification",
     rows_per_block: int = 20000,
+    n_classes: int | None = None,
 ) -> DataFrame:
     """Exact k nearest neighbours (Euclidean) -> (id columns, prediction).
 
-    The cost is test x train distances, whatever the layout: use it for tables
-    where that product is affordable. The work is spread without ever
-    materialising row pairs and without broadcasting either side: test rows
-    are dealt into ``nq`` blocks and training rows into ``nt`` blocks (about
-    ``rows_per_block`` rows each); every (test block, train block) pair is
-    one ``cogroup.applyInPandas`` group solved with NumPy, emitting only the
-    k best training rows per test row, so what leaves the tasks is nt * k rows
-    per test row. A window over those candidates keeps the final k. Ids may be
-    one or several columns of any type; ties in distance go to the smaller
-    integer id (else to the smaller hash of the id); the vote goes to the most
-    frequent label (ties: smallest), regression takes the mean.
-    """
-    import numpy as np
-    import pandas as pd
-    from pyspark.ml.functions import vector_to_array
-    from pyspark.sql import Window
-    from pyspark.sql import types as T
-
-    from ..session import materialize
-
-    ids = [id_col] if isinstance(id_col, str) else list(id_col)
-    single = len(ids) == 1 and isinstance(train.schema[ids[0]].dataType, T.IntegralType)
-    tie = F.col(f"`{ids[0]}`").cast("long") if single else F.xxhash64(*[F.col(f"`{c}`") for c in ids])
-    test = materialize(test.select(*[F.col(f"`{c}`") for c in ids], F.col(features).alias("_x"), F.monotonically_increasing_id().alias("qid")))
-    nq = max(1, -(-test.count() // rows_per_block))
-    nt = max(1, -(-train.count() // rows_per_block))
-    tr = train.select(tie.alias("tid"), F.col(label).cast("double").alias("y"), vector_to_array(F.col(features)).alias("x"))
-    tr = tr.withColumn("tb", F.pmod(F.xxhash64("tid", F.lit(SEED)), F.lit(nt)).cast("int")).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))
-    )
-    te = test.select("qid", vector_to_array(F.col("_x")).alias("x"))
-    te = te.withColumn("qb", F.pmod(F.xxhash64("qid", F.lit(SEED + 1)), F.lit(nq)).cast("int")).withColumn(
-        "tb", F.explode(F.sequence(F.lit(0), F.lit(nt - 1)))
-    )
-    empty = {"qid": pd.Series([], dtype="int64"), "tid": pd.Series([], dtype="int64"), "d": pd.Series([], dtype="float64"), "y": pd.Series([], dtype="float64")}
-
-    def solve(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or t.empty:
-            return pd.DataFrame(empty)
-        qx = np.vstack(q["x"].to_numpy()).astype("float64")
-        tx = np.vstack(t["x"].to_numpy()).astype("float64")
-        tid = t["tid"].to_numpy()
-        ty_ = t["y"].to_numpy()
-        qid = q["qid"].to_numpy()
-        kk = min(k, len(tx))
-        tn = (tx * tx).sum(1)
-        parts = []
-        step = max(1, 4_000_000 // max(len(tx), 1))
-        for s in range(0, len(qx), step):
-            blk = qx[s:s + step]
-            d = np.maximum((blk * blk).sum(1)[:, None] - 2.0 * blk @ tx.T + tn[None, :], 0.0)
-            idx = np.argpartition(d, kk - 1, axis=1)[:, :kk] if kk < d.shape[1] else np.tile(np.arange(d.shape[1]), (len(blk), 1))
-            rows = np.repeat(np.arange(len(blk)), idx.shape[1])
-            cols = idx.ravel()
-            parts.append(pd.DataFrame({"qid": qid[s + rows], "tid": tid[cols], "d": d[rows, cols], "y": ty_[cols]}))
-        return pd.concat(parts, ignore_index=True)
-
-    cand = te.groupBy("qb", "tb").cogroup(tr.groupBy("qb", "tb")).applyInPandas(solve, "qid long, tid long, d double, y double")
-    w = Window.partitionBy("qid").orderBy("d", "tid")  # nt * k candidates per test row
-    nn = cand.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
+    See :func:`knn_neighbours` for the layout: cells that cannot hold a
+    neighbour are skipped, row pairs are never materialised, and neither side
+    is broadcast. Ids may be one or several columns of any type; ties in
+    distance go to the smaller integer id (else to the smaller hash of the id);
+    the vote goes to the most frequent label (ties: smallest), regression takes
+    the mean. With ``n_classes`` (labels 0, 1, ...) there is a ``probability``
+    vector too: the share of the votes of each class."""
+    from pyspark.ml.functions import array_to_vector
+
+    ids, tr, te = _knn_tables(train, test, id_col, features, label)
+    nn, _ = knn_neighbours(tr, te.select("qid", "x"), k, rows_per_block)
     if task == "classification":
         votes = nn.groupBy("qid", "y").agg(F.count(F.lit(1)).alias("v"))
-        pred = votes.groupBy("qid").agg(F.min_by("y", F.struct(-F.col("v"), F.col("y"))).alias("prediction"))
+        shares = [F.array(*[F.coalesce(F.sum(F.when(F.col("y") == c, F.col("v"))) / F.sum("v"), F.lit(0.0)) for c in range(n_classes)]).alias("shares")] if n_classes else []
+        pred = votes.groupBy("qid").agg(F.min_by("y", F.struct(-F.col("v"), F.col("y"))).alias("prediction"), *shares)
     else:
         pred = nn.groupBy("qid").agg(F.avg("y").alias("prediction"))
-    return test.join(pred, "qid").select(*[F.col(f"`{c}`") for c in ids], "prediction")
+    more = [array_to_vector("shares").alias("probability")] if "shares" in pred.columns else []
+    return te.join(pred, "qid").select(*[F.col(f"`{c}`") for c in ids], "prediction", *more)
+
+
+def knn_pruning(train: DataFrame, test: DataFrame, id_col: str | list[str], features: str = "features", label: str = "label", k: int = N_NEIGHBORS, rows_per_block: int = 20000) -> DataFrame:
+    """One row with the pairs of test and training rows, those compared,
+    and the share that the triangle inequality spared."""
+    _, tr, te = _knn_tables(train, test, id_col, features, label)
+    _, counts = knn_neighbours(tr, te.select("qid", "x"), k, rows_per_block)
+    spared = 1 - counts["compared"] / counts["pairs"] if counts["pairs"] else 0.0
+    return train.sparkSession.createDataFrame([(counts["pairs"], counts["compared"], float(spared))], "pairs long, compared long, pruned_share double")
 
 
 # ---------------------------------------------------------------- G16 training loop
@@ -208,12 +329,15 @@ def train_baselines(
     models: list[str] | None = None,
     include_knn: bool = True,
     cv_folds: int = N_FOLDS,
+    parallelism: int = 4,
 ) -> BaselineRun:
     """Split (stratified for classification), preprocess (fitted on the
     training rows), fit every baseline, predict the test rows, compute
     metrics, and cross-validate the primary score on the training rows (the
     preprocessing is fitted anew in each fold; ``cv_folds=0`` skips it). A
-    failing model yields an 'error' row instead of failing the run.
+    failing model yields an 'error' row instead of failing the run. Up to
+    ``parallelism`` fits (of a model, or of a model in a fold) run side by
+    side; the rows of a fold are preprocessed once for all models.
 
     ``results`` has (model, metric, value, error) rows; ``primary_score`` is
     the balanced accuracy or -RMSE; ``train_seconds`` the fit time.
@@ -250,65 +374,122 @@ def train_baselines(
         return {k: v for k, v in found.items() if not models or k in models}
 
     def fitted(name: str, est, rows: DataFrame):
-        return KnnModel(rows, keys, task) if name == KNN else est.setFeaturesCol("features").setLabelCol("label").fit(rows)
+        return KnnModel(rows, keys, task, len(classes) if classes else None) if name == KNN else est.setFeaturesCol("features").setLabelCol("label").fit(rows)
 
-    folds = materialize(assign_folds(train, keys, label="label" if task == "classification" else None, k=cv_folds)) if cv_folds else None
-    results, kept = [], {}
-    for name, est in candidates(tr).items():
+    names = list(candidates(tr))
+    if cv_folds:
+        folds = materialize(assign_folds(train, keys, label="label" if task == "classification" else None, k=cv_folds))
+        prepared = side_by_side([lambda f=f: fold_tables(folds, f, feats, keys) for f in range(cv_folds)], parallelism)
+    tr, te = materialize(tr), materialize(te)  # read by every model
+
+    def trained(name: str):
         try:
             t0 = time.time()
-            model = fitted(name, est, tr)
+            model = fitted(name, candidates(tr)[name], tr)
             secs = time.time() - t0
             rows = [(name, r["metric"], r["value"], None) for r in evaluate_predictions(model.transform(te), task, classes).collect()]
             score = {m: v for _, m, v, _ in rows}
             rows.append((name, "primary_score", score["balanced_accuracy"] if task == "classification" else -score["rmse"], None))
-            rows.append((name, "train_seconds", secs, None))
-            kept[name] = model
+            return [*rows, (name, "train_seconds", secs, None)], model
         except Exception as e:  # noqa: BLE001 - one failing model must not stop the others
-            results.append((name, "error", None, str(e)[:500]))
-            continue
-        if folds is not None:
-            value, error = cross_validate_score(folds, lambda r, n=name: fitted(n, candidates(r)[n], r), task, feats, keys)
-            rows.append((name, "cv_mean", value, error))
+            return [(name, "error", None, str(e)[:500])], None
+
+    jobs = [lambda n=name: trained(n) for name in names]
+    if cv_folds:
+        jobs += [lambda n=name, f=f: fold_score(f, lambda r: fitted(n, candidates(r)[n], r), task) for name in names for f in prepared]
+    done = side_by_side(jobs, parallelism)
+    results, kept = [], {}
+    for i, name in enumerate(names):
+        rows, model = done[i]
         results += rows
+        if model is not None:
+            kept[name] = model
+            if cv_folds:
+                value, error = mean_score(done[len(names) + i * cv_folds:len(names) + (i + 1) * cv_folds])
+                results.append((name, "cv_mean", value, error))
     return BaselineRun(spark.createDataFrame(results, "model string, metric string, value double, error string"), kept, prep, task, classes, train, test)
 
 
+def side_by_side(jobs: list, parallelism: int) -> list:
+    """Results of the jobs, in order, at most ``parallelism`` at a time. Each
+    one runs in a pinned thread with this thread's Spark properties, in a
+    scheduler pool of its own (used where the scheduler mode is FAIR)."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import inheritable_thread_target
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    if parallelism <= 1 or len(jobs) <= 1 or spark is None:
+        return [job() for job in jobs]
+
+    def pooled(i: int, job):
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"job-{i % parallelism}")
+        return job()
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        # the properties are copied when the target is made, once a job
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(pooled), i, job) for i, job in enumerate(jobs)]]
+
+
 class KnnModel:
     """The neighbours estimator in the form of a fitted model."""
 
-    def __init__(self, train: DataFrame, keys: list[str], task: str):
-        self.train, self.keys, self.task = train, keys, task
+    def __init__(self, train: DataFrame, keys: list[str], task: str, n_classes: int | None = None):
+        self.train, self.keys, self.task, self.n_classes = train, keys, task, n_classes
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """``label`` and ``prediction`` of every row. The rows get an id of
-        their own, so keys need not be unique."""
+        """The rows with ``prediction`` (and ``probability``: vote shares). The
+        rows get an id of their own, so keys need not be unique."""
         from ..session import materialize
 
         rows = materialize(df.withColumn("_row", F.monotonically_increasing_id()))
         train = self.train.withColumn("_row", F.xxhash64(*[F.col(f"`{c}`") for c in self.keys]))
-        found = knn_predict(train, rows, "_row", task=self.task)
+        found = knn_predict(train, rows, "_row", task=self.task, n_classes=self.n_classes)
         return rows.join(found, "_row").drop("_row")
 
 
-def cross_validate_score(folded: DataFrame, fit, task: str, features: list[str], keys: list[str]) -> tuple[float | None, str | None]:
-    """Mean primary score (balanced accuracy or -RMSE) over the folds of
-    ``folded`` (raw rows with ``label`` and ``fold``). Preprocessing and model
-    (``fit(rows)``) see the other folds only. A failing fold gives no score
-    but its error."""
+def fold_tables(folded: DataFrame, fold: int, features: list[str], keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Training and held rows of one fold, preprocessed by what its training
+    rows say, written once for all models."""
+    from ..session import materialize
+
+    inside, held = folded.where(F.col("fold") != fold), folded.where(F.col("fold") == fold)
+    prep = preprocess_fit(inside, features)
+    return tuple(materialize(preprocess_apply(d, prep, keep=keys + ["label"])) for d in (inside, held))
+
+
+def fold_score(tables: tuple[DataFrame, DataFrame], fit, task: str) -> tuple[float | None, str | None]:
+    """Primary score (balanced accuracy or -RMSE) of ``fit(rows)`` in one fold,
+    or its error."""
     try:
-        scores = []
-        for f in range(folded.agg(F.max("fold")).first()[0] + 1):
-            inside, held = folded.where(F.col("fold") != f), folded.where(F.col("fold") == f)
-            prep = preprocess_fit(inside, features)
-            model = fit(preprocess_apply(inside, prep, keep=keys + ["label"]))
-            pred = model.transform(preprocess_apply(held, prep, keep=keys + ["label"])).select(F.col("label").alias("y_true"), F.col("prediction").alias("y_pred"))
-            scores.append(mt.balanced_accuracy(pred).first()[0] if task == "classification" else -mt.regression_metrics(pred).first()["rmse"])
-        return float(sum(scores) / len(scores)), None
+        pred = fit(tables[0]).transform(tables[1]).select(F.col("label").alias("y_true"), F.col("prediction").alias("y_pred"))
+        return (mt.balanced_accuracy(pred).first()[0] if task == "classification" else -mt.regression_metrics(pred).first()["rmse"]), None
     except Exception as e:  # noqa: BLE001 - reported beside the model's other rows
         return None, str(e)[:500]
 
 
+def mean_score(folds: list[tuple[float | None, str | None]]) -> tuple[float | None, str | None]:
+    """Mean of the folds' scores; a failing fold gives no score but its error."""
+    errors = [e for _, e in folds if e is not None]
+    return (None, errors[0]) if errors else (float(sum(v for v, _ in folds) / len(folds)), None)
+
+
+def cross_validate_score(folded: DataFrame, fit, task: str, features: list[str], keys: list[str], parallelism: int = 4) -> tuple[float | None, str | None]:
+    """Mean primary score (balanced accuracy or -RMSE) over the folds of
+    ``folded`` (raw rows with ``label`` and ``fold``). Preprocessing and model
+    (``fit(rows)``) see the other folds only. Folds run side by side; a
+    failing fold gives no score but its error."""
+
+    def one(f: int) -> tuple[float | None, str | None]:
+        try:
+            return fold_score(fold_tables(folded, f, features, keys), fit, task)
+        except Exception as e:  # noqa: BLE001 - reported beside the model's other rows
+            return None, str(e)[:500]
+
+    return mean_score(side_by_side([lambda f=f: one(f) for f in range(folded.agg(F.max("fold")).first()[0] + 1)], parallelism))
+
+
 def select_best_model(results: DataFrame, group_cols: list[str] | None = None, score: str = "primary_score") -> DataFrame:
     """Model with the highest primary score among non-failed models (ties:
     the first name)."""

@@ -138,3 +138,51 @@ def test_stacked_importance_equals_one_feature_at_a_time(spark):
         drops = [base - auc(explain.permute_column(rows, f, "o_orderkey", repeat)) for repeat in range(2)]
         assert got[f]["importance_mean"] == pytest.approx(np.mean(drops), abs=1e-9)
         assert got[f]["importance_std"] == pytest.approx(np.std(drops), abs=1e-9)
+
+
+@pytest.mark.parametrize(("cell", "block"), [(10, 8), (25, 1000), (10**6, 15)])
+def test_knn_with_pivots_equals_brute_force(spark, monkeypatch, cell, block):
+    """Clusters of unlike size, repeated rows, cells with fewer than k rows."""
+    from pyspark.ml.linalg import Vectors
+
+    monkeypatch.setattr(models, "CELL_ROWS", cell)
+    rng = np.random.default_rng(8)
+    middle = rng.normal(size=(6, 4)) * 20
+    tr = np.concatenate([middle[rng.choice(6, 200, p=[0.6, 0.2, 0.1, 0.06, 0.03, 0.01])] + rng.normal(size=(200, 4)), np.repeat(middle[:1], 30, axis=0)]).round(1)
+    te = np.concatenate([middle[rng.integers(0, 6, 40)] + rng.normal(size=(40, 4)), [[500.0] * 4], tr[:3]])
+    y = rng.integers(0, 3, len(tr)).astype(float)
+    train = spark.createDataFrame([(i, Vectors.dense(x), float(v)) for i, (x, v) in enumerate(zip(tr, y))], ["k", "features", "label"])
+    test = spark.createDataFrame([(i, Vectors.dense(x)) for i, x in enumerate(te)], ["k", "features"])
+    got = {r["k"]: r for r in models.knn_predict(train, test, "k", rows_per_block=block, n_classes=3).collect()}
+    assert len(got) == len(te)
+    for i, x in enumerate(te):
+        near = np.lexsort((np.arange(len(tr)), ((tr - x) ** 2).sum(1).round(9)))[:5]
+        votes = np.bincount(y[near].astype(int), minlength=3)
+        assert got[i]["prediction"] == votes.argmax()
+        assert got[i]["probability"].toArray().tolist() == (votes / 5).tolist()
+    counts = models.knn_pruning(train, test, "k", rows_per_block=block).first()
+    assert counts["pairs"] == len(tr) * len(te) and counts["compared"] <= counts["pairs"]
+    if cell == 10:
+        assert counts["pruned_share"] > 0.5
+    assert models.knn_predict(train.limit(0), test, "k").count() == 0
+    assert models.knn_predict(train, test.limit(0), "k").count() == 0
+
+
+def test_side_by_side_equals_one_after_another(spark):
+    o = spark.read.parquet(f"{SF001}/orders.parquet")
+    feats = ["o_totalprice", "o_custkey", "o_orderpriority"]
+    names = ["Naive Bayes", "K-Nearest Neighbors", "Decision Tree"]
+    runs = [models.train_baselines(o, "o_orderstatus", "o_orderkey", "classification", feats, models=names, cv_folds=3, parallelism=n).results for n in (1, 4)]
+    one, many = ({(r["model"], r["metric"]): r["value"] for r in run.where("metric <> 'train_seconds'").collect()} for run in runs)
+    assert one.keys() == many.keys() and {m for m, _ in one} == set(names)
+    assert all(one[k] == pytest.approx(many[k], abs=1e-9) for k in one)
+    assert all((n, m) in one for n in names for m in ("cv_mean", "roc_auc_ovr", "log_loss", "primary_score"))
+
+
+def test_a_failing_fold_gives_its_error(spark):
+    df = spark.createDataFrame([(i, float(i % 3), float(i % 2), i % 4) for i in range(40)], "k int, a double, label double, fold int")
+
+    def fit(rows):
+        raise RuntimeError("did not fit")
+
+    assert models.cross_validate_score(df, fit, "classification", ["a"], ["k"]) == (None, "did not fit")
