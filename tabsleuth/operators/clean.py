@@ -40,7 +40,7 @@ def count_duplicate_rows(df: DataFrame) -> DataFrame:
 
     Map-side partial aggregation collapses a hot duplicate group before the
     shuffle."""
-    g = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
+    g = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
     return g.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("duplicate_rows"))
 
 
@@ -80,7 +80,8 @@ def filter_target_not_null(df: DataFrame, target: str) -> DataFrame:
 
 def pairwise_dropna(df: DataFrame, a: str, b: str) -> DataFrame:
     """Complete cases of one column pair."""
-    return df.select(ty.clean_col(df, a).alias(a), ty.clean_col(df, b).alias(b)).na.drop(subset=[a, b])
+    x, y = ty.clean_col(df, a), ty.clean_col(df, b)
+    return df.where(x.isNotNull() & y.isNotNull()).select(x.alias(a), y.alias(b))
 
 
 def drop_zero_variance(df: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -90,7 +91,7 @@ def drop_zero_variance(df: DataFrame) -> tuple[DataFrame, list[str]]:
         return df.select(), []
     row = df.agg(*[F.var_samp(ty.numeric_value(df, c)).alias(f"v{i}") for i, c in enumerate(num)]).first()
     keep = [c for i, c in enumerate(num) if row[f"v{i}"] is not None and row[f"v{i}"] > 0]
-    return df.select(*keep), [c for c in num if c not in keep]
+    return df.select(*[F.col(f"`{c}`") for c in keep]), [c for c in num if c not in keep]
 
 
 def medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
@@ -155,14 +156,14 @@ def fill_median_mode(df: DataFrame, columns: list[str] | None = None, medians_kn
 def fill_missing_label(df: DataFrame, columns: list[str] | None = None, label: str = MISSING_LABEL) -> DataFrame:
     """NULL category -> 'Missing'."""
     cols = set(columns or ty.categorical_columns(df))
-    return df.select(*[F.coalesce(F.col(c), F.lit(label)).alias(c) if c in cols else F.col(c) for c in df.columns])
+    return df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit(label)).alias(c) if c in cols else F.col(f"`{c}`") for c in df.columns])
 
 
 def label_codes(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, value, code): 0-based rank of each distinct non-null value in
     sorted order, per column - built with the two-level prefix sum, so no
     column's distinct values sit in one task."""
-    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]))
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns]))
     distinct = (
         df.select(cells.alias("_c")).select("_c.*").where(F.col("value").isNotNull()).distinct().withColumn("_one", F.lit(1))
     )
@@ -170,6 +171,10 @@ def label_codes(df: DataFrame, columns: list[str]) -> DataFrame:
     return cum.select("column", "value", (F.col("cum__one") - 1).cast("long").alias("code"))
 
 
+#: dictionaries of a column's levels up to this size are broadcast
+DICTIONARY_BYTES = 8 << 20
+
+
 def label_encode(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Text -> sorted-order code (NULL -> -1); numeric NULL -> median,
     then anything still missing -> 0. Other columns pass through."""
@@ -180,19 +185,24 @@ def label_encode(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     out = df
     if cat:
         codes = materialize(label_codes(df, cat))
-        for c in cat:
-            m = codes.where(F.col("column") == c).select(F.col("value").alias(f"_v_{c}"), F.col("code").alias(f"_code_{c}"))
-            out = out.join(m, out[c] == m[f"_v_{c}"], "left")
+        sizes = {r["column"]: r["b"] for r in codes.groupBy("column").agg(F.sum(F.octet_length("value") + 16).alias("b")).collect()}
+        for i, c in enumerate(cat):
+            m = codes.where(F.col("column") == c).select(F.col("value").alias("_level"), F.col("code").alias(f"_code_{i}"))
+            if sizes.get(c, 0) <= DICTIONARY_BYTES:
+                out = out.join(F.broadcast(m), F.col(f"`{c}`") == F.col("_level"), "left").drop("_level")
+            else:  # rows without a value are spread, as equal keys of a join they would meet in one task
+                spread = F.when(F.col(f"`{c}`").isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(1 << 16))).otherwise(F.lit(0))
+                out = out.withColumn("_spread", spread).join(m.withColumn("_zero", F.lit(0).cast("long")), (F.col("_spread") == F.col("_zero")) & (F.col(f"`{c}`") == F.col("_level")), "left").drop("_level", "_zero", "_spread")
     sel = []
     for f in df.schema.fields:
         c = f.name
         if c in cat:
-            sel.append(F.coalesce(F.col(f"_code_{c}"), F.lit(-1)).cast("double").alias(c))
+            sel.append(F.coalesce(F.col(f"_code_{cat.index(c)}"), F.lit(-1)).cast("double").alias(c))
         elif c in num:
             filled = F.coalesce(ty.numeric_value(df, c), F.lit(med.get(c)).cast("double"))
             sel.append(F.coalesce(filled, F.lit(0.0)).alias(c))
         else:
-            sel.append(F.col(c))
+            sel.append(F.col(f"`{c}`"))
     return out.select(*sel)
 
 

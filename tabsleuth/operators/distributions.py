@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,26 +48,49 @@ def shape_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return moments(df, columns).select("column", "skewness", "kurtosis")
 
 
-def histogram(df: DataFrame, columns: list[str] | None = None, bins: int = 20) -> DataFrame:
+def automatic_bins(n: int, low: float, high: float, iqr: float) -> int:
+    """Number of bins by the Freedman-Diaconis width 2 IQR / n^(1/3) or the
+    Sturges width range / (log2 n + 1), whichever gives more bins (Sturges
+    alone where the IQR is 0; one bin where all values are equal)."""
+    if n < 1 or high <= low:
+        return 1
+    width = (high - low) / (math.log2(n) + 1)
+    if iqr > 0:
+        width = min(width, 2 * iqr / n ** (1 / 3))
+    return max(1, math.ceil((high - low) / width))
+
+
+def histogram(df: DataFrame, columns: list[str] | None = None, bins: int | str = 20) -> DataFrame:
     """Equal-width histogram per numeric column; top edge folded into the
-    last bin, nulls dropped, empty bins reported with count 0."""
+    last bin, nulls dropped, empty bins reported with count 0. ``bins="auto"``
+    takes each column's number from its size, range and exact IQR (see
+    :func:`automatic_bins`)."""
     cols = columns or ty.numeric_columns(df)
-    rng = df.agg(*[x for i, c in enumerate(cols) for x in (F.min(ty.numeric_value(df, c)).alias(f"lo{i}"), F.max(ty.numeric_value(df, c)).alias(f"hi{i}"))]).first()
-    known = [i for i in range(len(cols)) if rng[f"lo{i}"] is not None]
     spark = df.sparkSession
+    empty = "column string, bin int, bin_start double, bin_end double, count long"
+    if not cols:
+        return spark.createDataFrame([], empty)
+    v = [ty.numeric_value(df, c) for c in cols]
+    rng = df.agg(*[x for i in range(len(cols)) for x in (F.min(v[i]).alias(f"lo{i}"), F.max(v[i]).alias(f"hi{i}"), F.count(v[i]).alias(f"n{i}"))]).first()
+    known = [i for i in range(len(cols)) if rng[f"lo{i}"] is not None]
     if not known:
-        return spark.createDataFrame([], "column string, bin int, bin_start double, bin_end double, count long")
+        return spark.createDataFrame([], empty)
+    if bins == "auto":
+        q = {(r["column"], r["prob"]): r["value"] for r in exact_quantiles(df, [cols[i] for i in known], [0.25, 0.75]).collect()}  # two rows a column
+        many = {i: automatic_bins(rng[f"n{i}"], rng[f"lo{i}"], rng[f"hi{i}"], q[(cols[i], 0.75)] - q[(cols[i], 0.25)]) for i in known}
+    else:
+        many = dict.fromkeys(known, int(bins))
     cells = []
     for i in known:
         lo, width = rng[f"lo{i}"], rng[f"hi{i}"] - rng[f"lo{i}"]
-        v = ty.numeric_value(df, cols[i])
-        at = F.when(v.isNotNull(), F.least(F.floor((v - F.lit(lo)) / F.lit(width) * bins), F.lit(bins - 1)) if width else F.lit(0))
+        at = F.when(v[i].isNotNull(), F.least(F.floor((v[i] - F.lit(lo)) / F.lit(width) * many[i]), F.lit(many[i] - 1)) if width else F.lit(0))
         cells.append(F.struct(F.lit(i).alias("i"), at.cast("int").alias("bin")))
-    # int keys and few of them: combined before the shuffle
+    # int keys: combined before the shuffle
     counts = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*").where(F.col("bin").isNotNull()).groupBy("i", "bin").agg(F.count(F.lit(1)).alias("count"))
-    grid = [(i, b, cols[i], rng[f"lo{i}"] + b * (rng[f"hi{i}"] - rng[f"lo{i}"]) / bins, rng[f"lo{i}"] + (b + 1) * (rng[f"hi{i}"] - rng[f"lo{i}"]) / bins) for i in known for b in range(bins)]
-    grid = spark.createDataFrame(grid, "i int, bin int, column string, bin_start double, bin_end double")
-    return grid.join(counts, ["i", "bin"], "left").select("column", "bin", "bin_start", "bin_end", F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count"))
+    ranges = spark.createDataFrame([(i, cols[i], float(rng[f"lo{i}"]), float(rng[f"hi{i}"] - rng[f"lo{i}"]), many[i]) for i in known], "i int, column string, lo double, width double, bins int")
+    grid = ranges.withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)))
+    edge = lambda k: F.col("lo") + k * F.col("width") / F.col("bins")
+    return grid.join(counts, ["i", "bin"], "left").select("column", "bin", edge(F.col("bin")).alias("bin_start"), edge(F.col("bin") + 1).alias("bin_end"), F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count"))
 
 
 def top_k_per_group(df: DataFrame, group_cols: list[str], order_cols: list, k: int, salt_col: str | None = None, salts: int = 1024) -> DataFrame:
@@ -118,8 +143,8 @@ def scatter_points(df: DataFrame, x: str, y: str, color: str | None = None, key:
     """(x, y[, color]) points; optional repeatable key-hash sample."""
     out = df
     if fraction is not None and key is not None:
-        out = out.where(F.pmod(F.xxhash64(F.col(key), F.lit(42)), F.lit(1_000_000)) < int(fraction * 1_000_000))
-    sel = [F.col(x).alias("x"), F.col(y).alias("y")] + ([F.col(color).alias("color")] if color else [])
+        out = out.where(F.pmod(F.xxhash64(F.col(f"`{key}`"), F.lit(42)), F.lit(1_000_000)) < int(fraction * 1_000_000))
+    sel = [F.col(f"`{x}`").alias("x"), F.col(f"`{y}`").alias("y")] + ([F.col(f"`{color}`").alias("color")] if color else [])
     return out.select(*sel).where(F.col("x").isNotNull() & F.col("y").isNotNull())
 
 

@@ -354,8 +354,9 @@ def train_baselines(
     data = filter_target_not_null(df, target)
     if task == "classification":
         data = stratified_split(data, target, keys)
-        indexer = _label_index(data, target)
-        data = indexer.transform(data)
+        data = data.withColumn("_target", F.col(f"`{target}`"))  # the indexer takes no names with a dot
+        indexer = _label_index(data, "_target")
+        data = indexer.transform(data).drop("_target")
         classes = list(indexer.labels)
     else:
         data = random_split(data, keys).withColumn("label", F.col(f"`{target}`").cast("double"))

@@ -27,7 +27,7 @@ INFREQUENT = "infrequent"
 
 def hash_order(key: str | list[str], seed: int = SEED, salt: int | None = None) -> Column:
     keys = [key] if isinstance(key, str) else list(key)
-    parts = [F.col(k) for k in keys] + [F.lit(seed)] + ([F.lit(salt)] if salt is not None else [])
+    parts = [F.col(f"`{k}`") for k in keys] + [F.lit(seed)] + ([F.lit(salt)] if salt is not None else [])
     return F.xxhash64(*parts)
 
 
@@ -47,7 +47,7 @@ def stratified_split(df: DataFrame, label: str, key: str | list[str], test_fract
     """G1: add boolean ``is_test``: per class the first ceil(f * n_class) rows
     in hash (or ``order_col``) order; rows with a NULL label are a class of
     their own. A class with one member is an error."""
-    small = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < 2).limit(1).collect()
+    small = df.groupBy(F.col(f"`{label}`")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < 2).limit(1).collect()
     if small:
         raise ValueError(f"The least populated class in {label} has only 1 member; stratified split impossible")
     order = F.col(f"`{order_col}`") if order_col else hash_order(key, seed)
@@ -58,7 +58,7 @@ def stratified_split(df: DataFrame, label: str, key: str | list[str], test_fract
 def random_split(df: DataFrame, key: str | list[str], test_fraction: float = TEST_FRACTION, seed: int = SEED) -> DataFrame:
     """Repeatable split by key hash (independent of partitioning)."""
     keys = [key] if isinstance(key, str) else list(key)
-    h = F.pmod(F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)), F.lit(100))
+    h = F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in keys], F.lit(seed)), F.lit(100))
     return df.withColumn("is_test", h < int(round(test_fraction * 100)))
 
 
@@ -190,19 +190,40 @@ def preprocess_apply(df: DataFrame, prep: Preprocessor, keep: list[str] | None =
     """G6 apply: the ``keep`` columns, and the expanded features as a vector
     (or, with ``vector=None``, as one column per slot). Slots are assembled by
     position, so names and levels may hold any character."""
-    from pyspark.ml.feature import VectorAssembler
-
     keep = keep or []
     kept = [F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)]
     own = [c for c in prep.numeric + prep.categorical]
     raw = df.select(*kept, *[F.col(f"`{c}`").alias(c) for c in own])
     scaled = scale_apply(impute_apply(raw, prep.medians, prep.modes), prep.means, prep.stds)
     cols = [F.col(f"_k{i}") for i in range(len(keep))] + [F.col(f"`{c}`") for c in prep.numeric]
+    if vector:
+        return _sparse_features(scaled, prep, keep, cols, vector)
     for c in prep.categorical:
         cols += one_hot_columns(scaled, c, prep.levels[c], prep.infrequent[c])
     slots = [f"_s{i}" for i in range(len(cols) - len(keep))]
     out = scaled.select(*cols).toDF(*[f"_k{i}" for i in range(len(keep))], *slots)
-    if vector:
-        out = VectorAssembler(inputCols=slots, outputCol=vector, handleInvalid="keep").transform(out)
-        return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], vector)
     return out.toDF(*keep, *prep.feature_names())
+
+
+def _sparse_features(scaled: DataFrame, prep: Preprocessor, keep: list[str], plain: list[Column], vector: str) -> DataFrame:
+    """The ``keep`` columns and the feature vector: a text column is one level
+    index, which an encoder with a fixed number of levels makes a sparse block
+    of the vector; an unknown level (the index after the last) is all zeros."""
+    from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+
+    size = {c: len(prep.levels[c]) + bool(prep.infrequent[c]) for c in prep.categorical}
+    coded = [c for c in prep.categorical if size[c]]
+    names = [f"_k{i}" for i in range(len(keep))] + [f"_n{i}" for i in range(len(prep.numeric))] + [f"_i{i}" for i in range(len(coded))]
+    index = []
+    for c in coded:
+        known = F.array(*[F.lit(v) for v in [*prep.levels[c], *([INFREQUENT] if prep.infrequent[c] else [])]])
+        at = F.array_position(known, one_hot_level(scaled, c, prep.levels[c], prep.infrequent[c]))
+        index.append(F.when(F.coalesce(at, F.lit(0)) > 0, at - 1).otherwise(F.lit(size[c])).cast("double"))
+    rows = scaled.select(*plain, *index).toDF(*names)
+    if coded:
+        # the encoder learns only how many levels a column has
+        most = scaled.sparkSession.createDataFrame([tuple(float(min(k, size[c] - 1)) for c in coded) for k in range(max(size[c] for c in coded))], [f"_i{i}" for i in range(len(coded))])
+        rows = OneHotEncoder(inputCols=[f"_i{i}" for i in range(len(coded))], outputCols=[f"_h{i}" for i in range(len(coded))], handleInvalid="keep", dropLast=True).fit(most).transform(rows)
+    parts = [f"_n{i}" for i in range(len(prep.numeric))] + [f"_h{i}" for i in range(len(coded))]
+    out = VectorAssembler(inputCols=parts, outputCol=vector, handleInvalid="keep").transform(rows)
+    return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], vector)

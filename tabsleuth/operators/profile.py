@@ -9,11 +9,12 @@ probe all read that table instead of re-scanning the data per column.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import types as ty
 from ..functions.ranking import exact_quantiles
+from ..session import materialize
 
 # Thresholds used by the column-type rules.
 CATEGORICAL_MAX_UNIQUE = 50
@@ -75,8 +76,37 @@ def frequency_table(df: DataFrame, columns: list[str] | None = None) -> DataFram
     return agg.select("pos", _pick(cols, F.col("pos")).alias("column"), value.alias("value"), "count")
 
 
+# Formats of dates in text beside the ISO form, each with the
+# pattern that a text must match (times of day may follow all of them).
+DATE_FORMATS = [
+    (r"\d{1,2}/\d{1,2}/\d{4}", "M/d/yyyy"),
+    (r"\d{1,2}/\d{1,2}/\d{4}", "d/M/yyyy"),
+    (r"\d{4}/\d{1,2}/\d{1,2}", "yyyy/M/d"),
+    (r"\d{1,2}\.\d{1,2}\.\d{4}", "d.M.yyyy"),
+    (r"\d{1,2}-\d{1,2}-\d{4}", "d-M-yyyy"),
+    (r"\d{1,2}-\d{1,2}-\d{4}", "M-d-yyyy"),
+    (r"\d{1,2}[- ][A-Z][a-z]{2}[- ]\d{4}", "d-MMM-yyyy"),
+    (r"[A-Z][a-z]{2} \d{1,2}, \d{4}", "MMM-d,-yyyy"),
+    (r"[A-Z][a-z]{3,8} \d{1,2}, \d{4}", "MMMM-d,-yyyy"),
+]
+TIME_OF_DAY = r"([ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?( ?[AaPp][Mm])?)?$"
+LONGEST_DATE = 40
+
+
+def date_formats(text: Column) -> Column:
+    """The formats in which a text is a date, as bits: bit 0 ISO, then those
+    of ``DATE_FORMATS``. A column holds dates if one bit is set in all values."""
+    iso = text.rlike(DATE_TEXT_PATTERN) & text.try_cast("timestamp").isNotNull()
+    mask = F.when(iso, 1).otherwise(0)
+    for i, (pattern, form) in enumerate(DATE_FORMATS, 1):
+        day = F.replace(F.regexp_extract(text, f"^({pattern}){TIME_OF_DAY}", 1), F.lit(" "), F.lit("-")) if "-" in form else F.regexp_extract(text, f"^({pattern}){TIME_OF_DAY}", 1)
+        fits = text.rlike(f"^{pattern}{TIME_OF_DAY}") & F.try_to_timestamp(day, F.lit(form)).isNotNull()
+        mask = mask + F.when(fits, 1 << i).otherwise(0)
+    return F.when((F.length(text) <= LONGEST_DATE) & text.rlike(r"\d{4}"), mask).otherwise(0)
+
+
 def _distinct_cells(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(pos, count, missing, length, is_date), one row per distinct value. Keys
+    """(pos, count, missing, length, dates), one row per distinct value. Keys
     are typed or hashed: times as microseconds, texts as 128-bit digests with
     their length and date probe beside them, so no text is shuffled."""
     null = lambda to: F.lit(None).cast(to)
@@ -96,10 +126,9 @@ def _distinct_cells(df: DataFrame, cols: list[str]) -> DataFrame:
             number = F.unix_date(v).cast("long")
         else:
             text = v.cast("string")
-        is_date = text.rlike(DATE_TEXT_PATTERN) & F.coalesce(text.try_cast("timestamp").isNotNull(), F.lit(False))
-        structs.append(F.struct(F.lit(i).alias("pos"), v.isNull().alias("missing"), number.alias("number"), real.alias("real"), F.unhex(F.md5(text)).alias("digest"), F.length(text).alias("length"), F.coalesce(is_date, F.lit(False)).alias("is_date")))
+        structs.append(F.struct(F.lit(i).alias("pos"), v.isNull().alias("missing"), number.alias("number"), real.alias("real"), F.unhex(F.md5(text)).alias("digest"), F.length(text).alias("length"), (date_formats(text) if ty.family(dt) == ty.STRING else F.lit(0)).alias("dates")))
     rows = df.select(F.explode(F.array(*structs)).alias("_c")).select("_c.*")
-    return rows.groupBy("pos", "missing", "number", "real", "digest").agg(F.count(F.lit(1)).alias("count"), F.max("length").alias("length"), F.max("is_date").alias("is_date"))
+    return rows.groupBy("pos", "missing", "number", "real", "digest").agg(F.count(F.lit(1)).alias("count"), F.max("length").alias("length"), F.max("dates").alias("dates"))
 
 
 def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -114,7 +143,7 @@ def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame
         F.sum("count").alias("n_rows"),
         F.sum(F.when(F.col("missing"), F.col("count"))).alias("missing_count"),
         F.count_if(there).alias("unique_count"),
-        F.bool_and(F.col("missing") | F.col("is_date")).alias("_all_dates"),
+        F.bit_and(F.when(there, F.col("dates"))).alias("_formats"),
         F.try_divide(F.sum(F.when(there, F.col("length") * F.col("count"))), F.sum(F.when(there, F.col("count")))).alias("mean_length"),
     )
     base = df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(cols)], "pos int, column string")
@@ -125,7 +154,7 @@ def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     small = u <= F.least(F.lit(CATEGORICAL_MAX_UNIQUE).cast("double"), CATEGORICAL_MAX_RATIO * n)
     semantic = (
         F.when(fam == ty.NUMERIC, F.when(small & (u > 1), "categorical_numeric").otherwise("numeric"))
-        .when(fam == ty.STRING, F.when(F.col("_all_dates") & (u > 0), "datetime").when((u > 0) & small, "categorical").otherwise("text"))
+        .when(fam == ty.STRING, F.when((F.col("_formats") != 0) & (u > 0), "datetime").when((u > 0) & small, "categorical").otherwise("text"))
         .when(fam == ty.DATETIME, "datetime")
         .otherwise("other")
     )
@@ -291,23 +320,56 @@ def flag_outliers(df: DataFrame, column: str, bounds_row, flag: str = "is_outlie
     return df.withColumn(flag, F.coalesce(outside, F.lit(False)))
 
 
+STABILITY_SAMPLES, STABILITY_ROWS = 10, 1000
+
+
+def repeated_samples(df: DataFrame, key_col: str, samples: int = STABILITY_SAMPLES, rows: int = STABILITY_ROWS, seed: int = 42) -> DataFrame:
+    """``samples`` repeatable samples of exactly ``rows`` rows each (all rows of
+    a smaller table): those with the smallest hashes of key, seed and sample
+    number (``_rep``), equal hashes in the order of a hash of the row.
+
+    The hash of a sample's last row is close to rows / n of the hash range, so
+    a scan keeps the few rows below a little more than that, and only they are
+    ranked; a threshold that proves too low is raised."""
+    n = df.count()
+    plain = [F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, ty.T.MapType)]
+    number = F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))
+    digest = F.md5(F.concat_ws(":", F.coalesce(F.col(f"`{key_col}`").cast("string"), F.lit("")), F.lit(str(seed)), F.col("_rep").cast("string")))
+    share = 1.0 if n <= rows else (rows + 6 * rows ** 0.5 + 20) / n
+    while True:
+        low = df.withColumn("_rep", number).withColumn("_hash", digest)
+        if share < 1:
+            low = low.where(F.col("_hash") < f"{int(share * 2 ** 52):013x}")
+        best = Window.partitionBy("_rep").orderBy("_hash", F.xxhash64(*plain))  # little more than ``rows`` rows a sample
+        low = materialize(low.withColumn("_place", F.row_number().over(best)).where(F.col("_place") <= rows))
+        found = low.groupBy("_rep").agg(F.count(F.lit(1)).alias("n")).collect()
+        if share >= 1 or (len(found) == samples and all(r["n"] == min(rows, n) for r in found)):
+            return low.drop("_hash", "_place")
+        share *= 4
+
+
 def feature_stability(
     df: DataFrame,
     key_col: str,
     columns: list[str] | None = None,
-    replicates: int = 10,
+    replicates: int = STABILITY_SAMPLES,
     seed: int = 42,
     by_key_mod: bool = False,
+    rows: int = STABILITY_ROWS,
 ) -> DataFrame:
-    """C15 re-aimed: rows are dealt into ``replicates`` disjoint subsamples by a
-    hash of the key (or ``key % replicates``); numeric columns score
-    max(0, 1 - std_pop(replicate means)/|mean of means|) (1.0 when that mean is
-    0), other columns 1 - std_pop(top-value share per replicate; denominator
-    counts nulls). Everything is one grouped aggregation + a small regroup.
+    """Statistics over ``replicates`` samples of ``rows`` rows, so that the
+    score does not depend on the size of the table (see
+    :func:`repeated_samples`; the samples are one for all columns, and
+    repeatable), or over the disjoint parts ``key % replicates``. Numeric
+    columns score max(0, 1 - std_pop(sample means)/|mean of means|) (1.0 when
+    that mean is 0), other columns 1 - std_pop(top-value share per sample;
+    denominator counts nulls). One grouped aggregation + a small regroup.
     """
     cols = columns or [c for c in ty.profilable_columns(df) if c != key_col]
-    rep = (F.pmod(F.col(key_col), F.lit(replicates)) if by_key_mod else F.pmod(F.xxhash64(F.col(key_col), F.lit(seed)), F.lit(replicates))).cast("int")
-    base = df.withColumn("_rep", rep)
+    if by_key_mod:
+        base = df.withColumn("_rep", F.pmod(F.col(f"`{key_col}`"), F.lit(replicates)).cast("int"))
+    else:
+        base = repeated_samples(df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([key_col, *cols])]), key_col, replicates, rows, seed)
     num = [c for c in cols if ty.family(df.schema[c].dataType) in (ty.NUMERIC, ty.BOOLEAN)]
     other = [c for c in cols if c not in num]
     pieces = []

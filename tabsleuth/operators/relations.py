@@ -471,9 +471,9 @@ def as_numeric_view(df: DataFrame) -> DataFrame:
     out = []
     for f in df.schema.fields:
         if ty.family(f.dataType) == ty.DATETIME:
-            out.append((F.unix_micros(F.col(f.name).cast("timestamp")) / 1e6).alias(f.name))
+            out.append((F.unix_micros(F.col(f"`{f.name}`").cast("timestamp")) / 1e6).alias(f.name))
         else:
-            out.append(F.col(f.name))
+            out.append(F.col(f"`{f.name}`"))
     return df.select(*out)
 
 
@@ -483,14 +483,14 @@ def discretise(
     bins: int = MI_BINS,
     fill: bool = True,
     raw: list[str] = (),
-    raw_copies: list[str] = (),
+    raw_copies: dict[str, str] | None = None,
 ) -> DataFrame:
     """Columns as discrete levels (text): numerics (dates as epoch seconds)
     in ``bins`` equal-frequency bins (bin = number of decile cut points
     strictly below the value), text as is; with ``fill`` NULLs are
     median/mode filled first. Columns in ``raw`` keep their (filled) values
-    instead of bins; ``raw_copies`` adds ``<c>__raw`` with the values next
-    to the binned column. Cut points are one exact-quantile job (columns x
+    instead of bins; ``raw_copies`` (column -> name) adds the values under that
+    name next to the binned column. Cut points are one exact-quantile job (columns x
     (bins-1) rows reach the driver)."""
     from .clean import fill_median_mode
 
@@ -515,7 +515,7 @@ def discretise(
                     med[row["column"]] = row["value"]
             elif row["prob"] in probs:
                 cuts.setdefault(row["column"], []).append((row["prob"], row["value"]))
-    base = fill_median_mode(src.select(*cols), medians_known=med, nulls_known=nulls) if fill else src.select(*cols)
+    base = fill_median_mode(src.select(*[F.col(f"`{c}`") for c in cols]), medians_known=med, nulls_known=nulls) if fill else src.select(*[F.col(f"`{c}`") for c in cols])
     second = [c for c in num if c in holey]
     if second:
         for row in exact_quantiles(base, second, probs).collect():
@@ -529,8 +529,8 @@ def discretise(
             sel.append(F.when(v.isNull(), F.lit(None)).otherwise(b.cast("string")).alias(c))
         else:
             sel.append(ty.clean_col(base, c).cast("string").alias(c))
-    for c in raw_copies:
-        sel.append(ty.clean_col(base, c).cast("string").alias(f"{c}__raw"))
+    for c, name in (raw_copies or {}).items():
+        sel.append(ty.clean_col(base, c).cast("string").alias(name))
     return base.select(*sel)
 
 

@@ -116,16 +116,23 @@ def predictability(df: DataFrame, profile_rows: list, candidates: list[str]) ->
     targets = [c for c in candidates if tasks[c] is not None]
     if not targets:
         return spark.createDataFrame([], schema)
-    raw_copies = [c for c in targets if tasks[c] == "classification" and by_name[c]["family"] == ty.NUMERIC]
+    raw_copies: dict[str, str] = {}  # the names are no column's
+    for c in targets:
+        if tasks[c] == "classification" and by_name[c]["family"] == ty.NUMERIC:
+            name = f"{c}__raw"
+            while name in df.columns or name in raw_copies.values():
+                name += "_"
+            raw_copies[c] = name
     d = discretise(df, usable, raw_copies=raw_copies)
     pairs = []
     for t in targets:
-        rep = f"{t}__raw" if t in raw_copies else t
+        rep = raw_copies.get(t, t)
         pairs += [(f, rep) for f in usable if f != t]
     if not pairs:
         return spark.createDataFrame([], schema)
     mi = mi_pairs(d, pairs)
-    return mi.select(F.regexp_replace("var2", "__raw$", "").alias("column"), "value").groupBy("column").agg(
+    own = F.broadcast(spark.createDataFrame([(raw_copies.get(t, t), t) for t in targets], "var2 string, column string"))  # one row a candidate
+    return mi.join(own, "var2").groupBy("column").agg(
         F.avg("value").alias("avg_mi"), F.max("value").alias("max_mi")
     )
 
@@ -194,7 +201,7 @@ def infer_task(df: DataFrame, target: str) -> DataFrame:
     """F8: task type and the target analysis as one row."""
     from .distributions import moments
 
-    prof = pr.column_profile(df.select(target))
+    prof = pr.column_profile(df.select(F.col(f"`{target}`")))
     counts = df.groupBy(ty.clean_col(df, target).alias("k")).agg(F.count(F.lit(1)).alias("c"))
     cls = counts.agg(F.max(F.when(F.col("k").isNotNull(), F.col("c"))).alias("top"))
     fam_num = ty.family(df.schema[target].dataType) == ty.NUMERIC

@@ -33,6 +33,28 @@ def q_histogram_lineitem(spark, sf_dir):
     return finish(ds.histogram(fx.li_nulls(spark, sf_dir), bins=10))
 
 
+def _auto_hist_sql(table: str, columns: list[str]) -> str:
+    """Bins by the narrower of 2 IQR / n^(1/3) and range / (log2 n + 1)."""
+    parts = []
+    for c in columns:
+        width = "least((hi - lo) / (log2(n) + 1), 2 * (q3 - q1) / pow(n, 1.0 / 3))"
+        stats = (f"(SELECT lo, hi, CAST(ceil((hi - lo) / {width}) AS BIGINT) AS bins FROM (SELECT min({c})::DOUBLE AS lo, max({c})::DOUBLE AS hi, count({c})::DOUBLE AS n, "
+                 f"quantile_cont({c}::DOUBLE, 0.25) AS q1, quantile_cont({c}::DOUBLE, 0.75) AS q3 FROM {table}))")
+        parts.append(
+            f"SELECT '{c}' AS \"column\", CAST(g.bin AS INTEGER) AS bin, {r('s.lo + g.bin * (s.hi - s.lo) / s.bins')} AS bin_start, "
+            f"{r('s.lo + (g.bin + 1) * (s.hi - s.lo) / s.bins')} AS bin_end, CAST(coalesce(k.cnt, 0) AS BIGINT) AS \"count\" "
+            f"FROM {stats} s JOIN (SELECT range AS bin FROM range(0, 10000)) g ON g.bin < s.bins "
+            f"LEFT JOIN (SELECT CAST(least(floor((t.{c} - q.lo) / (q.hi - q.lo) * q.bins), q.bins - 1) AS BIGINT) AS b, count(*) AS cnt FROM {table} t, {stats} q "
+            f"WHERE t.{c} IS NOT NULL GROUP BY 1) k ON k.b = g.bin"
+        )
+    return " UNION ALL ".join(parts)
+
+
+@register("histogram_auto", _auto_hist_sql("events", ["user_id", "value"]))
+def q_histogram_auto(spark, sf_dir):
+    return finish(ds.histogram(fx.table(spark, sf_dir, "events"), ["user_id", "value"], bins="auto"))
+
+
 def _topk_sql(table: str, k: int, max_unique: int | None) -> str:
     parts = [f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value, count(*) AS \"count\" FROM {table} "
              f"WHERE {c} IS NOT NULL GROUP BY {c}" for c, t in SCHEMAS[table] if t not in ("timestamp_ntz",)]

@@ -227,6 +227,17 @@ def _stability_sql() -> str:
     return f"SELECT \"column\", {r('stability')} AS stability FROM (" + " UNION ALL ".join(parts) + ")"
 
 
+_SAMPLES = ("(SELECT * FROM (SELECT e.*, g.rep, row_number() OVER (PARTITION BY g.rep ORDER BY md5(CAST(event_id AS VARCHAR) || ':42:' || CAST(g.rep AS VARCHAR))) AS place "
+            "FROM events e, (SELECT range AS rep FROM range(0, 10)) g) WHERE place <= 1000)")
+
+
+@register("feature_stability_samples", _stability_sql().replace("event_id % 10 AS rep", "rep").replace("FROM events", f"FROM {_SAMPLES}"))
+def q_feature_stability_samples(spark, sf_dir):
+    """Ten samples of 1,000 rows."""
+    ev = fx.table(spark, sf_dir, "events")
+    return finish(pr.feature_stability(ev, "event_id", [c for c in ev.columns]))
+
+
 @register("feature_stability", _stability_sql())
 def q_feature_stability(spark, sf_dir):
     ev = fx.table(spark, sf_dir, "events")

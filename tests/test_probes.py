@@ -69,7 +69,7 @@ def test_latin1_files_and_caps(spark, tmp_path):
     got = [tuple(r) for r in io.read_csv_sniff(spark, str(path)).collect()]
     assert got == [("Anna", "Rom", 1), ("José", "München", 2)]
     path.write_text("name;city;n\nJosé;München;2\n", encoding="utf-8")
-    assert io.sniff_csv(spark, str(path)) == ("utf-8", ";")
+    assert io.sniff_csv(spark, str(path)) == io.CsvShape("utf-8", ";", False)
     assert io.read_csv_sniff(spark, str(path), schema="a string, b string, c double").first()["c"] == 2.0
     assert io.row_cap(spark.range(500), 10).count() == 10 and io.row_cap(spark.range(60000)).count() == 60000
 
