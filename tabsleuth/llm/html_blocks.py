@@ -7,9 +7,10 @@ numbers. A bidirectional LSTM in numpy reads the whole sequence and classifies
 every block, so a decision can depend on all of the page.
 
 The model is trained here, on at most ``SAMPLE`` pages taken by the order of a
-hash of their id. Labels come from pages that mark their article themselves
-(``article`` or ``main`` outside of navigation, adverts, comments and the
-like). So that it doesn't rest on that markup alone, every sampled page also
+hash of their id among those that mark their article themselves (``article`` or
+``main`` outside of navigation, adverts, comments and the like), which gives the
+labels. If no page of the table does, the sample is of all pages, and blocks of
+sentences outside links stand for the article. So that it doesn't rest on that markup alone, every sampled page also
 gives variants with its blocks under other containers, side bars, notices,
 forms and reader comments. The weights are a few thousand numbers, broadcast.
 
@@ -37,6 +38,7 @@ from ._text import byte_column, tidy, token_hashes
 SAMPLE = 400
 VARIANTS = 3
 EPOCHS = 6
+LEAST_STEPS = 150
 HIDDEN = 16
 PATH_SIZE, WORD_SIZE, NUMBERS = 64, 32, 7
 INPUT = PATH_SIZE + WORD_SIZE + NUMBERS
@@ -48,7 +50,7 @@ BLOCK_TAGS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style textarea title noscript template iframe svg math object".split())
+RAW_TAGS = frozenset("script style textarea title template iframe svg".split())
 _CLOSED_BY_SAME = frozenset("li dd dt td th tr option p".split())
 _NOT_ARTICLE = re.compile(r"^(nav|aside|footer|header|form|menu|dialog|button|select|fieldset)$|(^|[.#\-_])(ads?|advert\w*|banner|promo|sponsor\w*|comments?|replies|disqus|sidebar|menu|nav|footer|header|cookies?|consent|notice|share|social|related|subscribe|newsletter|login)($|[\-_])")
 
@@ -97,6 +99,8 @@ def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page, in order."""
     out: list[Block] = []
     stack: list[str] = []
+    where: dict[str, list[int]] = {}  # places of an open tag in the stack
+    block_at: list[int] = []  # places of the open block tags
     paths = [np.zeros(PATH_SIZE, dtype=np.float32)]
     marks = [(False, False)]  # inside an article, inside something that is none
     pieces: list[str] = []
@@ -108,7 +112,7 @@ def blocks(page: str) -> list[Block]:
             text = " ".join("".join(pieces).split())
             if text:
                 inside, outside = marks[-1]
-                own = next((t for t in reversed(stack) if t in BLOCK_TAGS), "")
+                own = stack[block_at[-1]] if block_at else ""
                 out.append(Block(text, min(1.0, linked / len(text)), own, paths[-1], inside and not outside))
             pieces.clear()
         linked = 0
@@ -122,7 +126,11 @@ def blocks(page: str) -> list[Block]:
 
     def pop() -> None:
         nonlocal depth_a
-        depth_a -= stack.pop() == "a"
+        tag = stack.pop()
+        where[tag].pop()
+        if tag in BLOCK_TAGS:
+            block_at.pop()
+        depth_a -= tag == "a"
         paths.pop()
         marks.pop()
 
@@ -139,17 +147,15 @@ def blocks(page: str) -> list[Block]:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag in stack:
+            if where.get(tag):
                 if tag in BLOCK_TAGS:
                     flush()
                     while stack[-1] != tag:
                         pop()
                     pop()
                 else:  # an inline end tag closes nothing beyond its block
-                    k = len(stack) - 1
-                    while k >= 0 and stack[k] != tag and stack[k] not in BLOCK_TAGS:
-                        k -= 1
-                    if k >= 0 and stack[k] == tag:
+                    k = where[tag][-1]
+                    if k > (block_at[-1] if block_at else -1):
                         while len(stack) > k:
                             pop()
             elif tag in BLOCK_TAGS:
@@ -175,6 +181,9 @@ def blocks(page: str) -> list[Block]:
         path = paths[-1].copy()
         for name in names:
             path[_path_bucket(name)] = 1.0
+        where.setdefault(tag, []).append(len(stack))
+        if tag in BLOCK_TAGS:
+            block_at.append(len(stack))
         stack.append(tag)
         paths.append(path)
         inside, outside = marks[-1]
@@ -297,6 +306,7 @@ def train(examples: list[tuple[np.ndarray, np.ndarray]], epochs: int = EPOCHS, s
     weights = new_weights(rng)
     cut = [(x[a : a + STRETCH], y[a : a + STRETCH]) for x, y in examples for a in range(0, len(x), STRETCH)]
     first, second = ({k: np.zeros_like(v) for k, v in weights.items()} for _ in range(2))
+    epochs = max(epochs, -(-LEAST_STEPS // max(1, -(-len(cut) // 32))))  # small samples are read more often
     step = 0
     for epoch in range(epochs):
         order = rng.permutation(len(cut))
@@ -366,10 +376,24 @@ def variant(rng: np.random.Generator, article: list[str], others: list[str], for
     return f"<html><body>{''.join(html_of)}</body></html>", labels
 
 
+def looks_like_prose(block: Block) -> bool:
+    """Whether a block of a page that marks nothing may stand for an article's
+    text in a variant: sentences outside links."""
+    return block.linked < 0.3 and len(block.text.split()) >= 12 and block.text[-1] in ".!?…:;\"'”»"
+
+
 def examples(pages: list[str], seed: int = 11) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Training sequences of pages that mark their article, and of variants."""
+    """Training sequences of pages that mark their article, and of variants. If
+    none does, the pages' prose stands for their articles, in the pages and in
+    the variants."""
     rng = np.random.default_rng(seed)
-    read = [b for b in map(blocks, pages) if any(x.marked for x in b)]
+    every = list(map(blocks, pages))
+    read = [b for b in every if any(x.marked for x in b)]
+    if not read:
+        for own in every:
+            for x in own:
+                x.marked = looks_like_prose(x)
+        read = [b for b in every if any(x.marked for x in b)]
     out = [(describe(b), np.array([x.marked for x in b], dtype=float)) for b in read]
     for k, own in enumerate(read):
         foreign = [x.text for x in read[(k + 1) % len(read)] if x.marked]
@@ -383,9 +407,14 @@ def examples(pages: list[str], seed: int = 11) -> list[tuple[np.ndarray, np.ndar
 
 
 def fit(df: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE) -> dict[str, np.ndarray] | None:
-    """The model from at most ``sample`` pages; None if none marks its article."""
+    """The model from at most ``sample`` pages: of those that mark an article,
+    or, where none does, of all; None if no page has text to learn from."""
     key = F.xxhash64(F.col(f"`{id_col}`").cast("string"))
-    chosen = df.select(key.alias("turn"), F.col(f"`{html_col}`").cast("string").alias("html")).where("html is not null").orderBy("turn", F.xxhash64("html")).limit(sample)
+    pages = df.select(key.alias("turn"), F.col(f"`{html_col}`").cast("string").alias("html")).where("html is not null")
+    order = ["turn", F.xxhash64("html")]
+    chosen = pages.where(F.col("html").rlike(r"(?i)<(article|main)[\s>/]")).orderBy(*order).limit(sample)
+    if chosen.isEmpty():
+        chosen = pages.orderBy(*order).limit(sample)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pages = [p for batch in batches for p in batch.column(0).to_pylist()]

@@ -60,3 +60,45 @@ def test_odd_pages(spark):
     assert [r[2] for r in got if r[0] in (30, 31)] == ["", "", ""]
     assert hb.main_text(df.limit(0)).collect() == []
     assert {r["text"] for r in hb.main_text(df.where("page_id = 31")).collect()} == {""}
+
+
+ARTICLE = ["The harbour was quiet when the first boats came in that morning.", "Nobody had expected so many of them, and there was room for few.", "Energy is E=mc here, as the old sign on the wall still says today."]
+
+
+def _plain_page(k):
+    menu = "".join(f"<li><a href=/{i}>Topic {i}</a></li>" for i in range(5))
+    body = "".join(f"<p>{t} Number {k} of the day.</p>" for t in ARTICLE)
+    return f"<html><body><ul class=menu>{menu}</ul><div id=content>{body}</div><div class=footer>All rights reserved {k}</div></body></html>"
+
+
+def test_pages_that_mark_no_article_still_give_it(spark):
+    pages = spark.createDataFrame([(k, "u", _plain_page(k)) for k in range(20)], "page_id long, url string, html string")
+    for r in hb.main_text(pages).collect():
+        assert r["text"].split("\n") == [f"{t} Number {r['page_id']} of the day." for t in ARTICLE]
+
+
+def test_few_marked_pages_among_many_are_found(spark):
+    marked = "<html><body><nav><a href=/>Home</a></nav><article>{}</article><footer>Imprint</footer></body></html>"
+    rows = [(k, "u", _plain_page(k)) for k in range(600)] + [(1000 + k, "u", marked.format("".join(f"<p>{t} Case {k}.</p>" for t in ARTICLE))) for k in range(8)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    weights = hb.fit(pages)
+    assert weights is not None
+    got = {r["page_id"]: r["text"] for r in hb.main_text(pages.where("page_id >= 1000")).collect()}
+    assert all(got[1000 + k] == "\n".join(f"{t} Case {k}." for t in ARTICLE) for k in range(8))
+
+
+def test_text_in_math_object_and_noscript_stays():
+    page = "<article><p>Energy is <math>E=mc</math> here, <object>a figure</object> and <noscript>no script</noscript>.</p><svg><text>x</text></svg><script>y</script></article>"
+    assert [b.text for b in hb.blocks(page)] == ["Energy is E=mc here, a figure and no script."]
+
+
+def test_unmatched_end_tags_cost_no_more_than_their_number():
+    import time
+
+    def seconds(n):
+        t0 = time.process_time()
+        hb.blocks("<div>" + "<i>" * n + "</b></u></section>" * n + "text")
+        return time.process_time() - t0
+
+    seconds(500)
+    assert seconds(8000) < 12 * seconds(2000) + 0.2  # 16 times if quadratic
