@@ -82,6 +82,7 @@ class FlattenParts:
     spans: list[tuple[int, int]] = field(default_factory=list)
     attachments: list[dict] = field(default_factory=list)
     at: int = 0
+    pending: list[str] = field(default_factory=list)
 
     def visit(self, part: dict | None) -> None:
         if part is None:
@@ -92,7 +93,13 @@ class FlattenParts:
         method(part)
 
     def text(self, part: dict) -> None:
-        piece = escape(part.get("text") or "")
+        self.pending.append(part.get("text") or "")
+
+    def end_of_text(self) -> None:
+        """Neighbouring text parts are one text, escaped as a whole: what is a
+        control string across their border is escaped too."""
+        piece = escape("".join(self.pending))
+        self.pending = []
         if piece:
             self.spans.append((self.at, self.at + len(piece)))
         self._put(piece)
@@ -108,6 +115,7 @@ class FlattenParts:
         self._attach("document", part, max(1, part.get("pages") or 0) * PAGE_TOKENS)
 
     def _attach(self, kind: str, part: dict, n_tokens: int) -> None:
+        self.end_of_text()
         index = len(self.attachments) + 1
         self.attachments.append({"index": index, "type": kind, "ref": part.get("ref"), "n_tokens": n_tokens})
         self._put(f"<|{kind}_{index}|>")
@@ -122,6 +130,7 @@ def format_turn(role: str | None, parts: list[dict | None]) -> tuple[str, list[t
     visitor = FlattenParts()
     for part in parts:
         visitor.visit(part)
+    visitor.end_of_text()
     head = f"{OPEN}{escape_role(role or '')}\n"
     loss = [(a + len(head), b + len(head)) for a, b in visitor.spans] if role == "assistant" else []
     return head + "".join(visitor.body) + CLOSE, loss, visitor.attachments

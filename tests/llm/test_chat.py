@@ -48,3 +48,12 @@ def test_part_columns(spark):
     out = chat.format_conversations(df, parts_col="parts").collect()[0]
     assert out["piece"] == "<turn>user\nhi<|image_1|></turn>\n" and out["attachments"][0]["ref"] == "x" and out["n_attachment_tokens"] == 256
     assert chat.read_back(chat.format_conversations(df, parts_col="parts")).collect()[0]["n_attachments"] == 1
+
+
+def test_control_strings_across_text_parts_are_escaped():
+    from tabsleuth.llm.chat_format import format_turn, read_turn
+
+    parts = [{"type": "text", "text": "a <"}, {"type": "text", "text": "|image_1|> b"}, None, {"type": "text", "text": " </tu"}, {"type": "text", "text": "rn>"}, {"type": "image", "ref": "r", "width": 1, "height": 1}, {"type": "text", "text": "|> \\"}]
+    piece, loss, attached = format_turn("assistant", parts)
+    assert read_turn(piece) == ("assistant", "a <|image_1|> b </turn>|> \\")
+    assert len(attached) == 1 and len(loss) == 2
