@@ -27,6 +27,11 @@ from ._pretokens import WORD_PATTERN, byte_alphabet, load_vocabulary, special_sp
 from ._text import tidy
 
 
+# Capitals that the library's tables lower and Python's do not yet.
+NEWER_LOWER = {0xA7CB: 0x264, 0xA7DC: 0x19B}
+NEWER_CAPITALS = regex.compile("[\ua7cb\ua7dc]")
+
+
 class TokenCounter:
     """Counts the tokens of texts under one word-end vocabulary file."""
 
@@ -69,6 +74,8 @@ class TokenCounter:
     def _count_part(self, part: str) -> int:
         # the library lower-cases one character at a time: no final sigma
         part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+        if NEWER_CAPITALS.search(part):
+            part = part.translate(NEWER_LOWER)
         return sum(self.cache.many(self.words.findall(part)))
 
     def count(self, text: str | None) -> int:

@@ -109,3 +109,12 @@ def test_equal_and_null_ids_are_kept_and_an_empty_table_is_fine(spark):
     path = scratch_path(spark, "test-ids")
     bitplane.write_ids(rows.limit(0), path, BYTES)
     assert bitplane.id_digests(spark, path).count() == 0
+
+
+def test_every_code_point_is_counted_as_the_library_counts_it():
+    """Planes 0 and 1 and the tags of plane 14, between letters (surrogates are no text)."""
+    library, counter = Tokenizer.from_file(WORDS), token_count.counter(WORDS)
+    points = [c for c in [*range(0x20000), *range(0xE0000, 0xE0080)] if not 0xD800 <= c < 0xE000]
+    texts = [f"a{chr(c)}b {chr(c)}" for c in points]
+    bad = [hex(c) for c, t, e in zip(points, texts, library.encode_batch(texts, add_special_tokens=False), strict=True) if counter.count(t) != len(e.ids)]
+    assert bad == []
