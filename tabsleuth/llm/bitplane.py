@@ -23,7 +23,6 @@ kept; an empty table gives an empty file table. No other columns are read.
 
 from __future__ import annotations
 
-import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -36,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._pretokens import BytePieces
+from ._library_ids import encoder
 from ._text import tidy
 
 MAGIC = b"BPL1"
@@ -112,41 +111,6 @@ def crc32_join(first: int, second: int, n_bytes: int) -> int:
     return first ^ second
 
 
-# --------------------------------------------------------------- the encoder
-
-
-class LibraryIds:
-    """Ids by the tokenizers library. The words of a text (the library's own
-    split) are independent of each other, so each distinct word goes to the
-    library once and a bounded memo keeps its ids."""
-
-    def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
-        self.pieces = BytePieces(self._ids, special, limit=350_000)
-
-    def _ids(self, words: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False))]
-
-    def many(self, texts: pa.Array) -> Iterator[np.ndarray]:
-        """The ids of whole texts (null: none), in order."""
-        return self.pieces.many(texts)
-
-
-_ENCODERS: dict[str, LibraryIds] = {}
-
-
-def encoder(path: str) -> LibraryIds:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = LibraryIds(path)
-    return _ENCODERS[path]
-
-
 # ------------------------------------------------------------ Spark operators
 
 
@@ -175,9 +139,9 @@ def write_ids(df: DataFrame, out: str, tokenizer: str, id_col: str = "doc_id", t
             inner = pa.struct([("doc_id", batch.schema.field(0).type), ("row", pa.int64()), ("part", pa.int32()), ("at", pa.int32()), ("n", pa.int32())])
             kinds = pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), ("first", pa.int64()), ("n_ids", pa.int32()), ("payload", pa.binary()), ("parts", pa.list_(inner))])
             keys, texts = batch.column(0), batch.column(1)
-            last = np.array(end_id, dtype="<u4")
+            last = np.int32(end_id)
             for i, found in enumerate(ids_of.many(texts)):
-                ids = np.append(found.view("<u4"), last)
+                ids = np.append(found, last)
                 at, piece = 0, 0
                 while at < len(ids):
                     n = min(block - fill, len(ids) - at)
