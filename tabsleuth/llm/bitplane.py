@@ -201,22 +201,22 @@ def id_digests(spark: SparkSession, path: str) -> DataFrame:
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            crcs = []
-            for parts in batch.column("parts"):
-                first, *more = parts.as_py()
-                total = first["crc"]
-                for p in more:
-                    total = crc32_join(total, p["crc"], 4 * p["n"])
-                crcs.append(total)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("shard", "doc_id", "first", "n_tokens")), pa.array(crcs, pa.int64())], names=["shard", "doc_id", "first", "n_tokens", "ids_crc32"])
+            parts = batch.column("parts")
+            flat, cuts = parts.flatten(), parts.offsets.to_numpy() - parts.offsets[0].as_py()
+            n, crc = (flat.field(c).to_numpy() for c in ("n", "crc"))
+            totals = crc[cuts[:-1]].copy()
+            for i in np.flatnonzero(np.diff(cuts) > 1):
+                total = int(totals[i])
+                for k in range(cuts[i] + 1, cuts[i + 1]):
+                    total = crc32_join(total, int(crc[k]), 4 * int(n[k]))
+                totals[i] = total
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("shard", "doc_id", "first", "n_tokens")), pa.array(totals, pa.int64())], names=["shard", "doc_id", "first", "n_tokens", "ids_crc32"])
 
     of_part = blocks.select("shard", "first", "payload", "parts").mapInArrow(tidy(checks), T.StructType([*fields, T.StructField("n", T.LongType()), T.StructField("crc", T.LongType())]))
     # a document's parts are as many as its blocks, so the list is bounded by its size
     parts = of_part.groupBy("shard", "row").agg(F.first("doc_id").alias("doc_id"), F.min("first").alias("first"), F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("part", "n", "crc"))).alias("parts"))
-    several = F.size("parts") > 1
-    one = parts.where(~several).select("shard", "doc_id", "first", "n_tokens", F.element_at("parts", 1)["crc"].alias("ids_crc32"))
     schema = T.StructType([T.StructField("shard", T.IntegerType()), fields[2], T.StructField("first", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
-    whole = one.unionByName(parts.where(several).select("shard", "doc_id", "first", "n_tokens", "parts").mapInArrow(tidy(joined), schema))
+    whole = parts.select("shard", "doc_id", "first", "n_tokens", "parts").mapInArrow(tidy(joined), schema)
     # one row per shard, so as many as the writing stage had partitions
     sizes = sorted((r["shard"], r["n"]) for r in spark.read.parquet(path).groupBy("shard").agg(F.sum("n_ids").alias("n")).collect())
     base, at = [], 0
