@@ -102,6 +102,12 @@ def q_kendall(spark, sf_dir):
     return finish(rl.kendall_pairs(fx.li_nulls(spark, sf_dir), KENDALL_PAIRS))
 
 
+@register("kendall_matrix_lineitem")
+def q_kendall_matrix_lineitem(spark, sf_dir):
+    """All 28 numeric pairs; DuckDB would need all row pairs."""
+    return finish(rl.kendall_matrix(fx.table(spark, sf_dir, "lineitem")))
+
+
 @register("kendall_matrix_part", _kendall_sql("part", _pairs(cols("part", "numeric"))))
 def q_kendall_matrix_part(spark, sf_dir):
     return finish(rl.kendall_matrix(fx.table(spark, sf_dir, "part")))
