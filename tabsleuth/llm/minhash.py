@@ -1,21 +1,25 @@
 """Near-duplicate texts by a signature-coordinate inverted join.
 
 1. The distinct five-word shingles of a text are hashed; texts with equal sets
-   are one class. A class has ``COORDS`` minima (signature coordinates).
-2. A class is posted under ``POSTS`` of its coordinate-value pairs, not under
-   all: two classes of similarity 0.75 agree on each coordinate with that
-   probability, so the chance to share no posting is .25 ** POSTS; it is higher
-   if frequent values make them choose different coordinates. Values that more than a
-   threshold of classes have (a passage that very many texts share) are passed
-   over as long as a class has others; that threshold keeps their list below
-   ``HOT_VALUES`` entries at any input size, and only that list is broadcast.
-3. Posting lists are not merged: within each list the collisions of every two
-   signatures are counted, on the first ``PREFIX`` coordinates first; a pair that
-   cannot reach ``MATCHES`` any more is skipped. Pairs that reach it are candidates.
-   Of each list only a spanning forest of its candidates is emitted.
-4. Lists of passed-over values that some classes had to be posted under anyway
-   are split into blocks: every block meets the first one, and then, in lists
-   whose classes are not all connected yet, every other one.
+   are one class. A class has ``COORDS`` minima (signature coordinates), that
+   is ``COORDS`` coordinate-value pairs.
+2. The classes of every coordinate-value pair are counted. Pairs of one class
+   collide with nothing. The m others of a class are ordered from the rarest to
+   the most frequent, and the class is posted under the first m - MATCHES + 1:
+   two classes that agree on MATCHES coordinates or more share one of these, so
+   no such two are missed, whatever the frequencies. Classes with m < MATCHES
+   are not posted at all.
+3. Posting lists are merged by the join on the pair. In a list the collisions of
+   its classes are counted; the lists that the prefix left out, the longest, are
+   skipped: whether two classes meet there is looked up in their signatures, and
+   counting stops after ``PREFIX`` coordinates where ``MATCHES`` is out of reach.
+   Classes with MATCHES collisions are candidates. Of each list only a spanning
+   forest of its candidates is emitted.
+4. Lists of more than two blocks of classes are split: every block meets the
+   first one, and then, in lists whose classes are not all connected yet, every
+   other one. The block is of fixed size, and lists are split by joining their
+   sizes; what is broadcast are only the frequencies of pairs above a threshold
+   that at most ``HOT_VALUES`` pairs can pass at any input size.
 5. Classes that candidates connect form a cluster. The full shingle sets of a
    cluster's classes are compared with each other (intersections of all its
    pairs at once, as a product of incidence matrices), so every link inside it
@@ -24,8 +28,13 @@
    already are not compared again.
 6. Components of the links give the result.
 
-Memory of a task: a slice of texts, one posting list of at most the threshold
-(or two blocks) of 64-byte signatures, or two blocks of shingle sets.
+A link is missed only if two classes of similarity 0.75 or more agree on fewer
+than MATCHES coordinates (once in ten thousand at 0.75 exactly).
+
+Memory of a task: a slice of texts, one posting list of at most two blocks of
+64-byte signatures, or two blocks of shingle sets. The classes of one
+list whose own similarity lies between a half and the limit (a long passage that
+very many texts share) are compared block by block, quadratic in their number.
 
 Defined cases: a text without words (null, empty, white space) has no shingles
 and is linked with nothing; one of fewer than five words has one shingle; rows
@@ -53,16 +62,17 @@ from ._text import FOLD, RollingHash, byte_column, mix, slices, tidy, words
 
 SHINGLE = 5
 COORDS = 64
-#: coordinates that postings are chosen from, and postings of a class
-CHOICE, POSTS = 32, 10
 #: collisions that make a candidate: at similarity .75, 48 are expected and
 #: fewer than 34 come up less than once in ten thousand pairs
 MATCHES = 34
 STRONG = 48
 #: coordinates counted before hopeless pairs are skipped
 PREFIX = 48
+#: pairs counted by a broadcast table: at most HOT_VALUES, of more than HOT_LEAST classes
 HOT_LEAST, HOT_VALUES = 4096, 1 << 18
 BLOCK = 1024
+#: digests of texts that a task remembers, to send a repeated text once
+SEEN = 1 << 16
 #: shingles of a block of sets
 SET_BLOCK = 1 << 20
 
@@ -129,8 +139,8 @@ def _digest(data: bytes) -> bytes:
 
 def _signature_rows(docs: DataFrame) -> DataFrame:
     """doc_id, class (16-byte digest of the set, null without shingles), n, the
-    text's digest, the choice of coordinate-value pairs, the low signature bytes."""
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("class", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("source_text", T.BinaryType()), T.StructField("pairs", T.ArrayType(T.LongType())), T.StructField("low", T.BinaryType())])
+    text's digest, the signature (32-bit minima)."""
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("class", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("source_text", T.BinaryType()), T.StructField("sig", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,8 +149,6 @@ def _signature_rows(docs: DataFrame) -> DataFrame:
                 part, own = buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 hashes, bounds = shingle_hashes(part, own)
                 sig = signatures(hashes, bounds)
-                low = (sig & np.uint32(0xFF)).astype(np.uint8)
-                pairs = (np.arange(CHOICE, dtype=np.int64) << 32) | sig[:, :CHOICE].astype(np.int64)
                 n = np.diff(bounds)
                 full = n > 0
                 yield pa.RecordBatch.from_arrays(
@@ -149,8 +157,7 @@ def _signature_rows(docs: DataFrame) -> DataFrame:
                         pa.array([_digest(hashes[a:b].tobytes()) if b > a else None for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()),
                         pa.array(n.astype(np.int64)),
                         pa.array([_digest(part[a:b].tobytes()) if f else None for a, b, f in zip(own[:-1], own[1:], full, strict=True)], pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * CHOICE, CHOICE, dtype=np.int32)), pa.array(pairs.reshape(-1))),
-                        pa.array([x.tobytes() for x in low], pa.binary()),
+                        pa.array([x.tobytes() for x in sig], pa.binary()),
                     ],
                     names=schema.names,
                 )
@@ -159,38 +166,55 @@ def _signature_rows(docs: DataFrame) -> DataFrame:
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """Digest and compressed bytes of every text."""
+    """Digest and compressed bytes of every text, of repeats in a task mostly once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
+        press, seen = zstandard.ZstdCompressor(level=1), set()
         for batch in batches:
             buf, offsets = byte_column(batch.column(0))
             for i, j in slices(offsets):
-                texts = [buf[a:b].tobytes() for a, b in zip(offsets[i:j], offsets[i + 1 : j + 1], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([_digest(t) for t in texts], pa.binary()), pa.array([press.compress(t) for t in texts], pa.binary())], names=["source_text", "packed"])
+                digests, packed = [], []
+                for a, b in zip(offsets[i:j], offsets[i + 1 : j + 1], strict=True):
+                    text = buf[a:b].tobytes()
+                    digest = _digest(text)
+                    if digest not in seen:
+                        if len(seen) >= SEEN:
+                            seen.clear()
+                        seen.add(digest)
+                        digests.append(digest)
+                        packed.append(press.compress(text))
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(packed, pa.binary())], names=["source_text", "packed"])
 
     return docs.select("text").mapInArrow(tidy(run), "source_text binary, packed binary")
 
 
-def _postings(classes: DataFrame, hot: np.ndarray) -> DataFrame:
-    """pair, class, n, low, passed: the postings of each class. ``passed`` marks
-    values of the hot list, used only by classes that have too few others."""
-    sent = classes.sparkSession.sparkContext.broadcast(hot)
+def _signature(column: pa.Array) -> np.ndarray:
+    buf, offsets = byte_column(column)
+    return buf[offsets[0] : offsets[-1]].view(np.uint32).reshape(-1, COORDS)
+
+
+def _values(classes: DataFrame) -> DataFrame:
+    """id, pair: the coordinate-value pairs of each class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coordinate = np.arange(COORDS, dtype=np.int64) << 32
+        for batch in batches:
+            pairs = coordinate | _signature(batch.column("sig")).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("id").to_numpy(), COORDS)), pa.array(pairs.reshape(-1))], names=["id", "pair"])
+
+    return classes.select("id", "sig").mapInArrow(tidy(run), "id long, pair long")
+
+
+def _low(classes: DataFrame) -> DataFrame:
+    """id, n, low: the low byte of each coordinate, enough to count collisions
+    (two values that differ agree in it once in 256)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
         for batch in batches:
-            m = batch.num_rows
-            pairs = batch.column("pairs").flatten().to_numpy().reshape(m, CHOICE)
-            at = np.searchsorted(known, pairs)
-            is_hot = known[np.minimum(at, len(known) - 1)] == pairs if len(known) else np.zeros(pairs.shape, dtype=bool)
-            order = np.argsort(is_hot, axis=1, kind="stable")[:, :POSTS]
-            chosen = np.take_along_axis(pairs, order, axis=1).reshape(-1)
-            passed = np.take_along_axis(is_hot, order, axis=1).reshape(-1)
-            who = pa.array(np.repeat(np.arange(m), POSTS))
-            yield pa.RecordBatch.from_arrays([pa.array(chosen), *(batch.column(c).take(who) for c in ("class", "n", "low")), pa.array(passed)], names=["pair", "class", "n", "low", "passed"])
+            low = _signature(batch.column("sig")).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), pa.array([x.tobytes() for x in low], pa.binary())], names=["id", "n", "low"])
 
-    return classes.select("class", "n", "pairs", "low").mapInArrow(tidy(run), "pair long, class binary, n long, low binary, passed boolean")
+    return classes.select("id", "n", "sig").mapInArrow(tidy(run), "id long, n long, low binary")
 
 
 def _collisions(low: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -251,36 +275,59 @@ def _once(group: list[list]) -> list[list]:
     return group if len(keep) == len(group[0]) else [[c[k] for k in keep] for c in group]
 
 
-def _edges(found: Iterator[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+def _edges(found: Iterator[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
     out = ([], [])
     for a, b in found:
         out[0].append(min(a, b))
         out[1].append(max(a, b))
         if len(out[0]) >= 50_000:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in out], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
             out = ([], [])
     if out[0]:
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in out], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
+
+
+def _whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches that end with a whole list (pair, unit), and the bounds of their lists."""
+    held: list[pa.RecordBatch] = []
+    for batch in chain(batches, [None]):
+        rows = pa.Table.from_batches(held + ([batch] if batch is not None else [])).combine_chunks() if held else None
+        rows = rows.to_batches()[0] if rows is not None and rows.num_rows else batch
+        if rows is None or not rows.num_rows:
+            continue
+        pair, unit = rows.column("pair").to_numpy(), rows.column("unit").to_numpy()
+        bounds = np.concatenate(([0], np.flatnonzero((pair[1:] != pair[:-1]) | (unit[1:] != unit[:-1])) + 1, [len(pair)]))
+        if batch is not None:  # the last list may go on
+            held, bounds = [rows.slice(int(bounds[-2]))], bounds[:-1]
+        if len(bounds) > 1:
+            yield rows, bounds
 
 
 def _list_pairs(postings: DataFrame) -> DataFrame:
     """Candidates (a < b) that connect the classes of each posting list.
-    ``postings`` has pair, unit, class, n, low, label."""
-    columns = ["class", "n", "low", "label"]
-    rows = postings.select("pair", "unit", *columns).repartition("pair", "unit").sortWithinPartitions("pair", "unit", "class")
+    ``postings`` has pair, unit, id, n, low, label."""
+    rows = postings.select("pair", "unit", "id", "n", "low", "label").repartition("pair", "unit").sortWithinPartitions("pair", "unit", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found() -> Iterator[tuple[bytes, bytes]]:
-            for group in _groups(batches, ["pair", "unit"], columns):
-                classes, n, low, label = _once(group)
-                if len(classes) > 1:
-                    sig = np.frombuffer(b"".join(low), dtype=np.uint8).reshape(-1, COORDS)
-                    for i, j in _forest(sig, np.array(n), np.unique(np.array(label, dtype=object), return_inverse=True)[1]):
-                        yield classes[i], classes[j]
+        def found() -> Iterator[tuple[int, int]]:
+            for batch, bounds in _whole_lists(batches):
+                ids, n, label = (batch.column(c).to_numpy() for c in ("id", "n", "label"))
+                buf, offsets = byte_column(batch.column("low"))
+                low = buf[offsets[0] : offsets[-1]].reshape(-1, COORDS)
+                size = np.diff(bounds)
+                two = bounds[:-1][size == 2]  # most lists: counted all at once
+                two = two[(label[two] != label[two + 1]) & (100 * np.minimum(n[two], n[two + 1]) >= 75 * np.maximum(n[two], n[two + 1]))]
+                for i in two[_collisions(low, two, two + 1) >= MATCHES]:
+                    yield int(ids[i]), int(ids[i + 1])
+                for k in np.flatnonzero(size > 2):
+                    at = np.arange(bounds[k], bounds[k + 1])
+                    at = at[np.concatenate(([True], ids[at[1:]] != ids[at[:-1]]))]  # a block may meet itself
+                    for i, j in _forest(low[at], n[at], label[at]):
+                        yield int(ids[at[i]]), int(ids[at[j]])
 
         yield from _edges(found())
 
-    return rows.mapInArrow(tidy(run), "a binary, b binary").distinct()
+    return rows.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def linked_forest(sets: list[np.ndarray], label: np.ndarray) -> list[tuple[int, int]]:
@@ -314,9 +361,9 @@ def linked_forest(sets: list[np.ndarray], label: np.ndarray) -> list[tuple[int,
 
 def _cluster_links(members: DataFrame) -> DataFrame:
     """Links (a < b) that connect the classes of each cluster as far as they are
-    linked. ``members`` has cluster, unit, class, packed, label."""
-    columns = ["class", "packed", "label"]
-    rows = members.select("cluster", "unit", *columns).repartition("cluster", "unit").sortWithinPartitions("cluster", "unit", "class")
+    linked. ``members`` has cluster, unit, id, packed, label."""
+    columns = ["id", "packed", "label"]
+    rows = members.select("cluster", "unit", *columns).repartition("cluster", "unit").sortWithinPartitions("cluster", "unit", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
@@ -327,14 +374,14 @@ def _cluster_links(members: DataFrame) -> DataFrame:
 
         def found() -> Iterator[tuple[bytes, bytes]]:
             for group in _groups(batches, ["cluster", "unit"], columns):
-                classes, packed, label = _once(group)
+                ids, packed, label = _once(group)
                 if len(set(label)) > 1:
-                    for i, j in linked_forest([shingles(p) for p in packed], np.unique(np.array(label, dtype=object), return_inverse=True)[1]):
-                        yield classes[i], classes[j]
+                    for i, j in linked_forest([shingles(p) for p in packed], np.array(label)):
+                        yield ids[i], ids[j]
 
         yield from _edges(found())
 
-    return rows.mapInArrow(tidy(run), "a binary, b binary").distinct()
+    return rows.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def _units_first() -> Column:
@@ -350,59 +397,73 @@ def _units_rest() -> Column:
     return F.explode(F.transform(others, lambda o: F.least(o, block) * blocks + F.greatest(o, block)))
 
 
+def _written(frame: DataFrame, name: str) -> DataFrame:
+    spark = frame.sparkSession
+    path = scratch_path(spark, name)
+    frame.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
+def _prefixes(classes: DataFrame) -> DataFrame:
+    """id, n, low, prefix (structs of frequency f and pair, the rarest first) of
+    the classes that can have a candidate."""
+    values = _values(classes)
+    counts = _written(values.groupBy("pair").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "frequencies")
+    # at most HOT_VALUES pairs can be more frequent than this
+    often = max(HOT_LEAST, -(-COORDS * classes.count() // HOT_VALUES))
+    tagged = values.join(F.broadcast(counts.where(F.col("f") > often)), "pair", "left")
+    rest = tagged.where("f is null").select("id", "pair").join(counts.where(F.col("f") <= often).hint("merge"), "pair")
+    shared = tagged.where("f is not null").select("id", "pair", "f").unionByName(rest.select("id", "pair", "f"))
+    own = shared.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("f", "pair"))).alias("own"))  # COORDS a class at most
+    own = own.where(F.size("own") >= MATCHES).select("id", F.slice("own", 1, F.size("own") - (MATCHES - 1)).alias("prefix"))
+    return _written(_low(classes).join(own, "id"), "prefixes")
+
+
+def candidate_links(classes: DataFrame) -> DataFrame:
+    """Candidates (a < b) that connect every two classes with MATCHES collisions
+    or more. ``classes`` has id, n (set size), sig (COORDS 32-bit minima)."""
+    postings = _prefixes(classes).select("id", "n", "low", F.explode("prefix").alias("p")).select("id", "n", "low", "p.pair", "p.f")
+    long = F.col("f") > 2 * BLOCK
+    sizes = postings.where(long).groupBy("pair").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 2 * BLOCK)
+    sizes = _written(sizes.select("pair", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "sizes")
+    split = postings.where(long).join(sizes, "pair", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    spread = postings.where(~long).withColumn("blocks", F.lit(1)).unionByName(split)
+    spread = spread.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    pairs = _written(_list_pairs(spread.withColumn("unit", _units_first()).withColumn("label", F.col("id"))), "candidates")
+    if sizes.isEmpty():
+        return pairs
+    known = spread.where("blocks > 2").join(components(pairs).select(F.col("node").alias("id"), F.col("root").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    mixed = known.groupBy("pair").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("pair")
+    more = _list_pairs(known.join(mixed, "pair", "left_semi").withColumn("unit", _units_rest()))
+    return pairs.unionByName(_written(more, "candidates"))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id, kept; further class, component
-    and source_text (16-byte names of the row's set, of its component and of its
-    text; null without shingles)."""
-    spark = df.sparkSession
+    """Per row: doc_id, n_shingles, component_id, kept; further class and
+    source_text (16-byte names of the row's set and of its text) and component
+    (a number), all three null without shingles."""
     docs = _rows(df, id_col, text_col)
+    rows = _written(_signature_rows(docs), "signatures")
+    classes = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"), *(F.min(c).alias(c) for c in ("n", "source_text", "sig")))
+    classes = _written(classes.withColumn("id", F.monotonically_increasing_id()), "classes")  # ids are fixed by the written table
 
-    def written(frame: DataFrame, name: str) -> DataFrame:
-        path = scratch_path(spark, name)
-        frame.write.option("compression", "zstd").parquet(path)
-        return spark.read.schema(frame.schema).parquet(path)
-
-    rows = written(_signature_rows(docs), "signatures")
-    classes = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"), *(F.min(c).alias(c) for c in ("n", "source_text", "low")), F.first("pairs").alias("pairs"))
-    classes = written(classes, "classes")
-
-    # at most HOT_VALUES values can be more frequent than this
-    often = max(HOT_LEAST, -(-CHOICE * classes.count() // HOT_VALUES))
-    values = classes.select(F.explode("pairs").alias("pair")).groupBy("pair").count()
-    hot = np.sort(np.array([r["pair"] for r in values.where(F.col("count") > often).select("pair").collect()], dtype=np.int64))
-    postings = _postings(classes, hot)
-    sizes = {r["pair"]: r["count"] for r in postings.where("passed").groupBy("pair").count().where(f"count > {2 * BLOCK}").collect()} if len(hot) else {}
-    n_blocks = F.lit(1)
-    if sizes:  # of the hot list, so bounded like it
-        blocks = F.create_map(*chain.from_iterable((F.lit(k), F.lit(-(-v // BLOCK))) for k, v in sizes.items()))
-        n_blocks = F.coalesce(blocks[F.col("pair")], F.lit(1))
-    spread = postings.withColumn("blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-
-    pairs = written(_list_pairs(spread.withColumn("unit", _units_first()).withColumn("label", F.col("class"))), "candidates")
-    cluster = components(pairs)
-    if sizes:
-        known = spread.where("blocks > 2").join(cluster.select(F.col("node").alias("class"), F.col("root").alias("label")), "class", "left").withColumn("label", F.coalesce("label", "class"))
-        mixed = known.groupBy("pair").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("pair")
-        more = written(_list_pairs(known.join(mixed, "pair", "left_semi").withColumn("unit", _units_rest())), "candidates")
-        pairs = pairs.unionByName(more)
-        cluster = components(pairs)
-
-    cluster = cluster.select(F.col("node").alias("class"), F.col("root").alias("cluster")).join(classes.select("class", "n", "source_text"), "class")
+    cluster = components(candidate_links(classes))
+    cluster = cluster.select(F.col("node").alias("id"), F.col("root").alias("cluster")).join(classes.select("id", "n", "source_text"), "id")
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / SET_BLOCK)).cast("int").alias("blocks")
-    cluster = written(cluster.join(cluster.groupBy("cluster").agg(blocks), "cluster").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")), "clusters")
+    cluster = _written(cluster.join(cluster.groupBy("cluster").agg(blocks), "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "clusters")
     # the clusters grow with the corpus: joined by shuffle at any size, never broadcast
     held = _packed(docs).join(cluster.select("source_text").hint("merge"), "source_text", "left_semi").groupBy("source_text").agg(F.first("packed").alias("packed"))
-    members = written(cluster.join(held, "source_text").select("cluster", "blocks", "block", "class", "packed"), "members")
-    links = written(_cluster_links(members.withColumn("unit", _units_first()).withColumn("label", F.col("class"))), "links")
+    members = _written(cluster.join(held, "source_text").select("cluster", "blocks", "block", "id", "packed"), "members")
+    links = _written(_cluster_links(members.withColumn("unit", _units_first()).withColumn("label", F.col("id"))), "links")
     label = components(links)
-    large = members.where("blocks > 2").join(label.select(F.col("node").alias("class"), F.col("root").alias("label")), "class", "left").withColumn("label", F.coalesce("label", "class"))
+    large = members.where("blocks > 2").join(label.select(F.col("node").alias("id"), F.col("root").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
     mixed = large.groupBy("cluster").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("cluster")
-    more = written(_cluster_links(large.join(mixed, "cluster", "left_semi").withColumn("unit", _units_rest())), "links")
+    more = _written(_cluster_links(large.join(mixed, "cluster", "left_semi").withColumn("unit", _units_rest())), "links")
     if not more.isEmpty():
         label = components(links.unionByName(more))
 
-    found = label.select(F.col("node").alias("class"), F.col("root").alias("component"))
-    named = classes.select("class", "least").join(found, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    found = label.select(F.col("node").alias("id"), F.col("root").alias("component"))
+    named = classes.select("id", "class", "least").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(least, "component").select("class", "component", F.col("component_id"))
     return rows.select("doc_id", "class", "source_text", "n").join(named, "class", "left").select(

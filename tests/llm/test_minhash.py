@@ -32,7 +32,7 @@ def brute(texts):
 
 @pytest.mark.parametrize("small", [False, True])
 def test_components_equal_brute_force(spark, small, monkeypatch):
-    if small:  # a short hot list, so that postings are passed over and lists split into blocks
+    if small:  # frequencies by broadcast as well, and lists split into blocks
         monkeypatch.setattr(mh, "HOT_LEAST", 4)
         monkeypatch.setattr(mh, "BLOCK", 2)
     texts = corpus()
@@ -40,6 +40,46 @@ def test_components_equal_brute_force(spark, small, monkeypatch):
     assert got == brute(texts)
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_no_collision_of_signatures_is_missed(spark, small, monkeypatch):
+    """Every two signatures with enough equal coordinates are connected, whatever
+    values all others share, and only candidates connect."""
+    if small:
+        monkeypatch.setattr(mh, "HOT_LEAST", 4)
+        monkeypatch.setattr(mh, "BLOCK", 4)
+    rng = np.random.default_rng(5)
+    sig = rng.integers(0, 1 << 32, (120, mh.COORDS), dtype=np.uint32)
+    sig[:60, :33] = sig[0, :33]  # one passage in half of all, one short of a candidate
+    for i in range(0, 120, 3):  # pairs on either side of the limit
+        same = rng.permutation(mh.COORDS)[: mh.MATCHES - 3 + (i // 3) % 6]
+        sig[i + 1, same] = sig[i, same]
+    n = rng.integers(75, 101, 120)
+    rows = spark.createDataFrame([(i, int(n[i]), bytearray(sig[i].tobytes())) for i in range(120)], "id long, n long, sig binary").repartition(5)
+    found = [(r["a"], r["b"]) for r in mh.candidate_links(rows).collect()]
+    a, b = np.triu_indices(120, 1)
+    alike = 100 * np.minimum(n[a], n[b]) >= 75 * np.maximum(n[a], n[b])
+    true = alike & ((sig[a] == sig[b]).sum(axis=1) >= mh.MATCHES)
+    low = sig.astype(np.uint8)
+    root = components(range(120), found)
+    assert true.sum() > 20 and all(root[i] == root[j] for i, j in zip(a[true], b[true], strict=True))
+    assert all((low[i] == low[j]).sum() >= mh.MATCHES and 100 * min(n[i], n[j]) >= 75 * max(n[i], n[j]) for i, j in found)
+
+
+def test_pairs_beside_a_passage_that_all_texts_share(spark):
+    """Links between texts that share half to two thirds of their words with all others."""
+    rnd, texts = random.Random(3), []
+    passage = prose(900, 200)
+    for i in range(80):
+        own = prose(1000 + i, 100 + 100 * (i % 2)).split()
+        copy = list(own)
+        for _ in range(6):
+            copy[rnd.randrange(len(copy))] = f"new{rnd.randrange(10**6)}"
+        texts += [f"{passage} {' '.join(own)}", f"{passage} {' '.join(copy)}"]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in mh.near_duplicates(documents(spark, texts)).collect()}
+    want = brute(texts)
+    assert len({v[1] for v in want.values()}) > 40 and got == want
+
+
 def test_one_row_of_each_group_stays(spark):
     texts = corpus()
     df = documents(spark, texts)
