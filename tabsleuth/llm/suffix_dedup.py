@@ -22,7 +22,9 @@ judged on the input.
    passage in very many contexts), its fragments are cut by the window's place
    relative to the anchor, and dealt again by the bytes that all windows of
    such a cut share; the last cut is a single window, dealt by all its bytes.
-   So no task ever holds an unbounded group, and no window is left out.
+   So no task ever holds an unbounded group, and no window is left out. Joins
+   by anchor or fragment deal the rows of a frequent key over parts; what is
+   broadcast for it are at most ``HOT_KEYS`` keys at any input size.
 5. *Cutting.* The windows found go back to their texts, which are identified by
    a 128-bit digest; equal texts are worked on once.
 
@@ -59,6 +61,8 @@ GRAM = 48
 GROUP = 1024
 #: widths of the cuts of hot anchors, in window places
 CUTS = (20, 1)
+#: rows of one key that a join sends to one task, and keys that may have more
+HOT_LEAST, HOT_KEYS = 4096, 1 << 18
 #: bytes of fragments that are sorted at once
 SORT_BYTES = 1 << 18
 _LOW = np.uint64(0xFFFFFFFF)
@@ -397,6 +401,18 @@ def _cut(bodies: DataFrame, width: int, length: int) -> DataFrame:
     return bodies.mapInArrow(tidy(run), _NAMED)
 
 
+def _with_key_in(rows: DataFrame, wanted: DataFrame, on: list[str], deal: list[str]) -> DataFrame:
+    """The rows whose key is in ``wanted`` (the key, ``count`` of its rows). The rows
+    of a frequent key are dealt by the columns ``deal`` over several parts."""
+    total = wanted.agg(F.sum("count")).first()[0] or 0
+    often = max(HOT_LEAST, -(-total // HOT_KEYS))  # at most HOT_KEYS keys have more
+    parts = F.ceil(F.col("count") / often).cast("long")
+    frequent = F.broadcast(wanted.where(F.col("count") > often).select(*on, parts.alias("parts")))
+    part = F.when(F.col("parts").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64(*deal), F.col("parts")))
+    needed = wanted.select(*on, F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+    return rows.join(frequent, on, "left").withColumn("part", part).join(needed, [*on, "part"], "left_semi").drop("parts", "part")
+
+
 def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
     """For a DataFrame with one string column ``text`` without nulls: the
     repeated windows (k1, k2, start, count) by text digest, and the texts that
@@ -405,8 +421,14 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, gr
         raise ValueError("gram <= length <= 900 is needed")
     spark = docs.sparkSession
     anchors = _anchor_rows(docs, length, gram)
-    again = anchors.groupBy("anchor").count().where("count > 1").select("anchor")
-    runs = anchors.join(again, "anchor", "left_semi").groupBy("k1", "k2").agg(F.collect_set(F.struct("anchor", "run")).alias("runs"))
+
+    def stored(frame: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(spark, name)
+        frame.write.option("compression", "zstd").parquet(path)
+        return spark.read.schema(frame.schema).parquet(path)
+
+    again = stored(anchors.groupBy("anchor").count().where("count > 1"), "anchors")
+    runs = _with_key_in(anchors, again, ["anchor"], ["k1", "k2", "run"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("anchor", "run")).alias("runs"))
     texts = _packed_texts(docs, length).groupBy("k1", "k2").agg(F.first("packed").alias("packed"), F.count(F.lit(1)).alias("copies"))
     path = scratch_path(spark, "fragments")
     _fragment_rows(texts.join(runs, ["k1", "k2"]).select("k1", "k2", "packed", "copies", "runs"), length).write.partitionBy("kind").option("compression", "zstd").parquet(path)
@@ -414,25 +436,27 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, gr
     written = spark.read.schema(table).parquet(path)
     named, looked = written.where("kind = 1").select(*_NAMED.names), written.where("kind = 0").select("k1", "k2", "packed")
 
-    def stored(frame: DataFrame, name: str) -> DataFrame:
-        path = scratch_path(spark, name)
-        frame.write.option("compression", "zstd").parquet(path)
-        return spark.read.schema(frame.schema).parquet(path)
-
     found = []
     for width in (*CUTS, 0):
         rest = F.first(F.struct("place", "count", "k1", "k2", "starts")).alias("rest")
-        different = stored(named.groupBy("anchor", "f1", "f2").agg(F.sum("copies").alias("copies"), rest).select("anchor", "f1", "f2", "copies", "rest.*"), "different")
-        often = different.where("copies > 1").select("anchor", "f1", "f2")
-        found.append(named.join(often, ["anchor", "f1", "f2"], "left_semi").select("k1", "k2", F.explode("starts").alias("start"), "count"))
+        different = stored(named.groupBy("anchor", "f1", "f2").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"), rest).select("anchor", "f1", "f2", "copies", "rows", "rest.*"), "different")
+        often = different.where("copies > 1").select("anchor", "f1", "f2", F.col("rows").alias("count"))
+        found.append(_with_key_in(named, often, ["anchor", "f1", "f2"], ["k1", "k2"]).select("k1", "k2", F.explode("starts").alias("start"), "count"))
+        different = different.drop("rows")
         if not width:  # single windows: equal ones are one row by now
             break
-        sizes = different.groupBy("anchor").count()
-        found.append(_sorted_windows(_bodies(different.join(sizes.where(f"count between 2 and {group}").select("anchor"), "anchor", "left_semi"), looked, length), length))
-        hot = sizes.where(f"count > {group}").select("anchor")
-        if hot.isEmpty():
+        sizes = stored(different.groupBy("anchor").count().where("count > 1"), "sizes")
+        total = sizes.agg(F.sum("count")).first()[0] or 0
+        most = max(group, -(-total // HOT_KEYS))  # at most HOT_KEYS anchors have more fragments: these stay out of the shuffle by anchor
+        heavy = F.broadcast(sizes.where(f"count > {most}").select("anchor"))
+        light = different.join(heavy, "anchor", "left_anti")
+        found.append(_sorted_windows(_bodies(light.join(sizes.where(f"count <= {group}").select("anchor"), "anchor", "left_semi"), looked, length), length))
+        if sizes.where(f"count > {group}").isEmpty():
             break
-        named = stored(_cut(_bodies(different.join(hot, "anchor", "left_semi"), looked, length), width, length), "cuts")
+        hot = different.join(heavy, "anchor", "left_semi")
+        if most > group:
+            hot = hot.unionByName(light.join(sizes.where(f"count > {group} and count <= {most}").select("anchor"), "anchor", "left_semi"))
+        named = stored(_cut(_bodies(hot, looked, length), width, length), "cuts")
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)

@@ -46,9 +46,12 @@ def corpus():
     return texts + [("line of text that comes again and again\n") * 12, "x" * 700 + "é" * 150]
 
 
-@pytest.mark.parametrize("group", [4096, 3])
-def test_removal_equals_brute_force(spark, group, monkeypatch):
+@pytest.mark.parametrize("group, least, keys", [(4096, 4096, 1 << 18), (3, 2, 1 << 18), (3, 2, 8)])
+def test_removal_equals_brute_force(spark, group, least, keys, monkeypatch):
+    """Also where anchors are cut, and keys dealt over parts, by small bounds."""
     monkeypatch.setattr(sd.repeated_windows, "__defaults__", (sd.LENGTH, sd.GRAM, group))
+    monkeypatch.setattr(sd, "HOT_LEAST", least)
+    monkeypatch.setattr(sd, "HOT_KEYS", keys)
     texts = corpus()
     got = {r["doc_id"]: tuple(r)[1:] for r in sd.removal_digests(documents(spark, texts)).collect()}
     for i, want in enumerate(expected(texts, 200)):
