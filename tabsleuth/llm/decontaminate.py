@@ -1,10 +1,9 @@
 """Benchmark passages in training texts, found by spaced-seed hashing.
 
-A seed is a mask over ``SPAN`` neighbouring tokens that ignores two of them;
-the first four masks together ignore every position once, so a window with one
-substituted token (or with two at the positions of one mask) still has an
-equal hash. The last two ignore neighbours, so that any two substitutions in an
-item of 13 tokens or more leave a seed. Hashes of benchmark and training windows
+A seed is a mask over ``SPAN`` neighbouring tokens that ignores two of them.
+The eight masks are chosen so that every segment that counts as evidence (below)
+has a window whose substituted tokens one mask ignores, wherever they lie: no
+item of ``SPAN`` tokens or more is missed. Hashes of benchmark and training windows
 are joined; around each hit the two token sequences are laid over each other
 without gaps, and of all segments in which four fifths of the tokens are equal
 the one with the most equal tokens is taken (then the shortest, then the first).
@@ -15,8 +14,9 @@ is reported.
 
 If the benchmark has at most ``SENT_TOKENS`` tokens (checked first), its seeds
 and tokens are broadcast and each text is judged where it is read, without a
-shuffle. A larger benchmark is joined by shuffles: seeds by hash, then the
-texts that have hits by digest. Both give the same rows.
+shuffle. A larger benchmark is joined by shuffles: seeds by hash, frequent ones
+dealt over parts, then texts with hits by digest, each once and ahead of its
+items, which are judged as they pass. Both give the same rows.
 
 Tokens are runs of lower-cased letters, digits and bytes from 0x80 on, so case,
 spacing and ASCII punctuation do not matter.
@@ -43,10 +43,13 @@ from ..session import scratch_path
 from ._text import byte_column, lower_column, mix, slices, tidy, token_hashes
 
 SPAN = 8
-#: Positions that each mask looks at; it ignores (3, 6), (2, 5), (1, 4), (0, 7), (3, 4), (2, 4).
-MASKS = ((0, 1, 2, 4, 5, 7), (0, 1, 3, 4, 6, 7), (0, 2, 3, 5, 6, 7), (1, 2, 3, 4, 5, 6), (0, 1, 2, 5, 6, 7), (0, 1, 3, 5, 6, 7))
+#: The two positions that each mask ignores, and those that it looks at.
+IGNORED = ((0, 1), (1, 2), (4, 5), (0, 2), (3, 5), (2, 5), (2, 6), (2, 7))
+MASKS = tuple(tuple(k for k in range(SPAN) if k not in two) for two in IGNORED)
 NEED = 13
 SENT_TOKENS = 1 << 21
+#: windows of a text seed that one part takes at least, and seeds that are dealt at most
+HOT_LEAST, HOT_SEEDS = 1 << 14, 1 << 18
 _FILTER_BITS = 24
 _FACTOR = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -250,43 +253,68 @@ def _keyed(df: DataFrame, at: int, key_col: str) -> DataFrame:
     return df.mapInArrow(tidy(run), T.StructType([*df.schema.fields, T.StructField(key_col, T.BinaryType())]))
 
 
+def _on_seed(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Windows of texts (key, seed, place) beside those of items (item, seed,
+    item_place). The windows of a frequent seed are dealt over several parts, to
+    each of which its windows in items go."""
+    spark = texts.sparkSession
+    path = scratch_path(spark, "seed-counts")
+    texts.groupBy("seed").count().join(wanted.select("seed").distinct(), "seed").write.parquet(path)
+    counts = spark.read.schema("seed long, count long").parquet(path)
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    often = max(HOT_LEAST, -(-total // HOT_SEEDS))  # at most HOT_SEEDS seeds have more
+    parts = F.ceil(F.col("count") / often).cast("long").alias("parts")
+    frequent = F.broadcast(counts.where(F.col("count") > often).select("seed", parts))
+    dealt = F.coalesce(F.pmod(F.xxhash64("key", "place"), F.col("parts")), F.lit(0).cast("long"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1).cast("long")) - 1))
+    left = texts.join(frequent, "seed", "left").withColumn("part", dealt).drop("parts")
+    return left.join(wanted.join(frequent, "seed", "left").withColumn("part", every).drop("parts"), ["seed", "part"])
+
+
 def _judged_by_joins(df: DataFrame, bench: DataFrame, text_col: str, hits_col: str) -> DataFrame:
     spark = df.sparkSession
     plain = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")
     texts = _keyed(df.select(plain), 0, "key").select("key", "text")
-    item = F.struct("item_id", "text")
+    # the id is a number or nothing, so the first blank ends it
+    named = bench.select(F.unhex(F.md5(F.concat(F.coalesce(F.col("item_id").cast("string"), F.lit("")), F.lit(" "), "text"))).alias("item"), "item_id", "text")
     lengths = _short_lengths(bench)
-    wanted = _seed_rows(bench.select(item.alias("key"), "text"), lengths, True).select(F.col("key").alias("item"), "seed", F.col("place").alias("item_place"))
-    shifts = _seed_rows(texts, lengths, False).join(wanted, "seed").groupBy("key", "item").agg(F.collect_set(F.col("place") - F.col("item_place")).alias("shifts"))
+    wanted = _seed_rows(named.select("item", "text"), lengths, True).withColumnsRenamed({"place": "item_place"})
     path = scratch_path(spark, "seed-hits")
-    shifts.groupBy("key").agg(F.collect_list(F.struct("item", "shifts")).alias("found")).write.parquet(path)
-    found = spark.read.parquet(path)
-    once = texts.join(found.select("key"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")).join(found, "key").select("key", "text", "found")
+    on_seed = _on_seed(_seed_rows(texts, lengths, False), wanted)
+    on_seed.groupBy("key", "item").agg(F.collect_set(F.col("place") - F.col("item_place")).alias("shifts")).write.parquet(path)
+    found = spark.read.schema("key binary, item binary, shifts array<int>").parquet(path)
+    once = texts.join(found.select("key"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    rows = once.select("key", F.lit(False).alias("is_item"), F.lit(None).cast("long").alias("item_id"), "text", F.lit(None).cast("array<int>").alias("shifts"))
+    rows = rows.unionByName(found.join(named, "item").select("key", F.lit(True).alias("is_item"), "item_id", "text", "shifts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, tokens = None, None  # a text comes ahead of its items
         for batch in batches:
-            for i in range(batch.num_rows):
-                rec = batch.slice(i, 1).to_pylist()[0]
-                tokens = _tokens(rec["text"])
-                best: dict = {}
-                for f in rec["found"]:
-                    for h in judge(tokens, {f["item"]["item_id"]: (_tokens(f["item"]["text"]), set(f["shifts"]))}):
-                        if (x := best.get(h["item_id"])) is None or (h["n_matched"], -h["text_token"], -h["item_token"]) > (x["n_matched"], -x["text_token"], -x["item_token"]):
-                            best[h["item_id"]] = h
-                hits = sorted(best.values(), key=lambda h: (h["item_id"] is None, h["item_id"] or 0))
-                yield pa.RecordBatch.from_arrays([pa.array([rec["key"]], pa.binary()), pa.array([hits], _HIT_ARROW)], names=["key", "hits"])
-
-    judged = once.mapInArrow(tidy(run), T.StructType([T.StructField("key", T.BinaryType()), T.StructField("hits", T.ArrayType(HIT))]))
+            buf, offsets = byte_column(lower_column(batch.column("text")))
+            keys, ids, hits = [], [], []
+            for i, j in slices(offsets):
+                part, row = token_hashes(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                bounds = np.searchsorted(row, np.arange(j - i + 1))
+                some = batch.slice(i, j - i)
+                for k, (own, is_item, item_id) in enumerate(zip(*(some.column(c).to_pylist() for c in ("key", "is_item", "item_id")), strict=True)):
+                    one = part[bounds[k] : bounds[k + 1]]
+                    if not is_item:
+                        key, tokens = own, one.copy()
+                    elif own == key and (hit := judge(tokens, {item_id: (one, set(some.column("shifts")[k].as_py()))})):
+                        keys.append(own)
+                        ids.append(item_id)
+                        hits.append(hit[0])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.int64()), pa.array(hits, _HIT_ARROW.value_type)], names=["key", "item_id", "hit"])
+
+    judged = rows.repartition("key").sortWithinPartitions("key", "is_item").mapInArrow(tidy(run), T.StructType([T.StructField("key", T.BinaryType()), T.StructField("item_id", T.LongType()), T.StructField("hit", HIT)]))
+    best = F.max_by("hit", F.struct(F.col("hit.n_matched"), -F.col("hit.text_token"), -F.col("hit.item_token"))).alias("hit")  # one id may have several texts
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("item_id").isNull().alias("last"), F.coalesce("item_id", F.lit(0)).alias("id"), "hit")))
+    hits = judged.groupBy("key", "item_id").agg(best).groupBy("key").agg(F.transform(ordered, lambda x: x["hit"]).alias("hits"))
     whole = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), plain)
-    joined = _keyed(whole, 1, "key").select("row", "key").join(judged, "key", "left")
+    joined = _keyed(whole, 1, "key").select("row", "key").join(hits, "key", "left")
     return joined.select(*(F.col("row")[c].alias(c) for c in df.columns), F.coalesce("hits", F.array().cast(T.ArrayType(HIT))).alias(hits_col))
 
 
-def _tokens(text: str) -> np.ndarray:
-    buf, offsets = byte_column(lower_column(pa.array([text], pa.string())))
-    return token_hashes(buf, offsets)[0]
-
-
 def contaminated_pairs(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", sent_tokens: int = SENT_TOKENS) -> DataFrame:
     """One row per text and item found in it: doc_id, item_id, n_matched,
     n_aligned, text_token, item_token."""

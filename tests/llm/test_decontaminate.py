@@ -1,3 +1,6 @@
+from itertools import combinations
+
+import numpy as np
 import pytest
 from helpers import ODD_TEXTS, documents, prose
 
@@ -51,8 +54,61 @@ def test_clean_rows_stay_with_their_columns(spark):
     assert dc.contaminated_pairs(df.limit(0), bench).collect() == []
 
 
-def test_any_single_substitution_leaves_a_seed():
-    assert {k for m in dc.MASKS for k in range(dc.SPAN) if k not in m} == set(range(dc.SPAN))
+def test_every_accepted_segment_leaves_a_seed():
+    """All placings in segments of up to 59 tokens, by their last window: the fewest
+    substitutions without a seed are too many. A longer segment has a part like that."""
+    span, need = dc.SPAN, dc.NEED
+    seeded = [any(all(k in two for k in range(span) if w >> k & 1) for two in dc.IGNORED) for w in range(1 << span)]
+    fewest = {w: bin(w).count("1") for w in range(1 << span) if not seeded[w]}
+    for length in range(span, 60):
+        for n in fewest.values():
+            assert length - n < 4 * n or length - n < min(need, -(-4 * length // 5)), (length, n)
+        after: dict = {}
+        for w, n in fewest.items():
+            for b in (0, 1):
+                to = w >> 1 | b << (span - 1)
+                if not seeded[to]:
+                    after[to] = min(n + b, after.get(to, n + b))
+        fewest = after
+
+
+def accepted(text: list, item: list) -> int:
+    """Most equal tokens of a segment that is evidence, every shift and segment tried."""
+    best = 0
+    for shift in range(-len(item) + 1, len(text)):
+        same = [0 <= k + shift < len(text) and text[k + shift] == w for k, w in enumerate(item)]
+        for i, j in combinations(range(len(item) + 1), 2):
+            if sum(same[i:j]) * 5 >= 4 * (j - i) and i + shift >= 0 and j + shift <= len(text):
+                best = max(best, sum(same[i:j]))
+    return best if best >= (len(item) if len(item) < dc.SPAN else min(dc.NEED, -(-4 * len(item) // 5))) else 0
+
+
+@pytest.mark.parametrize("sent", [dc.SENT_TOKENS, 1])
+def test_against_brute_force_alignment(spark, sent, monkeypatch):
+    monkeypatch.setattr(dc, "HOT_LEAST", 3)
+    rnd = np.random.default_rng(7)
+    items = {n: [f"w{n}x{k}" for k in range(n)] for n in (3, 7, 8, 9, 10, 11, 12, 15, 17, 24)}
+    texts = []
+    for n, item in items.items():
+        few = [c for k in range(1, 3) for c in combinations(range(n), k)] if n in (10, 11) else []
+        more = [tuple(rnd.choice(n, size=rnd.integers(0, min(n, 6)), replace=False)) for _ in range(30)]
+        for gone in [*few, *more]:
+            low, high = sorted(rnd.choice(n + 1, size=2, replace=False)) if len(texts) % 3 == 0 else (0, n)
+            changed = [f"other{k}" if k in gone else w for k, w in enumerate(item)][low:high]
+            texts.append(["head"] * int(rnd.integers(0, 3)) + changed + ["tail"] * int(rnd.integers(0, 3)))
+    want = {(d, n, m) for d, text in enumerate(texts) for n, item in items.items() if (m := accepted(text, item))}
+    bench = spark.createDataFrame([(n, " ".join(item)) for n, item in items.items()], "item_id long, text string")
+    found = dc.contaminated_pairs(documents(spark, [" ".join(t) for t in texts]), bench, sent_tokens=sent).collect()
+    assert sorted(tuple(r)[:3] for r in found) == sorted(want)
+
+
+def test_frequent_seeds_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(dc, "HOT_LEAST", 4)
+    common = prose(50, 30)
+    texts = [f"{prose(k, 20)} {common} {prose(k + 500, 3)}" for k in range(60)] + [prose(77, 4000) + " " + common, None, ""]
+    bench = spark.createDataFrame([(1, common), (1, common + " and more"), (None, common), (2, prose(77, 4000)), (3, None)], "item_id long, text string")
+    one, two = (dc.contaminated_pairs(documents(spark, texts), bench, sent_tokens=s).collect() for s in (dc.SENT_TOKENS, 1))
+    assert sorted(map(repr, one)) == sorted(map(repr, two)) and len(one) == 61 * 2 + 1
 
 
 @pytest.mark.parametrize("sent", [dc.SENT_TOKENS, 1])
