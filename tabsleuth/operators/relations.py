@@ -261,11 +261,17 @@ def contingency(df: DataFrame, pairs: list[tuple[str, str]], missing_label: str
 
 def _level_cells(df: DataFrame, pairs: list[tuple[str, str]], missing_label: str | None = None, coded: bool = True) -> DataFrame:
     """(pid, a, b, o): one explode and one aggregation keyed by an int pair id.
-    ``coded`` levels are 64-bit hashes of the values: statistics only compare
-    levels, so long texts are neither repeated per pair nor shuffled."""
+    ``coded`` levels are whole numbers as they are and 64-bit hashes of other values:
+    statistics only compare levels, so long texts are neither repeated per pair nor shuffled."""
     level = {c: _cat_value(df, c, missing_label) for p in pairs for c in p}
     name = {c: f"c{i}" for i, c in enumerate(level)}
-    coded_rows = df.select(*[(F.when(v.isNotNull(), F.xxhash64(v)) if coded else v).alias(name[c]) for c, v in level.items()])
+
+    def code(c: str, v: Column) -> Column:
+        if coded and missing_label is None and df.schema[c].dataType.typeName() in ("byte", "short", "integer", "long"):
+            return F.col(f"`{c}`").cast("long")
+        return F.when(v.isNotNull(), F.xxhash64(v)) if coded else v
+
+    coded_rows = df.select(*[code(c, v).alias(name[c]) for c, v in level.items()])
     structs = [F.struct(F.lit(i).alias("pid"), F.col(name[a]).alias("a"), F.col(name[b]).alias("b")) for i, (a, b) in enumerate(pairs)]
     return (
         coded_rows.select(F.explode(F.array(*structs)).alias("_p"))
@@ -485,9 +491,9 @@ def discretise(
     raw: list[str] = (),
     raw_copies: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Columns as discrete levels (text): numerics (dates as epoch seconds)
-    in ``bins`` equal-frequency bins (bin = number of decile cut points
-    strictly below the value), text as is; with ``fill`` NULLs are
+    """Columns as discrete levels: numerics (dates as epoch seconds) as the int
+    of one of ``bins`` equal-frequency bins (bin = number of decile cut points
+    strictly below the value), all others as text; with ``fill`` NULLs are
     median/mode filled first. Columns in ``raw`` keep their (filled) values
     instead of bins; ``raw_copies`` (column -> name) adds the values under that
     name next to the binned column. Cut points are one exact-quantile job (columns x
@@ -520,18 +526,25 @@ def discretise(
     if second:
         for row in exact_quantiles(base, second, probs).collect():
             cuts.setdefault(row["column"], []).append((row["prob"], row["value"]))
+    # each value is worked out once, then looked up among its column's cut points
+    values = [(ty.numeric_value(base, c) if c in cuts else ty.clean_col(base, c).cast("string")).alias(c) for c in cols]
+    copies = [ty.clean_col(base, c).cast("string").alias(name) for c, name in (raw_copies or {}).items()]
     sel = []
     for c in cols:
+        v = F.col(f"`{c}`")
         if c in cuts:
-            pts = [v for _, v in sorted(cuts[c]) if v is not None]
-            v = ty.numeric_value(base, c)
-            b = sum([F.when(v > F.lit(p), 1).otherwise(0) for p in pts], F.lit(0)) if pts else F.lit(0)
-            sel.append(F.when(v.isNull(), F.lit(None)).otherwise(b.cast("string")).alias(c))
-        else:
-            sel.append(ty.clean_col(base, c).cast("string").alias(c))
-    for c, name in (raw_copies or {}).items():
-        sel.append(ty.clean_col(base, c).cast("string").alias(name))
-    return base.select(*sel)
+            pts = sorted(p for _, p in cuts[c] if p is not None)
+            v = F.when(v.isNotNull(), _cuts_below(v, pts)).alias(c)
+        sel.append(v)
+    return base.select(*values, *copies).select(*sel, *[F.col(f"`{name}`") for name in (raw_copies or {}).values()])
+
+
+def _cuts_below(v: Column, points: list[float], first: int = 0) -> Column:
+    """Number of sorted cut points strictly below ``v``, by halving."""
+    if not points:
+        return F.lit(first)
+    mid = len(points) // 2
+    return F.when(v > F.lit(points[mid]), _cuts_below(v, points[mid + 1:], first + mid + 1)).otherwise(_cuts_below(v, points[:mid], first))
 
 
 def mi_pairs(d: DataFrame, pairs: list[tuple[str, str]], batch: int = PAIR_BATCH) -> DataFrame:
