@@ -8,7 +8,7 @@ SF = "/root/testdata/sf0.001"
 def test_registered():
     entry = importlib.import_module("__spark_entry__")
     names = [k for k in entry.queries() if k.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
 
 
 def test_stages_chain_and_take_effect(spark):
