@@ -11,10 +11,13 @@ driver, never data rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import types as ty
+from ..functions.blocks import block_of, concordant, cut_points, doubles, smaller_in_both, ties
 from ..functions.ranking import average_ranks, cumulative_by_value, exact_quantiles, value_frequencies
 from ..functions.moments import batched_agg, co_moments, pairwise_pearson
 from ..functions.stats import chi2_pvalue_udf, f_pvalue_udf
@@ -196,43 +199,120 @@ def pearson_pairs(df: DataFrame, pairs: list[tuple[str, str]], values: dict | No
 
 def kendall_pairs(df: DataFrame, pairs: list[tuple[str, str]], batch: int = KENDALL_BATCH) -> DataFrame:
     """Kendall tau-b of numeric pairs (pairwise deletion), exact, ``batch``
-    pairs in one plan (every step is grouped by an int pair id)."""
+    columns in one plan."""
     if not pairs:
         return df.sparkSession.createDataFrame([], _pair_schema())
-    return _union([_kendall(df, pairs[i:i + batch]) for i in range(0, len(pairs), batch)])
-
-
-def _kendall(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """With cells (x, y, w), LL = weight with smaller x and smaller y, E =
-    weight with smaller x and equal y, A = weight with smaller x:
-    S = sum w * (2 LL + E - A).
-
-    sum wE and sum wA follow from the marginal totals. For sum wLL two cells
-    with different x ranks are compared at the one bit where their ranks first
-    differ: per bit, cells that agree above it form a group, and a cell with
-    the bit set counts the weight of cells without it at smaller y. So each
-    cell appears once per bit of the x rank, all groups are prefix sums over y,
-    and no pairs of rows or cells are ever formed."""
-    cells = materialize(numeric_cells(df, pairs).select("pid", F.col("a").alias("x"), F.col("b").alias("y"), F.col("o").alias("w")))
-    xm = materialize(cells.groupBy("pid", "x").agg(F.sum("w").alias("wx"), F.lit(1).alias("one")))
-    ym = materialize(cells.groupBy("pid", "y").agg(F.sum("w").alias("wy"), F.sum(F.col("w") * F.col("w")).alias("w2"), F.lit(1).alias("one")))
-    xr = cumulative_by_value(xm, ["pid"], "x", ["one"]).select("pid", "x", (F.col("cum_one") - 1).alias("rx"))
-    yr = cumulative_by_value(ym, ["pid"], "y", ["one"]).select("pid", "y", (F.col("cum_one") - 1).alias("ry"))
-    ranked = cells.join(xr, ["pid", "x"]).join(yr, ["pid", "y"]).select("pid", "rx", "ry", "w")
-    most = xm.groupBy("pid").count().agg(F.max("count")).first()[0] or 1
-    bits = max(1, (int(most) - 1).bit_length())
-    level = ranked.select("pid", "rx", "ry", "w", F.explode(F.array(*[F.lit(i) for i in range(bits)])).alias("bit"))
-    on = F.expr("shiftright(rx, bit)") % 2 == 1
-    level = level.select("pid", "bit", F.expr("shiftright(rx, bit + 1)").alias("above"), "ry", F.when(on, 0.0).otherwise(F.col("w")).alias("below"), F.when(on, F.col("w")).otherwise(0.0).alias("asking"))
-    level = level.groupBy("pid", "bit", "above", "ry").agg(F.sum("below").alias("below"), F.sum("asking").alias("asking"))
-    ll = cumulative_by_value(level, ["pid", "bit", "above"], "ry", ["below"]).groupBy("pid").agg(F.sum(F.col("asking") * (F.col("cum_below") - F.col("below"))).alias("ll"))
-    half = lambda w: F.sum(F.col(w) * (F.col(w) - 1) / 2)
-    tx = xm.groupBy("pid").agg(F.sum("wx").alias("n"), F.sum(F.col("wx") * F.col("wx")).alias("x2"), half("wx").alias("n1"))
-    tyy = ym.groupBy("pid").agg(F.sum((F.col("wy") * F.col("wy") - F.col("w2")) / 2).alias("e"), half("wy").alias("n2"))
-    n0 = F.col("n") * (F.col("n") - 1) / 2
-    s_ = 2 * F.col("ll") + F.col("e") - (F.col("n") * F.col("n") - F.col("x2")) / 2
-    tau = ll.join(tx, "pid").join(tyy, "pid").select("pid", F.try_divide(s_, F.sqrt((n0 - F.col("n1")) * (n0 - F.col("n2")))).alias("value"))
-    return _named(df, pairs, tau)
+    return _kendall(df, pairs, batch)
+
+
+def _kendall(df: DataFrame, pairs: list[tuple[str, str]], batch: int) -> DataFrame:
+    """S = 2 C - (n0 - n1 - n2 + n3) with C the concordant pairs of rows, n0
+    all of them, n1, n2 and n3 those tied in x, in y and in both.
+
+    Each column's values are cut into blocks (see ``functions.blocks``). Two
+    concordant rows lie in different blocks of both columns, which a table of
+    counts by blocks answers, or in one block of x, or in one block of y and
+    different ones of x. So each row goes to one task a column, the rows of
+    that block of the column, ``batch`` columns in one plan; no pairs of rows
+    or distinct value pairs are ever formed."""
+    cols = list(dict.fromkeys(c for p in pairs for c in p))
+    at = {c: i for i, c in enumerate(cols)}
+    ij = [(at[a], at[b]) for a, b in pairs]
+    rows = materialize(df.select(*[ty.numeric_value(df, c).alias(f"v{i}") for i, c in enumerate(cols)]))
+    found = cut_points(rows, rows.columns)
+    cuts = [found[c] for c in rows.columns]
+    several, total = set(), [[0, 0, 0, 0, 0] for _ in pairs]
+    tables = _block_tables(rows, ij, cuts)
+    for r in tables.collect():  # one row a pair
+        i, j = ij[r["pid"]]
+        several |= ({i} if r["x_several"] else set()) | ({j} if r["y_several"] else set())
+        total[r["pid"]] = [r["n"], r["c"], r["n1"], r["n2"], r["n3"]]
+    todo = sorted(several)
+    for k in range(0, len(todo), batch):
+        parts = _union([_in_blocks(rows, i, ij, cuts) for i in todo[k:k + batch]])
+        wide = "decimal(38,0)"
+        for r in parts.groupBy("pid").agg(*[F.sum(F.col(c).cast(wide)).alias(c) for c in ("c", "n1", "n2", "n3")]).collect():
+            for m, c in enumerate(("c", "n1", "n2", "n3"), 1):
+                total[r["pid"]][m] += int(r[c])
+    out = []
+    for (a, b), (n, c, n1, n2, n3) in zip(pairs, total, strict=True):
+        n0 = n * (n - 1) // 2
+        scale = (n0 - n1) * (n0 - n2)
+        out.append((a, b, (2 * c - (n0 - n1 - n2 + n3)) / math.sqrt(scale) if scale > 0 else None))
+    return df.sparkSession.createDataFrame(out, _pair_schema())
+
+
+def _block_tables(rows: DataFrame, ij: list[tuple[int, int]], cuts: list) -> DataFrame:
+    """Per pair: its complete rows, the concordant pairs of rows in different
+    blocks of both columns, ties in blocks of one value (n3: of both), and
+    whether there are rows in blocks of several values."""
+    import numpy as np
+    import pyarrow as pa
+
+    size = [2 * len(c) + 1 for c in cuts]
+
+    def count(batches):
+        sums = {}
+        for batch in batches:
+            b = [block_of(v, c) for v, c in zip(doubles(batch), cuts, strict=True)]
+            for pid, (i, j) in enumerate(ij):
+                both = (b[i] >= 0) & (b[j] >= 0)
+                t = np.bincount(b[i][both] * size[j] + b[j][both], minlength=size[i] * size[j])
+                sums[pid] = sums[pid] + t if pid in sums else t
+        for pid, t in sums.items():
+            cell = np.flatnonzero(t)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), pid, dtype="int32")), pa.array(cell.astype("int64")), pa.array(t[cell].astype("int64"))], names=["pid", "cell", "n"])
+
+    def add(group: pa.Table) -> pa.Table:
+        pid = group.column("pid")[0].as_py()
+        i, j = ij[pid]
+        t = np.zeros(size[i] * size[j], dtype="int64")
+        t[group.column("cell").to_numpy()] = group.column("n").to_numpy()
+        t = t.reshape(size[i], size[j])
+        tied = lambda k: int((k * (k - 1) // 2).sum())
+        values = [pid, int(t.sum()), smaller_in_both(t), tied(t.sum(axis=1)[1::2]), tied(t.sum(axis=0)[1::2]), tied(t[1::2, 1::2]), bool(t[::2].any()), bool(t[:, ::2].any())]
+        return pa.table({c: [v] for c, v in zip(("pid", "n", "c", "n1", "n2", "n3", "x_several", "y_several"), values, strict=True)})
+
+    cells = rows.mapInArrow(count, "pid int, cell long, n long").groupBy("pid", "cell").agg(F.sum("n").alias("n"))
+    return cells.groupBy("pid").applyInArrow(add, "pid long, n long, c long, n1 long, n2 long, n3 long, x_several boolean, y_several boolean")
+
+
+def _in_blocks(rows: DataFrame, i: int, ij: list[tuple[int, int]], cuts: list) -> DataFrame:
+    """(pid, c, n1, n2, n3) of each block of several values of column ``i``,
+    for the pairs it belongs to. As x: all pairs of the block's rows. As y:
+    concordant pairs of rows in different blocks of x, and rows tied in both
+    where the block of x has one value."""
+    import numpy as np
+    import pyarrow as pa
+
+    mine = [(pid, p) for pid, p in enumerate(ij) if i in p]
+    need = sorted({c for _, p in mine for c in p})
+    place = {c: k for k, c in enumerate(need)}
+
+    def mark(batches):
+        for batch in batches:
+            b = block_of(doubles(batch)[place[i]], cuts[i])
+            kept = pa.array(b % 2 == 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(b.astype("int32"))], names=[*batch.schema.names, "b"]).filter(kept)
+
+    def solve(group: pa.Table) -> pa.Table:
+        v = doubles(group.drop_columns(["b"]))
+        v = [c[np.argsort(v[place[i]], kind="stable")] for c in v]
+        own, out = v[place[i]], []
+        for pid, (a, b) in mine:
+            other = v[place[b if a == i else a]]
+            there = ~np.isnan(other)
+            x, y = own[there], other[there]
+            if a == i:
+                out.append((pid, concordant(x, y), ties(x), 0, ties(y, x)))
+            else:
+                block = block_of(y, cuts[a])
+                single = block % 2 == 1
+                out.append((pid, concordant(block, x), 0, ties(x), ties(y[single], x[single])))
+        return pa.table([pa.array(list(c), pa.int64()) for c in zip(*out, strict=True)], names=["pid", "c", "n1", "n2", "n3"])
+
+    marked = rows.select(*[f"v{c}" for c in need]).mapInArrow(mark, ", ".join(f"v{c} double" for c in need) + ", b int")
+    return marked.groupBy("b").applyInArrow(solve, "pid long, c long, n1 long, n2 long, n3 long")
 
 
 def kendall(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -136,3 +136,48 @@ def test_kendall_pairs_batch_matches_single(spark):
     got = {(r["var1"], r["var2"]): r["value"] for r in rl.kendall_pairs(df, [("a", "b"), ("a", "c"), ("b", "c")]).collect()}
     for (x, y), arr in {("a", "b"): (a, b), ("a", "c"): (a, c), ("b", "c"): (b, c)}.items():
         assert abs(got[(x, y)] - _kendall_brute(*arr)) < 1e-12
+
+
+def test_kendall_over_many_blocks(spark, monkeypatch):
+    """Ties, a value of a third of the rows, holes, infinities and both zeros,
+    with cuts that leave several values or one in a block."""
+    from tabsleuth.functions import blocks
+
+    rng = np.random.default_rng(12)
+    n = 400
+    a = np.where(rng.random(n) < 0.35, 0.0, rng.normal(size=n).round(2))
+    b = (a + rng.normal(size=n)).round(1)
+    c = rng.integers(0, 3, n).astype(float)
+    d = rng.permutation(n).astype(float)
+    a[:3], b[5:8] = (-0.0, np.inf, np.inf), np.inf
+    b[::11], d[::13] = np.nan, np.nan
+    frame = {"a": a, "b": b, "c": c, "d": d}
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in row) for row in zip(*frame.values())], "a double, b double, c double, d double").repartition(3)
+    for size in (7, 90, 10**6):
+        monkeypatch.setattr(blocks, "BLOCK_ROWS", size)
+        got = {(r["var1"], r["var2"]): r["value"] for r in rl.kendall_matrix(df).collect()}
+        assert len(got) == 6
+        for (x, y), value in got.items():
+            keep = ~np.isnan(frame[x]) & ~np.isnan(frame[y])
+            finite = [np.nan_to_num(frame[v][keep], posinf=1e9) for v in (x, y)]
+            assert abs(value - _kendall_brute(*finite)) < 1e-12
+
+
+def test_kendall_forms_no_cells_of_wide_columns(spark, monkeypatch):
+    """Rows are dealt out once a column; distinct value pairs are not expanded."""
+    monkeypatch.setattr(rl, "numeric_cells", lambda *a: 1 / 0)
+    df = spark.range(500).selectExpr("id AS x", "id * 7 % 500 AS y", "cast(null as double) AS z", "1 AS one")
+    got = {(r["var1"], r["var2"]): r["value"] for r in rl.kendall_matrix(df).collect()}
+    x = np.arange(500)
+    assert abs(got[("x", "y")] - _kendall_brute(x, x * 7 % 500)) < 1e-12
+    assert all(v is None for p, v in got.items() if p != ("x", "y"))
+
+
+def test_concordant_pairs_and_ties():
+    from tabsleuth.functions import blocks
+
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 127, 128, 129, 700):
+        x, y = rng.integers(0, 40, n).astype(float), rng.integers(0, 60, n).astype(float)
+        assert blocks.concordant(x, y) == ((x[:, None] < x[None]) & (y[:, None] < y[None])).sum()
+        assert blocks.ties(x, y) == (((x[:, None] == x[None]) & (y[:, None] == y[None])).sum() - n) // 2
