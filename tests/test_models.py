@@ -186,3 +186,16 @@ def test_a_failing_fold_gives_its_error(spark):
         raise RuntimeError("did not fit")
 
     assert models.cross_validate_score(df, fit, "classification", ["a"], ["k"]) == (None, "did not fit")
+
+
+def test_permutation_ranks_rows_by_key_once(spark, monkeypatch):
+    df = spark.createDataFrame([(i, float(i % 7), float(i % 3)) for i in range(60)], "k int, x double, y_true double")
+    ranked = []
+    real = explain.rank_within
+    monkeypatch.setattr(explain, "rank_within", lambda d, g, order: ranked.append(d.columns) or real(d, g, order))
+    predict = lambda d: d.withColumn("y_pred", F.pmod(F.col("x"), F.lit(3.0)))
+    got = explain.permutation_importance(df, ["x"], predict, lambda p, by: metrics.accuracy(p, by=by), "k", repeats=3).first()
+    assert len(ranked) == 4  # once by key, once a repeat by hash
+    base = metrics.accuracy(predict(df)).first()[0]
+    drops = [base - metrics.accuracy(predict(explain.permute_column(df, "x", "k", repeat))).first()[0] for repeat in range(3)]
+    assert got["importance_mean"] == pytest.approx(np.mean(drops), abs=1e-12)
