@@ -38,6 +38,26 @@ def block_of(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return np.where(np.isnan(values), -1, low + np.searchsorted(cuts, values, "right"))
 
 
+def block_counts(df: DataFrame, cuts: list[np.ndarray]) -> list[np.ndarray]:
+    """Rows of each block of each (double) column of ``df``, from one scan."""
+    import pyarrow as pa
+
+    def count(batches):
+        sums = [np.zeros(2 * len(c) + 1, dtype="int64") for c in cuts]
+        for batch in batches:
+            for n, v, c in zip(sums, doubles(batch), cuts, strict=True):
+                b = block_of(v, c)
+                n += np.bincount(b[b >= 0], minlength=len(n))
+        for i, n in enumerate(sums):
+            b = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), i)), pa.array(b), pa.array(n[b])], names=["c", "b", "n"])
+
+    out = [np.zeros(2 * len(c) + 1, dtype="int64") for c in cuts]
+    for r in df.mapInArrow(count, "c long, b long, n long").groupBy("c", "b").agg(F.sum("n").alias("n")).collect():
+        out[r["c"]][r["b"]] = r["n"]
+    return out
+
+
 def doubles(batch) -> list[np.ndarray]:
     """Columns of an Arrow batch or table, missing values as NaN."""
     return [c.to_numpy() if hasattr(c, "chunks") else c.to_numpy(zero_copy_only=False) for c in batch.columns]

@@ -13,11 +13,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import types as ty
-from ..functions.blocks import block_of, concordant, cut_points, doubles, smaller_in_both, ties
+from ..functions.blocks import block_counts, block_of, concordant, cut_points, doubles, smaller_in_both, ties
 from ..functions.ranking import average_ranks, cumulative_by_value, exact_quantiles, value_frequencies
 from ..functions.moments import batched_agg, co_moments, pairwise_pearson
 from ..functions.stats import chi2_pvalue_udf, f_pvalue_udf
@@ -35,6 +37,8 @@ MI_BINS = 10
 MISSING_LABEL = "Missing"
 PAIR_BATCH = 50  # pairs per explode
 KENDALL_BATCH = 10
+RANKED_PAIRS = 3  # pairs of one column with missing values that are ranked at once, at least
+RANK_PASSES = 8  # columns that are ranked by a pass each, at most
 # A scaled Gram matrix with an eigenvalue this small has a linear dependence of
 # the columns whose share in its eigenvector is larger than the second number.
 COLLINEAR_EIGENVALUE, COLLINEAR_SHARE = 1e-13, 1e-5
@@ -102,22 +106,29 @@ def spearman(df: DataFrame, columns: list[str] | None = None, batch: int = PAIR_
 
     Columns without a missing value have one ranking, whatever the pair: they
     are ranked all at once (see :func:`ranked_rows`), and rho is the Pearson r
-    of the rank columns. Pairs with a missing value are ranked over their
-    complete rows, from the counts of distinct value pairs, ``batch`` pairs at a time."""
+    of the rank columns. So have the pairs of one column with missing values
+    with columns that have none (from ``RANKED_PAIRS`` pairs on), over its own
+    rows. Other pairs are ranked over their complete rows, from the counts of
+    distinct value pairs, ``batch`` pairs at a time."""
     cols = columns or ty.numeric_columns(df)
     pairs = _pairs(cols)
     if not pairs:
         return df.sparkSession.createDataFrame([], _pair_schema())
     holes = df.agg(*[F.count_if(ty.numeric_value(df, c).isNull()).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-    whole = [c for i, c in enumerate(cols) if not holes[f"n{i}"]]
-    out = []
-    full = [p for p in pairs if p[0] in whole and p[1] in whole]
-    if full:
-        rows = materialize(ranked_rows(df, whole))
-        name = {c: f"r{i}" for i, c in enumerate(whole)}
-        r = pairwise_pearson(rows, [(name[a], name[b]) for a, b in full])
-        out.append(df.sparkSession.createDataFrame([(a, b, r[(name[a], name[b])]) for a, b in full], _pair_schema()))
-    rest = [p for p in pairs if p not in set(full)]
+    gaps = [c for i, c in enumerate(cols) if holes[f"n{i}"]]
+    by_gaps: dict = {}
+    for p in pairs:
+        by_gaps.setdefault(tuple(c for c in p if c in gaps), []).append(p)
+    out, rest = [], []
+    for missing, some in by_gaps.items():
+        if len(missing) < 2 and len(some) >= len(missing) * RANKED_PAIRS:
+            complete = df.where(ty.numeric_value(df, missing[0]).isNotNull()) if missing else df
+            used = list(dict.fromkeys(c for p in some for c in p))
+            name = {c: f"r{i}" for i, c in enumerate(used)}
+            r = pairwise_pearson(materialize(ranked_rows(complete, used)), [(name[a], name[b]) for a, b in some])
+            out.append(df.sparkSession.createDataFrame([(a, b, r[(name[a], name[b])]) for a, b in some], _pair_schema()))
+        else:
+            rest += some
     out += [_spearman_cells(df, rest[i:i + batch]) for i in range(0, len(rest), batch)]
     return _union(out)
 
@@ -126,6 +137,65 @@ def ranked_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row per row of ``df`` with ``r0``, ``r1``, ...: the average ranks of
     the values of ``columns`` (none of them missing).
 
+    Values are cut into blocks (see ``functions.blocks``); counts of the blocks
+    rank all rows whose block has one value, without a sort. For up to
+    ``RANK_PASSES`` columns with other blocks the rows are dealt out once a
+    column, by its blocks, and ranked there; more columns are ranked by one
+    sort of their long form."""
+    rows = materialize(df.select(*[ty.numeric_value(df, c).alias(f"v{i}") for i, c in enumerate(columns)]))
+    found = cut_points(rows, rows.columns)
+    cuts = [found[c] for c in rows.columns]
+    counts = block_counts(rows, cuts)
+    several = [i for i, n in enumerate(counts) if n[::2].any()]
+    if len(several) > RANK_PASSES:
+        return _ranked_long(df, columns)
+    before = [n.cumsum() - n for n in counts]
+    single = [b + (n + 1) / 2.0 for b, n in zip(before, counts, strict=True)]
+    schema = ", ".join(f"v{i} double" for i in range(len(columns)))
+    few = [i for i in range(len(columns)) if i not in several]
+
+    def known(batches):
+        for batch in batches:
+            v = doubles(batch)
+            for i in few:
+                v[i] = single[i][block_of(v[i], cuts[i])]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in v], names=batch.schema.names)
+
+    if few:
+        rows = rows.mapInArrow(known, schema)
+    for i in several:
+        rows = _ranked_in_blocks(rows, i, cuts[i], before[i], single[i], schema)
+    return rows.toDF(*[f"r{i}" for i in range(len(columns))])
+
+
+def _ranked_in_blocks(rows: DataFrame, i: int, cuts, before, single, schema: str) -> DataFrame:
+    """``rows`` with the values of column ``i`` replaced by their ranks; rows in
+    blocks of one value have theirs and are spread evenly."""
+
+    def mark(batches):
+        for batch in batches:
+            v = doubles(batch)
+            b = block_of(v[i], cuts)
+            alone = b % 2 == 1
+            v[i] = np.where(alone, single[b], v[i])
+            b = np.where(alone, -1 - np.arange(len(b)) % (len(cuts) + 1), b)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in v), pa.array(b.astype("int32"))], names=[*batch.schema.names, "b"])
+
+    def solve(group: pa.Table) -> pa.Table:
+        b = group.column("b")[0].as_py()
+        group = group.drop_columns(["b"])
+        if b < 0:
+            return group
+        _, at, n = np.unique(doubles(group)[i], return_inverse=True, return_counts=True)
+        rank = before[b] + n.cumsum() - (n - 1) / 2.0
+        return group.set_column(i, f"v{i}", pa.array(rank[at]))
+
+    return rows.mapInArrow(mark, schema + ", b int").groupBy("b").applyInArrow(solve, schema)
+
+
+def _ranked_long(df: DataFrame, columns: list[str]) -> DataFrame:
+    """:func:`ranked_rows` for many columns.
+
     All columns are ranked by one sort of their long form (column, value, row
     id), cut into even ranges by all three, so a value that a third of the rows
     share covers several ranges. A range's rows get their place by windows
@@ -246,9 +316,6 @@ def _block_tables(rows: DataFrame, ij: list[tuple[int, int]], cuts: list) -> Dat
     """Per pair: its complete rows, the concordant pairs of rows in different
     blocks of both columns, ties in blocks of one value (n3: of both), and
     whether there are rows in blocks of several values."""
-    import numpy as np
-    import pyarrow as pa
-
     size = [2 * len(c) + 1 for c in cuts]
 
     def count(batches):
@@ -282,9 +349,6 @@ def _in_blocks(rows: DataFrame, i: int, ij: list[tuple[int, int]], cuts: list) -
     for the pairs it belongs to. As x: all pairs of the block's rows. As y:
     concordant pairs of rows in different blocks of x, and rows tied in both
     where the block of x has one value."""
-    import numpy as np
-    import pyarrow as pa
-
     mine = [(pid, p) for pid, p in enumerate(ij) if i in p]
     need = sorted({c for _, p in mine for c in p})
     place = {c: k for k, c in enumerate(need)}

@@ -181,3 +181,29 @@ def test_concordant_pairs_and_ties():
         x, y = rng.integers(0, 40, n).astype(float), rng.integers(0, 60, n).astype(float)
         assert blocks.concordant(x, y) == ((x[:, None] < x[None]) & (y[:, None] < y[None])).sum()
         assert blocks.ties(x, y) == (((x[:, None] == x[None]) & (y[:, None] == y[None])).sum() - n) // 2
+
+
+def test_spearman_ranks_without_a_sort_or_cells(spark, monkeypatch):
+    """Columns with and without missing values, ranked in blocks of their values."""
+    import pandas as pd
+
+    from tabsleuth.functions import blocks
+
+    rng = np.random.default_rng(5)
+    frame = pd.DataFrame({"a": np.where(rng.random(300) < 0.4, 0.0, rng.normal(size=300)), "b": rng.integers(0, 4, 300) * 1.0, "c": rng.normal(size=300), "d": rng.normal(size=300)})
+    frame.loc[::7, "d"] = np.nan
+    frame.loc[:2, "c"] = [np.inf, np.inf, -np.inf]
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in row) for row in frame.to_numpy()], "a double, b double, c double, d double").repartition(3)
+    monkeypatch.setattr(rl, "_ranked_long", lambda *a: 1 / 0)
+    monkeypatch.setattr(rl, "numeric_cells", lambda *a: 1 / 0)
+    for size in (40, 10**6):
+        monkeypatch.setattr(blocks, "BLOCK_ROWS", size)
+        got = {(r["var1"], r["var2"]): r["value"] for r in rl.spearman(df).collect()}
+        assert len(got) == 6
+        for (x, y), value in got.items():
+            ranks = frame[[x, y]].dropna().rank()
+            assert abs(value - ranks[x].corr(ranks[y])) < 1e-12
+    monkeypatch.undo()
+    monkeypatch.setattr(rl, "RANK_PASSES", 0)
+    again = {(r["var1"], r["var2"]): r["value"] for r in rl.spearman(df).collect()}
+    assert all(abs(again[p] - v) < 1e-12 for p, v in got.items())
