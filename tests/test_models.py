@@ -199,3 +199,46 @@ def test_permutation_ranks_rows_by_key_once(spark, monkeypatch):
     base = metrics.accuracy(predict(df)).first()[0]
     drops = [base - metrics.accuracy(predict(explain.permute_column(df, "x", "k", repeat))).first()[0] for repeat in range(3)]
     assert got["importance_mean"] == pytest.approx(np.mean(drops), abs=1e-12)
+
+
+@pytest.mark.parametrize("known", [True, False])
+def test_knn_compares_a_row_with_boxes_in_reach_only(monkeypatch, known):
+    """A block four times as large does not cost a row more comparisons; equal
+    rows, empty sides and values of unlike spread as by brute force."""
+    rng = np.random.default_rng(3)
+    compared = []
+    real = models._distances
+    monkeypatch.setattr(models, "_distances", lambda a, b: compared.append(len(a) * len(b)) or real(a, b))
+    work = []
+    for n in (4000, 16000):
+        tx = np.concatenate([np.column_stack([rng.normal(size=n), rng.normal(size=n), rng.integers(0, 3, n)]), np.zeros((700, 3))])
+        tid = rng.permutation(len(tx))
+        qx = np.concatenate([tx[rng.choice(n, 300)] + 0.01, [[0.0, 0.0, 0.0], [90.0, -90.0, 7.0]]])
+        d = ((qx[:, None] - tx[None]) ** 2).sum(axis=2)
+        near = np.array([np.lexsort((tid, row))[:5] for row in d])
+        reach = np.sqrt(np.take_along_axis(d, near, 1)[:, -1]) if known else np.full(len(qx), np.inf)
+        compared.clear()
+        rows, cols, _ = models._nearest(qx, tx, tid, reach, 5)
+        work.append(sum(compared))
+        assert sorted(zip(rows, cols)) == sorted((i, c) for i, cs in enumerate(near) for c in cs)
+    assert work[1] < 2 * work[0] and work[1] < len(qx) * 16000 // 4  # all pairs: 302 x 16,700
+
+
+def test_a_model_predicts_the_test_rows_once(spark):
+    """The metrics read the predictions, not the model, again and again."""
+    predicted = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        predicted.add(1)
+        return float(x % 2)
+
+    rows = spark.range(50).select((F.col("id") % 3).cast("double").alias("label"), F.udf(seen, "double")(F.col("id")).alias("prediction"))
+    assert {r["metric"] for r in models.evaluate_predictions(rows, "classification", [0, 1, 2]).collect()} >= {"accuracy", "f1_macro"}
+    assert predicted.value == 50
+
+    class Model:
+        def transform(self, d):
+            return d
+
+    assert models.fold_score((rows, rows), lambda d: Model(), "classification")[1] is None
+    assert predicted.value == 100
