@@ -87,10 +87,11 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> Da
 def _quantiles_from_freq(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
     cum = cumulative_by_value(value_frequencies(df, columns), ["column"], "v", ["count"])
     start, end = F.col("cum_count") - F.col("count"), F.col("cum_count") - 1
-    picks = []
+    picks, wanted = [], F.lit(False)
     for p in probs:
         h = (F.col("total_count") - 1) * float(p)
         lo, hi = F.floor(h), F.ceil(h)
+        wanted = wanted | ((start <= lo) & (lo <= end)) | ((start <= hi) & (hi <= end))
         picks.append(
             F.struct(
                 F.lit(float(p)).alias("prob"),
@@ -100,7 +101,8 @@ def _quantiles_from_freq(df: DataFrame, columns: list[str], probs: list[float])
             )
         )
     return (
-        cum.select("column", F.explode(F.array(*picks)).alias("_p"))
+        cum.where(wanted)  # at most two values a probability go on, not every value with every probability
+        .select("column", F.explode(F.array(*picks)).alias("_p"))
         .select("column", "_p.*")
         .where(F.col("x_lo").isNotNull() | F.col("x_hi").isNotNull())
         .groupBy("column", "prob")

@@ -56,3 +56,19 @@ def test_one_group_spreads_over_tasks(spark):
     out = rk.cumulative_by_value(df, ["g"], "v", ["n"])
     sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
     assert out.where("cum_n != v + 1").count() == 0 and max(sizes) < 20000
+
+
+def test_quantiles_unfold_only_values_at_wanted_places(spark):
+    """Values that no probability asks for are left out before one row a
+    probability is made of each value."""
+    rng = np.random.default_rng(6)
+    values = np.concatenate([rng.normal(size=400), np.full(200, 0.5), rng.integers(0, 4, 300)]).tolist()
+    df = spark.createDataFrame([(v, None if i % 3 else -v) for i, v in enumerate(values)], "a double, b double")
+    probs = [0.0, 0.1, 0.25, 0.5, 0.77, 1.0]
+    got = {(r["column"], r["prob"]): r["value"] for r in rk.exact_quantiles(df, ["a", "b"], probs).collect()}
+    for c, own in (("a", values), ("b", [-v for v in values[::3]])):
+        for p, want in zip(probs, np.quantile(own, probs)):
+            assert abs(got[c, p] - want) < 1e-9
+    plan = rk._quantiles_from_freq(df, ["a", "b"], probs)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    unfold = next(i for i, line in enumerate(plan) if "Generate explode" in line)
+    assert any("FLOOR" in line for line in plan[unfold + 1:])
