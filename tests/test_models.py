@@ -242,3 +242,85 @@ def test_a_model_predicts_the_test_rows_once(spark):
 
     assert models.fold_score((rows, rows), lambda d: Model(), "classification")[1] is None
     assert predicted.value == 100
+
+
+def _forest_nodes(spark, model, tmp_path, name):
+    model.write().overwrite().save(str(tmp_path / name))
+    rows = spark.read.parquet(str(tmp_path / name / "data")).select("treeID", "nodeData.*").collect()
+    return sorted((r["treeID"], r["id"], r["prediction"], r["impurity"], tuple(r["impurityStats"]), r["rawCount"], r["gain"], r["leftChild"], r["rightChild"], r["split"]["featureIndex"], tuple(r["split"]["leftCategoriesOrThreshold"]), r["split"]["numCategories"]) for r in rows)
+
+
+@pytest.mark.parametrize("classes", [2, 3])
+def test_a_forest_on_counts_is_the_forest_on_rows(spark, tmp_path, classes):
+    """Node for node: two and three classes, plain and one-hot features, zeros,
+    a constant feature, more rows than are sampled for thresholds, partitions of unlike size."""
+    from pyspark.ml.classification import RandomForestClassifier
+
+    from tabsleuth.operators import forest
+
+    n = 12000
+    raw = spark.range(0, n, 1, 3).where("id % 7 < 5 OR id < 3000").selectExpr(
+        "id", "CAST(id * 7919 % 1009 AS DOUBLE) AS a", "CASE WHEN id % 3 = 0 THEN 0.0 ELSE CAST(id * 31 % 613 AS DOUBLE) - 300 END AS b", "concat('c', id * 13 % 29 % 4) AS c", "5.0 AS d",
+        f"CAST((id * 7919 % 1009 DIV 200 + id * 17 % 11 DIV 4 + id * 13 % 29 % 4) % {classes} AS DOUBLE) AS label")
+    fitted = prep.preprocess_fit(raw, ["a", "b", "c", "d"])
+    rows = prep.preprocess_apply(raw, fitted, keep=["label"]).checkpoint()
+    est = RandomForestClassifier(numTrees=7, maxDepth=5, seed=3)
+    assert forest._binned(est, rows) is not None
+    plain, counted = est.fit(rows), forest.fit_forest(est, rows)
+    assert _forest_nodes(spark, counted, tmp_path, "counted") == _forest_nodes(spark, plain, tmp_path, "plain")
+    assert counted.numClasses == classes and counted.transform(rows).select("probability").exceptAll(plain.transform(rows).select("probability")).count() == 0
+
+
+def test_rows_of_too_many_cells_go_to_the_estimator(spark, monkeypatch):
+    from pyspark.ml.classification import RandomForestClassifier
+
+    from tabsleuth.operators import forest
+
+    rows = VectorAssembler(inputCols=["x"], outputCol="features").transform(spark.range(60).selectExpr("CAST(id AS DOUBLE) AS x", "CAST(id % 2 AS DOUBLE) AS label")).checkpoint()
+    monkeypatch.setattr(forest, "MAX_CELLS", 10)
+    est = RandomForestClassifier(numTrees=3, maxDepth=2, seed=1)
+    assert forest._binned(est, rows) is None
+    assert forest.fit_forest(est, rows).toDebugString.split(chr(10))[1:] == est.fit(rows).toDebugString.split(chr(10))[1:]
+
+
+def test_few_rows_enter_other_cells(spark, monkeypatch):
+    """Rows whose neighbours cannot lie beyond their cell are done after one
+    meeting, and their other columns come along; the rest is as by brute force."""
+    from pyspark.ml.linalg import Vectors
+
+    monkeypatch.setattr(models, "CELL_ROWS", 300)
+    asked = []
+    real = models._solved
+    monkeypatch.setattr(models, "_solved", lambda q, t, k: asked.append(q.select("qid").distinct().count()) or real(q, t, k))
+    rng = np.random.default_rng(4)
+    tr, te = rng.normal(size=(6000, 2)), rng.normal(size=(900, 2))
+    y = rng.integers(0, 3, len(tr)).astype(float)
+    train = spark.createDataFrame([(i, Vectors.dense(x), float(v)) for i, (x, v) in enumerate(zip(tr, y))], ["k", "features", "label"])
+    test = spark.createDataFrame([(i % 50, f"r{i}", Vectors.dense(x)) for i, x in enumerate(te)], ["k", "a.b", "features"])
+    got = {r["a.b"]: r for r in models.KnnModel(train, ["k"], "classification", 3).transform(test).collect()}
+    assert len(got) == len(te) and asked and asked[0] < len(te) // 2
+    for i, x in enumerate(te):
+        votes = np.bincount(y[((tr - x) ** 2).sum(1).argsort()[:5]].astype(int), minlength=3)
+        assert (got[f"r{i}"]["k"], got[f"r{i}"]["prediction"]) == (i % 50, votes.argmax())
+        assert got[f"r{i}"]["probability"].toArray().tolist() == (votes / 5).tolist()
+
+
+def test_auc_of_several_classes_sums_the_scores_once(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    p = rng.dirichlet(np.ones(3), 300).round(2)
+    y = rng.integers(0, 3, 300)
+    df = spark.createDataFrame([(int(a), *map(float, b)) for a, b in zip(y, p)], "y_true int, p0 double, p1 double, p2 double")
+    summed = []
+    real = metrics.cumulative_by_value
+    monkeypatch.setattr(metrics, "cumulative_by_value", lambda f, *a, **k: summed.append(f.schema["g"].dataType.simpleString()) or real(f, *a, **k))
+    got = metrics.roc_auc_multiclass(df, [0, 1, 2], ["p0", "p1", "p2"])
+    assert summed == ["bigint"]
+
+    def auc(s, pos):
+        d = s[pos][:, None] - s[~pos][None]
+        return ((d > 0) + (d == 0) / 2).mean()
+
+    pair = lambda a, b: np.mean([auc(p[m][:, i], y[m] == i) for m in [(y == a) | (y == b)] for i in (a, b)])
+    row = got.first()
+    assert row["roc_auc_ovr"] == pytest.approx(np.mean([auc(p[:, i], y == i) for i in range(3)]), abs=1e-12)
+    assert row["roc_auc_ovo"] == pytest.approx(np.mean([pair(0, 1), pair(0, 2), pair(1, 2)]), abs=1e-12)
